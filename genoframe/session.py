@@ -11,6 +11,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+#: Bytes that one Arrow batch to a Python worker holds, up to one row more.
+ARROW_BATCH_BYTES = 16 << 20
 
 
 def get_session(master: str = "local[*]", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -70,8 +72,12 @@ def drop_cut(df: DataFrame) -> None:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, so Python workers can import it."""
+    """Send this package to the executors once per application, so Python workers can import it, and bound Arrow batches.
+
+    Batches are bounded by bytes as well as rows: ten thousand long texts would not fit a worker.
+    """
     context = spark.sparkContext
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
     if context.applicationId in _SHIPPED:
         return
     root = Path(__file__).resolve().parent
