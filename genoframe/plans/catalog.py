@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from genoframe.plans import comparisons, genotypes, iterative, records, scores, statistics  # noqa: F401
+from genoframe.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
