@@ -19,7 +19,7 @@ the turn is new.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 OPEN, ROLE_END, CLOSE = "<s>[INST:", "]", "[/INST]</s>"
@@ -50,43 +50,48 @@ def format_windows(turns: DataFrame, *, budget: int = 1024, history: int = 256,
     """One row for each window: the conversation id, ``window`` (int from 0), ``n_repeated`` and ``n_new`` turns, ``formatted``, ``loss_spans``, ``tokens``.
 
     ``loss_spans`` are half-open ranges of characters (code points) of ``formatted``.
-    A window holds at most ``budget`` tokens unless a single new turn with the system
-    turn is larger; such a turn is never cut and stands in a window with no history.
+    New turns are dealt by their prefix sums, in steps of half of what the budget
+    leaves beside history and system turn; a turn longer than such a half stands alone. A
+    window holds at most ``budget`` tokens unless its one new turn and the system turn
+    are longer than that themselves; turns are never cut.
 
     Null texts and roles count as empty. Rows go by turn (null first); equal turns go
     by role, then text; repeated rows are turns of their own. Rows of a null
     conversation id form one conversation. Empty tables give no windows. Other columns
     are not read, so none can clash.
 
-    Memory: one conversation's turns in one task. Its digest and its windows need them
-    in order; conversations meet in no common group.
+    Sums run over a conversation's turns in order and stream; only the turns of one
+    window are ever gathered, so a very long conversation costs time but not memory.
     """
     plain = turns.select(F.col(conv).alias("c"), F.col(turn).alias("t"), F.coalesce(F.col(role), F.lit("")).alias("r"), F.coalesce(F.col(text), F.lit("")).alias("x"))
-    # Turns are formatted before they meet, so what is gathered is what is written.
-    plain = plain.select("c", F.struct("t", "r", "x", escape(F.col("r")).alias("er"), escape(F.col("x")).alias("ex")).alias("u"))
-    sized = plain.select("c", F.struct("u.*", turn_tokens(F.col("u.er"), F.col("u.ex")).alias("n")).alias("u"))
-    whole = sized.groupBy("c").agg(F.array_sort(F.collect_list("u")).alias("u"))
-    whole = whole.withColumn("sys", F.when(F.element_at("u", 1)["r"] == "system", 1).otherwise(0))
-    whole = whole.withColumn("sys_n", F.when(F.col("sys") == 1, F.element_at("u", 1)["n"]).otherwise(F.lit(0).cast("long")))
-    # p[i]: tokens of the turns before turn i (from 0); one more entry than turns.
-    whole = whole.withColumn("p", _prefix_sums())
-    # The windows' first new turns. A window that isn't the first also holds the system turn and its history.
-    start = F.struct(F.lit(0).alias("at"), F.lit(0).cast("long").alias("base"), F.array(F.lit(0)).alias("starts"))
-    spans = F.aggregate(
-        F.sequence(F.lit(1), F.size("u")),
-        start,
-        lambda s, i: F.when(
-            (i < F.size("u")) & (F.get("p", i + 1) - F.get("p", s["at"]) + s["base"] > F.lit(budget)),
-            F.struct(i.alias("at"), F.least(_repeated_tokens(i, budget, history), F.lit(budget).cast("long")).alias("base"), F.concat(s["starts"], F.array(i)).alias("starts")),
-        ).otherwise(s),
-        lambda s: s["starts"],
+    plain = plain.withColumn("er", escape(F.col("r"))).withColumn("ex", escape(F.col("x")))
+    plain = plain.withColumn("n", turn_tokens(F.col("er"), F.col("ex")))
+    order = Window.partitionBy("c").orderBy(F.asc_nulls_first("t"), "r", "x")
+    placed = plain.withColumn("i", F.row_number().over(order)).withColumn("p", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
+    first = order.rowsBetween(Window.unboundedPreceding, 0)
+    placed = placed.withColumn("sys_n", F.first(F.when((F.col("i") == 1) & (F.col("r") == "system"), F.col("n")).otherwise(F.lit(0).cast("long"))).over(first))
+    by_place = Window.partitionBy("c").orderBy("i")
+    half = F.greatest(F.lit(1).cast("long"), F.expr(f"({budget} - {history} - sys_n) div 2"))
+    placed = placed.withColumn("half", half).withColumn("step", F.expr("p div half"))
+    alone = F.col("n") > F.col("half")
+    starts = (F.col("i") == 1) | (F.col("step") != F.lag("step").over(by_place)) | alone | F.lag(alone).over(by_place)
+    placed = placed.withColumn("starts", starts).withColumn("w", F.sum(F.col("starts").cast("int")).over(by_place.rowsBetween(Window.unboundedPreceding, 0)) - 1)
+    # The last window that begins within reach of this turn repeats it, and so do those between.
+    reach = Window.partitionBy("c").orderBy("p").rangeBetween(1, history)
+    placed = placed.withColumn("last", F.coalesce(F.max(F.when(F.col("starts"), F.col("w"))).over(reach), F.col("w")))
+    whole = Window.partitionBy("c").orderBy("i").rowsBetween(0, Window.unboundedFollowing)
+    placed = placed.withColumn("last", F.when((F.col("i") == 1) & (F.col("r") == "system"), F.max("w").over(whole)).otherwise(F.greatest("last", "w")))
+    copies = placed.select("c", "w", F.struct("i", "p", "n", "w", "r", "er", "ex").alias("u"), "sys_n", F.explode(F.sequence("w", F.col("last").cast("int"))).alias("window"))
+    gathered = copies.groupBy("c", "window").agg(
+        F.array_sort(F.collect_list("u")).alias("u"),
+        F.max("sys_n").alias("sys_n"),
+        F.min(F.when(F.col("w") == F.col("window"), F.col("u.p"))).alias("from"),
+        F.sum(F.when(F.col("w") == F.col("window"), F.col("u.n"))).alias("new_n"),
     )
-    cut = whole.withColumn("starts", spans).select("*", F.posexplode("starts").alias("window", "lo"))
-    cut = cut.withColumn("hi", F.coalesce(F.get("starts", F.col("window") + 1), F.size("u")))
-    cut = cut.withColumn("from", F.when(F.col("lo") > 0, _history_start(F.col("lo"), budget, history)).otherwise(F.lit(0)))
-    lead = F.when((F.col("lo") > 0) & (F.col("sys") == 1), F.slice("u", 1, 1)).otherwise(F.slice("u", 1, 0))
-    cut = cut.withColumn("turns", F.concat(lead, F.slice("u", F.col("from") + 1, F.col("hi") - F.col("from"))))
-    cut = cut.withColumn("n_new", (F.col("hi") - F.col("lo")).cast("int")).withColumn("n_repeated", (F.size("turns") - F.col("n_new")).cast("int"))
+    # History that the budget has no room for goes; the system turn and the new turns stay.
+    room = F.least(F.lit(history).cast("long"), F.lit(budget) - F.col("sys_n") - F.col("new_n"))
+    fits = F.filter("u", lambda u: (u["w"] == F.col("window")) | ((u["i"] == 1) & (F.col("sys_n") > 0)) | (F.col("from") - u["p"] <= room))
+    cut = gathered.withColumn("turns", fits).withColumn("n_new", F.size(F.filter("turns", lambda u: u["w"] == F.col("window")))).withColumn("n_repeated", F.size("turns") - F.col("n_new"))
     cut = cut.withColumn("blocks", F.transform("turns", lambda u: F.concat(F.lit(OPEN), u["er"], F.lit(ROLE_END), u["ex"], F.lit(CLOSE))))
     # Loss spans: block starts by a running sum of block lengths, then the text's place inside its block.
     spans = F.aggregate(
@@ -95,36 +100,14 @@ def format_windows(turns: DataFrame, *, budget: int = 1024, history: int = 256,
         lambda s, i: F.struct(
             (s["at"] + F.length(F.get("blocks", i))).alias("at"),
             F.when(
-                (i >= F.col("n_repeated")) & (F.get("turns", i)["r"] == target),
+                (F.get("turns", i)["w"] == F.col("window")) & (F.get("turns", i)["r"] == target),
                 F.concat(s["spans"], F.array(F.struct((s["at"] + len(OPEN) + len(ROLE_END) + F.length(F.get("turns", i)["er"])).alias("start"), (s["at"] + F.length(F.get("blocks", i)) - len(CLOSE)).alias("end")))),
             ).otherwise(s["spans"]).alias("spans"),
         ),
         lambda s: s["spans"],
     )
     tokens = F.aggregate("turns", F.lit(0).cast("long"), lambda s, u: s + u["n"])
-    return cut.select(F.col("c").alias(conv), "window", "n_repeated", "n_new", F.concat_ws("", "blocks").alias("formatted"), spans.alias("loss_spans"), tokens.alias("tokens"))
-
-
-def _prefix_sums() -> Column:
-    zero = F.struct(F.lit(0).cast("long").alias("sum"), F.array(F.lit(0).cast("long")).alias("all"))
-    return F.aggregate("u", zero, lambda s, u: F.struct((s["sum"] + u["n"]).alias("sum"), F.concat(s["all"], F.array(s["sum"] + u["n"])).alias("all")), lambda s: s["all"])
-
-
-def _room(at: Column, budget: int) -> Column:
-    """Tokens that a window beginning at new turn ``at`` has for history, once the system turn and that turn are in."""
-    return F.greatest(F.lit(0).cast("long"), F.lit(budget) - F.col("sys_n") - F.get(F.col("u"), at)["n"])
-
-
-def _history_start(at: Column, budget: int, history: int) -> Column:
-    """First turn that is repeated before new turn ``at``: as far back as history and room allow, after the system turn."""
-    allowed = F.least(F.lit(history).cast("long"), _room(at, budget))
-    # Prefix sums never fall, so the turns within reach are those of the longest suffix.
-    reach = F.size(F.filter(F.slice("p", F.col("sys") + 1, F.greatest(F.lit(0), at - F.col("sys"))), lambda p: F.get("p", at) - p <= allowed))
-    return at - reach
-
-
-def _repeated_tokens(at: Column, budget: int, history: int) -> Column:
-    return F.col("sys_n") + F.get("p", at) - F.get("p", _history_start(at, budget, history))
+    return cut.select(F.col("c").alias(conv), F.col("window").cast("int").alias("window"), F.col("n_repeated").cast("int").alias("n_repeated"), F.col("n_new").cast("int").alias("n_new"), F.concat_ws("", "blocks").alias("formatted"), spans.alias("loss_spans"), tokens.alias("tokens"))
 
 
 def read_back(windows: DataFrame, conv: str = "conv_id") -> DataFrame:
