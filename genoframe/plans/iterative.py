@@ -1 +1,99 @@
-"""Queries that SQL cannot express."""
+"""Queries that SQL cannot express: iterative imputers, clade masks, clusters."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from genoframe.functions.special import with_p_value, yeo_johnson_by_metric
+from genoframe.model import cells_from_tables, loci_of, samples_from_tables
+from genoframe.operators import clusters, compare, learned, phylo
+from genoframe.plans.comparisons import long_metrics
+from genoframe.plans.registry import query
+from genoframe.sources.tree import Tree, tree_nodes, tree_tips
+
+RATES = np.array([[-1.0, 0.2, 0.6, 0.2], [0.2, -1.0, 0.2, 0.6], [0.6, 0.2, -1.0, 0.2], [0.2, 0.6, 0.2, -1.0]])
+
+
+def sample_tree(spark: SparkSession, sf_dir: str) -> Tree:
+    """A tree of the samples: the root, a node for each population, tips. Names are a table of samples, read to the driver as a tree file is."""
+    rows = sorted((r["pop_id"], r["sample_name"]) for r in samples_from_tables(spark, sf_dir).collect())
+    parent, name, length = [-1], [""], [0.0]
+    at = {}
+    for pop, sample in rows:
+        if pop not in at:
+            at[pop] = len(parent)
+            parent.append(0)
+            name.append("")
+            length.append(0.5)
+        parent.append(at[pop])
+        name.append(sample)
+        length.append(0.1)
+    return Tree(tuple(parent), tuple(name), tuple(length))
+
+
+def named_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = cells_from_tables(spark, sf_dir)
+    return cells.join(samples_from_tables(spark, sf_dir).select("sample_id", "sample_name"), "sample_id").join(loci_of(cells).select("locus_id", "ref", "alt"), "locus_id")
+
+
+@query("j10_tree_closure")
+def j10(spark, sf_dir):
+    return tree_tips(tree_nodes(spark, sample_tree(spark, sf_dir)))
+
+
+@query("m04_mask_clades")
+def m04(spark, sf_dir):
+    return phylo.mask_clades(spark, named_cells(spark, sf_dir), sample_tree(spark, sf_dir), 0.2).select("sample_name", "locus_id", "simulated")
+
+
+@query("m05_mask_clades_weighted")
+def m05(spark, sf_dir):
+    return phylo.mask_clades(spark, named_cells(spark, sf_dir), sample_tree(spark, sf_dir), 0.2, weighted=True).select("sample_name", "locus_id", "simulated")
+
+
+@query("i05_impute_factors")
+def i05(spark, sf_dir):
+    return learned.fill_factors(cells_from_tables(spark, sf_dir)).select("sample_id", "locus_id", "imputed")
+
+
+@query("i06_impute_phylogeny")
+def i06(spark, sf_dir):
+    return phylo.impute_phylogeny(named_cells(spark, sf_dir), sample_tree(spark, sf_dir), RATES)
+
+
+@query("i07_impute_forest")
+def i07(spark, sf_dir):
+    return learned.fill_chained(cells_from_tables(spark, sf_dir), rounds=1).select("sample_id", "locus_id", "imputed")
+
+
+@query("i08_impute_boosting")
+def i08(spark, sf_dir):
+    return learned.fill_chained(cells_from_tables(spark, sf_dir), learner="boosting", rounds=1).select("sample_id", "locus_id", "imputed")
+
+
+def _neural(kind: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return learned.fill_neural(cells_from_tables(spark, sf_dir), learned.NeuralConfig(kind, epochs=30)).select("sample_id", "locus_id", "imputed")
+
+    return run
+
+
+for _id, _kind in (("i09", "autoencoder"), ("i10", "vae"), ("i11", "nlpca"), ("i12", "ubp")):
+    query(f"{_id}_impute_{_kind}")(_neural(_kind))
+
+
+@query("v08_infer_populations")
+def v08(spark, sf_dir):
+    return clusters.infer_populations(cells_from_tables(spark, sf_dir))
+
+
+@query("a27_welch_p")
+def a27_p(spark, sf_dir):
+    return compare.adjust_bh(with_p_value(compare.welch(long_metrics(spark, sf_dir))).select("metric", "p"))
+
+
+@query("a28_yeo_johnson")
+def a28(spark, sf_dir):
+    return yeo_johnson_by_metric(long_metrics(spark, sf_dir)).select("dataset", "metric", F.round("value", 9).alias("value"), F.round("lambda", 6).alias("lambda"))
