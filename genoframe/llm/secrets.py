@@ -107,19 +107,20 @@ def identifier_samples(words: Sequence[str], n: int, seed: int = 8) -> list[str]
 _ASCII = frozenset(ALPHABET)
 
 
-def train(words: Sequence[str], *, samples: int = 4000, recall: float = 0.98, seed: int = 7) -> MarkovPair:
-    """Fit both models and the threshold.
+def train(words: Sequence[str], *, samples: int = 4000, recall: float = 0.98, spared: float = 0.999, seed: int = 7) -> MarkovPair:
+    """Fit both models on half of the labelled samples and the threshold on the other half.
 
-    The threshold is the larger of two: what keeps ``recall`` of held-out random
-    strings, and the highest ratio of any held-out identifier, so ordinary names stay.
+    The threshold is the larger of two: what keeps ``recall`` of the held-out random
+    strings, and what spares the share ``spared`` of the held-out identifiers.
     """
     random, ordinary = random_samples(samples, seed), identifier_samples(words, samples, seed + 1)
-    fit = log_transitions(transition_counts(random[: samples // 2])) - log_transitions(transition_counts(ordinary[::2]))
+    rng = np.random.default_rng(seed)
+    random, ordinary = ([x[i] for i in rng.permutation(len(x))] for x in (random, ordinary))
+    fit = log_transitions(transition_counts(random[::2])) - log_transitions(transition_counts(ordinary[::2]))
     pair = MarkovPair(fit, 0.0)
-    held = [pair.score(x) for x in random[samples // 2 :]]
+    held = [pair.score(x) for x in random[1::2]]
     names = [pair.score(x) for x in ordinary[1::2] if len(x) >= pair.min_length]
-    threshold = max(float(np.quantile(held, 1 - recall)), max(names, default=0.0) + 0.05)
-    return MarkovPair(fit, threshold)
+    return MarkovPair(fit, max(float(np.quantile(held, 1 - recall)), float(np.quantile(names, spared)) if names else 0.0))
 
 
 def trusted_words(documents: DataFrame, labels: DataFrame, *, rows: int = 400, words: int = 20_000) -> list[str]:
