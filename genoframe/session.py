@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 #: Bytes that one Arrow batch to a Python worker holds, up to one row more.
-ARROW_BATCH_BYTES = 16 << 20
+ARROW_BATCH_BYTES = 8 << 20
 
 
 def get_session(master: str = "local[*]", shuffle_partitions: int = 8, **conf: str) -> SparkSession:

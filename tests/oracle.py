@@ -21,4 +21,4 @@ def rows(frame):
         return repr(float(v)) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
 
     columns = sorted(frame.columns)
-    return columns, sorted(tuple(plain(v) for v in r) for r in frame[columns].itertuples(index=False, name=None))
+    return columns, sorted(zip(*[[plain(v) for v in frame[c].tolist()] for c in columns], strict=True))
