@@ -17,7 +17,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from array import array
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import public_tokenizers
@@ -28,13 +28,17 @@ from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 from tokenizers.models import BPE
 
-from genoframe.session import ship_package
+from genoframe.session import ship_package, tidy
 
 #: White space that does not stand alone, other white space, and the mark of a text's first stretch.
 ODD = r"[ \n]{2}|[\t\x0b\x0c\r\x01\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 FIRST = "\x01"
-#: Distinct stretches and matches that a worker remembers; beyond it, it starts anew.
-REMEMBERED = 700_000
+#: Signs that are a match of their own after a word.
+SIGNS = frozenset(".,;:!?|)")
+#: Distinct stretches, and distinct matches, in a generation of what a worker remembers: of some 150 bytes each.
+REMEMBERED = 150_000
+#: Stretches whose ids are gathered at once.
+GATHERED = 1 << 17
 
 
 def byte_table() -> list[str]:
@@ -47,6 +51,7 @@ def byte_table() -> list[str]:
     return [table[b] for b in range(256)]
 
 
+SPACE = byte_table()[0x20]
 TO_CHARS = {b: c for b, c in enumerate(byte_table())}
 TO_BYTES = {c: b for b, c in enumerate(byte_table())}
 
@@ -80,6 +85,25 @@ def merges_of(ranks: dict[bytes, int]) -> list[tuple[bytes, bytes]]:
     return merges
 
 
+class Recent(dict):
+    """Values by key, computed when missing. Two generations bound it: what is used again survives, the rest goes."""
+
+    def __init__(self, compute: Callable[[str], bytes], half: int):
+        super().__init__()
+        self.compute, self.half = compute, half
+        self.older: dict[str, bytes] = {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.older.get(key)
+        if value is None:
+            value = self.compute(key)
+        if len(self) >= self.half:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 class Codec:
     """One vocabulary: ids of texts, bytes of ids. Held by a Python worker for as long as it lives."""
 
@@ -87,11 +111,9 @@ class Codec:
         self.model = model
         self.id_bytes = id_bytes
         self.pattern = regex.compile(pattern)
-        self._matches: dict[str, bytes] = {}
-        self._stretches: dict[str, int] = {}
-        # Ids of all stretches so far, 4 bytes each, and where each stretch's ids end.
-        self._flat = bytearray()
-        self._ends = array("q")
+        # Ids as unsigned 32-bit numbers of this machine.
+        self.match_ids = Recent(self._match, REMEMBERED).__getitem__
+        self.stretch_ids = Recent(self._stretch, REMEMBERED).__getitem__
 
     @classmethod
     def from_ranks(cls, path: str) -> Codec:
@@ -106,14 +128,11 @@ class Codec:
         tokenizer = Tokenizer.from_file(path)
         return cls(tokenizer.model, {i: as_bytes(t) for t, i in tokenizer.get_vocab(with_added_tokens=False).items() if all(c in TO_BYTES for c in t)})
 
-    def match_ids(self, match: str) -> bytes:
-        """Ids of one match of the pattern, as unsigned 32-bit numbers of this machine."""
-        ids = self._matches.get(match)
-        if ids is None:
-            if len(self._matches) >= REMEMBERED:
-                self._matches.clear()
-            ids = self._matches[match] = array("I", [t.id for t in self.model.tokenize(as_chars(match.encode("utf-8", "surrogatepass")))]).tobytes()
-        return ids
+    def _match(self, match: str) -> bytes:
+        """Ids of one match of the pattern."""
+        # Printable ASCII stands for itself in the byte table, but for the space.
+        chars = match.replace(" ", SPACE) if match.isascii() and match.isprintable() else as_chars(match.encode("utf-8", "surrogatepass"))
+        return array("I", [t.id for t in self.model.tokenize(chars)]).tobytes()
 
     def packed(self, text: str) -> bytes:
         """Ids of a whole text, by the pattern."""
@@ -136,17 +155,18 @@ class Codec:
                 at = end
         return out
 
-    def _remember(self, stretch: str) -> int:
+    def _stretch(self, stretch: str) -> bytes:
+        """Ids of a stretch. A word, with one sign after it or none, needs no pattern: it is one match, and the sign another."""
+        if stretch.isalpha():
+            return self.match_ids(" " + stretch)
+        if stretch[-1:] in SIGNS and stretch[:-1].isalpha():
+            return self.match_ids(" " + stretch[:-1]) + self.match_ids(stretch[-1])
         first = stretch[:1]
-        self._flat += self.packed(stretch[1:] if first == FIRST else stretch if first == "\n" else " " + stretch)
-        self._ends.append(len(self._flat) >> 2)
-        return len(self._ends) - 1
+        return self.packed(stretch[1:] if first == FIRST else stretch if first == "\n" else " " + stretch)
 
     def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a column of texts, one after another, and where each text's ids end. Nulls count as empty."""
         texts = pc.fill_null(texts, "")
-        if len(self._ends) > REMEMBERED:
-            self._stretches, self._flat, self._ends = {}, bytearray(), array("q")
         odd = pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False)
         plain = pc.if_else(pa.array(odd), "", texts)
         # A line's first stretch keeps the line break before it, so it is not taken for one after a space.
@@ -154,22 +174,19 @@ class Codec:
         parts = pc.split_pattern(plain, " ")
         per_text = pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
         coded = pc.list_flatten(parts).dictionary_encode()
-        known = self._stretches
-        place = np.empty(len(coded.dictionary), np.int64)
-        for i, stretch in enumerate(coded.dictionary.to_pylist()):
-            at = known.get(stretch)
-            if at is None:
-                at = known[stretch] = self._remember(stretch)
-            place[i] = at
-        codes = place[coded.indices.to_numpy(zero_copy_only=False)]
-        # Copies, so that the stores can grow again.
-        borders = np.concatenate([[0], np.frombuffer(self._ends, np.int64)])
-        ends = borders[codes + 1]
-        lengths = ends - borders[codes]
+        found = list(map(self.stretch_ids, coded.dictionary.to_pylist()))
+        flat = np.frombuffer(b"".join(found), np.uint32)
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) >> 2
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        lengths, ends = sizes[codes], np.cumsum(sizes)[codes]
         stop = np.cumsum(lengths)
-        # Position of every id in the store: the stretch's start there, plus how far into the stretch it is.
+        # Position of every id in ``flat``: the stretch's start there, plus how far into the stretch it is. By parts, as positions are larger than ids.
         shift = ends - stop
-        ids = np.frombuffer(self._flat, np.uint32)[np.repeat(shift, lengths) + np.arange(stop[-1] if len(stop) else 0)]
+        ids = np.empty(stop[-1] if len(stop) else 0, np.uint32)
+        for a in range(0, len(stop), GATHERED):
+            b = min(a + GATHERED, len(stop))
+            low, high = int(stop[a] - lengths[a]), int(stop[b - 1])
+            ids[low:high] = flat[np.repeat(shift[a:b], lengths[a:b]) + np.arange(low, high)]
         text_ends = np.concatenate([[0], stop])[np.cumsum(per_text)] if len(per_text) else np.zeros(0, np.int64)
         if not odd.any():
             return ids, text_ends
@@ -206,6 +223,11 @@ def codec(kind: str, path: str) -> Codec:
     return _CODECS[kind, path]
 
 
+def forget() -> None:
+    """Drop this worker's codecs, for stages that hold much else."""
+    _CODECS.clear()
+
+
 def vocabulary(name: str) -> str:
     """Where a public vocabulary file is on this machine; executors have their own copy of the package."""
     return public_tokenizers.path(name)
@@ -235,7 +257,7 @@ def encode(documents: DataFrame, *, key: str = "doc_id", text: str = "text", ran
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=[key, "ids"])
 
-    return documents.select(key, text).mapInArrow(run, schema)
+    return documents.select(key, text).mapInArrow(tidy(run), schema)
 
 
 def decode(encoded: DataFrame, *, key: str = "doc_id", ids: str = "ids", ranks: str = "byte_bpe_50k.tiktoken") -> DataFrame:
@@ -249,7 +271,7 @@ def decode(encoded: DataFrame, *, key: str = "doc_id", ids: str = "ids", ranks:
             found = [None if x is None else own.decode(x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=[key, "bytes"])
 
-    return encoded.select(key, ids).mapInArrow(run, f"{key} {kind}, bytes binary")
+    return encoded.select(key, ids).mapInArrow(tidy(run), f"{key} {kind}, bytes binary")
 
 
 def round_trip(documents: DataFrame, *, key: str = "doc_id", text: str = "text", ranks: str = "byte_bpe_50k.tiktoken") -> DataFrame:
@@ -276,4 +298,4 @@ def round_trip(documents: DataFrame, *, key: str = "doc_id", text: str = "text",
                 start = end
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(said, pa.string()), pa.array(back, pa.string())], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return documents.select(key, text).mapInArrow(run, f"{key} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return documents.select(key, text).mapInArrow(tidy(run), f"{key} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

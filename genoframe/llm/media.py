@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from genoframe.session import ship_package
+from genoframe.session import ship_package, tidy
 
 STRIP_ROWS = 4096
 #: Width of the grey image that a byte payload becomes.
@@ -217,7 +217,7 @@ def process_media(df: DataFrame, column: str = "media", *, height: int = 32, wid
             extra = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*batch.schema.names, *names])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def payload_media(text: str | None) -> tuple[int, bytes]:
@@ -252,4 +252,4 @@ def text_media(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=[key, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    return df.select(key, text).mapInArrow(run, schema)
+    return df.select(key, text).mapInArrow(tidy(run), schema)

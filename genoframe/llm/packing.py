@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from genoframe.llm import bpe
-from genoframe.session import cut, ship_package
+from genoframe.session import cut, ship_package, tidy
 
 WINDOW = 1024
 #: Tails in a shard: what one task holds and indexes.
@@ -36,12 +36,19 @@ SEQUENCE_BITS = 32
 
 
 def stage_tokens(documents: DataFrame, *, key: str, text: str, vocabulary: str, window: int, end_id: int, keep_ids: bool) -> DataFrame:
-    """Each row's key, ``tokens``, ``whole_crcs``, ``tail`` (unsigned 32-bit ids), ``whole`` (ids of whole windows if kept), and its signature."""
+    """Each row's key, ``tokens``, ``whole_crcs``, ``tail`` (packed ids), ``whole`` (ids of whole windows if kept), and its signature.
+
+    Each task adds one row of statistics, with ``tokens`` -1: the tails' lengths in ``whole_crcs`` (their
+    number and sum), the ids that occur in ``tail``, and in how many tails each does in ``whole``.
+    """
     kind = documents.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = bpe.codec("json", bpe.vocabulary(vocabulary))
         order = np.random.default_rng(11).permutation(1 << 17).astype(np.int64), np.random.default_rng(12).permutation(1 << 17).astype(np.int64)
+        seen = np.zeros(1 << 17, np.int64)
+        rows = total = 0
+        names = [key, "tokens", "whole_crcs", "tail", "whole", "signature"]
         for batch in batches:
             ids, ends = own.encode_batch(batch.column(1))
             tokens, crcs, tails, wholes, signs = [], [], [], [], []
@@ -57,39 +64,48 @@ def stage_tokens(documents: DataFrame, *, key: str, text: str, vocabulary: str,
                 tail = doc[split:]
                 tails.append(b"\x02" + tail.astype("<u2").tobytes() if not tail.size or tail.max() < 1 << 16 else b"\x04" + tail.tobytes())
                 wholes.append(data[: 4 * split].tobytes() if keep_ids else None)
-                own_terms = np.unique(doc) % (1 << 17)
-                signs.append(int(order[0][own_terms].min()) << 17 | int(order[1][own_terms].min()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array(tails, pa.binary()), pa.array(wholes, pa.binary()), pa.array(signs, pa.int64())], names=[key, "tokens", "whole_crcs", "tail", "whole", "signature"])
+                if not tail.size:
+                    signs.append(-1)
+                    continue
+                terms = np.unique(tail)
+                if terms[-1] >= len(seen):
+                    seen = np.concatenate([seen, np.zeros(int(terms[-1]) + 1 - len(seen), np.int64)])
+                seen[terms] += 1
+                rows += 1
+                total += len(tail)
+                terms = terms % (1 << 17)
+                signs.append(int(order[0][terms].min()) << 17 | int(order[1][terms].min()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array(tails, pa.binary()), pa.array(wholes, pa.binary()), pa.array(signs, pa.int64())], names=names)
+            last = batch.column(0)[:1]
+        if rows:
+            used = np.nonzero(seen)[0]
+            nothing = pa.nulls(1, last.type)
+            yield pa.RecordBatch.from_arrays([nothing, pa.array([-1], pa.int64()), pa.array([[rows, total]], pa.list_(pa.int64())), pa.array([used.astype("<i8").tobytes()], pa.binary()), pa.array([seen[used].astype("<i8").tobytes()], pa.binary()), pa.array([-1], pa.int64())], names=names)
 
-    return documents.select(key, text).mapInArrow(run, f"{key} {kind}, tokens long, whole_crcs array<long>, tail binary, whole binary, signature long")
+    return documents.select(key, text).mapInArrow(tidy(run), f"{key} {kind}, tokens long, whole_crcs array<long>, tail binary, whole binary, signature long")
 
 
 def unpack_tail(data: bytes) -> np.ndarray:
     return np.frombuffer(data, "<u2" if data[:1] == b"\x02" else "<u4", offset=1).astype("<u4")
 
 
-def term_statistics(staged: DataFrame) -> tuple[dict[int, int], int, float]:
-    """Document frequency of each id over all tails, tails, and their mean length. At most a row for each id of the vocabulary comes back."""
+def term_statistics(staged: DataFrame) -> tuple[np.ndarray, int, float]:
+    """In how many tails each id occurs, the number of tails, and their mean length: the tasks' statistics added up, ids by partial sums in Spark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(0, np.int64)
-        rows = total = 0
         for batch in batches:
-            for data in batch.column(0):
-                tail = unpack_tail(data.as_py())
-                if tail.size:
-                    terms = np.unique(tail)
-                    if terms[-1] >= len(seen):
-                        seen = np.concatenate([seen, np.zeros(int(terms[-1]) + 1 - len(seen), np.int64)])
-                    seen[terms] += 1
-                    rows += 1
-                    total += len(tail)
-        used = np.nonzero(seen)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([used, [-1, -2]]), pa.int64()), pa.array(np.concatenate([seen[used], [rows, total]]), pa.int64())], names=["term", "n"])
-
-    found = {r["term"]: r["n"] for r in staged.select("tail").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    rows, total = found.pop(-1, 0), found.pop(-2, 0)
-    return found, rows, total / rows if rows else 0.0
+            for sums, terms, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                terms, counts = np.frombuffer(terms, "<i8"), np.frombuffer(counts, "<i8")
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([terms, [-1, -2]])), pa.array(np.concatenate([counts, sums]))], names=["term", "n"])
+
+    rows = staged.where("tokens = -1").select("whole_crcs", "tail", "whole").mapInArrow(tidy(run), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    found = rows.toPandas()  # a row for each id of the vocabulary at most
+    counts = dict(zip(found["term"].tolist(), found["n"].tolist(), strict=True))
+    tails, total = counts.pop(-1, 0), counts.pop(-2, 0)
+    df = np.zeros(max(counts, default=0) + 1)
+    for term, n in counts.items():
+        df[term] = n
+    return df, tails, total / tails if tails else 0.0
 
 
 class Index:
@@ -181,13 +197,10 @@ def pack(documents: DataFrame, *, key: str = "doc_id", text: str = "text", vocab
     ship_package(spark)
     kind = documents.schema[key].dataType.simpleString()
     staged = cut(stage_tokens(documents, key=key, text=text, vocabulary=vocabulary, window=window, end_id=end_id, keep_ids=keep_ids))
-    frequency, rows, mean_length = term_statistics(staged)
-    size = max(frequency, default=0) + 1
-    df = np.zeros(size)
-    if frequency:
-        df[np.fromiter(frequency.keys(), np.int64)] = np.fromiter(frequency.values(), np.float64)
+    df, rows, mean_length = term_statistics(staged)
     # As long as the vocabulary, whatever the corpus.
     idf = spark.sparkContext.broadcast(np.log1p((rows - df + 0.5) / (df + 0.5)))
+    staged = staged.where("tokens >= 0")
     shards = max(1, -(-staged.count() // shard_rows))
     tie = F.xxhash64(F.col(key).cast("string"), "tail")
     dealt = staged.withColumn("tie", tie).repartitionByRange(shards, "signature", "tie").sortWithinPartitions("signature", "tie", key)
@@ -197,6 +210,7 @@ def pack(documents: DataFrame, *, key: str = "doc_id", text: str = "text", vocab
     kinds = [pa.int64()] * 6 + [pa.binary()] * keep_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe.forget()  # the worker may be one that encoded
         held = list(batches)
         if not held:
             return
@@ -232,4 +246,4 @@ def pack(documents: DataFrame, *, key: str = "doc_id", text: str = "text", vocab
         if rows:
             yield flush()
 
-    return dealt.mapInArrow(run, schema)
+    return dealt.mapInArrow(tidy(run), schema)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from genoframe.session import ship_package
+from genoframe.session import ship_package, tidy
 
 KINDS = ("assign", "access", "hex", "markov")
 # Letters in either case, without the two non-ASCII letters that fold to k and s: re.A.
@@ -207,7 +207,7 @@ def scan(documents: DataFrame, model: MarkovPair, *, key: str = "doc_id", text:
             names = [key, "n_assign", "n_access", "n_hex", "n_markov", "base_sha256", "base_spans", "spans", *(["redacted"] if redacted else [])]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], names=names)
 
-    return documents.select(key, text).mapInArrow(run, schema)
+    return documents.select(key, text).mapInArrow(tidy(run), schema)
 
 
 def redact_documents(documents: DataFrame, model: MarkovPair, *, text: str = "text", length: str = "n_chars") -> DataFrame:
@@ -236,4 +236,4 @@ def redact_documents(documents: DataFrame, model: MarkovPair, *, text: str = "te
                 columns[size] = pa.array(sizes, columns[size].type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(tidy(run), documents.schema)

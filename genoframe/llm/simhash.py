@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from genoframe.session import cut, drop_cut, ship_package
+from genoframe.session import cut, drop_cut, ship_package, tidy
 
 SEED = 42
 MAX_BITS = 3
@@ -96,7 +96,7 @@ def fingerprints(documents: DataFrame, *, key: str = "doc_id", text: str = "text
             found = [_signed(fingerprint(t.as_py(), shingle)) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=[key, "fp"])
 
-    return documents.select(key, text).mapInArrow(run, f"{key} {kind}, fp long")
+    return documents.select(key, text).mapInArrow(tidy(run), f"{key} {kind}, fp long")
 
 
 def _shared_bytes(x: Column) -> Column:
