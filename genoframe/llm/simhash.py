@@ -19,7 +19,7 @@ loses no link.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations, product
+from itertools import combinations, islice, product
 
 import numpy as np
 import pyarrow as pa
@@ -79,7 +79,7 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     else:
         groups = zip(*(words[i:] for i in range(shingle)), strict=False)
     counts, n = np.zeros(64, np.int64), 0
-    while hashes := b"".join([digest(join(g), SEED) for g, _ in zip(groups, range(CHUNK), strict=False)]):
+    while hashes := b"".join([digest(join(g), SEED) for g in islice(groups, CHUNK)]):
         rows = np.frombuffer(hashes, np.uint8).reshape(-1, 8)
         counts += np.unpackbits(rows, axis=1).sum(axis=0, dtype=np.int64)
         n += len(rows)

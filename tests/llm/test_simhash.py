@@ -57,6 +57,15 @@ def test_fingerprints(odd_texts, monkeypatch):
     assert simhash.fingerprint("one two three four five " * 9) == plain_fingerprint("one two three four five " * 9)
 
 
+def test_chunk_borders_lose_no_shingle(monkeypatch):
+    """Words that never repeat, so that many bits are decided by a margin of one, at lengths around multiples of the chunk."""
+    monkeypatch.setattr(simhash, "CHUNK", 4)
+    rng = random.Random(11)
+    words = [f"w{rng.getrandbits(40):x}" for _ in range(40)]
+    for n in range(1, 41):
+        assert simhash.fingerprint(" ".join(words[:n])) == plain_fingerprint(" ".join(words[:n]))
+
+
 def test_query_equals_brute_force(spark, sf):
     rows = queries.op8_simhash(spark, sf).collect()
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
