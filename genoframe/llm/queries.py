@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from genoframe.llm import bpe, chat, media, packing, quality, secrets, sharding, simhash, topk, urlfilter
-from genoframe.session import read_table
+from genoframe.session import cut, read_table
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,10 +38,10 @@ def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read_table(spark, sf_dir, "documents")
+    # Whole documents are dealt and written; sizes and digests are of what is read back from the shards.
+    placed = cut(sharding.shuffle_into_shards(documents, 8, stable_input=True))
     text = F.coalesce(F.col("text"), F.lit(""))
-    slim = documents.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    placed = sharding.shuffle_into_shards(slim, 8, stable_input=True)
-    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return placed.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

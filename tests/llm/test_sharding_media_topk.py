@@ -62,6 +62,22 @@ def test_sharding_query(spark, sf):
     assert {r["doc_id"]: (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) for r in rows} == {k: (len(t) + 1, zlib.crc32(t), "rows", None) for k, t in texts.items()}
 
 
+def test_sharding_query_deals_whole_documents(spark, sf, monkeypatch):
+    """Every column reaches the operator, and sizes and digests are of the rows it returns."""
+    deal, given = sharding.shuffle_into_shards, []
+
+    def marked(df, shards, **options):
+        given.append(df)
+        return deal(df, shards, **options).withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.lit("!")))
+
+    monkeypatch.setattr(sharding, "shuffle_into_shards", marked)
+    documents = spark.read.parquet(f"{sf}/documents.parquet")
+    texts = {r["doc_id"]: ((r["text"] or "") + "!").encode() for r in documents.collect()}
+    rows = queries.op5_sharding(spark, sf).collect()
+    assert given[0].columns == documents.columns
+    assert {r["doc_id"]: (r["size"], r["text_crc32"]) for r in rows} == {k: (len(t) + 1, zlib.crc32(t)) for k, t in texts.items()}
+
+
 # --- media --------------------------------------------------------------------------
 
 
