@@ -12,7 +12,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -64,16 +64,17 @@ class MarkovPair:
     ratio: np.ndarray
     threshold: float
     min_length: int = 20
+    letters: MarkovPair | None = None  # for runs of letters only
 
     def score(self, run: str) -> float:
         c = codes(run)
         return float(self.ratio[np.concatenate([[START], c[:-1]]), c].mean())
 
 
-def random_samples(n: int, seed: int = 7) -> list[str]:
-    """Labelled random strings: uniform draws of 20 to 64 characters from the alphabets that keys use."""
+def random_samples(n: int, seed: int = 7, sets: Sequence[str] = ()) -> list[str]:
+    """Labelled random strings: uniform draws of 20 to 64 characters from the given alphabets, or those that keys use."""
     rng = np.random.default_rng(seed)
-    sets = [ALPHABET[:62], ALPHABET[:62] + "+/", ALPHABET[:62] + "_-", ALPHABET[26:62], ALPHABET[:26] + ALPHABET[52:62], "0123456789abcdef", "0123456789ABCDEF"]
+    sets = sets or [ALPHABET[:62], ALPHABET[:62] + "+/", ALPHABET[:62] + "_-", ALPHABET[26:62], ALPHABET[:26] + ALPHABET[52:62], "0123456789abcdef", "0123456789ABCDEF"]
     out = []
     for i in range(n):
         chars = np.array(list(sets[i % len(sets)]))
@@ -104,16 +105,45 @@ def identifier_samples(words: Sequence[str], n: int, seed: int = 8) -> list[str]
     return out
 
 
+def letter_names(words: Sequence[str], n: int, seed: int = 9) -> list[str]:
+    """Labelled names of letters only: words alone and written together, in the cases that names have."""
+    rng = np.random.default_rng(seed)
+    words = [w for w in words if w.isascii() and w.isalpha()] or ["value", "name", "index", "item"]
+    out = list(words)
+    for i in range(n):
+        parts = [words[j] for j in rng.integers(0, len(words), rng.integers(2, 8))]
+        style = i % 5
+        if style == 0:
+            out.append("".join(p.lower() for p in parts))
+        elif style == 1:
+            out.append("".join(p.upper() for p in parts))
+        elif style == 2:
+            out.append("".join(p.capitalize() for p in parts))
+        elif style == 3:
+            out.append(parts[0].lower() + "".join(p.capitalize() for p in parts[1:]))
+        else:
+            out.append("".join(parts))
+    return out
+
+
 _ASCII = frozenset(ALPHABET)
+#: Alphabets of keys of letters only.
+LETTERS = (ALPHABET[:52], ALPHABET[:26], ALPHABET[26:52])
 
 
 def train(words: Sequence[str], *, samples: int = 4000, recall: float = 0.98, spared: float = 0.999, seed: int = 7) -> MarkovPair:
     """Fit both models on half of the labelled samples and the threshold on the other half.
 
     The threshold is the larger of two: what keeps ``recall`` of the held-out random
-    strings, and what spares the share ``spared`` of the held-out identifiers.
+    strings, and what spares the share ``spared`` of the held-out identifiers. Runs of
+    letters only have models and a threshold of their own, fitted in the same way.
     """
-    random, ordinary = random_samples(samples, seed), identifier_samples(words, samples, seed + 1)
+    letters = _fit(random_samples(samples, seed + 2, LETTERS), letter_names(words, 2 * samples, seed + 3), recall, spared, seed)
+    pair = _fit(random_samples(samples, seed), identifier_samples(words, samples, seed + 1), recall, spared, seed)
+    return replace(pair, letters=letters)
+
+
+def _fit(random: list[str], ordinary: list[str], recall: float, spared: float, seed: int) -> MarkovPair:
     rng = np.random.default_rng(seed)
     random, ordinary = ([x[i] for i in rng.permutation(len(x))] for x in (random, ordinary))
     fit = log_transitions(transition_counts(random[::2])) - log_transitions(transition_counts(ordinary[::2]))
@@ -154,12 +184,13 @@ def model_spans(text: str, base: Sequence[tuple[int, int, int]], model: MarkovPa
     for m in RUN.finditer(text):
         start, end = m.span()
         run = m.group()
-        # A run of one class of characters is a word, a number or a rule, whatever its transitions.
-        if run.isalpha() or run.isdigit() or len(set(run)) < 8:
+        # A run of digits is a number and one of few different characters a rule, whatever its transitions.
+        if run.isdigit() or len(set(run)) < 8:
             continue
         if any(s < end and start < e for s, _, e in base):
             continue
-        if model.score(run) > model.threshold:
+        pair = model.letters if model.letters and run.isalpha() else model
+        if pair.score(run) > pair.threshold:
             spans.append((start, 3, end))
     return spans
 

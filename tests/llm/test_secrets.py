@@ -42,6 +42,24 @@ def test_model_tells_random_from_names():
     assert np.mean([model.score(x) > model.threshold for x in names]) < 0.01
 
 
+def found(texts, model):
+    return np.mean([secrets.model_spans(x, secrets.base_spans(x), model) == [(0, 3, len(x))] for x in texts])
+
+
+def test_spans_of_letters_only():
+    """Recall and false alarms of what model_spans returns, not of scores alone."""
+    model = secrets.train(words())
+    for alphabet in secrets.LETTERS:
+        assert found(secrets.random_samples(500, 41, [alphabet]), model) > 0.9
+    rng = np.random.default_rng(6)
+    base62 = list(secrets.ALPHABET[:62])
+    keys = ["".join(rng.choice(base62, size)) for size in (20, 24) for _ in range(4000)]
+    undigited = [k for k in keys if k.isalpha()]
+    assert len(undigited) > 100 and found(undigited, model) > 0.9 and found(keys, model) > 0.9
+    names = [x for x in secrets.letter_names(words()[::-1], 3000, 78) if len(x) >= 20]
+    assert found(names, model) < 0.01
+
+
 def test_model_spans_add_and_never_overlap():
     model = secrets.train(words())
     key = "Zx9Qw7Lk2Vb5Nm8Rt4Yp6Hg3Jd1"
