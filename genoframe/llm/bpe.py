@@ -2,11 +2,12 @@
 
 Text becomes bytes, and each byte one printable character (the byte table), so any
 text has an encoding. Merges never cross the matches of a fixed pattern, so a match's
-ids depend on nothing else. That is used twice: each distinct match is encoded once
-by the library, and so is each distinct stretch between spaces. A stretch that
-begins with the space before it always begins a match there (every alternative of the
-pattern takes a space only before what follows it), as long as white space stands
-alone; texts with other white space are split by the pattern itself, whole.
+ids depend on nothing else. So each distinct stretch between spaces is encoded once in
+a batch, and those that a worker remembers not at all; the library gets all the new
+matches of a batch in one call. A stretch that begins with the space before it always
+begins a match there (every alternative of the pattern takes a space only before what
+follows it), as long as white space stands alone; texts with other white space are
+split by the pattern itself, whole.
 
 Decoding reverses the byte table and joins bytes before it reads them as UTF-8, since
 a character's bytes can be split over ids.
@@ -27,6 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 from tokenizers.models import BPE
+from tokenizers.pre_tokenizers import CharDelimiterSplit
 
 from genoframe.session import ship_package, tidy
 
@@ -35,8 +37,10 @@ ODD = r"[ \n]{2}|[\t\x0b\x0c\r\x01\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}
 FIRST = "\x01"
 #: Signs that are a match of their own after a word.
 SIGNS = frozenset(".,;:!?|)")
-#: Distinct stretches, and distinct matches, in a generation of what a worker remembers: of some 150 bytes each.
-REMEMBERED = 150_000
+#: Distinct stretches that a worker remembers, of some 50 bytes each, and the distinct matches of texts with odd white space, of some 150.
+REMEMBERED, REMEMBERED_MATCHES = 400_000, 20_000
+#: What stands between matches that go to the library together; no stretch holds it.
+BETWEEN = "\x01"
 #: Stretches whose ids are gathered at once.
 GATHERED = 1 << 17
 
@@ -104,6 +108,44 @@ class Recent(dict):
         return value
 
 
+class Stretches:
+    """Ids of stretches as Arrow strings and flat arrays. When full, what the last batch had stays and the rest goes."""
+
+    def __init__(self, compute: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], bound: int):
+        self.compute, self.bound = compute, bound
+        self.keys, self.flat, self.sizes = pa.array([], pa.string()), np.zeros(0, np.uint32), np.zeros(0, np.int64)
+
+    def find(self, asked: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """One flat array of ids, and where each asked stretch's ids end there and how many they are."""
+        at = pc.fill_null(pc.index_in(asked, value_set=self.keys), -1).to_numpy(zero_copy_only=False)
+        new = at < 0
+        fresh = asked.filter(pa.array(new))
+        flat, sizes = self.compute(fresh.to_numpy(zero_copy_only=False).tolist())
+        flat, sizes = np.concatenate([self.flat, flat]), np.concatenate([self.sizes, sizes])
+        place = at.astype(np.int64)
+        place[new] = len(self.keys) + np.arange(len(fresh))
+        ends, sizes_asked = np.cumsum(sizes)[place], sizes[place]
+        if len(sizes) <= self.bound:
+            self.keys, self.flat, self.sizes = pa.concat_arrays([self.keys, fresh]), flat, sizes
+        else:
+            kept = slice(0, self.bound)
+            self.keys, self.sizes = pa.concat_arrays([asked[kept]]), sizes_asked[kept]
+            self.flat = gather(flat, ends[kept], self.sizes)
+        return flat, ends, sizes_asked
+
+
+def gather(flat: np.ndarray, ends: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The stretches of ``flat`` that end at ``ends``, one after another. By parts, as positions are larger than ids."""
+    stop = np.cumsum(lengths)
+    shift = ends - stop
+    out = np.empty(stop[-1] if len(stop) else 0, flat.dtype)
+    for a in range(0, len(stop), GATHERED):
+        b = min(a + GATHERED, len(stop))
+        low, high = int(stop[a] - lengths[a]), int(stop[b - 1])
+        out[low:high] = flat[np.repeat(shift[a:b], lengths[a:b]) + np.arange(low, high)]
+    return out
+
+
 class Codec:
     """One vocabulary: ids of texts, bytes of ids. Held by a Python worker for as long as it lives."""
 
@@ -111,9 +153,14 @@ class Codec:
         self.model = model
         self.id_bytes = id_bytes
         self.pattern = regex.compile(pattern)
+        # Matches go to the library in characters of the byte table, one on a line: a line break is no such character.
+        self.library = Tokenizer(model)
+        self.library.pre_tokenizer = CharDelimiterSplit("\n")
+        self.chars = np.array([ord("\n") if b == ord(BETWEEN) else ord(c) for b, c in enumerate(byte_table())], "<u2")
+        self.lengths = np.array([len(id_bytes.get(i, b"")) for i in range(max(id_bytes) + 1)], np.int64)
         # Ids as unsigned 32-bit numbers of this machine.
-        self.match_ids = Recent(self._match, REMEMBERED).__getitem__
-        self.stretch_ids = Recent(self._stretch, REMEMBERED).__getitem__
+        self.match_ids = Recent(self._match, REMEMBERED_MATCHES).__getitem__
+        self.remembered = Stretches(self._stretches, REMEMBERED)
 
     @classmethod
     def from_ranks(cls, path: str) -> Codec:
@@ -155,39 +202,47 @@ class Codec:
                 at = end
         return out
 
-    def _stretch(self, stretch: str) -> bytes:
-        """Ids of a stretch. A word, with one sign after it or none, needs no pattern: it is one match, and the sign another."""
-        if stretch.isalpha():
-            return self.match_ids(" " + stretch)
-        if stretch[-1:] in SIGNS and stretch[:-1].isalpha():
-            return self.match_ids(" " + stretch[:-1]) + self.match_ids(stretch[-1])
-        first = stretch[:1]
-        return self.packed(stretch[1:] if first == FIRST else stretch if first == "\n" else " " + stretch)
+    def _stretches(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of stretches one after another, and how many each has. A word, with one sign after it or none, needs no pattern: it is one match, and the sign another."""
+        matches: list[str] = []
+        counts = []
+        for stretch in stretches:
+            if stretch.isalpha():
+                matches.append(" " + stretch)
+                counts.append(1)
+            elif stretch[-1:] in SIGNS and stretch[:-1].isalpha():
+                matches += (" " + stretch[:-1], stretch[-1])
+                counts.append(2)
+            else:
+                first = stretch[:1]
+                own = self.pattern.findall(stretch[1:] if first == FIRST else stretch if first == "\n" else " " + stretch)
+                matches += own
+                counts.append(len(own))
+        if not matches:
+            return np.zeros(0, np.uint32), np.zeros(len(stretches), np.int64)
+        data = np.frombuffer(BETWEEN.join(matches).encode("utf-8", "surrogatepass"), np.uint8)
+        said = self.chars[data].tobytes().decode("utf-16-le")
+        ids = np.array(self.library.encode_batch_fast([said], add_special_tokens=False)[0].ids, np.uint32)
+        # A token's bytes are known, so the matches' bytes say where their ids end.
+        stops = np.concatenate([np.nonzero(data == ord(BETWEEN))[0], [len(data)]]) - np.arange(len(matches))
+        upto = np.concatenate([[0], stops])[np.concatenate([[0], np.cumsum(counts)])]
+        return ids, np.diff(np.searchsorted(np.cumsum(self.lengths[ids]), upto, side="right"))
 
     def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a column of texts, one after another, and where each text's ids end. Nulls count as empty."""
         texts = pc.fill_null(texts, "")
         odd = pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False)
-        plain = pc.if_else(pa.array(odd), "", texts)
+        plain = pc.if_else(pa.array(odd), "", texts) if odd.any() else texts
         # A line's first stretch keeps the line break before it, so it is not taken for one after a space.
         plain = pc.binary_join_element_wise(FIRST, pc.replace_substring(plain, "\n", " \n"), "")
         parts = pc.split_pattern(plain, " ")
         per_text = pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
         coded = pc.list_flatten(parts).dictionary_encode()
-        found = list(map(self.stretch_ids, coded.dictionary.to_pylist()))
-        flat = np.frombuffer(b"".join(found), np.uint32)
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) >> 2
+        flat, ends, sizes = self.remembered.find(coded.dictionary)
         codes = coded.indices.to_numpy(zero_copy_only=False)
-        lengths, ends = sizes[codes], np.cumsum(sizes)[codes]
-        stop = np.cumsum(lengths)
-        # Position of every id in ``flat``: the stretch's start there, plus how far into the stretch it is. By parts, as positions are larger than ids.
-        shift = ends - stop
-        ids = np.empty(stop[-1] if len(stop) else 0, np.uint32)
-        for a in range(0, len(stop), GATHERED):
-            b = min(a + GATHERED, len(stop))
-            low, high = int(stop[a] - lengths[a]), int(stop[b - 1])
-            ids[low:high] = flat[np.repeat(shift[a:b], lengths[a:b]) + np.arange(low, high)]
-        text_ends = np.concatenate([[0], stop])[np.cumsum(per_text)] if len(per_text) else np.zeros(0, np.int64)
+        lengths = sizes[codes]
+        ids = gather(flat, ends[codes], lengths)
+        text_ends = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum(per_text)] if len(per_text) else np.zeros(0, np.int64)
         if not odd.any():
             return ids, text_ends
         pieces, at = [], 0
@@ -204,13 +259,9 @@ class Codec:
     def decode_array(self, ids: np.ndarray) -> bytes:
         """``decode`` for an array: gathers from one buffer of all tokens."""
         if not hasattr(self, "_buffer"):
-            top = max(self.id_bytes) + 1
-            sizes = np.array([len(self.id_bytes.get(i, b"")) for i in range(top)], np.int64)
-            self._buffer = np.frombuffer(b"".join(self.id_bytes.get(i, b"") for i in range(top)), np.uint8)
-            self._sizes, self._starts = sizes, np.cumsum(sizes) - sizes
-        lengths = self._sizes[ids]
-        stop = np.cumsum(lengths)
-        return self._buffer[np.repeat(self._starts[ids] - stop + lengths, lengths) + np.arange(stop[-1] if len(stop) else 0)].tobytes()
+            self._buffer = np.frombuffer(b"".join(self.id_bytes.get(i, b"") for i in range(len(self.lengths))), np.uint8)
+            self._ends = np.cumsum(self.lengths)
+        return gather(self._buffer, self._ends[ids], self.lengths[ids]).tobytes()
 
 
 _CODECS: dict[tuple[str, str], Codec] = {}
@@ -233,7 +284,6 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-
 def encode(documents: DataFrame, *, key: str = "doc_id", text: str = "text", ranks: str = "byte_bpe_50k.tiktoken", offsets: bool = False) -> DataFrame:
     """The key and ``ids`` (array of int) of every row; ``offsets`` adds ``starts`` and ``ends``, in characters.
 
