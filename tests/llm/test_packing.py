@@ -3,6 +3,8 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from genoframe.llm import packing, queries
@@ -59,31 +61,98 @@ def test_edge_cases(spark, odd_documents, no_documents, odd_texts):
     assert {r[0]: r[1] for r in twice}[5] == 2 * len(ids_of("a b")) and {r[0]: r[1] for r in twice}[None] == len(ids_of(odd_texts[7]))
 
 
-def test_index_ranks_by_bm25():
-    tails = [np.array(t, np.uint32) for t in ([1, 2, 3, 9], [1, 2, 3, 4], [1, 5, 5, 5], [7, 8], [1, 2, 6, 6], [])]
-    df = np.zeros(10)
-    for t in tails:
-        df[np.unique(t).astype(int)] += 1
-    idf = np.log1p((6 - df + 0.5) / (df + 0.5))
-    mean = np.mean([len(t) for t in tails])
-    index = packing.Index(tails, idf, mean)
+def plain_scores(tails, idf, mean):
+    """BM25 of every tail for all terms of every other, term by term."""
+    counts = [dict(zip(*(x.tolist() for x in np.unique(t, return_counts=True)), strict=True)) for t in tails]
+    out = np.zeros((len(tails), len(tails)))
+    for j, (tail, tf) in enumerate(zip(tails, counts, strict=True)):
+        for term, n in tf.items():
+            weight = idf[term] * n * (packing.K1 + 1) / (n + packing.K1 * (1 - packing.B + packing.B * len(tail) / mean))
+            for i, other in enumerate(counts):
+                if term in other and i != j:
+                    out[i, j] += weight
+    return out
+
+
+def bm25(tails):
+    df = np.bincount(np.concatenate([np.unique(t) for t in tails]).astype(np.int64))
+    return np.log1p((len(tails) - df + 0.5) / (df + 0.5)), float(np.mean([len(t) for t in tails]))
 
-    def plain(seed, other):
-        score = 0.0
-        for term in set(tails[seed].tolist()):
-            tf = tails[other].tolist().count(term)
-            score += idf[term] * tf * (packing.K1 + 1) / (tf + packing.K1 * (1 - packing.B + packing.B * len(tails[other]) / mean))
-        return score
 
-    unused = np.array([False, True, True, True, True, True])
-    want = sorted((j for j in range(1, 6) if plain(0, j) > 0), key=lambda j: (-plain(0, j), j))
-    assert index.neighbours(0, unused).tolist() == want == [1, 4, 2]
+@pytest.mark.parametrize("dense", [1, 16, 10_000])
+def test_index_scores_are_bm25(monkeypatch, dense):
+    monkeypatch.setattr(packing, "DENSE", dense)
+    monkeypatch.setattr(packing, "COUNTED", 7)
+    rng = np.random.default_rng(5)
+    tails = [np.array(t, np.uint32) for t in ([1, 2, 3, 9], [1, 2, 3, 4], [1, 5, 5, 5], [7, 8], [1, 2, 6, 6], [])]
+    tails += [rng.zipf(1.4, n).clip(0, 60).astype(np.uint32) for n in rng.integers(0, 80, 40)]
+    idf, mean = bm25(tails)
+    index, want = packing.Index(tails, idf, mean), plain_scores(tails, idf, mean)
+    for i in range(len(tails)):
+        got = index.scores(i)
+        got[i] = 0
+        assert np.allclose(got, want[i], rtol=1e-4, atol=1e-4)
+
+
+def test_counted_is_every_tails_counts():
+    rng = np.random.default_rng(6)
+    tails = [rng.integers(0, 50_000, n).astype("<u4") % 300 for n in rng.integers(0, 40, 700)]
+    place, ids, counts = packing.counted(np.concatenate(tails), np.array([len(t) for t in tails]))
+    want = [(i, int(t), int(n)) for i, tail in enumerate(tails) for t, n in zip(*np.unique(tail, return_counts=True), strict=True)]
+    assert list(zip(place.tolist(), ids.tolist(), counts.tolist(), strict=True)) == want
+
+
+def test_tails_are_packed_reversibly():
+    for top in (60_000, 70_000):
+        tails = [np.array(t, "<u4") for t in ([], [1], [top, 2, 3], [])]
+        packed = packing.pack_tails(np.concatenate(tails), np.array([len(t) for t in tails]))
+        assert [packing.unpack_tail(x).tolist() for x in packed.to_pylist()] == [t.tolist() for t in tails]
+
+
+def test_recall_of_neighbours(spark, sf):
+    """The share of a tail's five best neighbours, by brute force over all tails, that are in its shard, where it sees them all."""
+    documents = spark.read.parquet(f"{sf.replace('sf0.001', 'sf0.01')}/documents.parquet")
+    texts = {r["doc_id"]: r["text"] for r in documents.collect()}
+    tails = {k: np.array(ids_of(t)[len(ids_of(t)) // 1024 * 1024 :], np.uint32) for k, t in texts.items()}
+    keys = [k for k in sorted(tails) if len(tails[k])]
+    index = packing.Index([tails[k] for k in keys], *bm25([tails[k] for k in keys]))
+    place = {k: i for i, k in enumerate(keys)}
+
+    def recall(shard_rows):
+        rows = packing.pack(documents, shard_rows=shard_rows).where("start + length = doc_tokens AND length < 1024").collect()
+        shard = np.array([-1] * len(keys))
+        for r in rows:
+            shard[place[r["doc_id"]]] = r["sequence_id"] >> packing.SEQUENCE_BITS
+        found = []
+        for i in range(0, len(keys), 5):
+            scores = index.scores(i)
+            scores[i] = -1
+            best = np.argsort(-scores, kind="stable")[:5]
+            found.append((shard[best] == shard[i]).mean())
+        return float(np.mean(found)), len(set(shard.tolist()))
+
+    assert recall(packing.SHARD_ROWS) == (1.0, 1)
+    four, shards = recall(250)
+    assert shards == 4 and four > 0.6
+
+
+def test_a_partition_longer_than_two_shards_is_cut(spark, sf):
+    documents = spark.read.parquet(f"{sf}/documents.parquet").limit(60).withColumn("text", F.lit("one text of all rows"))
+    rows = packing.pack(documents, shard_rows=4).collect()
+    check(rows, {r["doc_id"]: "one text of all rows" for r in documents.select("doc_id").collect()})
 
 
 def test_windows_are_full_but_the_last():
     rng = np.random.default_rng(1)
     tails = [np.arange(n, dtype=np.uint32) for n in rng.integers(0, 100, 200)]
-    windows = packing.fill_windows(tails, 100, lambda i, unused: np.nonzero(unused)[0][::-1][:3])
+    windows = packing.fill_windows(tails, 100, lambda i: np.arange(200, dtype=np.float32) % 7)
     sizes = [sum(p[2] for p in w) for w in windows]
     assert all(s == 100 for s in sizes[:-1]) and sum(sizes) == sum(map(len, tails))
     assert packing.fill_windows([], 100, None) == []
+
+
+def test_the_best_unused_neighbour_is_next():
+    tails = [np.zeros(n, np.uint32) for n in (4, 3, 5, 6)]
+    scores = {0: [9, 1, 0, 2], 1: [0, 9, 0, 0], 2: [0, 0, 9, 0], 3: [0, 0, 0, 9]}
+    windows = packing.fill_windows(tails, 8, lambda i: np.array(scores[i], np.float32))
+    assert windows == [[(0, 0, 4), (3, 0, 4)], [(1, 0, 3), (2, 0, 5)], [(3, 4, 2)]]
