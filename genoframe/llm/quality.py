@@ -1,47 +1,47 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-The model is over classes of characters (``CLASSES`` of them, by a fixed rule), of
-order four, one model for each language and one of all trusted text. Counts of
-four-grams are taken over all trusted documents; lower orders count continuations.
-
-Tables of order three and below have at most CLASSES^3 entries and are dense, and
-so is the bitmap of four-grams that were seen at all. The probabilities of four-grams
-are a sharded table. Only the HOT most frequent of each language go to every worker;
-a document's other seen four-grams, counted for each document, are joined to the
-sharded counts by language and code, and what they add to the document's
-log-probability is summed. Unseen four-grams back off and need no table. So scoring
-sends whole texts nowhere, and what is broadcast is bounded by the classes and the
-number of languages with a model of their own (MAX_LANGUAGES).
+The model is over characters as they stand, of order five: one model for each language
+that has enough trusted text, and one of all trusted text. Five-grams are counted over
+all trusted documents, lower orders count continuations, and counts meet their
+contexts' totals and the lower orders' probabilities in shuffled joins, sharded by
+language and gram. The table grows with the text: a row for each gram of any order,
+with its log-probability and, where it is a context, what it leaves to lower orders.
+
+Workers hold the most frequent rows, HOT of them over all languages together. A
+five-gram that they don't find is looked up by the hashes of its shorter grams and
+contexts in the sharded table, once for all documents, and joined back to each
+document's counts. While all rows of a language fit, no lookup is needed.
+
+Grams are 64-bit hashes of their characters, of all orders in one space.
 """
 
 from __future__ import annotations
 
-import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from genoframe.llm.resemblance import digest
 from genoframe.session import cut, ship_package, tidy
 
-ORDER = 4
-CLASSES = 44
-#: Four-grams of each language that every worker holds.
-HOT = 32_768
-#: Languages with a model of their own, those with the most trusted text; the rest share the model of all text.
-MAX_LANGUAGES = 32
-#: Trusted characters that a language needs for a model of its own.
+ORDER = 5
+#: Rows of the model that every worker holds, of 16 bytes each.
+HOT = 1 << 20
+#: Trusted characters that a language needs for a model of its own; others are scored by the model of all text.
 MIN_CHARACTERS = 20_000
 ALL = "*"
+#: Characters that a character of no model is one of.
+ALPHABET = 1 << 16
 #: Characters of average text that each document's mean is smoothed with: short texts say little.
-PRIOR = 60
-#: Nats a character above its language's mean from which a document is tried with the other languages' models: its language may be named wrongly.
+PRIOR = 20
+#: Nats a character above its language's mean from which a document is also tried with the model of all text: its language may be named wrongly.
 SUSPECT = 0.1
-#: Most trusted ids that are broadcast (8 bytes each); beyond it the join is shuffled.
+#: Most trusted ids, and most rejected texts, that are broadcast; beyond it the join is shuffled.
 BROADCAST_IDS = 1_000_000
 #: One trusted document of so many is held out from training, for thresholds.
 HELD_OUT = 5
@@ -49,59 +49,39 @@ HELD_OUT = 5
 FEW = 0.5
 #: Bins of a nat in the histograms that quantiles are read from.
 BINS = 2000
-
-
-def _class_table() -> np.ndarray:
-    """Class of each code point: a-z; eight classes of other lower letters; upper letters; digits; space; line break; and six of signs."""
-    table = np.full(0x110000, 43, np.uint8)
-    for c in range(0x110000):
-        if c < 128:
-            char = chr(c)
-            if char.islower():
-                table[c] = c - 97
-            elif char.isupper():
-                table[c] = 34
-            elif char.isdigit():
-                table[c] = 35
-            elif char == "\n":
-                table[c] = 37
-            elif char.isspace():
-                table[c] = 36
-            elif char == ".":
-                table[c] = 38
-            elif char == ",":
-                table[c] = 39
-            elif char in "!?;:":
-                table[c] = 40
-            elif char in "'\"-()":
-                table[c] = 41
-            else:
-                table[c] = 42
-        elif c < 0x3000:
-            kind = unicodedata.category(chr(c))
-            table[c] = 34 if kind in ("Lu", "Lt") else 35 if kind[0] == "N" else 36 if kind[0] == "Z" else 26 + c % 8 if kind[0] in "LM" else 43
-        elif 0x3040 <= c < 0xE000 or 0x20000 <= c < 0x40000:
-            table[c] = 26 + c % 8
-    return table
-
-
-_TABLE: list[np.ndarray] = []
-
-
-def symbols(text: str) -> np.ndarray:
-    """Classes of a text's characters, after three line breaks that stand for its beginning."""
-    if not _TABLE:
-        _TABLE.append(_class_table())
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    out = np.full(len(points) + ORDER - 1, 37, np.int32)
-    out[ORDER - 1 :] = _TABLE[0][points]
-    return out
-
-
-def four_grams(text: str) -> np.ndarray:
-    """One code for each character: its class, after those of the three before it."""
-    s = symbols(text)
-    return ((s[:-3] * CLASSES + s[1:-2]) * CLASSES + s[2:-1]) * CLASSES + s[3:]
+#: Characters scored at once, and distinct five-grams that a counting task holds before it sends them.
+SLICE, HELD_GRAMS = 1 << 17, 1 << 20
+_STEP, _MIX, _ORDER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
+
+
+def points(text: str) -> np.ndarray:
+    """A text's code points after ORDER - 1 line breaks that stand for its beginning."""
+    return np.frombuffer(("\n" * (ORDER - 1) + text).encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def gram_keys(p: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For orders 1 to ORDER, the hashes of the grams that end at each character, and of their contexts. 0 stands for no character, and hashes nothing else."""
+    wide = p.astype(np.uint64) + np.uint64(1)
+    n = len(wide) - (ORDER - 1)
+    # Of the k characters before and at each place from ORDER - 2 on, so that contexts are those of the place before.
+    rolling = wide[ORDER - 2 :].copy()
+    keys, contexts = [], [np.zeros(n, np.uint64)]
+    power = np.uint64(1)
+    for k in range(1, ORDER + 1):
+        if k > 1:
+            power = np.uint64((int(power) * int(_STEP)) & 0xFFFFFFFFFFFFFFFF)
+            shifted = wide[ORDER - 1 - k : len(wide) - k + 1] if k < ORDER else np.concatenate([wide[:1], wide[: len(wide) - k + 1]])
+            rolling = rolling + shifted * power
+        h = rolling + np.uint64((k * int(_ORDER)) & 0xFFFFFFFFFFFFFFFF)
+        h ^= h >> np.uint64(32)
+        h *= _MIX
+        h ^= h >> np.uint64(29)
+        h *= _MIX
+        h[h == 0] = 1
+        keys.append(h[1:])
+        if k < ORDER:
+            contexts.append(h[:-1])
+    return keys, contexts
 
 
 def _discounts(n: np.ndarray) -> np.ndarray:
@@ -111,266 +91,335 @@ def _discounts(n: np.ndarray) -> np.ndarray:
     return np.clip([1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3], [0.05, 0.1, 0.15], [0.95, 1.9, 2.85])
 
 
-def _level(counts: np.ndarray, lower: np.ndarray) -> np.ndarray:
-    """Interpolated probabilities of one order from dense counts (contexts x classes) and the next lower order's."""
-    d = np.concatenate([[0.0], _discounts(np.array([(counts == k).sum() for k in (1, 2, 3, 4)]))])
-    taken = d[np.minimum(counts, 3).astype(np.int64)]
-    total = counts.sum(axis=-1, keepdims=True)
-    mass = np.divide(taken.sum(axis=-1, keepdims=True), total, out=np.ones_like(total, np.float64), where=total > 0)
-    return np.divide(counts - taken, total, out=np.zeros(counts.shape, np.float64), where=total > 0) + mass * lower
-
-
-@dataclass
-class LanguageModel:
-    """What every worker holds of one language."""
-
-    log_lower: np.ndarray  # log p(w | two before), CLASSES^3
-    log_mass: np.ndarray  # log of what a context of three leaves to the lower order, CLASSES^3
-    hot: np.ndarray  # codes
-    hot_log: np.ndarray  # their log-probabilities
-    seen: bytes  # bitmap of all seen codes
-    mean: float = 0.0  # nats a character of trusted text
+_GRAMS = [f"k{k}" for k in range(ORDER, 0, -1)]
+_CONTEXTS = [f"c{k}" for k in range(ORDER, 1, -1)]
 
-    def tables(self) -> tuple[np.ndarray, np.ndarray]:
-        """Log-probability of each code, backed off where it isn't hot; and which codes are seen and not hot."""
-        c = CLASSES
-        log = (self.log_mass.astype(np.float32).reshape(c, c, c, 1) + self.log_lower.astype(np.float32).reshape(1, c, c, c)).reshape(-1)
-        cold = np.unpackbits(np.frombuffer(self.seen, np.uint8), bitorder="little")[: c**4].astype(bool)
-        log[self.hot] = self.hot_log
-        cold[self.hot] = False
-        return log, cold
 
+def count_grams(texts: DataFrame) -> DataFrame:
+    """``lang``, the keys of each five-gram, its shorter grams and its contexts, and ``n`` over whole texts (columns ``lang``, ``text``). A task sums before it sends."""
+    names = [*_GRAMS, *_CONTEXTS, "n"]
 
-def count_four_grams(texts: DataFrame) -> DataFrame:
-    """``lang``, ``code``, ``n`` over whole texts, from columns ``lang`` and ``text``. A worker sums before it sends."""
+    def summed(parts: list[np.ndarray]) -> np.ndarray:
+        rows = np.concatenate(parts, axis=1)
+        _, first, place = np.unique(rows[0], return_index=True, return_inverse=True)
+        out = rows[:, first].copy()
+        out[-1] = np.bincount(place, rows[-1].astype(np.float64)).astype(np.uint64)  # exact below 2^53
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, np.ndarray] = {}
+        held: dict[str | None, list[np.ndarray]] = {}
 
-        def sent(lang: str) -> pa.RecordBatch:
-            counts = held.pop(lang)
-            used = np.nonzero(counts)[0]
-            return pa.RecordBatch.from_arrays([pa.array([lang] * len(used), pa.string()), pa.array(used.astype(np.int32)), pa.array(counts[used].astype(np.int64))], names=["lang", "code", "n"])
+        def sent(lang: str | None) -> pa.RecordBatch:
+            rows = summed(held.pop(lang)).view(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array([lang] * rows.shape[1], pa.string()), *(pa.array(r) for r in rows)], names=["lang", *names])
 
         for batch in batches:
-            langs = batch.column(0).to_pylist()
-            texts = batch.column(1)
-            for lang in dict.fromkeys(langs):
-                parts = [four_grams(texts[i].as_py() or "") for i, x in enumerate(langs) if x == lang]
-                counts = np.bincount(np.concatenate(parts), minlength=CLASSES**ORDER).astype(np.uint32)  # a task reads less than 2^32 characters
-                held[lang] = held[lang] + counts if lang in held else counts
-                if len(held) > 6:
-                    yield sent(next(iter(held)))
+            langs, texts = batch.column(0).to_pylist(), batch.column(1)
+            for i, lang in enumerate(langs):
+                body = texts[i].as_py() or ""
+                for at in range(0, len(body), SLICE):
+                    p = points(body[at : at + SLICE]) if not at else points(body[at - ORDER + 1 : at + SLICE])[ORDER - 1 :]
+                    keys, contexts = gram_keys(p)
+                    held.setdefault(lang, []).append(np.stack([*keys[::-1], *contexts[:0:-1], np.ones(len(keys[0]), np.uint64)]))
+                if sum(x.shape[1] for x in held.get(lang, ())) > HELD_GRAMS:
+                    held[lang] = [summed(held[lang])]
+                    if held[lang][0].shape[1] > HELD_GRAMS // 2:
+                        yield sent(lang)
+            if len(held) > 6:
+                yield sent(next(iter(held)))
         for lang in list(held):
             yield sent(lang)
 
-    return texts.select("lang", "text").mapInArrow(tidy(run), "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    schema = "lang string, " + ", ".join(f"{c} long" for c in names)
+    counted = texts.select("lang", "text").mapInArrow(tidy(run), schema)
+    return counted.groupBy("lang", "k5").agg(F.sum("n").alias("n"), *[F.first(c).alias(c) for c in names[1:-1]])
+
+
+class Held:
+    """The rows of one language that a worker holds: an open hash table of keys."""
+
+    def __init__(self, keys: np.ndarray, log_p: np.ndarray, log_left: np.ndarray, complete: bool):
+        bits = max(4, int(2 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.complete = np.zeros(1 << bits, np.uint64), complete
+        self.log_p, self.log_left = np.full(1 << bits, np.nan, np.float32), np.zeros(1 << bits, np.float32)
+        todo, slot = np.arange(len(keys)), (keys >> self.shift).astype(np.int64)
+        while len(todo):
+            free = self.keys[slot] == 0
+            at, first = np.unique(slot[free], return_index=True)
+            won = todo[free][first]
+            self.keys[at], self.log_p[at], self.log_left[at] = keys[won], log_p[won], log_left[won]
+            stay = self.keys[slot] != keys[todo]
+            todo, slot = todo[stay], (slot[stay] + 1) & self.mask
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The slot of each key, -1 where it isn't held."""
+        slot = (keys >> self.shift).astype(np.int64)
+        there = self.keys[slot]
+        out = np.where(there == keys, slot, -1)
+        todo = np.nonzero((there != keys) & (there != 0))[0]
+        while len(todo):
+            slot[todo] = (slot[todo] + 1) & self.mask
+            there = self.keys[slot[todo]]
+            hit = there == keys[todo]
+            out[todo[hit]] = slot[todo[hit]]
+            todo = todo[~hit & (there != 0)]
+        return out
+
+    def log_probabilities(self, keys: list[np.ndarray], contexts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Log-probability of each place, and which places have to be looked up in the sharded table (0 there)."""
+        out = np.zeros(len(keys[0]), np.float64)
+        todo = np.arange(len(out))
+        cold = np.zeros(len(out), bool)
+        for k in range(ORDER, 0, -1):
+            slot = self.find(keys[k - 1][todo])
+            hit = slot >= 0
+            hit[hit] = ~np.isnan(self.log_p[slot[hit]])
+            out[todo[hit]] += self.log_p[slot[hit]]
+            todo = todo[~hit]
+            if not self.complete:
+                cold[todo] = True
+                return out, cold
+            left = self.find(contexts[k - 1][todo])
+            out[todo] += np.where(left >= 0, self.log_left[left], 0.0)
+        out[todo] -= np.log(ALPHABET)
+        return out, cold
 
 
 @dataclass
 class Model:
-    languages: dict[str, LanguageModel]
-    shards: DataFrame  # lang, code, gain: what a seen four-gram that isn't hot adds to its backed-off log-probability
+    hot: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray, bool]]  # language: keys, log_p, log_left, whether these are all
+    means: dict[str, float]  # nats a character of the text trained on
+    rows: DataFrame  # lang, key, log_p (null: a context only), log_left (0: no context)
 
 
 def train(texts: DataFrame) -> Model:
     """Fit on ``lang``, ``text`` of all trusted documents.
 
-    Sharded count joins: counts by language and code meet their contexts' totals and the lower
-    orders' probabilities in shuffled joins. What comes to the driver is one row for
-    each language and trigram class (CLASSES^3 at most), the HOT four-grams, and bitmaps.
+    To the driver come a row of discounts for each language and order, a row of
+    totals for each language, a histogram of counts, and the HOT rows.
     """
     spark = texts.sparkSession
-    own = cut(count_four_grams(texts))
-    sizes = own.groupBy("lang").agg(F.sum("n").alias("n")).where((F.col("n") >= MIN_CHARACTERS) & F.col("lang").isNotNull()).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
-    kept = [r["lang"] for r in sizes.collect()]
-    pooled = own.groupBy("code").agg(F.sum("n").alias("n")).select(F.lit(ALL).alias("lang"), "code", "n")
-    counts = cut(own.where(F.col("lang").isin(kept)).unionByName(pooled) if kept else pooled)
-
-    # Discounts of order four, from counts of counts.
-    few = counts.groupBy("lang").agg(*[F.count_if(F.col("n") == k).alias(f"n{k}") for k in (1, 2, 3, 4)]).collect()
-    discounts = {r["lang"]: _discounts(np.array([r["n1"], r["n2"], r["n3"], r["n4"]])) for r in few}
-    d = spark.createDataFrame([(k, *map(float, v)) for k, v in discounts.items()] or [("", 0.0, 0.0, 0.0)], "lang string, d1 double, d2 double, d3 double")
+    own = cut(count_grams(texts))
+    known = [r["lang"] for r in own.groupBy("lang").agg(F.sum("n").alias("n")).where((F.col("n") >= MIN_CHARACTERS) & F.col("lang").isNotNull() & (F.col("lang") != ALL)).collect()]
+    pooled = own.groupBy("k5").agg(F.sum("n").alias("n"), *[F.first(c).alias(c) for c in (*_GRAMS[1:], *_CONTEXTS)]).withColumn("lang", F.lit(ALL))
+    level = own.where(F.col("lang").isin(known)).unionByName(pooled) if known else pooled
+    levels = None
+    for k in range(ORDER, 0, -1):
+        if k < ORDER:  # continuations: how many longer grams end in this one
+            rest = [c for c in (*_GRAMS, *_CONTEXTS) if int(c[1:]) < k or c == f"c{k}"]
+            level = level.groupBy("lang", f"k{k}").agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in rest])
+        none = F.lit(0).cast("long")
+        said = level.select("lang", F.lit(k).alias("k"), F.col(f"k{k}").alias("key"), (F.col(f"c{k}") if k > 1 else none).alias("context"), (F.col(f"k{k - 1}") if k > 1 else none).alias("lower"), "n")
+        levels = said if levels is None else levels.unionByName(said)
+    levels = cut(levels)
+    few = levels.groupBy("lang", "k").agg(*[F.count_if(F.col("n") == j).alias(f"n{j}") for j in (1, 2, 3, 4)]).collect()
+    d = spark.createDataFrame([(r["lang"], r["k"], *map(float, _discounts(np.array([r["n1"], r["n2"], r["n3"], r["n4"]])))) for r in few] or [("", 0, 0.0, 0.0, 0.0)], "lang string, k int, d1 double, d2 double, d3 double")
     taken = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-    counted = counts.join(F.broadcast(d), "lang").select("lang", "code", "n", taken.alias("taken"), F.expr(f"code div {CLASSES}").cast("int").alias("context"), (F.col("code") % CLASSES**3).cast("int").alias("suffix"))
-    contexts = counted.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.sum("taken").alias("taken_total"))
-    continued = counted.groupBy("lang", "suffix").agg(F.count(F.lit(1)).alias("before"))
-
-    shape = (CLASSES,) * 3
-    before = {k: np.zeros(CLASSES**3) for k in discounts}
-    for lang, suffix, n in _by_language(continued, before, "suffix", "before"):
-        before[lang][suffix] = n
-    mass = {k: np.zeros(CLASSES**3) for k in discounts}
-    for lang, context, m in _by_language(contexts.select("lang", "context", F.log(F.col("taken_total") / F.col("total")).alias("m")), mass, "context", "m"):
-        mass[lang][context] = m
-    lower = {}
-    for lang, c3 in before.items():
-        c3 = c3.reshape(shape)
-        c2 = (c3 > 0).sum(axis=0).astype(np.float64)
-        c1 = (c2 > 0).sum(axis=0).astype(np.float64)
-        p1 = _level(c1, np.full(CLASSES, 1 / CLASSES))
-        p2 = _level(c2, p1[None, :])
-        lower[lang] = np.log(_level(c3, p2[None, :, :])).reshape(-1)
-    # Probabilities of the seen four-grams, sharded by language and code.
-    rows = spark.createDataFrame(pa.table({"lang": _repeated({k: CLASSES**3 for k in lower}), "suffix": pa.array(np.tile(np.arange(CLASSES**3, dtype=np.int32), len(lower))), "log_lower": pa.array(np.concatenate(list(lower.values())) if lower else np.zeros(0))})) if lower else spark.createDataFrame([], "lang string, suffix int, log_lower double")
-    joined = counted.join(contexts, ["lang", "context"]).join(rows, ["lang", "suffix"])
-    backed = F.col("taken_total") / F.col("total") * F.exp("log_lower")
-    model = cut(joined.select("lang", "code", "n", F.log((F.col("n") - F.col("taken")) / F.col("total") + backed).alias("log_p"), F.log(backed).alias("log_backed")))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))
-    ranked = model.withColumn("rank", rank).where(F.col("rank") <= HOT)
-    hot = {k: (np.zeros(0, np.int64), np.zeros(0, np.float32)) for k in discounts}
-    for lang, code, log_p in _by_language(ranked, hot, "code", "log_p"):
-        hot[lang] = code.astype(np.int64), log_p.astype(np.float32)
-    seen = {k: bytearray(-(-(CLASSES**4) // 8)) for k in discounts}
-    maps = model.groupBy("lang", F.expr("bitmap_bucket_number(cast(code + 1 as bigint))").alias("b")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(cast(code + 1 as bigint)))").alias("bits"))
-    for r in maps.collect():
-        at = (r["b"] - 1) * 4096
-        part = bytes(r["bits"])[: max(0, len(seen[r["lang"]]) - at)]
-        seen[r["lang"]][at : at + len(part)] = part
-    mean = {r["lang"]: r["m"] for r in model.groupBy("lang").agg((-F.sum(F.col("n") * F.col("log_p")) / F.sum("n")).alias("m")).collect()}
-    languages = {k: LanguageModel(lower[k], mass[k], *hot[k], bytes(seen[k]), mean[k]) for k in discounts}
-    cold = model
-    if any(len(m.hot) for m in languages.values()):
-        codes = spark.createDataFrame(pa.table({"lang": _repeated({k: len(m.hot) for k, m in languages.items()}), "code": pa.array(np.concatenate([m.hot for m in languages.values()]).astype(np.int32))}))
-        cold = model.join(codes, ["lang", "code"], "left_anti")
-    return Model(languages, cold.select("lang", "code", (F.col("log_p") - F.col("log_backed")).alias("gain")))
-
-
-def _by_language(df: DataFrame, languages: Iterable[str], *names: str) -> Iterator[tuple]:
-    """Columns of each language's rows as arrays; no object is made for a row."""
-    table = df.select("lang", *names).toArrow()
-    for lang in list(languages):
-        part = table.filter(pc.equal(table.column("lang"), lang))
-        yield lang, *(part.column(n).to_numpy() for n in names)
-
-
-def _repeated(sizes: dict[str, int]) -> pa.Array:
-    return pa.concat_arrays([pa.repeat(pa.scalar(k), n) for k, n in sizes.items()])
-
-
-def score(documents: DataFrame, model: Model, *, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """Each row's ``row`` (its place, for joins), key, ``lang``, ``model`` (the language model used), ``n_chars_scored``, ``nats`` (mean, smoothed) and ``perplexity``.
-
-    Null and empty texts have no characters and a null perplexity. A null language, and one
-    without a model, is scored by the model of all text. A text that its language's
-    model finds unlikely is scored by the model that it suits best, against that
-    model's own mean: named languages can be wrong, and text of another language is no
-    worse for it.
+    counted = levels.join(F.broadcast(d), ["lang", "k"]).withColumn("taken", taken)  # five rows a language
+    contexts = counted.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.sum("taken").alias("left"))
+    shares = cut(counted.join(contexts, ["lang", "context"]).select("lang", "k", "key", "lower", "n", ((F.col("n") - F.col("taken")) / F.col("total")).alias("own"), (F.col("left") / F.col("total")).alias("left")))
+    p = shares.where("k = 1").select("lang", "k", "key", "n", (F.col("own") + F.col("left") / ALPHABET).alias("p"))
+    every = p
+    for k in range(2, ORDER + 1):
+        below = p.select("lang", F.col("key").alias("lower"), F.col("p").alias("below"))
+        p = shares.where(F.col("k") == k).join(below, ["lang", "lower"]).select("lang", "k", "key", "n", (F.col("own") + F.col("left") * F.col("below")).alias("p"))
+        every = every.unionByName(p)
+    grams = every.select("lang", "key", "n", "k", F.log("p").alias("log_p"), F.lit(None).cast("double").alias("log_left"))
+    lefts = contexts.select("lang", F.col("context").alias("key"), F.col("total").alias("n"), F.lit(0).alias("k"), F.lit(None).cast("double").alias("log_p"), F.log(F.col("left") / F.col("total")).alias("log_left"))
+    rows = grams.unionByName(lefts).groupBy("lang", "key").agg(F.max("n").alias("n"), F.max("k").alias("k"), F.max("log_p").alias("log_p"), F.coalesce(F.max("log_left"), F.lit(0.0)).alias("log_left"))
+    rows = cut(rows)
+    # The most frequent rows, by a histogram of their counts in eighths of a doubling.
+    bin_of = F.floor(F.log2(F.col("n").cast("double")) * 8)
+    sizes = sorted(((r["b"], r["rows"]) for r in rows.groupBy(bin_of.alias("b")).agg(F.count(F.lit(1)).alias("rows")).collect()), reverse=True)
+    total, least = 0, None
+    for b, n in sizes:
+        if total + n > HOT:
+            break
+        total, least = total + n, b
+    kept = rows.where(bin_of >= least) if least is not None else rows.where("false")
+    per = {r["lang"]: r["rows"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")).collect()}
+    table = kept.select("lang", "key", F.col("log_p").cast("float").alias("log_p"), F.col("log_left").cast("float").alias("log_left")).toArrow()
+    langs = table.column("lang").combine_chunks().dictionary_encode() if table.num_rows else pa.array([], pa.string()).dictionary_encode()
+    hot = {}
+    for lang, n in per.items():
+        code = langs.dictionary.index(lang).as_py()
+        at = np.nonzero(langs.indices.to_numpy(zero_copy_only=False) == code)[0] if code >= 0 else np.zeros(0, np.int64)
+        keys, log_p, log_left = (table.column(c).to_numpy()[at] for c in ("key", "log_p", "log_left"))
+        hot[lang] = (keys.view(np.uint64), log_p, log_left, len(at) == n)
+    means = {r["lang"]: r["m"] for r in rows.where(F.col("k") == ORDER).groupBy("lang").agg((-F.sum(F.col("n") * F.col("log_p")) / F.sum("n")).alias("m")).collect()}
+    return Model(hot, means, rows.select("lang", "key", "log_p", "log_left"))
+
+
+def score(documents: DataFrame, model: Model, *, key: str = "doc_id", text: str = "text", lang: str = "lang", both: str = "false") -> DataFrame:
+    """For each row, and each model that it is scored by: ``row`` (its place), key, ``h1``, ``h2``, ``lang``, ``model``, ``second``, ``n_chars_scored``, ``nats`` (mean, smoothed) and ``perplexity``.
+
+    A row is scored by its language's model, by that of all text where there is none.
+    A text that its language's model finds unlikely is scored by the model of all text
+    too (``second``): named languages can be wrong. So is every row for which the SQL
+    condition ``both`` holds. Null and empty texts have no characters and a null perplexity.
     """
     spark = documents.sparkSession
     ship_package(spark)
     kind = documents.schema[key].dataType.simpleString()
-    shared = spark.sparkContext.broadcast(model.languages)
+    shared = spark.sparkContext.broadcast((model.hot, model.means))
+    names = ["row", key, "h1", "h2", "lang", "model", "second", "n_chars_scored", "log_sum", "cold"]
+    cold_names = ["n", *_GRAMS, *_CONTEXTS]
+    cold_type = pa.list_(pa.struct([(c, pa.int64()) for c in cold_names]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        languages, tables = shared.value, {}
+        hot, means = shared.value
+        tables: dict[str, Held] = {}
         row = TaskContext.get().partitionId() << 40
+
+        def said(body: str, name: str) -> tuple[int, float, list[dict]]:
+            """Characters, the sum of log-probabilities, and what has to be looked up."""
+            if name not in tables:
+                tables[name] = Held(*hot[name])
+            total, found = 0.0, []
+            for at in range(0, len(body), SLICE):
+                p = points(body[at : at + SLICE]) if not at else points(body[at - ORDER + 1 : at + SLICE])[ORDER - 1 :]
+                keys, contexts = gram_keys(p)
+                log_p, cold = tables[name].log_probabilities(keys, contexts)
+                total += float(log_p.sum())
+                if cold.any():
+                    _, first, n = np.unique(keys[-1][cold], return_index=True, return_counts=True)
+                    columns = [n, *(x[cold][first].view(np.int64) for x in (*keys[::-1], *contexts[:0:-1]))]
+                    found += [dict(zip(cold_names, values, strict=True)) for values in zip(*(c.tolist() for c in columns), strict=True)]
+            return len(body), total, found
+
         for batch in batches:
-            langs, used, rows, sums, lengths, codes, counts = batch.column(1).to_pylist(), [], [], [], [], [], []
-            for i, own in enumerate(langs):
-                body = batch.column(2)[i].as_py() or ""
-                own = own if own in languages and own != ALL else ALL
-                grams = four_grams(body)
-                if own not in tables and own in languages:
-                    tables[own] = languages[own].tables()
-                if own in languages and len(grams) and -tables[own][0][grams].mean(dtype=np.float64) > languages[own].mean + SUSPECT:
-                    for other in languages:
-                        if other not in tables:
-                            tables[other] = languages[other].tables()
-                    own = min(languages, key=lambda x: (-float(tables[x][0][grams].mean(dtype=np.float64)) - languages[x].mean, x != own, x))
-                log, cold = tables.get(own, (None, None))
-                used.append(own)
-                rows.append(row)
+            keys, first, second, langs, texts, twice = batch.columns
+            out: list[tuple] = []
+            for i, own in enumerate(langs.to_pylist()):
+                body = texts[i].as_py() or ""
+                name = own if own in hot else ALL
+                if not body or name not in hot:
+                    out.append((row, i, own, name, False, len(body), 0.0, []))
+                else:
+                    n, total, found = said(body, name)
+                    out.append((row, i, own, name, False, n, total, found))
+                    if name != ALL and (found or twice[i].as_py() or -total / n > means[name] + SUSPECT):
+                        out.append((row, i, own, ALL, True, *said(body, ALL)))
                 row += 1
-                lengths.append(len(grams))
-                if log is None or not len(grams):
-                    sums.append(0.0)
-                    codes.append([])
-                    counts.append([])
-                    continue
-                sums.append(float(log[grams].sum(dtype=np.float64)))
-                met, n = np.unique(grams[cold[grams]], return_counts=True)
-                codes.append(met.astype(np.int32))
-                counts.append(n)
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), batch.column(0), batch.column(1), pa.array(used, pa.string()), pa.array(lengths, pa.int64()), pa.array(sums, pa.float64()), pa.array(codes, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int64()))], names=["row", key, "lang", "model", "n_chars_scored", "log_sum", "codes", "counts"])
-
-    parts = cut(documents.select(key, F.col(lang).alias("lang"), text).mapInArrow(tidy(run), f"row long, {key} {kind}, lang string, model string, n_chars_scored long, log_sum double, codes array<int>, counts array<long>"))
-    # The documents' seen four-grams that no worker holds, joined to the sharded table.
-    asked = parts.where(F.size("codes") > 0).select("row", F.col("model").alias("lang"), F.explode(F.arrays_zip("codes", "counts")).alias("e")).select("row", "lang", F.col("e.codes").alias("code"), F.col("e.counts").alias("n"))
-    gained = asked.join(model.shards, ["lang", "code"]).groupBy("row").agg(F.sum(F.col("n") * F.col("gain")).alias("gained"))
-    whole = parts.join(gained, "row", "left")
-    means = spark.createDataFrame([(k, float(m.mean)) for k, m in model.languages.items()] or [("", 0.0)], "model string, mean double")
-    whole = whole.join(F.broadcast(means), "model", "left")
+            columns = list(zip(*out, strict=True)) if out else [()] * 8
+            at = pa.array(columns[1], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(columns[0], pa.int64()), keys.take(at), first.take(at), second.take(at), *(pa.array(c, t) for c, t in zip(columns[2:], (pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.float64(), cold_type), strict=True))],
+                names=names,
+            )
+
+    cold_sql = ", ".join(f"{c}: bigint" for c in cold_names)
+    asked = documents.select(key, *digest(text), F.col(lang).alias("lang"), text, F.coalesce(F.expr(both), F.lit(False)).alias("both"))
+    parts = cut(asked.mapInArrow(tidy(run), f"row long, {key} {kind}, h1 long, h2 long, lang string, model string, second boolean, n_chars_scored long, log_sum double, cold array<struct<{cold_sql}>>"))
+    whole = parts.drop("cold").withColumn("gained", F.lit(0.0))
+    if not all(complete for *_, complete in model.hot.values()):
+        cold = parts.where(F.size("cold") > 0).select("row", F.col("model").alias("lang"), "second", F.explode("cold").alias("e")).select("row", "lang", "second", "e.*")
+        found = look_up(cold, model.rows)
+        gained = cold.join(found, ["lang", f"k{ORDER}"]).groupBy("row", "second").agg(F.sum(F.col("n") * F.col("log_p")).alias("gained"))
+        whole = parts.drop("cold").join(gained, ["row", "second"], "left")
+    means = spark.createDataFrame([(k, float(m)) for k, m in model.means.items()] or [("", 0.0)], "model string, mean double")
+    whole = whole.join(F.broadcast(means), "model", "left")  # a row for each language
     nats = -(F.col("log_sum") + F.coalesce(F.col("gained"), F.lit(0.0)))
-    scored = F.when(F.col("n_chars_scored") > 0, (nats + PRIOR * F.coalesce(F.col("mean"), F.lit(0.0))) / (F.col("n_chars_scored") + PRIOR))
-    return whole.select("row", key, "lang", "model", "n_chars_scored", scored.alias("nats")).withColumn("perplexity", F.exp("nats"))
+    smoothed = F.when(F.col("n_chars_scored") > 0, (nats + PRIOR * F.coalesce(F.col("mean"), F.lit(0.0))) / (F.col("n_chars_scored") + PRIOR))
+    return whole.select(*names[:-2], smoothed.alias("nats")).withColumn("perplexity", F.exp("nats"))
+
+
+def look_up(cold: DataFrame, rows: DataFrame) -> DataFrame:
+    """``lang``, ``k5``, ``log_p`` of each distinct five-gram of ``cold``, from the sharded rows of all orders."""
+    slots = [*_GRAMS, *_CONTEXTS]
+    distinct = cold.select("lang", *slots).dropDuplicates(["lang", f"k{ORDER}"])
+    each = distinct.select("lang", F.col(f"k{ORDER}").alias("gram"), F.explode(F.array(*[F.struct(F.lit(s).alias("slot"), F.col(s).alias("key")) for s in slots], F.struct(F.lit("c1").alias("slot"), F.lit(0).cast("long").alias("key")))).alias("e")).select("lang", "gram", "e.*")
+    met = each.join(rows, ["lang", "key"], "left").groupBy("lang", "gram").agg(*[F.max(F.when(F.col("slot") == s, F.col("log_p" if s[0] == "k" else "log_left"))).alias(s) for s in (*slots, "c1")])
+    log_p = F.lit(-float(np.log(ALPHABET)))
+    for k in range(1, ORDER + 1):
+        log_p = F.coalesce(F.col(f"k{k}"), F.coalesce(F.col(f"c{k}"), F.lit(0.0)) + log_p)
+    return met.select("lang", F.col("gram").alias(f"k{ORDER}"), log_p.alias("log_p"))
 
 
 def quantiles(scored: DataFrame, low: float, high: float) -> DataFrame:
-    """For each model ``nats_low``, ``nats_high`` and ``rows``: quantiles of its scored rows.
+    """For each ``bounds`` ``nats_low``, ``nats_high`` and ``rows``: quantiles of its scored rows.
 
     They come from histograms of BINS bins a nat, which add up over any number of tasks
     and cover every row.
     """
-    bins = scored.where(F.col("nats").isNotNull()).groupBy("model", F.floor(F.col("nats") * BINS).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    running = Window.partitionBy("model").orderBy("bin")
-    placed = bins.withColumn("upto", F.sum("n").over(running)).withColumn("all", F.sum("n").over(Window.partitionBy("model")))
-    found = placed.groupBy("model").agg(F.min(F.when(F.col("upto") >= F.col("all") * low, F.col("bin"))).alias("l"), F.min(F.when(F.col("upto") >= F.col("all") * high, F.col("bin") + 1)).alias("h"), F.max("all").alias("rows"))
-    return found.select("model", (F.col("l") / BINS).alias("nats_low"), (F.col("h") / BINS).alias("nats_high"), "rows")
+    bins = scored.where(F.col("nats").isNotNull()).groupBy("bounds", F.floor(F.col("nats") * BINS).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    running = Window.partitionBy("bounds").orderBy("bin")
+    placed = bins.withColumn("upto", F.sum("n").over(running)).withColumn("all", F.sum("n").over(Window.partitionBy("bounds")))
+    found = placed.groupBy("bounds").agg(F.min(F.when(F.col("upto") >= F.col("all") * low, F.col("bin"))).alias("l"), F.min(F.when(F.col("upto") >= F.col("all") * high, F.col("bin") + 1)).alias("h"), F.max("all").alias("rows"))
+    return found.select("bounds", (F.col("l") / BINS).alias("nats_low"), (F.col("h") / BINS).alias("nats_high"), "rows")
 
 
 def thresholds(trusted: DataFrame, low: float, high: float, margin: float) -> DataFrame:
-    """For each model the bounds of ``nats`` for trusted rows (``nats``, ``held``: not trained on).
+    """For each ``bounds`` the bounds of ``nats`` for trusted rows (``nats``, ``held``: not trained on).
 
     The upper bound is a quantile of held-out rows, since a model is surprised less by what it
     was trained on; the lower one of all. Both are widened by ``margin`` times their
     distance, and by what a quantile of few rows is uncertain by.
     """
-    every = quantiles(trusted, low, high).select("model", "nats_low", F.col("nats_high").alias("any_high"), "rows")
-    held = quantiles(trusted.where("held"), low, high).select("model", "nats_high", F.col("rows").alias("held_rows"))
-    both = every.join(held, "model", "left").withColumn("nats_high", F.greatest(F.coalesce("nats_high", "any_high"), F.col("any_high")))
+    every = quantiles(trusted, low, high).select("bounds", "nats_low", F.col("nats_high").alias("any_high"), "rows")
+    held = quantiles(trusted.where("held"), low, high).select("bounds", "nats_high", F.col("rows").alias("held_rows"))
+    both = every.join(held, "bounds", "left").withColumn("nats_high", F.greatest(F.coalesce("nats_high", "any_high"), F.col("any_high")))
     wide = (F.col("nats_high") - F.col("nats_low")) * margin + F.lit(FEW) / F.sqrt(F.coalesce(F.col("held_rows"), F.lit(1)))
-    return both.select("model", (F.col("nats_low") - wide).alias("nats_low"), (F.col("nats_high") + wide).alias("nats_high"))
+    return both.select("bounds", (F.col("nats_low") - wide).alias("nats_low"), (F.col("nats_high") + wide).alias("nats_high"))
 
 
 def classify(documents: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", low: float = 0.001, high: float = 0.995, margin: float = 0.25) -> DataFrame:
-    """Every row's ``row``, key, ``lang``, ``perplexity``, ``threshold_low``, ``threshold_high`` and ``keep``.
+    """Every row's ``row``, key, ``h1``, ``h2`` (digest of its text), ``lang``, ``perplexity``, ``threshold_low``, ``threshold_high`` and ``keep``.
 
     Trusted text is every document that a label calls of quality 1. The model is
     trained on all of it but one document of HELD_OUT, by the key's hash. A document is
     kept if its perplexity lies between its language's bounds: quantiles ``low`` and
-    ``high`` of trusted documents, widened as ``thresholds`` says. Too low is as suspect as too high: text
-    that repeats itself is too easy.
+    ``high`` of that language's trusted documents, widened as ``thresholds`` says. Too
+    low is as suspect as too high: text that repeats itself is too easy. A language
+    without trusted documents, and a null one, goes by the bounds of all text, those of
+    held-out documents of every language under the model of all text. A document above
+    its language's bounds is kept if it lies between the bounds of all text under that
+    model; what is reported then is that perplexity and those bounds.
 
     Null and empty texts have a null perplexity and are not kept. With no trusted text
     at all, nothing can be judged and every row with text is kept. Repeated rows are
-    judged each; repeated or contradictory labels: any label of quality 1 makes a
-    document trusted. Empty tables give no rows. Only the named columns are read.
+    judged each; rows of equal text and language are judged alike. Repeated or
+    contradictory labels: any label of quality 1 makes a document trusted. A null key
+    has no label. Empty tables give no rows. Only the named columns are read.
     """
     spark = documents.sparkSession
     ship_package(spark)
     held = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(HELD_OUT)) == 0
     good = cut(labels.where("quality = 1").select(F.col("doc_id").alias(key), held.alias("held")).distinct())
-    trusted_ids = F.broadcast(good) if good.count() <= BROADCAST_IDS else good
+    small = good.count() <= BROADCAST_IDS
+    trusted_ids = F.broadcast(good) if small else good
     slim = documents.select(key, F.col(lang).alias("lang"), F.col(text).alias("text"))
-    model = train(slim.join(trusted_ids, key).where("NOT held"))
-    scored = cut(score(slim, model, key=key, text="text", lang="lang"))
-    trusted = scored.join(trusted_ids, key)
-    bounds = thresholds(trusted, low, high, margin)
-    judged = scored.join(F.broadcast(bounds), "model", "left")  # a row for each language model
-    keep = F.col("nats").isNotNull() & F.coalesce(F.col("nats").between(F.col("nats_low"), F.col("nats_high")), F.lit(True))
-    return judged.select("row", key, "lang", "perplexity", F.exp("nats_low").alias("threshold_low"), F.exp("nats_high").alias("threshold_high"), keep.alias("keep"))
+    model = train(slim.join(trusted_ids, key).where("NOT held").select("lang", "text"))
+    scored = cut(score(slim.join(trusted_ids, key, "left"), model, key=key, text="text", lang="lang", both="held"))
+    group = F.when(F.col("second"), F.lit(ALL)).otherwise(F.coalesce("lang", F.lit(ALL)))
+    # Rows of languages without a model are under the model of all text anyhow: held-out ones count for its bounds too.
+    trusted = scored.join(trusted_ids, key).withColumn("bounds", F.explode(F.array_distinct(F.when((F.col("model") == ALL) & F.col("held"), F.array(group, F.lit(ALL))).otherwise(F.array(group)))))
+    trusted = trusted.where("NOT second OR held")
+    bounds = F.broadcast(cut(thresholds(trusted, low, high, margin)))  # a row for each language
+    plain = bounds.select(F.col("bounds").alias("own"), F.col("nats_low").alias("own_low"), F.col("nats_high").alias("own_high"))
+    last = bounds.where(F.col("bounds") == ALL).select(F.col("nats_low").alias("all_low"), F.col("nats_high").alias("all_high"))
+    firsts = scored.where("NOT second").withColumn("own", group)
+    seconds = scored.where("second").select("row", F.col("nats").alias("all_nats"))
+    judged = firsts.join(plain, "own", "left").join(last, F.lit(True), "left").join(seconds, "row", "left")
+    judged = judged.withColumn("low", F.coalesce("own_low", "all_low")).withColumn("high", F.coalesce("own_high", "all_high"))
+    saved = F.coalesce((F.col("nats") > F.col("high")) & F.col("all_nats").between(F.col("all_low"), F.col("all_high")), F.lit(False))
+    pick = lambda a, b: F.exp(F.when(saved, F.col(a)).otherwise(F.col(b)))
+    keep = F.col("nats").isNotNull() & (saved | F.coalesce(F.col("nats").between(F.col("low"), F.col("high")), F.lit(True)))
+    return judged.select("row", key, "h1", "h2", "lang", pick("all_nats", "nats").alias("perplexity"), pick("all_low", "low").alias("threshold_low"), pick("all_high", "high").alias("threshold_high"), keep.alias("keep"))
 
 
 def accepted(documents: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The documents that ``classify`` keeps, all their columns.
 
-    A key goes if all rows of it are rejected; rows of a null key stay. The keys that
-    go are broadcast if few, else joined by a shuffle; texts are not judged twice.
+    Decisions depend on text and language only and are joined by them, so rows of a
+    repeated or null key are judged each by its own text. What goes is broadcast if it
+    is little (BROADCAST_IDS), else joined by a shuffle; texts are not judged twice.
     """
-    key = options.get("key", "doc_id")
-    gone = cut(classify(documents, labels, **options).where(F.col(key).isNotNull()).groupBy(key).agg(F.max("keep").alias("keep")).where(~F.col("keep")).select(key))
-    return documents.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, key, "left_anti")
-
+    text, lang = options.get("text", "text"), options.get("lang", "lang")
+    gone = cut(classify(documents, labels, **options).where("NOT keep").select("h1", "h2", F.col("lang").alias("__lang")).distinct())
+    small = gone.count() <= BROADCAST_IDS
+    gone = gone.select(F.col("h1").alias("__h1"), F.col("h2").alias("__h2"), "__lang")
+    h1, h2 = digest(text)
+    same = (h1 == F.col("__h1")) & (h2 == F.col("__h2")) & F.col(lang).eqNullSafe(F.col("__lang"))
+    return documents.join(F.broadcast(gone) if small else gone, same, "left_anti")

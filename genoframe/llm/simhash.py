@@ -24,7 +24,7 @@ from itertools import combinations, islice, product
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from genoframe.session import cut, drop_cut, ship_package, tidy
@@ -37,8 +37,6 @@ MIN_SHARED = POSITIONS - MAX_BITS
 LONG_POSTING = 512
 #: Shingles whose bits are counted at once.
 CHUNK = 1 << 16
-#: Largest list of ids that is broadcast, in rows of 8 bytes; beyond it the join is shuffled.
-BROADCAST_IDS = 1_000_000
 
 
 def _blocks() -> list[tuple[int, ...]]:
@@ -99,7 +97,7 @@ def fingerprints(documents: DataFrame, *, key: str = "doc_id", text: str = "text
     return documents.select(key, text).mapInArrow(tidy(run), f"{key} {kind}, fp long")
 
 
-def _shared_bytes(x: Column) -> Column:
+def shared_bytes(x: Column) -> Column:
     """How many of the eight bytes of an exclusive or are zero: the tally of shared positional bytes."""
     total = F.lit(0)
     for p in range(POSITIONS):
@@ -135,7 +133,7 @@ def links(fps: DataFrame) -> DataFrame:
     for b, m in enumerate(BLOCK_MASKS):
         first = first & ~((F.col("block") > b) & (x.bitwiseAND(F.lit(m)) == 0))
     pairs = short.select("block", "key", F.col("fp").alias("u")).join(short.select("block", "key", F.col("fp").alias("v")), ["block", "key"]).where(F.col("u") < F.col("v"))
-    pairs = pairs.where((_shared_bytes(x) >= MIN_SHARED) & first).where(F.bit_count(x) <= MAX_BITS).select("u", "v")
+    pairs = pairs.where((shared_bytes(x) >= MIN_SHARED) & first).where(F.bit_count(x) <= MAX_BITS).select("u", "v")
     long = met.where(F.col("n") > LONG_POSTING)
     if long.isEmpty():
         return pairs
@@ -185,24 +183,3 @@ def near_duplicates(documents: DataFrame, *, key: str = "doc_id", text: str = "t
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
     return fps.join(named, "fp").select(key, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def keep_first(documents: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents with one row of each group of near-duplicates: the one of the least key.
-
-    Texts are not shuffled for this: the keys that go are joined against the table,
-    broadcast if they are few (BROADCAST_IDS), else by a shuffled join. Rows of a
-    repeated key are ordered by their texts' hashes and the first stays. Rows with a
-    null key have no name to be dropped by and stay.
-    """
-    found = cut(near_duplicates(documents, key=key, text=text).where(F.col(key).isNotNull()))
-    gone = cut(found.where(F.col(key) != F.col("component_id")).select(key).distinct())
-    repeated = cut(found.groupBy(key).count().where("count > 1").select(key))
-    small = lambda df: F.broadcast(df) if df.count() <= BROADCAST_IDS else df
-    kept = documents.join(small(gone), key, "left_anti")
-    if repeated.isEmpty():
-        return kept
-    twice = kept.join(small(repeated), key, "left_semi")
-    window = Window.partitionBy(key).orderBy(F.xxhash64(text), F.crc32(F.coalesce(F.col(text), F.lit(""))))
-    one = twice.withColumn("__row", F.row_number().over(window)).where("__row = 1").drop("__row")
-    return kept.join(small(repeated), key, "left_anti").unionByName(one)

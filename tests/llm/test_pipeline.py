@@ -13,7 +13,7 @@ if importlib.util.find_spec("corpus_pipeline") is None:
 import corpus_pipeline  # noqa: E402
 from genoframe.llm import secrets  # noqa: E402
 from test_packing import check  # noqa: E402
-from test_simhash import plain_components, plain_fingerprint  # noqa: E402
+from test_resemblance import plain_groups  # noqa: E402
 
 
 def test_stages_against_brute_force(spark, sf, tmp_path):
@@ -34,8 +34,7 @@ def test_stages_against_brute_force(spark, sf, tmp_path):
             clean = [d for d, x in labels.items() if x["quality"] == 1]
             assert sum(d in after for d in clean) > 0.97 * len(clean)
         elif k == 1:
-            least = plain_components({d: plain_fingerprint(r["text"]) for d, r in before.items()})
-            assert set(after) == {d for d in before if least[d] == d} and all(after[d] == before[d] for d in after)
+            assert set(after) == {d for d, _ in plain_groups([(d, r["text"]) for d, r in before.items()])} and all(after[d] == before[d] for d in after)
         elif k == 2:
             assert set(after) == set(before)
             for d, r in after.items():

@@ -111,11 +111,4 @@ def test_edge_cases(spark, odd_documents, no_documents, odd_texts):
     by = {r["doc_id"]: r for r in rows}
     assert by[0]["component_id"] == by[1]["component_id"] == by[2]["component_id"] == 0 and by[0]["fingerprint"] == "0" * 16
     assert by[6]["fingerprint"] == by[None]["fingerprint"] == by[8]["fingerprint"] and by[None]["component_id"] == 6 and by[16]["component_id"] == 15
-    assert simhash.near_duplicates(no_documents).count() == 0 and simhash.keep_first(no_documents).count() == 0
-
-
-def test_keep_first(spark, odd_documents):
-    kept = simhash.keep_first(odd_documents)
-    ids = sorted(r["doc_id"] for r in kept.where("doc_id IS NOT NULL").collect())
-    assert kept.columns == odd_documents.columns and len(ids) == len(set(ids)) and {0, 5, 6, 15} <= set(ids) and not {1, 2, 3, 8, 16} & set(ids)
-    assert kept.where("doc_id IS NULL").count() == 1
+    assert simhash.near_duplicates(no_documents).count() == 0
