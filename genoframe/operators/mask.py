@@ -13,6 +13,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from genoframe.operators.relate import running_total
+
 PRIME = 1_000_003
 
 
@@ -92,8 +94,7 @@ def mask_inverse_genotype(cells: DataFrame, prop: float, u: Column, het_boost: f
     weighed = cells.join(F.broadcast(freq), "g", "left").withColumn("w", F.when(F.col("g") == 1, het_boost).otherwise(1.0) / F.col("n_g"))
     known = cells.where(F.col("g").isNotNull()).agg(F.count(F.lit(1)).alias("known"))
     keyed = weighed.crossJoin(F.broadcast(known)).withColumn("key", F.when(F.col("g").isNotNull(), -F.log(F.greatest(u, F.lit(1e-12))) / F.col("w")))
-    order = Window.orderBy(F.asc_nulls_last("key"), "sample_id", "locus_id")
-    ranked = keyed.withColumn("rank", F.row_number().over(order))
+    ranked = running_total(keyed, "key", F.lit(1), "rank", ["sample_id", "locus_id"])
     return ranked.withColumn("simulated", F.col("g").isNotNull() & (F.col("rank") <= F.floor(F.lit(prop) * F.col("known")))).drop("n_g", "w", "known", "key", "rank")
 
 
@@ -126,12 +127,12 @@ def mask_summary(masked: DataFrame, warn_below: int = 100) -> DataFrame:
 
 def split_rows(samples: DataFrame, test_size: float, u: Column, *, by: str | None = None, at_least_one: bool = True) -> DataFrame:
     """``is_test`` for max(1, bround(test_size * n)) samples, of all or of each population (null is one of its own)."""
-    group = Window.partitionBy(by) if by else Window.partitionBy(F.lit(0))
-    n = F.count(F.lit(1)).over(group)
+    drawn = samples.withColumn("u", u)
+    n = F.count(F.lit(1)).over(Window.partitionBy(by)) if by else F.lit(samples.count())
     size = F.rint(F.lit(test_size) * n)
     size = F.greatest(F.lit(1.0), size) if at_least_one else size
-    order = (Window.partitionBy(by) if by else Window.partitionBy(F.lit(0))).orderBy("u", "sample_id")
-    return samples.withColumn("u", u).withColumn("n_test", size).withColumn("rank", F.row_number().over(order)).withColumn("is_test", F.col("rank") <= F.col("n_test")).drop("u", "n_test", "rank")
+    ranked = drawn.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy("u", "sample_id"))) if by else running_total(drawn, "u", F.lit(1), "rank", ["sample_id"])
+    return ranked.withColumn("is_test", F.col("rank") <= size).drop("u", "rank")
 
 
 def split_explicit(samples: DataFrame, test_ids: list[int]) -> DataFrame:
@@ -148,5 +149,5 @@ def split_three(samples: DataFrame, validation_split: float, u: Column) -> DataF
     held = math.ceil(validation_split * n)
     if n < 3 or held < 4:
         raise ValueError("too few samples for three parts")
-    ranked = samples.withColumn("u", u).withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("u", "sample_id")))
+    ranked = running_total(samples.withColumn("u", u), "u", F.lit(1), "rank", ["sample_id"])
     return ranked.withColumn("part", F.when(F.col("rank") > held, "train").when(F.col("rank") > held // 2, "test").otherwise("val")).drop("u", "rank")

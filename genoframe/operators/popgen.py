@@ -104,7 +104,7 @@ def correlations(cells: DataFrame, digits: int = 8) -> DataFrame:
     met = left.join(right, "sample_id").where("l1 < l2").groupBy("l1", "l2").agg(F.sum(F.col("x") * F.col("y")).alias("s"))
     # Loci that no sample has both of still are a pair, of correlation 0.
     every = ss.select(F.col("locus_id").alias("l1")).join(ss.select(F.col("locus_id").alias("l2")), F.col("l1") < F.col("l2"))
-    return every.join(met, ["l1", "l2"], "left").select("l1", "l2", F.round(F.coalesce("s", F.lit(0.0)), digits).alias("r"))
+    return every.join(met, ["l1", "l2"], "left").select("l1", "l2", (F.round(F.coalesce("s", F.lit(0.0)), digits) + F.lit(0.0)).alias("r"))  # adding 0 turns -0.0 into 0.0
 
 
 def locus_pairs(cells: DataFrame) -> DataFrame:

@@ -38,18 +38,39 @@ def align_sequences(samples: DataFrame, sequences: DataFrame, lengths: DataFrame
     return joined.select("sample_name", "alignment", F.coalesce("sequence", F.repeat(F.lit(missing), F.col("length"))).alias("sequence"))
 
 
+#: Ranges that a running total over a whole table is cut into.
+RANGES = 200
+
+
+def running_total(df: DataFrame, order: str, value: Column, name: str, ties: Sequence[str] = ()) -> DataFrame:
+    """``name``: the sum of ``value`` over a whole table up to and with each row, by a numeric column, then ``ties``; no task sorts the whole table.
+
+    The column's approximate quantiles cut it into ranges; a range's rows are summed in
+    its own window, after the totals of the ranges before. However rough the quantiles,
+    sums are exact. Rows of equal values share a range. Nulls come last.
+    """
+    cuts = sorted(set(df.where(F.col(order).isNotNull()).approxQuantile(order, [i / RANGES for i in range(1, RANGES)], 1 / (2 * RANGES))))
+    at = F.col(order).cast("double")
+    place = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= at)) if cuts else F.lit(0)
+    ranged = df.withColumn("__range", F.when(at.isNull(), len(cuts) + 1).otherwise(place)).withColumn("__value", value)
+    before = F.sum("__sum").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))  # over RANGES rows
+    totals = ranged.groupBy("__range").agg(F.sum("__value").alias("__sum")).select("__range", F.coalesce(before, F.lit(0)).alias("__before"))
+    inside = F.sum("__value").over(Window.partitionBy("__range").orderBy(F.asc_nulls_last(order), *ties).rowsBetween(Window.unboundedPreceding, 0))
+    return ranged.withColumn("__inside", inside).join(F.broadcast(totals), "__range").withColumn(name, F.col("__inside") + F.col("__before")).drop("__range", "__value", "__inside", "__before")
+
+
 def average_rank(df: DataFrame, column: str) -> DataFrame:
-    """``rank`` with ties at their average. Distinct values are ranked, so the ordered window is over counts and not rows."""
+    """``rank`` with ties at their average, from a running total of the distinct values' counts."""
     counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("__n"))
-    upto = F.sum("__n").over(Window.orderBy(column))
-    ranks = counts.select(column, (upto - (F.col("__n") - 1) / F.lit(2.0)).alias("rank"))
+    upto = running_total(counts, column, F.col("__n"), "__upto")
+    ranks = upto.select(column, (F.col("__upto") - (F.col("__n") - 1) / F.lit(2.0)).alias("rank"))
     return df.join(ranks, column)
 
 
 def offsets(df: DataFrame, order: str, length: str) -> DataFrame:
     """1-based ``first`` and ``last`` position of each part of a concatenation."""
-    upto = F.sum(F.col(length).cast("long")).over(Window.partitionBy(F.lit(0)).orderBy(order))
-    return df.withColumn("last", upto).withColumn("first", F.col("last") - F.col(length) + 1)
+    upto = running_total(df, order, F.col(length).cast("long"), "last")
+    return upto.withColumn("first", F.col("last") - F.col(length) + 1)
 
 
 def deduplicate_by_first(df: DataFrame, columns: Sequence[str]) -> DataFrame:

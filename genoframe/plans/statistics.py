@@ -71,9 +71,9 @@ def a11(spark, sf_dir):
     return popgen.kelly_zns(cells_from_tables(spark, sf_dir))
 
 
-@query("a12_correlations", f"{DEV_SQL} SELECT al.l1, al.l2, round(coalesce(sxy, 0) / sqrt(ss), 8) AS r FROM al LEFT JOIN pr ON pr.l1 = al.l1 AND pr.l2 = al.l2 WHERE al.l1 < 20 AND al.l2 < 20")
+@query("a12_correlations", f"{DEV_SQL} SELECT al.l1, al.l2, round(coalesce(sxy, 0) / sqrt(ss), 8) + 0.0 AS r FROM al LEFT JOIN pr ON pr.l1 = al.l1 AND pr.l2 = al.l2")
 def a12(spark, sf_dir):
-    return popgen.correlations(cells_from_tables(spark, sf_dir).where("locus_id < 20"))
+    return popgen.correlations(cells_from_tables(spark, sf_dir))
 
 
 @query("j09_locus_pairs", f"WITH {CELLS_SQL} SELECT a.locus_id AS l1, b.locus_id AS l2, count(*) AS n, CAST(sum(a.g * b.g) AS BIGINT) AS sxy FROM cells a JOIN cells b ON a.sample_id = b.sample_id AND a.locus_id < b.locus_id WHERE a.g IS NOT NULL AND b.g IS NOT NULL GROUP BY a.locus_id, b.locus_id")
@@ -81,6 +81,6 @@ def j09(spark, sf_dir):
     return popgen.locus_pairs(cells_from_tables(spark, sf_dir))
 
 
-@query("t07_nearest_features", f"{DEV_SQL}, r AS (SELECT al.l1, al.l2, round(abs(coalesce(sxy, 0)) / sqrt(ss), 8) AS r FROM al LEFT JOIN pr ON pr.l1 = al.l1 AND pr.l2 = al.l2 WHERE al.l1 < 30 AND al.l2 < 30), b AS (SELECT l1 AS locus_id, l2 AS neighbour, r FROM r UNION ALL SELECT l2, l1, r FROM r) SELECT locus_id, neighbour, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY locus_id ORDER BY r DESC, neighbour) AS rank FROM b) WHERE rank <= 5")
+@query("t07_nearest_features", f"{DEV_SQL}, r AS (SELECT al.l1, al.l2, round(abs(coalesce(sxy, 0)) / sqrt(ss), 8) AS r FROM al LEFT JOIN pr ON pr.l1 = al.l1 AND pr.l2 = al.l2), b AS (SELECT l1 AS locus_id, l2 AS neighbour, r FROM r UNION ALL SELECT l2, l1, r FROM r) SELECT locus_id, neighbour, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY locus_id ORDER BY r DESC, neighbour) AS rank FROM b) WHERE rank <= 5")
 def t07(spark, sf_dir):
-    return popgen.nearest_loci(popgen.correlations(cells_from_tables(spark, sf_dir).where("locus_id < 30")), 5)
+    return popgen.nearest_loci(popgen.correlations(cells_from_tables(spark, sf_dir)), 5)
