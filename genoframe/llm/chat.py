@@ -50,18 +50,20 @@ def format_windows(turns: DataFrame, *, budget: int = 1024, history: int = 256,
     """One row for each window: the conversation id, ``window`` (int from 0), ``n_repeated`` and ``n_new`` turns, ``formatted``, ``loss_spans``, ``tokens``.
 
     ``loss_spans`` are half-open ranges of characters (code points) of ``formatted``.
-    New turns are dealt by their prefix sums, in steps of half of what the budget
-    leaves beside history and system turn; a turn longer than such a half stands alone. A
-    window holds at most ``budget`` tokens unless its one new turn and the system turn
-    are longer than that themselves; turns are never cut.
+    New turns are dealt by their prefix sums, in steps of what the budget leaves beside
+    history, system turn and one more turn of the conversation's longest; a turn longer
+    than half of what history and system turn leave stands alone and does not count as
+    such. So windows of short turns are nearly full, and none is dealt in steps of less
+    than that half. A window holds at most ``budget`` tokens unless its one new turn and
+    the system turn are longer than that themselves; turns are never cut.
 
     Null texts and roles count as empty. Rows go by turn (null first); equal turns go
     by role, then text; repeated rows are turns of their own. Rows of a null
     conversation id form one conversation. Empty tables give no windows. Other columns
     are not read, so none can clash.
 
-    Sums run over a conversation's turns in order and stream; only the turns of one
-    window are ever gathered, so a very long conversation costs time but not memory.
+    Sums run over a conversation's turns in order and stream, in time proportional to
+    them; only the turns of one window are gathered.
     """
     plain = turns.select(F.col(conv).alias("c"), F.col(turn).alias("t"), F.coalesce(F.col(role), F.lit("")).alias("r"), F.coalesce(F.col(text), F.lit("")).alias("x"))
     plain = plain.withColumn("er", escape(F.col("r"))).withColumn("ex", escape(F.col("x")))
@@ -71,15 +73,17 @@ def format_windows(turns: DataFrame, *, budget: int = 1024, history: int = 256,
     first = order.rowsBetween(Window.unboundedPreceding, 0)
     placed = placed.withColumn("sys_n", F.first(F.when((F.col("i") == 1) & (F.col("r") == "system"), F.col("n")).otherwise(F.lit(0).cast("long"))).over(first))
     by_place = Window.partitionBy("c").orderBy("i")
+    whole = Window.partitionBy("c")
+    free = F.lit(budget - history) - F.col("sys_n")
     half = F.greatest(F.lit(1).cast("long"), F.expr(f"({budget} - {history} - sys_n) div 2"))
-    placed = placed.withColumn("half", half).withColumn("step", F.expr("p div half"))
+    placed = placed.withColumn("half", half).withColumn("longest", F.max(F.when(F.col("n") <= F.col("half"), F.col("n"))).over(whole))
+    placed = placed.withColumn("stride", F.greatest("half", free - F.coalesce("longest", F.lit(0)))).withColumn("step", F.expr("p div stride"))
     alone = F.col("n") > F.col("half")
     starts = (F.col("i") == 1) | (F.col("step") != F.lag("step").over(by_place)) | alone | F.lag(alone).over(by_place)
     placed = placed.withColumn("starts", starts).withColumn("w", F.sum(F.col("starts").cast("int")).over(by_place.rowsBetween(Window.unboundedPreceding, 0)) - 1)
     # The last window that begins within reach of this turn repeats it, and so do those between.
     reach = Window.partitionBy("c").orderBy("p").rangeBetween(1, history)
     placed = placed.withColumn("last", F.coalesce(F.max(F.when(F.col("starts"), F.col("w"))).over(reach), F.col("w")))
-    whole = Window.partitionBy("c").orderBy("i").rowsBetween(0, Window.unboundedFollowing)
     placed = placed.withColumn("last", F.when((F.col("i") == 1) & (F.col("r") == "system"), F.max("w").over(whole)).otherwise(F.greatest("last", "w")))
     copies = placed.select("c", "w", F.struct("i", "p", "n", "w", "r", "er", "ex").alias("u"), "sys_n", F.explode(F.sequence("w", F.col("last").cast("int"))).alias("window"))
     gathered = copies.groupBy("c", "window").agg(

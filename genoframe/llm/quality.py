@@ -1,18 +1,19 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-The model is over characters as they stand, of order five: one model for each language
-that has enough trusted text, and one of all trusted text. Five-grams are counted over
-all trusted documents, lower orders count continuations, and counts meet their
+The model is over characters, of order five: one model for each language that has
+enough trusted text, and one of all trusted text. Characters below U+0800 stand for
+themselves, the others for one of 2048 classes, so a five-gram and its order are one
+64-bit key, and shorter grams and contexts are parts of it. Five-grams are counted
+over all trusted documents, lower orders count continuations, and counts meet their
 contexts' totals and the lower orders' probabilities in shuffled joins, sharded by
 language and gram. The table grows with the text: a row for each gram of any order,
 with its log-probability and, where it is a context, what it leaves to lower orders.
 
-Workers hold the most frequent rows, HOT of them over all languages together. A
-five-gram that they don't find is looked up by the hashes of its shorter grams and
-contexts in the sharded table, once for all documents, and joined back to each
-document's counts. While all rows of a language fit, no lookup is needed.
-
-Grams are 64-bit hashes of their characters, of all orders in one space.
+Workers hold the most frequent rows, HOT of them over all languages together, and a
+Bloom filter of all. A gram that is in neither is unseen, and its place backs off. A
+place that needs a row which only the filter knows is looked up in the sharded table,
+once for all documents, and joined back to each document's counts. While all rows of
+a language fit, nothing has to be looked up.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from genoframe.llm.resemblance import digest
@@ -35,8 +36,11 @@ HOT = 1 << 20
 #: Trusted characters that a language needs for a model of its own; others are scored by the model of all text.
 MIN_CHARACTERS = 20_000
 ALL = "*"
-#: Characters that a character of no model is one of.
-ALPHABET = 1 << 16
+#: Characters that are told apart, of so many bits each, and from where on they share classes.
+BITS, OWN = 12, 0x800
+ALPHABET = 1 << BITS
+#: Bits of the Bloom filter for each row, and its most 64-bit words: beyond them it says "maybe" more often, and more is looked up.
+FILTER_BITS, FILTER_WORDS = 10, 1 << 22
 #: Characters of average text that each document's mean is smoothed with: short texts say little.
 PRIOR = 20
 #: Nats a character above its language's mean from which a document is also tried with the model of all text: its language may be named wrongly.
@@ -51,37 +55,46 @@ FEW = 0.5
 BINS = 2000
 #: Characters scored at once, and distinct five-grams that a counting task holds before it sends them.
 SLICE, HELD_GRAMS = 1 << 17, 1 << 20
-_STEP, _MIX, _ORDER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+#: What is no key.
+NOTHING = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def points(text: str) -> np.ndarray:
-    """A text's code points after ORDER - 1 line breaks that stand for its beginning."""
-    return np.frombuffer(("\n" * (ORDER - 1) + text).encode("utf-32-le", "surrogatepass"), np.uint32)
+def symbols(text: str) -> np.ndarray:
+    """What a text's characters count as, after ORDER - 1 line breaks that stand for its beginning."""
+    p = np.frombuffer(("\n" * (ORDER - 1) + text).encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.where(p < OWN, p, OWN + p % OWN).astype(np.uint64)
 
 
-def gram_keys(p: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """For orders 1 to ORDER, the hashes of the grams that end at each character, and of their contexts. 0 stands for no character, and hashes nothing else."""
-    wide = p.astype(np.uint64) + np.uint64(1)
-    n = len(wide) - (ORDER - 1)
-    # Of the k characters before and at each place from ORDER - 2 on, so that contexts are those of the place before.
-    rolling = wide[ORDER - 2 :].copy()
-    keys, contexts = [], [np.zeros(n, np.uint64)]
-    power = np.uint64(1)
-    for k in range(1, ORDER + 1):
-        if k > 1:
-            power = np.uint64((int(power) * int(_STEP)) & 0xFFFFFFFFFFFFFFFF)
-            shifted = wide[ORDER - 1 - k : len(wide) - k + 1] if k < ORDER else np.concatenate([wide[:1], wide[: len(wide) - k + 1]])
-            rolling = rolling + shifted * power
-        h = rolling + np.uint64((k * int(_ORDER)) & 0xFFFFFFFFFFFFFFFF)
-        h ^= h >> np.uint64(32)
-        h *= _MIX
-        h ^= h >> np.uint64(29)
-        h *= _MIX
-        h[h == 0] = 1
-        keys.append(h[1:])
-        if k < ORDER:
-            contexts.append(h[:-1])
-    return keys, contexts
+def gram_codes(s: np.ndarray) -> np.ndarray:
+    """The five-gram that ends at each character: BITS for each symbol, the last one lowest."""
+    n = len(s) - (ORDER - 1)
+    code = np.zeros(n, np.uint64)
+    for i in range(ORDER):
+        code = code << np.uint64(BITS) | s[i : i + n]
+    return code
+
+
+def gram_key(code: np.ndarray, k: int) -> np.ndarray:
+    """The key of the last ``k`` symbols; 0 for none."""
+    return (code & np.uint64((1 << BITS * k) - 1)) | np.uint64(k << BITS * ORDER)
+
+
+def context_key(code: np.ndarray, k: int) -> np.ndarray:
+    """The key of the context of the last ``k`` symbols: those but the last one."""
+    return gram_key(code >> np.uint64(BITS), k - 1)
+
+
+def _mixed(keys: np.ndarray) -> np.ndarray:
+    h = keys * _MIX
+    h ^= h >> np.uint64(32)
+    return h * _MIX
+
+
+def slices(text: str) -> Iterator[np.ndarray]:
+    """A text's five-grams, SLICE characters at a time."""
+    for at in range(0, len(text), SLICE):
+        yield gram_codes(symbols(text[at : at + SLICE])) if not at else gram_codes(symbols(text[at - ORDER + 1 : at + SLICE])[ORDER - 1 :])
 
 
 def _discounts(n: np.ndarray) -> np.ndarray:
@@ -91,61 +104,57 @@ def _discounts(n: np.ndarray) -> np.ndarray:
     return np.clip([1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3], [0.05, 0.1, 0.15], [0.95, 1.9, 2.85])
 
 
-_GRAMS = [f"k{k}" for k in range(ORDER, 0, -1)]
-_CONTEXTS = [f"c{k}" for k in range(ORDER, 1, -1)]
-
-
 def count_grams(texts: DataFrame) -> DataFrame:
-    """``lang``, the keys of each five-gram, its shorter grams and its contexts, and ``n`` over whole texts (columns ``lang``, ``text``). A task sums before it sends."""
-    names = [*_GRAMS, *_CONTEXTS, "n"]
-
-    def summed(parts: list[np.ndarray]) -> np.ndarray:
-        rows = np.concatenate(parts, axis=1)
-        _, first, place = np.unique(rows[0], return_index=True, return_inverse=True)
-        out = rows[:, first].copy()
-        out[-1] = np.bincount(place, rows[-1].astype(np.float64)).astype(np.uint64)  # exact below 2^53
-        return out
+    """``lang``, ``code`` of each five-gram and ``n`` over whole texts (columns ``lang``, ``text``). A task sums before it sends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str | None, list[np.ndarray]] = {}
+        held: dict[str | None, list[tuple[np.ndarray, np.ndarray]]] = {}
+
+        def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+            codes, place = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
+            return codes, np.bincount(place, np.concatenate([n for _, n in parts])).astype(np.int64)  # exact below 2^53
 
         def sent(lang: str | None) -> pa.RecordBatch:
-            rows = summed(held.pop(lang)).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array([lang] * rows.shape[1], pa.string()), *(pa.array(r) for r in rows)], names=["lang", *names])
+            codes, n = summed(held.pop(lang))
+            return pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes.view(np.int64)), pa.array(n)], names=["lang", "code", "n"])
 
         for batch in batches:
             langs, texts = batch.column(0).to_pylist(), batch.column(1)
-            for i, lang in enumerate(langs):
-                body = texts[i].as_py() or ""
-                for at in range(0, len(body), SLICE):
-                    p = points(body[at : at + SLICE]) if not at else points(body[at - ORDER + 1 : at + SLICE])[ORDER - 1 :]
-                    keys, contexts = gram_keys(p)
-                    held.setdefault(lang, []).append(np.stack([*keys[::-1], *contexts[:0:-1], np.ones(len(keys[0]), np.uint64)]))
-                if sum(x.shape[1] for x in held.get(lang, ())) > HELD_GRAMS:
+            for lang in dict.fromkeys(langs):
+                codes = [c for i, x in enumerate(langs) if x == lang for c in slices(texts[i].as_py() or "")]
+                if codes:
+                    held.setdefault(lang, []).append(np.unique(np.concatenate(codes), return_counts=True))
+                if sum(len(c) for c, _ in held.get(lang, ())) > HELD_GRAMS:
                     held[lang] = [summed(held[lang])]
-                    if held[lang][0].shape[1] > HELD_GRAMS // 2:
+                    if len(held[lang][0][0]) > HELD_GRAMS // 2:
                         yield sent(lang)
-            if len(held) > 6:
+            while len(held) > 6:
                 yield sent(next(iter(held)))
         for lang in list(held):
             yield sent(lang)
 
-    schema = "lang string, " + ", ".join(f"{c} long" for c in names)
-    counted = texts.select("lang", "text").mapInArrow(tidy(run), schema)
-    return counted.groupBy("lang", "k5").agg(F.sum("n").alias("n"), *[F.first(c).alias(c) for c in names[1:-1]])
+    return texts.select("lang", "text").mapInArrow(tidy(run), "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+
+
+def _key(code: Column, k: int) -> Column:
+    return code.bitwiseAND(F.lit((1 << BITS * k) - 1)).bitwiseOR(F.lit(k << BITS * ORDER)) if k else F.lit(0).cast("long")
+
+
+def _context(code: Column, k: int) -> Column:
+    return _key(F.shiftright(code, BITS), k - 1)
 
 
 class Held:
-    """The rows of one language that a worker holds: an open hash table of keys."""
+    """The rows of one language that a worker holds: an open hash table of keys. And the filter of all rows, where there are others."""
 
-    def __init__(self, keys: np.ndarray, log_p: np.ndarray, log_left: np.ndarray, complete: bool):
+    def __init__(self, keys: np.ndarray, log_p: np.ndarray, log_left: np.ndarray, filter_words: np.ndarray | None):
         bits = max(4, int(2 * len(keys)).bit_length())
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
-        self.keys, self.complete = np.zeros(1 << bits, np.uint64), complete
+        self.keys, self.words = np.full(1 << bits, NOTHING), filter_words
         self.log_p, self.log_left = np.full(1 << bits, np.nan, np.float32), np.zeros(1 << bits, np.float32)
-        todo, slot = np.arange(len(keys)), (keys >> self.shift).astype(np.int64)
+        todo, slot = np.arange(len(keys)), (_mixed(keys) >> self.shift).astype(np.int64)
         while len(todo):
-            free = self.keys[slot] == 0
+            free = self.keys[slot] == NOTHING
             at, first = np.unique(slot[free], return_index=True)
             won = todo[free][first]
             self.keys[at], self.log_p[at], self.log_left[at] = keys[won], log_p[won], log_left[won]
@@ -154,41 +163,80 @@ class Held:
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The slot of each key, -1 where it isn't held."""
-        slot = (keys >> self.shift).astype(np.int64)
+        slot = (_mixed(keys) >> self.shift).astype(np.int64)
         there = self.keys[slot]
         out = np.where(there == keys, slot, -1)
-        todo = np.nonzero((there != keys) & (there != 0))[0]
+        todo = np.nonzero((there != keys) & (there != NOTHING))[0]
         while len(todo):
             slot[todo] = (slot[todo] + 1) & self.mask
             there = self.keys[slot[todo]]
             hit = there == keys[todo]
             out[todo[hit]] = slot[todo[hit]]
-            todo = todo[~hit & (there != 0)]
+            todo = todo[~hit & (there != NOTHING)]
         return out
 
-    def log_probabilities(self, keys: list[np.ndarray], contexts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    def elsewhere(self, keys: np.ndarray) -> np.ndarray:
+        """Whether the sharded table may have what isn't held."""
+        if self.words is None:
+            return np.zeros(len(keys), bool)
+        at, bits = filter_place(keys, len(self.words))
+        return self.words[at] & bits == bits
+
+    def log_probabilities(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Log-probability of each place, and which places have to be looked up in the sharded table (0 there)."""
-        out = np.zeros(len(keys[0]), np.float64)
-        todo = np.arange(len(out))
-        cold = np.zeros(len(out), bool)
+        out = np.zeros(len(codes), np.float64)
+        cold = np.zeros(len(codes), bool)
+        todo = np.arange(len(codes))
         for k in range(ORDER, 0, -1):
-            slot = self.find(keys[k - 1][todo])
-            hit = slot >= 0
-            hit[hit] = ~np.isnan(self.log_p[slot[hit]])
-            out[todo[hit]] += self.log_p[slot[hit]]
-            todo = todo[~hit]
-            if not self.complete:
-                cold[todo] = True
-                return out, cold
-            left = self.find(contexts[k - 1][todo])
+            keys = gram_key(codes[todo], k)
+            slot = self.find(keys)
+            out[todo] += np.where(slot >= 0, np.nan_to_num(self.log_p[slot]), 0.0)
+            # A row that is a context only has no probability of its own.
+            missed = (slot < 0) | np.isnan(self.log_p[slot])
+            unknown = slot < 0
+            unknown[unknown] = self.elsewhere(keys[unknown])
+            cold[todo[unknown]] = True
+            todo = todo[missed & ~unknown]
+            contexts = context_key(codes[todo], k)
+            left = self.find(contexts)
             out[todo] += np.where(left >= 0, self.log_left[left], 0.0)
+            unknown = left < 0
+            unknown[unknown] = self.elsewhere(contexts[unknown])
+            cold[todo[unknown]] = True
+            todo = todo[~unknown]
         out[todo] -= np.log(ALPHABET)
+        out[cold] = 0.0
         return out, cold
 
 
+def filter_place(keys: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The word of the filter that a key belongs to, and its four bits there."""
+    h = _mixed(keys ^ np.uint64(0xA0761D6478BD642F))
+    bits = np.zeros(len(h), np.uint64)
+    for i in range(4):
+        bits |= np.uint64(1) << (h >> np.uint64(6 * i) & np.uint64(63))
+    return (h >> np.uint64(24)).astype(np.int64) % words, bits
+
+
+def build_filter(rows: DataFrame, words: int) -> np.ndarray:
+    """The Bloom filter of ``key``: tasks fill words, equal words are or-ed in Spark, and at most ``words`` come to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, bits = filter_place(batch.column(0).to_numpy().view(np.uint64), words)
+            order = np.argsort(at, kind="stable")
+            at, first = np.unique(at[order], return_index=True)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.bitwise_or.reduceat(bits[order], first).view(np.int64) if len(at) else np.zeros(0, np.int64))], names=["at", "bits"])
+
+    table = rows.select("key").mapInArrow(tidy(run), "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(words, np.uint64)
+    out[table.column("at").to_numpy()] = table.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
 @dataclass
 class Model:
-    hot: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray, bool]]  # language: keys, log_p, log_left, whether these are all
+    hot: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]]  # language: keys, log_p, log_left, the filter if these are not all
     means: dict[str, float]  # nats a character of the text trained on
     rows: DataFrame  # lang, key, log_p (null: a context only), log_left (0: no context)
 
@@ -202,15 +250,13 @@ def train(texts: DataFrame) -> Model:
     spark = texts.sparkSession
     own = cut(count_grams(texts))
     known = [r["lang"] for r in own.groupBy("lang").agg(F.sum("n").alias("n")).where((F.col("n") >= MIN_CHARACTERS) & F.col("lang").isNotNull() & (F.col("lang") != ALL)).collect()]
-    pooled = own.groupBy("k5").agg(F.sum("n").alias("n"), *[F.first(c).alias(c) for c in (*_GRAMS[1:], *_CONTEXTS)]).withColumn("lang", F.lit(ALL))
-    level = own.where(F.col("lang").isin(known)).unionByName(pooled) if known else pooled
+    pooled = own.groupBy("code").agg(F.sum("n").alias("n")).select(F.lit(ALL).alias("lang"), "code", "n")
+    level = own.where(F.col("lang").isin(known)).select("lang", "code", "n").unionByName(pooled) if known else pooled
     levels = None
     for k in range(ORDER, 0, -1):
         if k < ORDER:  # continuations: how many longer grams end in this one
-            rest = [c for c in (*_GRAMS, *_CONTEXTS) if int(c[1:]) < k or c == f"c{k}"]
-            level = level.groupBy("lang", f"k{k}").agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in rest])
-        none = F.lit(0).cast("long")
-        said = level.select("lang", F.lit(k).alias("k"), F.col(f"k{k}").alias("key"), (F.col(f"c{k}") if k > 1 else none).alias("context"), (F.col(f"k{k - 1}") if k > 1 else none).alias("lower"), "n")
+            level = level.groupBy("lang", F.col("code").bitwiseAND(F.lit((1 << BITS * k) - 1)).alias("code")).agg(F.count(F.lit(1)).alias("n"))
+        said = level.select("lang", F.lit(k).alias("k"), _key(F.col("code"), k).alias("key"), _context(F.col("code"), k).alias("context"), _key(F.col("code"), k - 1).alias("lower"), "n")
         levels = said if levels is None else levels.unionByName(said)
     levels = cut(levels)
     few = levels.groupBy("lang", "k").agg(*[F.count_if(F.col("n") == j).alias(f"n{j}") for j in (1, 2, 3, 4)]).collect()
@@ -238,6 +284,7 @@ def train(texts: DataFrame) -> Model:
             break
         total, least = total + n, b
     kept = rows.where(bin_of >= least) if least is not None else rows.where("false")
+    # Words of the filters are shared out evenly, so that all of them together are bounded.
     per = {r["lang"]: r["rows"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")).collect()}
     table = kept.select("lang", "key", F.col("log_p").cast("float").alias("log_p"), F.col("log_left").cast("float").alias("log_left")).toArrow()
     langs = table.column("lang").combine_chunks().dictionary_encode() if table.num_rows else pa.array([], pa.string()).dictionary_encode()
@@ -246,7 +293,10 @@ def train(texts: DataFrame) -> Model:
         code = langs.dictionary.index(lang).as_py()
         at = np.nonzero(langs.indices.to_numpy(zero_copy_only=False) == code)[0] if code >= 0 else np.zeros(0, np.int64)
         keys, log_p, log_left = (table.column(c).to_numpy()[at] for c in ("key", "log_p", "log_left"))
-        hot[lang] = (keys.view(np.uint64), log_p, log_left, len(at) == n)
+        words = None
+        if len(at) < n:
+            words = build_filter(rows.where(F.col("lang") == lang), max(1, min(FILTER_WORDS // max(1, len(per)), n * FILTER_BITS // 64)))
+        hot[lang] = (keys.view(np.uint64), log_p, log_left, words)
     means = {r["lang"]: r["m"] for r in rows.where(F.col("k") == ORDER).groupBy("lang").agg((-F.sum(F.col("n") * F.col("log_p")) / F.sum("n")).alias("m")).collect()}
     return Model(hot, means, rows.select("lang", "key", "log_p", "log_left"))
 
@@ -263,30 +313,23 @@ def score(documents: DataFrame, model: Model, *, key: str = "doc_id", text: str
     ship_package(spark)
     kind = documents.schema[key].dataType.simpleString()
     shared = spark.sparkContext.broadcast((model.hot, model.means))
-    names = ["row", key, "h1", "h2", "lang", "model", "second", "n_chars_scored", "log_sum", "cold"]
-    cold_names = ["n", *_GRAMS, *_CONTEXTS]
-    cold_type = pa.list_(pa.struct([(c, pa.int64()) for c in cold_names]))
+    names = ["row", key, "h1", "h2", "lang", "model", "second", "n_chars_scored", "log_sum", "codes", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, means = shared.value
         tables: dict[str, Held] = {}
         row = TaskContext.get().partitionId() << 40
 
-        def said(body: str, name: str) -> tuple[int, float, list[dict]]:
-            """Characters, the sum of log-probabilities, and what has to be looked up."""
+        def said(grams: list[np.ndarray], name: str) -> tuple[float, np.ndarray, np.ndarray]:
+            """The sum of log-probabilities, and the five-grams that have to be looked up, with their counts."""
             if name not in tables:
                 tables[name] = Held(*hot[name])
-            total, found = 0.0, []
-            for at in range(0, len(body), SLICE):
-                p = points(body[at : at + SLICE]) if not at else points(body[at - ORDER + 1 : at + SLICE])[ORDER - 1 :]
-                keys, contexts = gram_keys(p)
-                log_p, cold = tables[name].log_probabilities(keys, contexts)
+            total, found = 0.0, [np.zeros(0, np.uint64)]
+            for codes in grams:
+                log_p, cold = tables[name].log_probabilities(codes)
                 total += float(log_p.sum())
-                if cold.any():
-                    _, first, n = np.unique(keys[-1][cold], return_index=True, return_counts=True)
-                    columns = [n, *(x[cold][first].view(np.int64) for x in (*keys[::-1], *contexts[:0:-1]))]
-                    found += [dict(zip(cold_names, values, strict=True)) for values in zip(*(c.tolist() for c in columns), strict=True)]
-            return len(body), total, found
+                found.append(codes[cold])
+            return total, *np.unique(np.concatenate(found), return_counts=True)
 
         for batch in batches:
             keys, first, second, langs, texts, twice = batch.columns
@@ -294,47 +337,47 @@ def score(documents: DataFrame, model: Model, *, key: str = "doc_id", text: str
             for i, own in enumerate(langs.to_pylist()):
                 body = texts[i].as_py() or ""
                 name = own if own in hot else ALL
+                none = np.zeros(0, np.int64)
                 if not body or name not in hot:
-                    out.append((row, i, own, name, False, len(body), 0.0, []))
+                    out.append((row, i, own, name, False, len(body), 0.0, none, none))
                 else:
-                    n, total, found = said(body, name)
-                    out.append((row, i, own, name, False, n, total, found))
-                    if name != ALL and (found or twice[i].as_py() or -total / n > means[name] + SUSPECT):
-                        out.append((row, i, own, ALL, True, *said(body, ALL)))
+                    grams = list(slices(body))
+                    total, codes, counts = said(grams, name)
+                    out.append((row, i, own, name, False, len(body), total, codes.view(np.int64), counts))
+                    if name != ALL and (len(codes) or twice[i].as_py() or -total / len(body) > means[name] + SUSPECT):
+                        total, codes, counts = said(grams, ALL)
+                        out.append((row, i, own, ALL, True, len(body), total, codes.view(np.int64), counts))
                 row += 1
-            columns = list(zip(*out, strict=True)) if out else [()] * 8
+            columns = list(zip(*out, strict=True)) if out else [()] * 9
             at = pa.array(columns[1], pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(columns[0], pa.int64()), keys.take(at), first.take(at), second.take(at), *(pa.array(c, t) for c, t in zip(columns[2:], (pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.float64(), cold_type), strict=True))],
-                names=names,
-            )
+            lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, c)]).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int64), *c]))) for c in columns[7:]]
+            scalars = (pa.array(c, t) for c, t in zip(columns[2:7], (pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.float64()), strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), keys.take(at), first.take(at), second.take(at), *scalars, *lists], names=names)
 
-    cold_sql = ", ".join(f"{c}: bigint" for c in cold_names)
     asked = documents.select(key, *digest(text), F.col(lang).alias("lang"), text, F.coalesce(F.expr(both), F.lit(False)).alias("both"))
-    parts = cut(asked.mapInArrow(tidy(run), f"row long, {key} {kind}, h1 long, h2 long, lang string, model string, second boolean, n_chars_scored long, log_sum double, cold array<struct<{cold_sql}>>"))
-    whole = parts.drop("cold").withColumn("gained", F.lit(0.0))
-    if not all(complete for *_, complete in model.hot.values()):
-        cold = parts.where(F.size("cold") > 0).select("row", F.col("model").alias("lang"), "second", F.explode("cold").alias("e")).select("row", "lang", "second", "e.*")
-        found = look_up(cold, model.rows)
-        gained = cold.join(found, ["lang", f"k{ORDER}"]).groupBy("row", "second").agg(F.sum(F.col("n") * F.col("log_p")).alias("gained"))
-        whole = parts.drop("cold").join(gained, ["row", "second"], "left")
+    parts = cut(asked.mapInArrow(tidy(run), f"row long, {key} {kind}, h1 long, h2 long, lang string, model string, second boolean, n_chars_scored long, log_sum double, codes array<long>, counts array<long>"))
+    whole = parts.drop("codes", "counts").withColumn("gained", F.lit(0.0))
+    if any(words is not None for *_, words in model.hot.values()):
+        cold = parts.where(F.size("codes") > 0).select("row", F.col("model").alias("lang"), "second", F.explode(F.arrays_zip("codes", "counts")).alias("e"))
+        cold = cold.select("row", "lang", "second", F.col("e.codes").alias("code"), F.col("e.counts").alias("n"))
+        gained = cold.join(look_up(cold, model.rows), ["lang", "code"]).groupBy("row", "second").agg(F.sum(F.col("n") * F.col("log_p")).alias("gained"))
+        whole = parts.drop("codes", "counts").join(gained, ["row", "second"], "left")
     means = spark.createDataFrame([(k, float(m)) for k, m in model.means.items()] or [("", 0.0)], "model string, mean double")
     whole = whole.join(F.broadcast(means), "model", "left")  # a row for each language
     nats = -(F.col("log_sum") + F.coalesce(F.col("gained"), F.lit(0.0)))
     smoothed = F.when(F.col("n_chars_scored") > 0, (nats + PRIOR * F.coalesce(F.col("mean"), F.lit(0.0))) / (F.col("n_chars_scored") + PRIOR))
-    return whole.select(*names[:-2], smoothed.alias("nats")).withColumn("perplexity", F.exp("nats"))
+    return whole.select(*names[:-3], smoothed.alias("nats")).withColumn("perplexity", F.exp("nats"))
 
 
 def look_up(cold: DataFrame, rows: DataFrame) -> DataFrame:
-    """``lang``, ``k5``, ``log_p`` of each distinct five-gram of ``cold``, from the sharded rows of all orders."""
-    slots = [*_GRAMS, *_CONTEXTS]
-    distinct = cold.select("lang", *slots).dropDuplicates(["lang", f"k{ORDER}"])
-    each = distinct.select("lang", F.col(f"k{ORDER}").alias("gram"), F.explode(F.array(*[F.struct(F.lit(s).alias("slot"), F.col(s).alias("key")) for s in slots], F.struct(F.lit("c1").alias("slot"), F.lit(0).cast("long").alias("key")))).alias("e")).select("lang", "gram", "e.*")
-    met = each.join(rows, ["lang", "key"], "left").groupBy("lang", "gram").agg(*[F.max(F.when(F.col("slot") == s, F.col("log_p" if s[0] == "k" else "log_left"))).alias(s) for s in (*slots, "c1")])
+    """``lang``, ``code``, ``log_p`` of each distinct five-gram of ``cold``, from the sharded rows of all orders."""
+    slots = [(f"k{k}", _key(F.col("code"), k)) for k in range(1, ORDER + 1)] + [(f"c{k}", _context(F.col("code"), k)) for k in range(1, ORDER + 1)]
+    asked = cold.select("lang", "code").distinct().select("lang", "code", F.explode(F.array(*[F.struct(F.lit(s).alias("slot"), key.alias("key")) for s, key in slots])).alias("e")).select("lang", "code", "e.*")
+    met = asked.join(rows, ["lang", "key"], "left").groupBy("lang", "code").agg(*[F.max(F.when(F.col("slot") == s, F.col("log_p" if s[0] == "k" else "log_left"))).alias(s) for s, _ in slots])
     log_p = F.lit(-float(np.log(ALPHABET)))
     for k in range(1, ORDER + 1):
         log_p = F.coalesce(F.col(f"k{k}"), F.coalesce(F.col(f"c{k}"), F.lit(0.0)) + log_p)
-    return met.select("lang", F.col("gram").alias(f"k{ORDER}"), log_p.alias("log_p"))
+    return met.select("lang", "code", log_p.alias("log_p"))
 
 
 def quantiles(scored: DataFrame, low: float, high: float) -> DataFrame:

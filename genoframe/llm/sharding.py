@@ -1,14 +1,17 @@
 """Uniform global shuffle into shards of exact size, by a hypergeometric communication matrix.
 
 A row's destination is not drawn on its own. For every input partition the number
-of its rows that go to every destination bin is drawn first, from the multivariate
+of its rows that go to every shard is drawn first, from the multivariate
 hypergeometric law that a uniform permutation of all rows induces: rows of the
-matrix sum to the partitions' row counts and columns to the bins' exact sizes. Each
+matrix sum to the partitions' row counts and columns to the shards' exact sizes. Each
 partition then deals a random permutation of those labels to its rows, the rows are
-exchanged by bin, and each bin permutes what it received. The composition is a
-uniform permutation, every shard has its exact size, and because bin sizes are known
-beforehand every bin knows the first slot it fills: no global sort, no task that sees
-more than a bin.
+exchanged, and each shard permutes what it received. The composition is a uniform
+permutation, and every shard has its exact size.
+
+A shard of any size is permuted by many tasks: every row draws a 64-bit number, equal
+ranges of the numbers are bins of about ROWS_PER_BIN rows, and a bin's first slot is
+the number of rows in the shard's bins before it. So no task sees more than a bin,
+and the driver holds partitions x shards counts, whatever the number of rows.
 """
 
 from __future__ import annotations
@@ -24,8 +27,10 @@ from pyspark.sql import types as T
 
 from genoframe.session import cut, ship_package
 
-#: Rows that one bin holds at most; a bin is what one task permutes.
+#: Rows of a bin, on average; a bin is what one task permutes.
 ROWS_PER_BIN = 65_536
+#: numpy draws the hypergeometric law of populations below this.
+POPULATION = 10**9
 
 
 def shard_sizes(total: int, shards: int) -> list[int]:
@@ -34,61 +39,38 @@ def shard_sizes(total: int, shards: int) -> list[int]:
     return [base + (s < rest) for s in range(shards)]
 
 
-def bin_plan(total: int, shards: int, rows_per_bin: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For every bin its shard, its first slot in the shard and its size."""
-    shard, first, size = [], [], []
-    for s, rows in enumerate(shard_sizes(total, shards)):
-        bins = max(1, -(-rows // rows_per_bin))
-        start = 0
-        for part in shard_sizes(rows, bins):
-            shard.append(s)
-            first.append(start)
-            size.append(part)
-            start += part
-    return np.array(shard, np.int32), np.array(first, np.int64), np.array(size, np.int64)
-
-
-def communication_matrix(partition_rows: list[int], bin_rows: np.ndarray, seed: int) -> list[np.ndarray]:
-    """One draw of the partition-to-bin counts, sparse: for each partition, bins and counts interleaved."""
+def communication_matrix(partition_rows: list[int], shard_rows: list[int], seed: int) -> np.ndarray:
+    """One draw of the partition-to-shard counts."""
     rng = np.random.default_rng(seed)
-    left = bin_rows.astype(np.int64).copy()
-    rows = []
-    for n in partition_rows:
-        # "marginals" has no limit on the population, unlike "count"; it draws bin by bin.
-        drawn = _multivariate(rng, left, n)
-        left -= drawn
-        used = np.nonzero(drawn)[0]
-        rows.append(np.stack([used, drawn[used]]))
+    left = list(shard_rows)
+    rows = np.zeros((len(partition_rows), len(left)), np.int64)
+    for p, n in enumerate(partition_rows):
+        total = sum(left)
+        for s in range(len(left)):
+            total -= left[s]
+            rows[p, s] = drawn = hypergeometric(rng, left[s], total, n)
+            n -= drawn
+            left[s] -= drawn
     return rows
 
 
-def _multivariate(rng: np.random.Generator, left: np.ndarray, n: int) -> np.ndarray:
-    total = int(left.sum())
-    if n == total:
-        return left.copy()
-    if total < 10**9:
-        return rng.multivariate_hypergeometric(left, n, method="marginals")
-    # numpy bounds the population at 10^9: split the bins in halves and draw how many fall in the first half.
-    if len(left) == 1:
-        return np.array([n], np.int64)
-    half = len(left) // 2
-    good = int(left[:half].sum())
-    first = _hypergeometric(rng, good, total - good, n)
-    return np.concatenate([_multivariate(rng, left[:half], first), _multivariate(rng, left[half:], n - first)])
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """How many of ``n`` drawn from ``good`` and ``bad`` are good: exact for populations of any size.
 
-
-def _hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
-    """Hypergeometric for populations beyond numpy's bound, by halving the draw until both parts fit.
-
-    Beyond 10^9 on a side the law is drawn by its normal limit, clipped to the support;
-    the relative error is below 1e-4 there and sizes stay exact.
+    Beyond numpy's bound two binomials of one probability are drawn until they add up
+    to n: given their sum they follow this law, whatever the probability. One of about
+    2.5 times the root of n does, and n is the smaller of the drawn and the rest.
     """
-    if good + bad < 10**9:
+    if good + bad < POPULATION:
         return int(rng.hypergeometric(good, bad, n))
-    total = good + bad
-    mean = n * good / total
-    var = mean * (bad / total) * ((total - n) / max(1, total - 1))
-    return int(min(max(round(rng.normal(mean, var**0.5)), max(0, n - bad)), min(n, good)))
+    few = min(n, good + bad - n)
+    tries = int(4 * few**0.5) + 64
+    while True:
+        both = rng.binomial(good, few / (good + bad), tries), rng.binomial(bad, few / (good + bad), tries)
+        met = np.nonzero(both[0] + both[1] == few)[0]
+        if len(met):
+            drawn = int(both[0][met[0]])
+            return drawn if few == n else good - drawn
 
 
 def shuffle_into_shards(df: DataFrame, shards: int, *, seed: int = 42, rows_per_bin: int = ROWS_PER_BIN, stable_input: bool = False) -> DataFrame:
@@ -97,46 +79,56 @@ def shuffle_into_shards(df: DataFrame, shards: int, *, seed: int = 42, rows_per_
     ``stable_input`` says that the plan yields the same rows in the same order in the
     same partitions whenever it runs (a scan of files with narrow operations). Any
     other plan is written to the shared folder first, since a recomputed partition
-    must deal the same labels to the same rows.
+    must deal the same labels to the same rows. The number of splits is held, so that
+    executors that come or go do not change them.
 
     Nulls, ties and repeated rows are rows like any other. An empty table gives no
     rows. Other columns pass through; columns named ``shard`` or ``slot`` are replaced.
-    Driver memory: one count for each input partition, and the matrix, which is sparse
-    (bins that a partition sends nothing to are not stored).
+    Driver memory: a count for each input partition and shard.
     """
     spark = df.sparkSession
     ship_package(spark)
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
+        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
     df = df.drop("shard", "slot")
     if not stable_input:
         df = cut(df)
     counted = df.groupBy(F.spark_partition_id().alias("__p")).agg(F.count(F.lit(1)).alias("__n")).collect()
     counts = {r["__p"]: r["__n"] for r in counted}
-    total = sum(counts.values())
-    bin_shard, bin_first, bin_rows = bin_plan(total, shards, rows_per_bin)
+    sizes = shard_sizes(sum(counts.values()), shards)
     ids = sorted(counts)
-    matrix = dict(zip(ids, communication_matrix([counts[p] for p in ids], bin_rows, seed), strict=True))
-    shared = spark.sparkContext.broadcast(matrix)
-
-    schema = T.StructType([*df.schema.fields, T.StructField("__bin", T.IntegerType()), T.StructField("__order", T.LongType()), T.StructField("__source", T.LongType())])
+    matrix = dict(zip(ids, communication_matrix([counts[p] for p in ids], sizes, seed), strict=True))
+    bins = np.array([max(1, -(-n // rows_per_bin)) for n in sizes], np.uint64)
+    shared = spark.sparkContext.broadcast((matrix, bins))
+    extra_names = ["shard", "__bin", "__order", "__source"]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         partition = TaskContext.get().partitionId()
+        matrix, bins = shared.value
         labels = order = None
         at = 0
         for batch in batches:
             if labels is None:
-                bins, n = shared.value[partition]
-                rng = np.random.default_rng([seed, 1, partition])
-                labels = rng.permutation(np.repeat(bins.astype(np.int32), n))
+                labels = np.random.default_rng([seed, 1, partition]).permutation(np.repeat(np.arange(shards, dtype=np.int32), matrix[partition]))
                 order = np.random.default_rng([seed, 2, partition])
             n = batch.num_rows
-            extra = [pa.array(labels[at : at + n]), pa.array(order.integers(-(2**63), 2**63 - 1, n, np.int64)), pa.array((partition << 40) + np.arange(at, at + n, dtype=np.int64))]
+            if at + n > len(labels):
+                raise RuntimeError("the input's partitions have changed")
+            shard, drawn = labels[at : at + n], order.integers(0, 2**64, n, np.uint64)
+            # The bin by the upper half of the number, the order inside it by all of it.
+            place = ((drawn >> np.uint64(32)) * bins[shard]) >> np.uint64(32)
+            extra = [pa.array(shard), pa.array(place.astype(np.int64)), pa.array(drawn.view(np.int64) ^ np.int64(-(2**63))), pa.array((partition << 40) + np.arange(at, at + n, dtype=np.int64))]
             at += n
-            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*batch.schema.names, "__bin", "__order", "__source"])
-
-    dealt = df.mapInArrow(deal, schema)
-    # The exchange carries every row once; the window permutes inside a bin, of rows_per_bin rows at most.
-    within = Window.partitionBy("__bin").orderBy("__order", "__source")
-    plan = spark.createDataFrame([(int(b), int(s), int(f)) for b, (s, f) in enumerate(zip(bin_shard, bin_first, strict=True))], "__bin int, shard int, __first long")
-    placed = dealt.withColumn("__rank", F.row_number().over(within)).join(F.broadcast(plan) if len(bin_shard) <= 100_000 else plan, "__bin")
-    return placed.withColumn("slot", F.col("__first") + F.col("__rank") - 1).drop("__bin", "__order", "__source", "__rank", "__first")
+            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*batch.schema.names, *extra_names])
+
+    added = [T.StructField("shard", T.IntegerType()), *(T.StructField(c, T.LongType()) for c in extra_names[1:])]
+    # Bins' sizes first, from the draws alone: no column is read for them.
+    alone = df.select(F.lit(0).alias("__no")).mapInArrow(deal, T.StructType([T.StructField("__no", T.IntegerType()), *added]))
+    filled = alone.groupBy("shard", "__bin").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy("shard").orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1))
+    firsts = cut(filled.select("shard", "__bin", F.coalesce(before, F.lit(0)).alias("__first")))
+    dealt = df.mapInArrow(deal, T.StructType([*df.schema.fields, *added]))
+    # The exchange carries every row once; the window permutes inside a bin.
+    within = Window.partitionBy("shard", "__bin").orderBy("__order", "__source")
+    placed = dealt.withColumn("__rank", F.row_number().over(within)).join(F.broadcast(firsts) if int(bins.sum()) <= 100_000 else firsts, ["shard", "__bin"])
+    return placed.select(*df.columns, "shard", (F.col("__first") + F.col("__rank") - 1).alias("slot"))

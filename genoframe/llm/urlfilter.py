@@ -21,6 +21,8 @@ from genoframe.session import cut, drop_cut
 
 #: (verdict, host, path)
 Rule = tuple[str, str, str]
+#: Most hosts whose mass is broadcast, of some 50 bytes each; beyond it hosts are copied to so many salts, and pages dealt over them.
+BROADCAST_HOSTS, SALTS = 500_000, 32
 #: Total mass of one walk, in integer units.
 UNITS = 10**15
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -84,6 +86,14 @@ def propagate(edges: DataFrame, seeds: DataFrame, *, damping: int = 85, rounds:
     return ranked
 
 
+def with_mass(pages: DataFrame, mass: DataFrame) -> DataFrame:
+    """Pages with their host's columns of ``mass`` (a row for each host): no exchange of pages while hosts are few, else one that is salted."""
+    if mass.count() <= BROADCAST_HOSTS:
+        return pages.join(F.broadcast(mass), "host", "left")
+    copies = mass.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return pages.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).join(copies, ["host", "__salt"], "left").drop("__salt")
+
+
 def judge(pages: DataFrame, rules: Sequence[Rule], *, trusted: Sequence[str] = (), blocked: Sequence[str] = (), url: str = "url", html: str = "html", factor: int = 1, damping: int = 85, rounds: int = 10) -> DataFrame:
     """The pages with ``host``, ``path``, ``rule``, ``verdict``, ``trust`` and ``distrust`` (long).
 
@@ -95,8 +105,8 @@ def judge(pages: DataFrame, rules: Sequence[Rule], *, trusted: Sequence[str] = (
 
     Null urls and urls without ``://`` have an empty host, which no rule fits and no
     link reaches: allowed. Null html has no links. Repeated rows are judged each.
-    Empty tables give no rows. Columns of the result's names are replaced. Nothing is
-    broadcast: hosts grow with the input.
+    Empty tables give no rows. Columns of the result's names are replaced. A host's
+    pages may be any share of the table: they never meet in one task.
     """
     names = ["host", "path", "rule", "verdict", "trust", "distrust"]
     judged = pages.drop(*[c for c in names if c not in (url, html)])
@@ -106,14 +116,14 @@ def judge(pages: DataFrame, rules: Sequence[Rule], *, trusted: Sequence[str] = (
     said = judged.where("host != ''").groupBy("host").agg(F.min(by_rule).alias("verdict"), F.max(by_rule).alias("other"))
     said = cut(said.where((F.col("verdict") == F.col("other")) & (F.col("verdict") != "none")).select("host", "verdict"))
     spark = pages.sparkSession
-    named = lambda hosts: spark.createDataFrame([(h,) for h in hosts], "host string")
+    # The hosts that rules decide, and the named ones, where there are any.
+    seeds = lambda kind, hosts: said.where(F.col("verdict") == kind).select("host").unionByName(spark.createDataFrame([(h,) for h in hosts], "host string")) if hosts else said.where(F.col("verdict") == kind).select("host")
     edges = cut(host_edges(pages, url=url, html=html))
-    trust = propagate(edges, said.where("verdict = 'allow'").select("host").unionByName(named(trusted)), damping=damping, rounds=rounds)
+    trust = propagate(edges, seeds("allow", trusted), damping=damping, rounds=rounds)
     reverse = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    distrust = propagate(reverse, said.where("verdict = 'block'").select("host").unionByName(named(blocked)), damping=damping, rounds=rounds)
+    distrust = propagate(reverse, seeds("block", blocked), damping=damping, rounds=rounds)
     mass = trust.select("host", F.col("mass").alias("trust"), F.lit(0).cast("long").alias("distrust")).unionByName(distrust.select("host", F.lit(0).cast("long").alias("trust"), F.col("mass").alias("distrust")))
     mass = mass.groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
-    # One row for each host on the right: a hot host of pages is split by AQE, which may copy that row.
-    joined = judged.join(mass, "host", "left").withColumn("trust", F.coalesce(F.col("trust"), F.lit(0))).withColumn("distrust", F.coalesce(F.col("distrust"), F.lit(0)))
+    joined = with_mass(judged, cut(mass)).withColumn("trust", F.coalesce(F.col("trust"), F.lit(0))).withColumn("distrust", F.coalesce(F.col("distrust"), F.lit(0)))
     verdict = F.coalesce(F.col("__rule.verdict"), F.when(F.col("distrust") > F.col("trust") * factor, "block").otherwise("allow"))
     return joined.withColumn("rule", F.col("__rule.rule")).withColumn("verdict", verdict).drop("__rule")

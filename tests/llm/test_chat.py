@@ -1,4 +1,5 @@
 import hashlib
+import time
 
 from genoframe.llm import chat, queries
 from pyspark.sql import functions as F
@@ -62,3 +63,16 @@ def test_empty_and_query(spark, sf):
 def test_no_python_in_the_plan(spark, sf):
     plan = queries.op2_chat_formatting(spark, sf)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_windows_of_short_turns_are_nearly_full(spark):
+    rows = [(7, i, "user" if i % 2 else "assistant", "some words " * (i % 7)) for i in range(2000)]
+    sizes = [r["tokens"] for r in chat.format_windows(conversations(spark, rows), budget=1024, history=0).orderBy("window").collect()]
+    assert max(sizes) <= 1024 and sum(sizes[:-1]) / len(sizes[:-1]) > 0.9 * 1024
+
+
+def test_a_long_conversation_takes_linear_time(spark):
+    turns = spark.range(100_000).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "system").otherwise("assistant").alias("role"), F.concat(F.lit("turn "), F.col("id")).alias("text"))
+    began = time.monotonic()
+    read = chat.digests(chat.read_back(chat.format_windows(turns))).collect()
+    assert read[0]["n_turns"] == 100_000 and time.monotonic() - began < 60

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 def plain_probability(texts):
     """Interpolated modified Kneser-Ney of order five from dictionaries, as a function of (context of four, character)."""
-    begun = ["\n" * 4 + t for t in texts]
+    begun = ["".join(map(chr, quality.symbols(t).tolist())) for t in texts]
     grams = [t[i : i + 5] for t in begun for i in range(len(t) - 4)]
     counts = {}
     for g in grams:
@@ -43,15 +43,16 @@ def plain_probability(texts):
 TRUSTED = ["the cat sat on the mat. ", "a dog sat on the log, and the cat ran.", "Then the dog\nran on 12 mats!", "sat cat mat"]
 
 
-@pytest.mark.parametrize("hot", [0, 60, 10_000])
-def test_scores_equal_plain_model(spark, monkeypatch, hot):
+@pytest.mark.parametrize(("hot", "words"), [(0, 1 << 22), (60, 1 << 22), (60, 1), (10_000, 1)])
+def test_scores_equal_plain_model(spark, monkeypatch, hot, words):
     """Whatever part of the model workers hold, and whatever part is joined from shards, the sums are the same; so they are in slices."""
     monkeypatch.setattr(quality, "HOT", hot)
+    monkeypatch.setattr(quality, "FILTER_WORDS", words)
     monkeypatch.setattr(quality, "MIN_CHARACTERS", 10)
     monkeypatch.setattr(quality, "SLICE", 9)
     texts = spark.createDataFrame([("en", t) for t in TRUSTED] + [("xx", "few")], "lang string, text string")
     model = quality.train(texts)
-    assert set(model.hot) == {"en", quality.ALL} and model.hot["en"][3] == (hot > 1000)
+    assert set(model.hot) == {"en", quality.ALL} and (model.hot["en"][3] is None) == (hot > 1000)
     p = {"en": plain_probability(TRUSTED), quality.ALL: plain_probability([*TRUSTED, "few"])}
     documents = [*TRUSTED, "the dog sat on zebras", "QQ##", "q", "щука щука 漢"]
     frame = spark.createDataFrame([(i, t, "en" if i != 2 else None) for i, t in enumerate(documents)], "doc_id long, text string, lang string")
@@ -59,7 +60,7 @@ def test_scores_equal_plain_model(spark, monkeypatch, hot):
     assert {(r["doc_id"], r["model"]) for r in scored} >= {(i, "en" if i != 2 else quality.ALL) for i in range(8)} | {(3, quality.ALL), (5, quality.ALL)}
     for r in scored:
         text = documents[r["doc_id"]]
-        s = "\n" * 4 + text
+        s = "".join(map(chr, quality.symbols(text).tolist()))
         want = -sum(math.log(p[r["model"]](s[i : i + 4], s[i + 4])) for i in range(len(text)))
         mean = model.means[r["model"]]
         assert r["n_chars_scored"] == len(text) and r["second"] == (r["model"] == quality.ALL and r["doc_id"] != 2)

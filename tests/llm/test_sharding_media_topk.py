@@ -1,5 +1,6 @@
 import hashlib
 import io
+import math
 import zlib
 from collections import Counter
 
@@ -21,17 +22,26 @@ def slots(rows, shards):
 
 
 def test_matrix_sums():
-    rows = [5, 0, 17, 3, 100]
-    bins = np.array([40, 40, 45])
-    matrix = sharding.communication_matrix(rows, bins, 3)
-    dense = np.zeros((5, 3), int)
-    for p, (b, n) in enumerate(matrix):
-        dense[p, b] = n
-    assert dense.sum(axis=1).tolist() == rows and dense.sum(axis=0).tolist() == bins.tolist()
-    # Beyond what numpy draws at once, sizes stay exact.
-    huge = np.array([10**9, 2 * 10**9, 5])
-    drawn = sharding._multivariate(np.random.default_rng(0), huge, 10**9)
-    assert drawn.sum() == 10**9 and (drawn <= huge).all() and abs(drawn[0] / 10**9 - 1 / 3) < 1e-3
+    rows, sizes = [5, 0, 17, 3, 100], [40, 40, 45]
+    dense = sharding.communication_matrix(rows, sizes, 3)
+    assert dense.sum(axis=1).tolist() == rows and dense.sum(axis=0).tolist() == sizes
+    huge = sharding.communication_matrix([25_000] * 3 + [8 * 10**9], [2 * 10**9, 6 * 10**9 + 75_000], 5)
+    assert huge.sum(axis=1).tolist() == [25_000] * 3 + [8 * 10**9] and huge.sum(axis=0).tolist() == [2 * 10**9, 6 * 10**9 + 75_000]
+
+
+def test_draws_are_exact_beyond_numpys_bound(monkeypatch):
+    """Chi-square of the rejection draws against the law itself, small enough to write down, and against its moments where it is not."""
+    monkeypatch.setattr(sharding, "POPULATION", 0)
+    rng = np.random.default_rng(4)
+    for good, bad, n in ((7, 12, 6), (7, 12, 15), (30, 4, 20)):
+        law = {k: math.comb(good, k) * math.comb(bad, n - k) / math.comb(good + bad, n) for k in range(max(0, n - bad), min(n, good) + 1)}
+        drawn = Counter(sharding.hypergeometric(rng, good, bad, n) for _ in range(4000))
+        assert set(drawn) <= set(law)
+        likely = [k for k in law if law[k] > 0.002]
+        assert sum((drawn[k] - 4000 * law[k]) ** 2 / (4000 * law[k]) for k in likely) < 40
+    good, bad, n = 3 * 10**10, 7 * 10**10, 25_000
+    drawn = np.array([sharding.hypergeometric(rng, good, bad, n) for _ in range(2000)])
+    assert abs(drawn.mean() - 7500) < 8 and abs(drawn.var() / (n * 0.3 * 0.7) - 1) < 0.15
 
 
 def test_shuffle_is_uniform(spark):

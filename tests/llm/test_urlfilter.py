@@ -83,3 +83,9 @@ def test_empty_and_query(spark, sf):
         assert (r["host"], r["path"], r["rule"]) == (host, path, rule and rule[1] + rule[2]) and (not rule or r["verdict"] == rule[0])
     plan = queries.op3_url_filters(spark, sf)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_salted_hosts_give_the_same_verdicts(spark, sf, monkeypatch):
+    want = sorted(map(tuple, queries.op3_url_filters(spark, sf).collect()))
+    monkeypatch.setattr(urlfilter, "BROADCAST_HOSTS", -1)
+    assert sorted(map(tuple, queries.op3_url_filters(spark, sf).collect())) == want
