@@ -1,16 +1,19 @@
 """Secret scans: fixed patterns, and random-looking strings by character Markov models.
 
 Two first-order Markov models over characters are trained from labelled samples: one
-of random strings, one of ordinary identifiers. A long run of key characters is a
-secret if the log-likelihood ratio of the two models, for each character, is above a
-threshold. Spans of the fixed patterns always stay; the models only add spans that
-overlap none of them.
+of random strings, one of ordinary identifiers, numbers and rules (lines of repeated
+signs). A run of key characters, SHORTEST of them at least, is a secret if the
+log-likelihood ratio of the two models, for each character, is above a threshold; a
+run of letters only has models and a threshold of its own, and is a word below
+SHORTEST_LETTERS. Nothing else decides. Spans of the fixed patterns always stay; the
+models only add spans that overlap none of them.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import warnings
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, replace
 
@@ -28,7 +31,9 @@ ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 # Runs are maximal, so a bound in the pattern finds just what a bound afterwards would.
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+#: Characters of the shortest runs that the models are asked about: any, and those of letters only.
+SHORTEST, SHORTEST_LETTERS = 16, 20
+RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % SHORTEST)
 MIN_ASSIGNED = 6
 
 #: States: a-z, A-Z, 0-9, one for each of + / _ = -, and one for the start.
@@ -63,7 +68,7 @@ class MarkovPair:
 
     ratio: np.ndarray
     threshold: float
-    min_length: int = 20
+    min_length: int = SHORTEST
     letters: MarkovPair | None = None  # for runs of letters only
 
     def score(self, run: str) -> float:
@@ -71,25 +76,25 @@ class MarkovPair:
         return float(self.ratio[np.concatenate([[START], c[:-1]]), c].mean())
 
 
-def random_samples(n: int, seed: int = 7, sets: Sequence[str] = ()) -> list[str]:
-    """Labelled random strings: uniform draws of 20 to 64 characters from the given alphabets, or those that keys use."""
+def random_samples(n: int, seed: int = 7, sets: Sequence[str] = (), least: int = SHORTEST) -> list[str]:
+    """Labelled random strings: uniform draws of ``least`` to 64 characters from the given alphabets, or those that keys use."""
     rng = np.random.default_rng(seed)
     sets = sets or [ALPHABET[:62], ALPHABET[:62] + "+/", ALPHABET[:62] + "_-", ALPHABET[26:62], ALPHABET[:26] + ALPHABET[52:62], "0123456789abcdef", "0123456789ABCDEF"]
     out = []
     for i in range(n):
         chars = np.array(list(sets[i % len(sets)]))
-        out.append("".join(rng.choice(chars, rng.integers(20, 65))))
+        out.append("".join(rng.choice(chars, rng.integers(least, 65))))
     return out
 
 
 def identifier_samples(words: Sequence[str], n: int, seed: int = 8) -> list[str]:
-    """Labelled ordinary identifiers: words of trusted text alone and joined in the ways names are."""
+    """Labelled ordinary strings: words of trusted text alone and joined in the ways names are, numbers, dates and rules."""
     rng = np.random.default_rng(seed)
-    words = [w for w in words if w and all(c in _ASCII for c in w)] or ["value", "name", "index", "item"]
+    words = [w for w in words if w and all(c in _ASCII for c in w)] or list(NAMES)
     out = list(words)
     for i in range(n):
         parts = [words[j] for j in rng.integers(0, len(words), rng.integers(2, 6))]
-        style = i % 6
+        style = i % 9
         if style == 0:
             out.append("_".join(p.lower() for p in parts))
         elif style == 1:
@@ -100,6 +105,12 @@ def identifier_samples(words: Sequence[str], n: int, seed: int = 8) -> list[str]
             out.append("_".join(p.upper() for p in parts))
         elif style == 4:
             out.append("/".join(p.lower() for p in parts))
+        elif style == 5:
+            out.append("".join(map(str, rng.integers(0, 10, rng.integers(SHORTEST, 65)))))
+        elif style == 6:
+            out.append("-".join(f"{x:02d}" for x in rng.integers(0, 100, rng.integers(6, 20))))
+        elif style == 7:
+            out.append(str(rng.choice(list(ALPHABET + "-=_+/" * 8))) * int(rng.integers(SHORTEST, 65)))
         else:
             out.append("".join(p.lower() for p in parts) + str(rng.integers(0, 10_000)))
     return out
@@ -108,13 +119,15 @@ def identifier_samples(words: Sequence[str], n: int, seed: int = 8) -> list[str]
 def letter_names(words: Sequence[str], n: int, seed: int = 9) -> list[str]:
     """Labelled names of letters only: words alone and written together, in the cases that names have."""
     rng = np.random.default_rng(seed)
-    words = [w for w in words if w.isascii() and w.isalpha()] or ["value", "name", "index", "item"]
+    words = [w for w in words if w.isascii() and w.isalpha()] or list(NAMES)
     out = list(words)
     for i in range(n):
         parts = [words[j] for j in rng.integers(0, len(words), rng.integers(2, 8))]
-        style = i % 5
+        style = 5 if i % 30 == 29 else i % 5
         if style == 0:
             out.append("".join(p.lower() for p in parts))
+        elif style == 5:
+            out.append(str(rng.choice(list(ALPHABET[:52]))) * int(rng.integers(SHORTEST_LETTERS, 65)))
         elif style == 1:
             out.append("".join(p.upper() for p in parts))
         elif style == 2:
@@ -127,6 +140,8 @@ def letter_names(words: Sequence[str], n: int, seed: int = 9) -> list[str]:
 
 
 _ASCII = frozenset(ALPHABET)
+#: Words of identifiers where no trusted text has any.
+NAMES = ("value", "name", "index", "item", "count", "start", "first", "total", "address", "customer", "number", "created", "updated", "version", "content", "handler", "request", "response", "default", "service")
 #: Alphabets of keys of letters only.
 LETTERS = (ALPHABET[:52], ALPHABET[:26], ALPHABET[26:52])
 
@@ -138,29 +153,32 @@ def train(words: Sequence[str], *, samples: int = 4000, recall: float = 0.98, sp
     strings, and what spares the share ``spared`` of the held-out identifiers. Runs of
     letters only have models and a threshold of their own, fitted in the same way.
     """
-    letters = _fit(random_samples(samples, seed + 2, LETTERS), letter_names(words, 2 * samples, seed + 3), recall, spared, seed)
-    pair = _fit(random_samples(samples, seed), identifier_samples(words, samples, seed + 1), recall, spared, seed)
+    if not words:
+        warnings.warn("no trusted words: ordinary identifiers are made of a short built-in list", stacklevel=2)
+    letters = _fit(random_samples(samples, seed + 2, LETTERS, SHORTEST_LETTERS), letter_names(words, 2 * samples, seed + 3), recall, spared, seed, SHORTEST_LETTERS)
+    pair = _fit(random_samples(samples, seed), identifier_samples(words, 2 * samples, seed + 1), recall, spared, seed, SHORTEST)
     return replace(pair, letters=letters)
 
 
-def _fit(random: list[str], ordinary: list[str], recall: float, spared: float, seed: int) -> MarkovPair:
+def _fit(random: list[str], ordinary: list[str], recall: float, spared: float, seed: int, least: int) -> MarkovPair:
     rng = np.random.default_rng(seed)
     random, ordinary = ([x[i] for i in rng.permutation(len(x))] for x in (random, ordinary))
     fit = log_transitions(transition_counts(random[::2])) - log_transitions(transition_counts(ordinary[::2]))
-    pair = MarkovPair(fit, 0.0)
+    pair = MarkovPair(fit, 0.0, least)
     held = [pair.score(x) for x in random[1::2]]
     names = [pair.score(x) for x in ordinary[1::2] if len(x) >= pair.min_length]
-    return MarkovPair(fit, max(float(np.quantile(held, 1 - recall)), float(np.quantile(names, spared)) if names else 0.0))
+    return MarkovPair(fit, max(float(np.quantile(held, 1 - recall)), float(np.quantile(names, spared)) if names else 0.0), least)
 
 
 def trusted_words(documents: DataFrame, labels: DataFrame, *, rows: int = 400, words: int = 20_000) -> list[str]:
-    """Words of a bounded sample of trusted documents (quality 1, not toxic), the ones of the smallest ids.
+    """Words of a bounded sample of trusted documents (quality 1, not toxic), those of the smallest ids that are there.
 
     The bound is ``rows`` documents and ``words`` distinct words: it is the labelled sample
     that the identifier model is trained on, and the only thing that comes to the driver.
     """
-    trusted = labels.where("quality = 1 AND toxic = 0").select("doc_id").distinct().orderBy("doc_id").limit(rows)
-    texts = documents.select("doc_id", "text").join(F.broadcast(trusted), "doc_id", "left_semi")
+    trusted = labels.where("quality = 1 AND toxic = 0").select("doc_id").distinct()
+    chosen = documents.select("doc_id").join(trusted, "doc_id", "left_semi").distinct().orderBy("doc_id").limit(rows)
+    texts = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     word = F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"(?<![A-Za-z0-9+/_=-])[A-Za-z]{2,19}(?![A-Za-z0-9+/_=-])"), F.lit(0)))
     found = texts.select(word.alias("w")).groupBy("w").count().orderBy(F.desc("count"), "w").limit(words)
     return sorted(r["w"] for r in found.collect())
@@ -184,13 +202,10 @@ def model_spans(text: str, base: Sequence[tuple[int, int, int]], model: MarkovPa
     for m in RUN.finditer(text):
         start, end = m.span()
         run = m.group()
-        # A run of digits is a number and one of few different characters a rule, whatever its transitions.
-        if run.isdigit() or len(set(run)) < 8:
-            continue
         if any(s < end and start < e for s, _, e in base):
             continue
         pair = model.letters if model.letters and run.isalpha() else model
-        if pair.score(run) > pair.threshold:
+        if len(run) >= pair.min_length and pair.score(run) > pair.threshold:
             spans.append((start, 3, end))
     return spans
 
@@ -214,8 +229,8 @@ def scan(documents: DataFrame, model: MarkovPair, *, key: str = "doc_id", text:
 
     Offsets are code points, ends exclusive, by start, then kind. ``redacted`` adds the
     text with secrets replaced, as ``redacted``. Whole texts are scanned, of any length; a null
-    text counts as empty and has no spans. Repeated rows are scanned each. Only the
-    two columns are read.
+    text counts as empty and has no spans. Repeated rows are scanned each. Empty tables
+    give no rows. Only the two columns are read, so others cannot clash.
     """
     ship_package(documents.sparkSession)
     kind = documents.schema[key].dataType.simpleString()
@@ -244,7 +259,9 @@ def scan(documents: DataFrame, model: MarkovPair, *, key: str = "doc_id", text:
 def redact_documents(documents: DataFrame, model: MarkovPair, *, text: str = "text", length: str = "n_chars") -> DataFrame:
     """All rows and columns, with secrets in ``text`` replaced and ``length``, where there is such a column, set anew.
 
-    A null text stays null. Texts without secrets, and their lengths, stay as they are.
+    A null text stays null. Texts without secrets, and their lengths, stay as they are,
+    and so does every other column, whatever its name. Repeated rows are redacted each.
+    Empty tables give no rows.
     """
     ship_package(documents.sparkSession)
     at = documents.columns.index(text)

@@ -2,6 +2,7 @@ import hashlib
 import re
 
 import numpy as np
+import pytest
 
 from genoframe.llm import queries, secrets
 
@@ -50,7 +51,7 @@ def test_spans_of_letters_only():
     """Recall and false alarms of what model_spans returns, not of scores alone."""
     model = secrets.train(words())
     for alphabet in secrets.LETTERS:
-        assert found(secrets.random_samples(500, 41, [alphabet]), model) > 0.9
+        assert found(secrets.random_samples(500, 41, [alphabet], secrets.SHORTEST_LETTERS), model) > 0.9
     rng = np.random.default_rng(6)
     base62 = list(secrets.ALPHABET[:62])
     keys = ["".join(rng.choice(base62, size)) for size in (20, 24) for _ in range(4000)]
@@ -91,3 +92,60 @@ def test_edge_cases(spark, odd_documents, no_documents, odd_texts):
     given = spark.createDataFrame([(1, "token=abcdefgh é", 99), (2, None, None), (3, "plain", 5)], "doc_id long, text string, n_chars long")
     back = {r["doc_id"]: (r["text"], r["n_chars"]) for r in secrets.redact_documents(given, model).collect()}
     assert back == {1: ("[SECRET] é", 10), 2: (None, None), 3: ("plain", 5)}
+
+
+def test_nothing_but_the_models_decides():
+    """Numbers, rules and names are ordinary because the models learned so; short keys of mixed characters are found."""
+    model = secrets.train(words())
+    rng = np.random.default_rng(8)
+    digits = ["".join(map(str, rng.integers(0, 10, n))) for n in rng.integers(16, 60, 400)]
+    rules = [c * n for c in "-=_+/aZ0" for n in (16, 30, 64)]
+    assert found(digits, model) < 0.01 and found(rules, model) < 0.05
+    keys = ["".join(rng.choice(list(secrets.ALPHABET[:62]), size)) for size in (16, 17, 18, 19) for _ in range(300)]
+    assert found(keys, model) > 0.85
+
+
+def plain_model_spans(text, base, model):
+    """Maximal runs of key characters, scored transition by transition."""
+    out, at = [], 0
+    while at < len(text):
+        end = at
+        while end < len(text) and text[end] in secrets.ALPHABET:
+            end += 1
+        run = text[at:end]
+        letters = bool(run) and all(c.isascii() and c.isalpha() for c in run)
+        pair = model.letters if letters else model
+        if len(run) >= (20 if letters else 16) and not any(s < end and at < e for s, _, e in base):
+            before, total = secrets.START, 0.0
+            for c in run:
+                total += pair.ratio[before, secrets.ALPHABET.index(c)]
+                before = secrets.ALPHABET.index(c)
+            if total / len(run) > pair.threshold:
+                out.append((at, 3, end))
+        at = max(end, at + 1)
+    return out
+
+
+def test_added_spans_equal_brute_force(spark, sf):
+    """Every span of the query, over the whole table with keys planted in it."""
+    documents, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = secrets.train(secrets.trusted_words(documents, labels))
+    keys = secrets.random_samples(50, 123)
+    planted = {r["doc_id"]: (r["text"] or "") + f" key {keys[r['doc_id'] % 50]} and name_{r['doc_id']}_of_a_long_identifier" for r in documents.collect()}
+    table = spark.createDataFrame(list(planted.items()), "doc_id long, text string")
+    rows, added = secrets.scan(table, model).collect(), 0
+    for r in rows:
+        text = planted[r["doc_id"]]
+        base = plain_spans(text)
+        more = plain_model_spans(text, base, model)
+        added += len(more)
+        assert r["spans"] == ",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in sorted(base + more)) and r["n_markov"] == len(more)
+    assert added > 0.6 * len(rows)
+
+
+def test_sample_is_of_documents_that_are_there(spark):
+    documents = spark.createDataFrame([(50, "later words here"), (60, None), (50, "later words here")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(40)] + [(50, 1, 0), (60, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    assert secrets.trusted_words(documents, labels, rows=1) == ["here", "later", "words"]
+    with pytest.warns(UserWarning, match="no trusted words"):
+        secrets.train(secrets.trusted_words(documents, labels.where("false")))
