@@ -10,15 +10,14 @@ plus one strip.
 
 from __future__ import annotations
 
-import hashlib
 import io
 import struct
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from genoframe.session import ship_package, tidy
 
@@ -188,21 +187,23 @@ def tiles(grey: np.ndarray, size: int) -> list[bytes]:
     return [npy_bytes(grey[y : y + size, x : x + size]) for y in range(0, grey.shape[0], size) for x in range(0, grey.shape[1], size)]
 
 
-def process_media(df: DataFrame, column: str = "media", *, height: int = 32, width: int = 32, tile: int = 16) -> DataFrame:
+def process_media(df: DataFrame, column: str = "media", *, height: int = 32, width: int = 32, tile: int = 16, pixels: bool = False) -> DataFrame:
     """Adds ``media_error`` (string), ``media_height``, ``media_width`` (int), ``media_tiles`` (array of NPY bytes) and ``media_hash`` (string).
 
     ``column`` holds image bytes. They are decoded, made grey, resized by area to
-    ``height`` x ``width`` and cut into NPY tiles; the hash is of the whole image. A
-    null or unreadable value gives a null for every result and says why in
-    ``media_error``. Rows, ties and repeats are kept; columns of these names are replaced.
+    ``height`` x ``width`` and cut into NPY tiles; the hash is of the whole image.
+    ``pixels`` adds ``media_pixels``, the grey image's samples as binary. A null or
+    unreadable value gives a null for every result and says why in ``media_error``.
+    Rows, ties and repeats are kept; an empty table gives no rows; columns of these
+    names are replaced.
     """
     ship_package(df.sparkSession)
-    names = ["media_error", "media_height", "media_width", "media_tiles", "media_hash"]
+    kinds = {"media_error": pa.string(), "media_height": pa.int32(), "media_width": pa.int32(), "media_tiles": pa.list_(pa.binary()), "media_hash": pa.string()} | ({"media_pixels": pa.binary()} if pixels else {})
+    names = list(kinds)
     df = df.drop(*names)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), "media_error string", "media_height int", "media_width int", "media_tiles array<binary>", "media_hash string"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), "media_error string", "media_height int", "media_width int", "media_tiles array<binary>", "media_hash string", *(["media_pixels binary"] if pixels else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.string(), pa.int32(), pa.int32(), pa.list_(pa.binary()), pa.string()]
         for batch in batches:
             rows = []
             for value in batch.column(batch.schema.get_field_index(column)):
@@ -211,10 +212,10 @@ def process_media(df: DataFrame, column: str = "media", *, height: int = 32, wid
                     if data is None:
                         raise MediaError("null")
                     grey = to_grey(decode(bytes(data)))
-                    rows.append((None, grey.shape[0], grey.shape[1], tiles(resize_area(grey, height, width), tile), difference_hash(grey)))
+                    rows.append((None, grey.shape[0], grey.shape[1], tiles(resize_area(grey, height, width), tile), difference_hash(grey), grey.tobytes() if pixels else None))
                 except MediaError as error:
-                    rows.append((str(error), None, None, None, None))
-            extra = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
+                    rows.append((str(error), None, None, None, None, None))
+            extra = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds.values())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*batch.schema.names, *names])
 
     return df.mapInArrow(tidy(run), schema)
@@ -227,29 +228,33 @@ def payload_media(text: str | None) -> tuple[int, bytes]:
     return len(data), encode_pgm(np.frombuffer(padded, np.uint8).reshape(-1, PAYLOAD_WIDTH))
 
 
-def text_media(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Every whole text as a lossless image column and its features, one row for each row.
-
-    Columns: the key, ``n_bytes``, ``payload_bytes``, ``payload_sha256``, ``tail_crc32``
-    (of the payload read back from the stored image), ``media_bytes``, ``media_sha256``
-    (of the stored image) and ``feature`` (difference hash of the decoded image). A
-    null text counts as empty and makes one row of 64 zero bytes. Only the key and the
-    text are read, so other columns cannot clash.
-    """
+def payload_images(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The key, ``n_bytes`` (of the unpadded text) and ``media`` (the stored image) of every row."""
     ship_package(df.sparkSession)
-    kind = df.schema[key].dataType.simpleString()
-    schema = f"{key} {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns: list[list] = [[] for _ in range(7)]
-            for value in batch.column(1):
-                n, stored = payload_media(value.as_py())
-                grey = decode(stored)
-                back = grey.tobytes()
-                for column, x in zip(columns, (n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-PAYLOAD_WIDTH:]), len(stored), hashlib.sha256(stored).hexdigest(), difference_hash(grey)), strict=True):
-                    column.append(x)
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=[key, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-
-    return df.select(key, text).mapInArrow(tidy(run), schema)
+            stored = [payload_media(value.as_py()) for value in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in stored], pa.int64()), pa.array([x for _, x in stored], pa.binary())], names=[key, "n_bytes", "media"])
+
+    return df.select(key, text).mapInArrow(tidy(run), f"{key} {df.schema[key].dataType.simpleString()}, n_bytes long, media binary")
+
+
+def text_media(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Every whole text as a lossless image column, processed like any other image, and its features; one row for each row.
+
+    Columns: the key, ``n_bytes``, ``payload_bytes``, ``payload_sha256``, ``tail_crc32``
+    (of the samples that ``process_media`` read from the stored image), ``media_bytes``,
+    ``media_sha256`` (of the stored image) and ``feature`` (the difference hash, and a
+    checksum of the resized image's NPY tiles one after another). A null text counts as
+    empty and makes one row of 64 zero bytes. An empty table gives no rows. Only the
+    key and the text are read, so other columns cannot clash.
+    """
+    done = process_media(payload_images(df, key, text), "media", pixels=True)
+    payload = F.col("media_pixels")
+    tail = F.substring(payload, -PAYLOAD_WIDTH, PAYLOAD_WIDTH)
+    tile_sum = F.crc32(F.unhex(F.concat_ws("", F.transform("media_tiles", F.hex))))
+    return done.select(
+        key, "n_bytes", F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha2(payload, 256).alias("payload_sha256"), F.crc32(tail).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), F.concat_ws(":", "media_hash", F.lpad(F.lower(F.hex(tile_sum)), 8, "0")).alias("feature"),
+    )

@@ -154,6 +154,18 @@ def test_media_query(spark, sf, odd_documents, odd_texts, no_documents):
     assert media.text_media(no_documents).count() == 0
 
 
+def test_media_query_makes_tiles_and_hashes(spark, sf):
+    """The feature is of NPY tiles that were made, read back and put together again, and of the stored image's hash."""
+    rows = {r["doc_id"]: r for r in queries.op9_media_columns(spark, sf).collect()}
+    for r in media.process_media(media.payload_images(spark.read.parquet(f"{sf}/documents.parquet"))).collect():
+        grey = media.decode(bytes(r["media"]))
+        parts = [np.load(io.BytesIO(bytes(t))) for t in r["media_tiles"]]
+        small = np.block([parts[:2], parts[2:]])
+        assert np.array_equal(small, media.resize_area(grey, 32, 32)) and r["media_error"] is None
+        assert rows[r["doc_id"]]["feature"] == f"{media.difference_hash(grey)}:{zlib.crc32(b''.join(map(bytes, r['media_tiles']))):08x}"
+        assert (rows[r["doc_id"]]["media_bytes"], rows[r["doc_id"]]["media_sha256"]) == (len(r["media"]), hashlib.sha256(bytes(r["media"])).hexdigest())
+
+
 # --- top k --------------------------------------------------------------------------
 
 
