@@ -7,17 +7,31 @@ from pyspark.sql import functions as F
 
 from genoframe.model import literal_map
 
-# Canonical model names and their normalised aliases.
-MODELS = {
-    "MostFrequent": ("mostfrequent", "imputemostfrequent", "mostfreq", "mostfrequentbaseline"),
-    "RefAllele": ("refallele", "imputerefallele"),
-    "Autoencoder": ("autoencoder", "imputeautoencoder"),
-    "VAE": ("vae", "imputevae"),
-    "NLPCA": ("nlpca", "imputenlpca"),
-    "UBP": ("ubp", "imputeubp"),
+# Normalised aliases and the model that each names.
+MODEL_ALIASES = {
+    "mostfrequent": "MostFrequent",
+    "imputemostfrequent": "MostFrequent",
+    "mostfreq": "MostFrequent",
+    "mostfrequentbaseline": "MostFrequent",
+    "refallele": "RefAllele",
+    "imputerefallele": "RefAllele",
+    "autoencoder": "Autoencoder",
+    "imputeautoencoder": "Autoencoder",
+    "vae": "VAE",
+    "imputevae": "VAE",
+    "nlpca": "NLPCA",
+    "imputenlpca": "NLPCA",
+    "ubp": "UBP",
+    "imputeubp": "UBP",
+}
+# Masking strategies and their titles.
+STRATEGY_TITLES = {
+    "random": "Random",
+    "random weighted": "Random Weighted",
+    "random weighted inv": "Random Weighted Inv",
+    "nonrandom": "Nonrandom",
+    "nonrandom weighted": "Nonrandom Weighted",
 }
-# Strategies that have a title, the title being their words capitalised.
-STRATEGIES = ("random", "random weighted", "random weighted inv", "nonrandom", "nonrandom weighted")
 # Words that mark a data set as genomic.
 GENOMIC_TERMS = ("vcf", "phylip", "phy", "genepop", "rad-seq", "ddrad", "double-digest-rad", "genotyping-by-sequencing", "stacks", "ipyrad", "pyrad", "radseq", "gbs")
 
@@ -30,12 +44,12 @@ def dataset_key(text: Column) -> Column:
 
 def model_name(text: Column) -> Column:
     """The canonical name of a model alias, else UnknownModel."""
-    return F.coalesce(F.try_element_at(literal_map({alias: name for name, aliases in MODELS.items() for alias in aliases}), F.lower(F.regexp_replace(text, "[^A-Za-z0-9]", ""))), F.lit("UnknownModel"))
+    return F.coalesce(F.try_element_at(literal_map(MODEL_ALIASES), F.lower(F.regexp_replace(text, "[^A-Za-z0-9]", ""))), F.lit("UnknownModel"))
 
 
 def strategy_name(text: Column) -> Column:
     """The title of a masking strategy, else Unknown."""
-    return F.coalesce(F.when(F.lower(F.trim(text)).isin(*STRATEGIES), F.initcap(F.lower(F.trim(text)))), F.lit("Unknown"))
+    return F.coalesce(F.try_element_at(literal_map(STRATEGY_TITLES), F.lower(F.trim(text))), F.lit("Unknown"))
 
 
 def is_genomic(*columns: Column, terms: tuple[str, ...] = GENOMIC_TERMS) -> Column:

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from genoframe.operators.relate import running_total
 from genoframe.session import ship_package
 from genoframe.sources.tree import Tree
 
@@ -19,84 +18,86 @@ STATE = {pair: k for k, pair in enumerate(GENOTYPES)}
 LOCUS_BLOCK = 64
 
 
+#: Ordered pairs of bases to genotypes: a row for each of AA, AC, AG, AT, CA, ... TT, a column for each genotype.
+UNORDERED = np.array([[float(STATE[min(i, j), max(i, j)] == k) for k in range(len(GENOTYPES))] for i in range(4) for j in range(4)])
+
+
+def stationary(q: np.ndarray) -> np.ndarray:
+    """The law that a rate matrix leaves as it is: the solution of pi Q = 0 that sums to 1."""
+    n = len(q)
+    solved = np.linalg.lstsq(np.vstack([q.T, np.ones(n)]), np.append(np.zeros(n), 1.0), rcond=None)[0]
+    solved = np.maximum(solved, 0.0)
+    return solved / solved.sum() if solved.sum() > 0 else np.full(n, 1 / n)
+
+
 def repair_rates(q: np.ndarray) -> np.ndarray:
-    """A proper rate matrix: negative rates are 0, rows sum to 0, a row of zeros leaves slowly, and the mean rate is 1."""
-    q = np.array(q, float)
-    np.fill_diagonal(q, 0.0)
-    q = np.where(np.isfinite(q), np.maximum(q, 0.0), 0.0)
-    q[q.sum(axis=1) == 0] = 1e-8
-    np.fill_diagonal(q, 0.0)
-    exit_rates = q.sum(axis=1)
-    np.fill_diagonal(q, -exit_rates)
-    return q / exit_rates.mean()
-
-
-class Transitions:
-    """P(t) = V exp(Lambda t) V^-1 of one rate matrix, for ten genotypes or four bases."""
-
-    def __init__(self, q: np.ndarray, haploid: bool = False):
-        values, vectors = np.linalg.eig(repair_rates(q))
-        self.values, self.vectors, self.inverse, self.haploid = values, vectors, np.linalg.inv(vectors), haploid
-        self.known: dict[float, np.ndarray] = {}
-
-    def __call__(self, t: float) -> np.ndarray:
-        key = round(t, 12)
-        if key not in self.known:
-            p4 = np.real((self.vectors * np.exp(self.values * t)) @ self.inverse)
-            p4 = np.maximum(p4, 0.0)
-            p4 /= p4.sum(axis=1, keepdims=True)
-            self.known[key] = p4 if self.haploid else lump(p4)
-        return self.known[key]
-
-
-def lump(p4: np.ndarray) -> np.ndarray:
-    """Genotype transitions of two independent alleles: averaged over the orders of the source, summed over those of the target."""
-    ordered = np.kron(p4, p4).reshape(4, 4, 4, 4)  # source pair, target pair
-    out = np.zeros((10, 10))
-    for a, (i, j) in enumerate(GENOTYPES):
-        for b, (k, m) in enumerate(GENOTYPES):
-            source = (ordered[i, j] + ordered[j, i]) / 2
-            out[a, b] = source[k, m] if k == m else source[k, m] + source[m, k]
-    return out
-
-
-def posteriors(tree: Tree, emissions: np.ndarray, rates: np.ndarray, p: Transitions, min_length: float = 1e-10) -> np.ndarray:
+    """A proper rate matrix: negative rates are 0, rows sum to 0, a state without exits leaves at 1e-8 in all, and the mean rate under the stationary law is 1."""
+    rates = np.nan_to_num(np.array(q, float), posinf=0.0, neginf=0.0).clip(min=0.0)
+    others = 1.0 - np.eye(len(rates))
+    rates *= others
+    stuck = rates.sum(axis=1) == 0
+    rates[stuck] = 1e-8 * others[stuck] / (len(rates) - 1)
+    generator = rates - np.diag(rates.sum(axis=1))
+    mean = float(stationary(generator) @ rates.sum(axis=1))
+    return generator / mean if mean > 0 else generator
+
+
+def transitions(q: np.ndarray, times: np.ndarray, haploid: bool = False) -> np.ndarray:
+    """Transition matrices of a proper rate matrix at each time: of four bases, or of ten genotypes whose two alleles change on their own.
+
+    All times at once, from one decomposition. Genotypes average over the orders of
+    their source and add up those of their target.
+    """
+    values, right = np.linalg.eig(q)
+    bases = np.einsum("ik,tk,kj->tij", right, np.exp(np.multiply.outer(np.asarray(times, float), values)), np.linalg.inv(right)).real.clip(min=0.0)
+    bases /= bases.sum(axis=2, keepdims=True)
+    if haploid:
+        return bases
+    pairs = np.einsum("tik,tjl->tijkl", bases, bases).reshape(len(bases), 16, 16)
+    return (UNORDERED / UNORDERED.sum(axis=0)).T @ pairs @ UNORDERED
+
+
+def root_law(q: np.ndarray, haploid: bool = False) -> np.ndarray:
+    """The stationary law of bases, or of genotypes of two independent bases."""
+    bases = stationary(q)
+    return bases if haploid else np.outer(bases, bases).reshape(-1) @ UNORDERED
+
+
+def posteriors(tree: Tree, emissions: np.ndarray, moves: np.ndarray, root: np.ndarray) -> np.ndarray:
     """Posterior of each node's state before its own emission (for tips, what the rest of the tree says).
 
-    ``emissions``: loci x nodes x states, ones where nothing is observed. Partials are
-    normalised at every node, so nothing underflows.
+    ``emissions``: loci x nodes x states, ones where nothing is observed. ``moves``: nodes
+    x loci x states x states, along the branch above each node. What children say is
+    summed as logarithms, and a child's siblings are the sum without its own: linear in
+    children, and no product of many underflows.
     """
     loci, nodes, states = emissions.shape
-    children: list[list[int]] = [[] for _ in range(nodes)]
-    for i, parent in enumerate(tree.parent):
-        if parent >= 0:
-            children[parent].append(i)
-    moves: list[np.ndarray] = []
-    for i in range(nodes):
-        t = max(tree.length[i], min_length)
-        moves.append(np.stack([p(t * r) for r in rates]))
-    down = emissions.copy()
-    sent = np.ones_like(emissions)
+    heard = np.zeros((loci, nodes, states))  # logarithms of what each node's children say
+    said = np.zeros((loci, nodes, states))
     for i in range(nodes - 1, -1, -1):  # children come after their parents
-        for c in children[i]:
-            down[:, i] *= sent[:, c]
-        down[:, i] /= np.maximum(down[:, i].sum(axis=1, keepdims=True), 1e-300)
-        sent[:, i] = np.einsum("lab,lb->la", moves[i], down[:, i])
-    above = np.full((loci, nodes, states), 1.0 / states)
+        below = np.exp(heard[:, i] - heard[:, i].max(axis=1, keepdims=True)) * emissions[:, i]
+        below /= np.maximum(below.sum(axis=1, keepdims=True), 1e-300)
+        said[:, i] = np.log(np.maximum(np.einsum("lab,lb->la", moves[i], below), 1e-300))
+        if tree.parent[i] >= 0:
+            heard[:, tree.parent[i]] += said[:, i]
+    above = np.empty((loci, nodes, states))
     for i in range(nodes):
-        for c in children[i]:
-            rest = above[:, i] * emissions[:, i]
-            for other in children[i]:
-                if other != c:
-                    rest = rest * sent[:, other]
-            came = np.einsum("la,lab->lb", rest, moves[c])
-            above[:, c] = came / np.maximum(came.sum(axis=1, keepdims=True), 1e-300)
+        parent = tree.parent[i]
+        if parent < 0:
+            above[:, i] = root
+            continue
+        siblings = heard[:, parent] - said[:, i]
+        rest = above[:, parent] * emissions[:, parent] * np.exp(siblings - siblings.max(axis=1, keepdims=True))
+        came = np.einsum("la,lab->lb", rest, moves[i])
+        above[:, i] = came / np.maximum(came.sum(axis=1, keepdims=True), 1e-300)
     return above
 
 
 def impute_phylogeny(cells: DataFrame, tree: Tree, q: np.ndarray, rates: dict[int, float] | None = None, haploid: bool = False) -> DataFrame:
     """Missing calls from the posterior at their tip: the likeliest of 0, 1 and 2.
 
+    The root follows the stationary law; a rate matrix is repaired first and scaled to
+    a mean rate of 1 under it. Branches are 1e-10 long at least.
     ``cells``: ``sample_name``, ``locus_id``, ``g``, ``ref``, ``alt`` (one base each). Samples
     that are no tips keep their missing calls. Loci are independent: blocks of
     LOCUS_BLOCK go to one task call, with the tree and the matrix in the closure.
@@ -105,9 +106,10 @@ def impute_phylogeny(cells: DataFrame, tree: Tree, q: np.ndarray, rates: dict[in
     tips = {tree.name[i]: i for i in tree.leaves}
     base = {b: i for i, b in enumerate("ACGT")}
     rates = rates or {}
+    lengths = np.maximum(np.array(tree.length, float), 1e-10)
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        p = Transitions(q, haploid)
+        proper = repair_rates(q)
         frame = frame.reset_index(drop=True)
         loci, at = np.unique(frame["locus_id"], return_inverse=True)
         node = frame["sample_name"].map(tips)
@@ -123,7 +125,10 @@ def impute_phylogeny(cells: DataFrame, tree: Tree, q: np.ndarray, rates: dict[in
         for i in rows:
             emissions[at[i], int(nodes[i])] = 0.0
             emissions[at[i], int(nodes[i]), states[i, int(frame["g"][i])]] = 1.0
-        post = posteriors(tree, emissions, np.array([rates.get(int(x), 1.0) for x in loci]), p)
+        speeds, speed = np.unique([rates.get(int(x), 1.0) for x in loci], return_inverse=True)
+        tables = transitions(proper, np.multiply.outer(lengths, speeds).reshape(-1), haploid)
+        moves = tables.reshape(len(lengths), len(speeds), *tables.shape[1:])[:, speed]
+        post = posteriors(tree, emissions, moves, root_law(proper, haploid))
         filled = frame["g"].astype("Int32")
         for i in np.nonzero(frame["g"].isna().to_numpy() & node.notna().to_numpy())[0]:
             chance = post[at[i], int(nodes[i])][states[i]]
@@ -136,48 +141,41 @@ def impute_phylogeny(cells: DataFrame, tree: Tree, q: np.ndarray, rates: dict[in
     return blocks.groupBy("b").applyInPandas(lambda frame: run(frame), "sample_name string, locus_id long, imputed int")
 
 
-def draw_clades(tree: Tree, loci: list[int], observed: dict[int, int], prop: float, weighted: bool, seed: int) -> Iterator[tuple[int, int]]:
-    """(locus, node) draws for clade masking: at most an even share of the target in each locus, until it is met."""
-    rng = np.random.default_rng(seed)
-    below = tree.tips_below()
-    nodes = np.array([i for i, p in enumerate(tree.parent) if p >= 0])
-    weights = np.array([tree.length[i] for i in nodes])
-    weights = np.where(np.isfinite(weights) & (weights > 0), weights, 0.0)
-    chance = weights / weights.sum() if weighted and weights.sum() > 0 else None
-    target = round(prop * sum(observed.values()))
-    share = -(-target // max(1, len(loci)))
-    order = rng.permutation(loci)
-    for locus in order:
-        got = 0
-        for node in rng.choice(nodes, size=min(len(nodes), 16), replace=False, p=chance if chance is None or np.count_nonzero(chance) >= min(len(nodes), 16) else None):
-            size = len(below[node])
-            if got and got + size > share * 1.5:
-                continue
-            got += size
-            yield int(locus), int(node)
-            if got >= share:
-                break
-
-
 def mask_clades(spark: SparkSession, cells: DataFrame, tree: Tree, prop: float, *, weighted: bool = False, seed: int = 0) -> DataFrame:
     """``simulated`` for observed calls of whole clades, drawn for each locus; branch lengths weigh the draw if ``weighted``.
 
-    What the draws go beyond the target is released by hash order, so the share is exact to the cell.
-    No shared names fail. Only counts by locus and the draws pass the driver; cells
-    join them.
+    Every locus orders all clades (nodes but the root) by exponential draws, -ln(u) over
+    the branch's weight, and takes them in that order until its even share of the target
+    is met; a clade that would overshoot by half of it is passed over, unless it is the
+    first. What the draws go beyond the target is released by hash order, so the share
+    is exact to the cell. No shared names fail. The tree is what a tree file holds and
+    is broadcast; loci and cells stay in Spark.
     """
-    tips = [n for i, n in enumerate(tree.name) if i in set(tree.leaves)]
-    here = spark.createDataFrame([(t,) for t in tips], "sample_name string")
-    eligible = cells.where("g IS NOT NULL").join(F.broadcast(here), "sample_name", "left_semi")
-    counts = {r["locus_id"]: r["n"] for r in eligible.groupBy("locus_id").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts:
-        raise ValueError("tree and samples share no names")
     below = tree.tips_below()
-    draws = [(locus, tip) for locus, node in draw_clades(tree, sorted(counts), counts, prop, weighted, seed) for tip in below[node]]
-    chosen = spark.createDataFrame(draws or [(-1, "")], "locus_id long, sample_name string").distinct().withColumn("drawn", F.lit(True))
-    marked = cells.join(chosen, ["locus_id", "sample_name"], "left").withColumn("simulated", F.coalesce("drawn", F.lit(False)) & F.col("g").isNotNull())
-    excess = max(0, marked.agg(F.count_if("simulated")).collect()[0][0] - round(prop * sum(counts.values())))
-    if excess:
-        first = marked.where("simulated").orderBy(F.xxhash64("locus_id", "sample_name", F.lit(seed)), "locus_id", "sample_name").limit(excess).select("locus_id", "sample_name", F.lit(True).alias("freed"))
-        marked = marked.join(first, ["locus_id", "sample_name"], "left").withColumn("simulated", F.col("simulated") & F.col("freed").isNull()).drop("freed")
-    return marked.drop("drawn")
+    tips = spark.createDataFrame([(tree.name[i],) for i in tree.leaves], "sample_name string")
+    eligible = cells.where("g IS NOT NULL").join(F.broadcast(tips), "sample_name", "left_semi")
+    found = eligible.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("locus_id").alias("loci")).collect()[0]
+    if not found["n"]:
+        raise ValueError("tree and samples share no names")
+    target = round(prop * found["n"])
+    share = -(-target // found["loci"])
+    weights = {i: tree.length[i] if weighted and np.isfinite(tree.length[i]) and tree.length[i] > 0 else float(not weighted) for i, up in enumerate(tree.parent) if up >= 0}
+    if not any(weights.values()):
+        weights = dict.fromkeys(weights, 1.0)
+    clades = spark.createDataFrame([(i, float(w), len(below[i])) for i, w in weights.items() if w > 0], "node int, w double, size long")
+    u = (F.pmod(F.xxhash64("locus_id", "node", F.lit(seed)), F.lit(1 << 53)) + 1) / F.lit(float(1 << 53))
+    # A row for each locus and clade: the tree is small, and loci are dealt over tasks.
+    drawn = eligible.select("locus_id").distinct().join(F.broadcast(clades)).withColumn("turn", -F.log(u) / F.col("w"))
+    order = F.array_sort(F.collect_list(F.struct("turn", "node", "size")))
+    start = F.struct(F.lit(0).cast("long").alias("got"), F.array().cast("array<int>").alias("taken"))
+    fits = lambda s, c: (s["got"] < share) & ((s["got"] == 0) | (s["got"] + c["size"] <= share * 1.5))
+    step = lambda s, c: F.when(fits(s, c), F.struct((s["got"] + c["size"]).alias("got"), F.concat(s["taken"], F.array(c["node"])).alias("taken"))).otherwise(s)
+    taken = drawn.groupBy("locus_id").agg(order.alias("o")).select("locus_id", F.explode(F.aggregate("o", start, step)["taken"]).alias("node"))
+    members = spark.createDataFrame([(i, tip) for i in weights for tip in below[i]], "node int, sample_name string")
+    chosen = taken.join(F.broadcast(members), "node").select("locus_id", "sample_name").distinct().withColumn("drawn", F.lit(True))
+    marked = cells.join(chosen, ["locus_id", "sample_name"], "left").withColumn("simulated", F.coalesce("drawn", F.lit(False)) & F.col("g").isNotNull()).select(*cells.columns, "simulated")
+    excess = marked.agg(F.count_if("simulated")).collect()[0][0] - target
+    if excess <= 0:
+        return marked
+    released = running_total(marked.withColumn("freed", F.when(F.col("simulated"), F.pmod(F.xxhash64("locus_id", "sample_name", F.lit(seed)), F.lit(1 << 53)).cast("double"))), "freed", F.lit(1), "place", ["locus_id", "sample_name"])
+    return released.withColumn("simulated", F.col("simulated") & (F.col("place") > excess)).select(*cells.columns, "simulated")

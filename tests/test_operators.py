@@ -122,22 +122,59 @@ def test_tree(spark):
         parse_newick("((a,b);")
 
 
-def test_pruning_equals_enumeration():
-    """Posteriors of a tip equal a sum over all states of the inner nodes."""
-    tree = parse_newick("((a:0.3,b:0.2):0.1,c:0.4);")
-    q = np.array([[-1.0, 0.5, 0.3, 0.2], [0.1, -0.6, 0.3, 0.2], [0.4, 0.4, -1.0, 0.2], [0.2, 0.2, 0.2, -0.6]])
-    p = phylo.Transitions(q, haploid=True)
-    e = np.ones((1, len(tree.parent), 4))
-    at = {n: i for i, n in enumerate(tree.name) if n}
-    e[0, at["b"]], e[0, at["c"]] = np.eye(4)[1], np.eye(4)[2]
-    got = phylo.posteriors(tree, e, np.ones(1), p)[0, at["a"]]
-    want = np.zeros(4)
-    for r in range(4):
-        for i in range(4):
-            for a in range(4):
-                want[a] += 0.25 * p(0.4)[r, 2] * p(0.1)[r, i] * p(0.3)[i, a] * p(0.2)[i, 1]
+SKEWED = np.array([[-1.0, 0.5, 0.3, 0.2], [0.1, -0.6, 0.3, 0.2], [0.4, 0.4, -1.0, 0.2], [0.02, 0.02, 0.02, -0.06]])
+
+
+def test_rates_are_repaired_and_scaled():
+    q = phylo.repair_rates(SKEWED)
+    law = phylo.stationary(q)
+    assert law @ q == pytest.approx(np.zeros(4), abs=1e-12) and law.sum() == pytest.approx(1) and law[3] > 0.4
+    assert -(law @ np.diag(q)) == pytest.approx(1.0) and q.sum(axis=1) == pytest.approx(np.zeros(4), abs=1e-12)
+    stuck = phylo.repair_rates(np.array([[0, -3.0, np.nan, 1], [0, 0, 0, 0], [1, 1, 0, 1], [1, 1, 1, 0]]))
+    assert (stuck - np.diag(np.diag(stuck)) >= 0).all() and stuck[1, 0] == pytest.approx(stuck[1, 2]) and stuck[1, 0] > 0
+
+
+def test_transitions_are_exponentials():
+    q, t = phylo.repair_rates(SKEWED), 0.7
+    series, term = np.eye(4), np.eye(4)
+    for k in range(1, 60):
+        term = term @ q * t / k
+        series = series + term
+    assert phylo.transitions(q, np.array([t]), True)[0] == pytest.approx(series)
+    ten = phylo.transitions(q, np.array([0.0, t]))
+    assert ten[0] == pytest.approx(np.eye(10)) and ten.sum(axis=2) == pytest.approx(np.ones((2, 10)))
+    assert ten[1][1, 0] == pytest.approx(series[0, 0] * series[1, 0])  # AC to AA
+    assert ten[1][0, 1] == pytest.approx(2 * series[0, 0] * series[0, 1])  # AA to AC
+    assert phylo.root_law(q) @ ten[1] == pytest.approx(phylo.root_law(q))
+
+
+@pytest.mark.parametrize("haploid", [True, False])
+def test_pruning_equals_enumeration(haploid):
+    """Posteriors of a tip equal a sum over all states of the inner nodes, from the stationary law, for a skewed rate matrix."""
+    tree = parse_newick("((a:0.3,b:0.2,d:0.6):0.1,c:0.4);")
+    q, n = phylo.repair_rates(SKEWED), 4 if haploid else 10
+    p = lambda t: phylo.transitions(q, np.array([t]), haploid)[0]
+    e = np.ones((1, len(tree.parent), n))
+    at = {name: i for i, name in enumerate(tree.name) if name}
+    e[0, at["b"]], e[0, at["c"]], e[0, at["d"]] = np.eye(n)[1], np.eye(n)[2], np.eye(n)[1]
+    moves = np.stack([p(max(t, 1e-10)) for t in tree.length])[:, None]
+    got = phylo.posteriors(tree, e, moves, phylo.root_law(q, haploid))[0, at["a"]]
+    want = np.zeros(n)
+    for r in range(n):
+        for i in range(n):
+            for a in range(n):
+                want[a] += phylo.root_law(q, haploid)[r] * p(0.4)[r, 2] * p(0.1)[r, i] * p(0.3)[i, a] * p(0.2)[i, 1] * p(0.6)[i, 1]
     assert got == pytest.approx(want / want.sum())
-    assert phylo.Transitions(q)(0.3).sum(axis=1) == pytest.approx(np.ones(10))
+
+
+def test_many_children_do_not_underflow():
+    n = 3000
+    tree = parse_newick("(" + ",".join(f"t{i}:0.1" for i in range(n)) + ");")
+    e = np.ones((1, n + 1, 4))
+    e[0, 1 : n // 2] = np.eye(4)[1]
+    q = phylo.repair_rates(SKEWED)
+    moves = np.stack([phylo.transitions(q, np.array([max(t, 1e-10)]), True)[0] for t in tree.length])[:, None]
+    assert phylo.posteriors(tree, e, moves, phylo.root_law(q, True))[0, n].argmax() == 1
 
 
 def test_phylogeny_fills_from_sister(spark):
@@ -151,7 +188,11 @@ def test_clade_mask_hits_target(spark):
     tree = parse_newick(TREE)
     cells = spark.createDataFrame([(n, j, 0) for n in ("a", "b", "c", "d d") for j in range(10)], "sample_name string, locus_id long, g int")
     for weighted in (False, True):
-        assert phylo.mask_clades(spark, cells, tree, 0.25, weighted=weighted, seed=3).where("simulated").count() <= 10
+        masked = phylo.mask_clades(spark, cells, tree, 0.25, weighted=weighted, seed=3)
+        assert 5 <= masked.where("simulated").count() <= 10 and masked.count() == 40 and masked.columns == [*cells.columns, "simulated"]
+    lone = parse_newick("((a:0,b:0):0,(c:0,'d d':5.0):0);")
+    only = phylo.mask_clades(spark, cells, lone, 0.25, weighted=True, seed=3).where("simulated").select("sample_name").distinct().collect()
+    assert [r[0] for r in only] == ["d d"]  # the one branch with a length
     with pytest.raises(ValueError):
         phylo.mask_clades(spark, cells.withColumn("sample_name", F.lit("q")), tree, 0.25)
 
