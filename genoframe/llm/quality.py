@@ -18,7 +18,7 @@ a language fit, nothing has to be looked up.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -91,10 +91,35 @@ def _mixed(keys: np.ndarray) -> np.ndarray:
     return h * _MIX
 
 
-def slices(text: str) -> Iterator[np.ndarray]:
-    """A text's five-grams, SLICE characters at a time."""
-    for at in range(0, len(text), SLICE):
-        yield gram_codes(symbols(text[at : at + SLICE])) if not at else gram_codes(symbols(text[at - ORDER + 1 : at + SLICE])[ORDER - 1 :])
+def blocks(texts: Iterable[tuple[int, str]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Five-grams of texts, SLICE characters or a little more at once: codes, and the number that each one's text came with."""
+    held: list[str] = []
+    places: list[int] = []
+    size, before = 0, "\n" * (ORDER - 1)
+
+    def coded() -> tuple[np.ndarray, np.ndarray]:
+        lengths = np.array([len(x) for x in held])
+        # What a piece begins with is context, also for the codes that would reach into the piece before.
+        begins = np.cumsum(lengths) - lengths
+        own = np.ones(int(lengths.sum()), bool)
+        for i in range(ORDER - 1):
+            own[begins + i] = False
+        codes = gram_codes(symbols("".join(held)))[own]
+        out = codes, np.repeat(np.array(places), lengths - (ORDER - 1))
+        held.clear()
+        places.clear()
+        return out
+
+    for place, text in texts:
+        for at in range(0, len(text), SLICE):
+            held.append(before + text[:SLICE] if not at else text[at - ORDER + 1 : at + SLICE])
+            places.append(place)
+            size += len(held[-1])
+            if size >= SLICE:
+                yield coded()
+                size = 0
+    if held:
+        yield coded()
 
 
 def _discounts(n: np.ndarray) -> np.ndarray:
@@ -121,9 +146,8 @@ def count_grams(texts: DataFrame) -> DataFrame:
         for batch in batches:
             langs, texts = batch.column(0).to_pylist(), batch.column(1)
             for lang in dict.fromkeys(langs):
-                codes = [c for i, x in enumerate(langs) if x == lang for c in slices(texts[i].as_py() or "")]
-                if codes:
-                    held.setdefault(lang, []).append(np.unique(np.concatenate(codes), return_counts=True))
+                for codes, _ in blocks((i, texts[i].as_py() or "") for i, x in enumerate(langs) if x == lang):
+                    held.setdefault(lang, []).append(np.unique(codes, return_counts=True))
                 if sum(len(c) for c, _ in held.get(lang, ())) > HELD_GRAMS:
                     held[lang] = [summed(held[lang])]
                     if len(held[lang][0][0]) > HELD_GRAMS // 2:
@@ -320,33 +344,39 @@ def score(documents: DataFrame, model: Model, *, key: str = "doc_id", text: str
         tables: dict[str, Held] = {}
         row = TaskContext.get().partitionId() << 40
 
-        def said(grams: list[np.ndarray], name: str) -> tuple[float, np.ndarray, np.ndarray]:
-            """The sum of log-probabilities, and the five-grams that have to be looked up, with their counts."""
+        def said(name: str, bodies: list[tuple[int, str]]) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
+            """For each text the sum of log-probabilities, and the five-grams that have to be looked up, with their counts."""
             if name not in tables:
                 tables[name] = Held(*hot[name])
-            total, found = 0.0, [np.zeros(0, np.uint64)]
-            for codes in grams:
+            totals, found = dict.fromkeys((i for i, _ in bodies), 0.0), {}
+            for codes, places in blocks(bodies):
                 log_p, cold = tables[name].log_probabilities(codes)
-                total += float(log_p.sum())
-                found.append(codes[cold])
-            return total, *np.unique(np.concatenate(found), return_counts=True)
-
+                starts = np.concatenate([[0], np.nonzero(np.diff(places))[0] + 1])
+                for i, total in zip(places[starts].tolist(), np.add.reduceat(log_p, starts).tolist(), strict=True):
+                    totals[i] += total
+                for i in np.unique(places[cold]).tolist():
+                    found.setdefault(i, []).append(codes[cold & (places == i)])
+            return {i: (t, *(np.unique(np.concatenate(found[i]), return_counts=True) if i in found else (none, none))) for i, t in totals.items()}
+
+        none = np.zeros(0, np.uint64)
         for batch in batches:
             keys, first, second, langs, texts, twice = batch.columns
+            bodies = [t.as_py() or "" for t in texts]
+            owners = [own if own in hot else ALL for own in langs.to_pylist()]
+            by_model: dict[str, list[tuple[int, str]]] = {}
+            for i, (name, body) in enumerate(zip(owners, bodies, strict=True)):
+                if body and name in hot:
+                    by_model.setdefault(name, []).append((i, body))
+            results = {i: r for name, texts_of in by_model.items() for i, r in said(name, texts_of).items()}
+            again = twice.to_pylist()
+            seconds = said(ALL, [(i, bodies[i]) for i, (total, codes, _) in results.items() if owners[i] != ALL and (len(codes) or again[i] or -total / len(bodies[i]) > means[owners[i]] + SUSPECT)]) if ALL in hot else {}
             out: list[tuple] = []
             for i, own in enumerate(langs.to_pylist()):
-                body = texts[i].as_py() or ""
-                name = own if own in hot else ALL
-                none = np.zeros(0, np.int64)
-                if not body or name not in hot:
-                    out.append((row, i, own, name, False, len(body), 0.0, none, none))
-                else:
-                    grams = list(slices(body))
-                    total, codes, counts = said(grams, name)
-                    out.append((row, i, own, name, False, len(body), total, codes.view(np.int64), counts))
-                    if name != ALL and (len(codes) or twice[i].as_py() or -total / len(body) > means[name] + SUSPECT):
-                        total, codes, counts = said(grams, ALL)
-                        out.append((row, i, own, ALL, True, len(body), total, codes.view(np.int64), counts))
+                total, codes, counts = results.get(i, (0.0, none, none))
+                out.append((row, i, own, owners[i], False, len(bodies[i]), total, codes.view(np.int64), counts.view(np.int64)))
+                if i in seconds:
+                    total, codes, counts = seconds[i]
+                    out.append((row, i, own, ALL, True, len(bodies[i]), total, codes.view(np.int64), counts.view(np.int64)))
                 row += 1
             columns = list(zip(*out, strict=True)) if out else [()] * 9
             at = pa.array(columns[1], pa.int64())
