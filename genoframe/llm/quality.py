@@ -32,13 +32,15 @@ from genoframe.session import cut, ship_package, tidy
 
 ORDER = 5
 #: Rows of the model that every worker holds, of 16 bytes each.
-HOT = 1 << 20
+HOT = 1 << 21
 #: Trusted characters that a language needs for a model of its own; others are scored by the model of all text.
 MIN_CHARACTERS = 20_000
 ALL = "*"
 #: Characters that are told apart, of so many bits each, and from where on they share classes.
 BITS, OWN = 12, 0x800
 ALPHABET = 1 << BITS
+#: Nats that a character costs at most.
+MOST = 20.0
 #: Bits of the Bloom filter for each row, and its most 64-bit words: beyond them it says "maybe" more often, and more is looked up.
 FILTER_BITS, FILTER_WORDS = 10, 1 << 22
 #: Characters of average text that each document's mean is smoothed with: short texts say little.
@@ -172,7 +174,7 @@ class Held:
     """The rows of one language that a worker holds: an open hash table of keys. And the filter of all rows, where there are others."""
 
     def __init__(self, keys: np.ndarray, log_p: np.ndarray, log_left: np.ndarray, filter_words: np.ndarray | None):
-        bits = max(4, int(2 * len(keys)).bit_length())
+        bits = max(4, int(1.5 * len(keys)).bit_length())
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
         self.keys, self.words = np.full(1 << bits, NOTHING), filter_words
         self.log_p, self.log_left = np.full(1 << bits, np.nan, np.float32), np.zeros(1 << bits, np.float32)
@@ -326,12 +328,13 @@ def train(texts: DataFrame) -> Model:
 
 
 def score(documents: DataFrame, model: Model, *, key: str = "doc_id", text: str = "text", lang: str = "lang", both: str = "false") -> DataFrame:
-    """For each row, and each model that it is scored by: ``row`` (its place), key, ``h1``, ``h2``, ``lang``, ``model``, ``second``, ``n_chars_scored``, ``nats`` (mean, smoothed) and ``perplexity``.
+    """For each row, and each model that it is scored by: ``row`` (its place), key, ``h1``, ``h2``, ``lang``, ``model``, ``second``, ``n_chars_scored``, ``suspect``, ``nats`` (mean, smoothed) and ``perplexity``.
 
     A row is scored by its language's model, by that of all text where there is none.
-    A text that its language's model finds unlikely is scored by the model of all text
-    too (``second``): named languages can be wrong. So is every row for which the SQL
-    condition ``both`` holds. Null and empty texts have no characters and a null perplexity.
+    A text that its language's model finds unlikely (``suspect``: by SUSPECT nats a
+    character) is scored by the model of all text too (``second``): named languages can
+    be wrong. So is every row for which the SQL condition ``both`` holds, and what may
+    be suspect before it is looked up. Null and empty texts have no characters and a null perplexity.
     """
     spark = documents.sparkSession
     ship_package(spark)
@@ -354,8 +357,11 @@ def score(documents: DataFrame, model: Model, *, key: str = "doc_id", text: str
                 starts = np.concatenate([[0], np.nonzero(np.diff(places))[0] + 1])
                 for i, total in zip(places[starts].tolist(), np.add.reduceat(log_p, starts).tolist(), strict=True):
                     totals[i] += total
-                for i in np.unique(places[cold]).tolist():
-                    found.setdefault(i, []).append(codes[cold & (places == i)])
+                if cold.any():
+                    asked, of = codes[cold], places[cold]
+                    ends = np.concatenate([np.nonzero(np.diff(of))[0] + 1, [len(of)]])
+                    for start, end in zip(np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist(), strict=True):
+                        found.setdefault(int(of[start]), []).append(asked[start:end])
             return {i: (t, *(np.unique(np.concatenate(found[i]), return_counts=True) if i in found else (none, none))) for i, t in totals.items()}
 
         none = np.zeros(0, np.uint64)
@@ -369,7 +375,9 @@ def score(documents: DataFrame, model: Model, *, key: str = "doc_id", text: str
                     by_model.setdefault(name, []).append((i, body))
             results = {i: r for name, texts_of in by_model.items() for i, r in said(name, texts_of).items()}
             again = twice.to_pylist()
-            seconds = said(ALL, [(i, bodies[i]) for i, (total, codes, _) in results.items() if owners[i] != ALL and (len(codes) or again[i] or -total / len(bodies[i]) > means[owners[i]] + SUSPECT)]) if ALL in hot else {}
+            # What has to be looked up may be as unlikely as can be: such a text is scored twice, and judged by its exact sum.
+            may = lambda i, total, counts: -total + MOST * int(counts.sum()) > (means[owners[i]] + SUSPECT) * len(bodies[i])
+            seconds = said(ALL, [(i, bodies[i]) for i, (total, _, counts) in results.items() if owners[i] != ALL and (again[i] or may(i, total, counts))]) if ALL in hot else {}
             out: list[tuple] = []
             for i, own in enumerate(langs.to_pylist()):
                 total, codes, counts = results.get(i, (0.0, none, none))
@@ -396,7 +404,8 @@ def score(documents: DataFrame, model: Model, *, key: str = "doc_id", text: str
     whole = whole.join(F.broadcast(means), "model", "left")  # a row for each language
     nats = -(F.col("log_sum") + F.coalesce(F.col("gained"), F.lit(0.0)))
     smoothed = F.when(F.col("n_chars_scored") > 0, (nats + PRIOR * F.coalesce(F.col("mean"), F.lit(0.0))) / (F.col("n_chars_scored") + PRIOR))
-    return whole.select(*names[:-3], smoothed.alias("nats")).withColumn("perplexity", F.exp("nats"))
+    suspect = nats > (F.col("mean") + SUSPECT) * F.col("n_chars_scored")
+    return whole.select(*names[:-3], F.coalesce(suspect, F.lit(False)).alias("suspect"), smoothed.alias("nats")).withColumn("perplexity", F.exp("nats"))
 
 
 def look_up(cold: DataFrame, rows: DataFrame) -> DataFrame:
@@ -447,7 +456,7 @@ def classify(documents: DataFrame, labels: DataFrame, *, key: str = "doc_id", te
     low is as suspect as too high: text that repeats itself is too easy. A language
     without trusted documents, and a null one, goes by the bounds of all text, those of
     held-out documents of every language under the model of all text. A document above
-    its language's bounds is kept if it lies between the bounds of all text under that
+    its language's bounds, and suspect, is kept if it lies between the bounds of all text under that
     model; what is reported then is that perplexity and those bounds.
 
     Null and empty texts have a null perplexity and are not kept. With no trusted text
@@ -476,7 +485,7 @@ def classify(documents: DataFrame, labels: DataFrame, *, key: str = "doc_id", te
     seconds = scored.where("second").select("row", F.col("nats").alias("all_nats"))
     judged = firsts.join(plain, "own", "left").join(last, F.lit(True), "left").join(seconds, "row", "left")
     judged = judged.withColumn("low", F.coalesce("own_low", "all_low")).withColumn("high", F.coalesce("own_high", "all_high"))
-    saved = F.coalesce((F.col("nats") > F.col("high")) & F.col("all_nats").between(F.col("all_low"), F.col("all_high")), F.lit(False))
+    saved = F.coalesce(F.col("suspect") & (F.col("nats") > F.col("high")) & F.col("all_nats").between(F.col("all_low"), F.col("all_high")), F.lit(False))
     pick = lambda a, b: F.exp(F.when(saved, F.col(a)).otherwise(F.col(b)))
     keep = F.col("nats").isNotNull() & (saved | F.coalesce(F.col("nats").between(F.col("low"), F.col("high")), F.lit(True)))
     return judged.select("row", key, "h1", "h2", "lang", pick("all_nats", "nats").alias("perplexity"), pick("all_low", "low").alias("threshold_low"), pick("all_high", "high").alias("threshold_high"), keep.alias("keep"))
