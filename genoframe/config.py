@@ -96,10 +96,8 @@ def flatten(tree: Mapping[str, Any], prefix: str = "") -> dict[str, Any]:
 
 
 def effective(preset: str | None = None, document: Mapping[str, Any] | str | None = None, flags: Mapping[str, Any] | None = None, sets: Mapping[str, Any] | None = None) -> Config:
-    """Defaults < preset < document < flags < sets. A document is a mapping or JSON."""
-    if isinstance(document, str):
-        document = json.loads(document)
-    document = dict(document or {})
+    """Defaults < preset < document < flags < sets. A document is a mapping, JSON, YAML, or the path of a file of these."""
+    document = read_document(document)
     preset = preset or document.pop("preset", None)
     if preset is not None and preset not in PRESETS:
         raise KeyError(preset)
@@ -109,6 +107,29 @@ def effective(preset: str | None = None, document: Mapping[str, Any] | str | Non
     return config
 
 
+def read_document(document: Mapping[str, Any] | str | None) -> dict[str, Any]:
+    """A mapping as it is; a string as JSON or YAML text, or as the path of such a file."""
+    if document is None or isinstance(document, Mapping):
+        return dict(document or {})
+    if document.endswith((".yaml", ".yml", ".json")):
+        with open(document) as file:
+            document = file.read()
+    if document.lstrip().startswith("{"):
+        return json.loads(document)
+    import yaml
+
+    return yaml.safe_load(document) or {}
+
+
+def effective_parameters(base: Any, presets: Mapping[str, Mapping[str, Any]], preset: str | None, document: Mapping[str, Any] | str | None, sets: Mapping[str, Any]) -> Any:
+    """One model's parameters: base < preset (the document may name it) < document < sets; unknown presets and keys raise KeyError."""
+    document = read_document(document)
+    preset = preset or document.pop("preset", None)
+    for layer in (presets[preset] if preset else {}, flatten(document), sets):
+        base = override(base, layer)
+    return base
+
+
 def best_parameters(text: str, aliases: Mapping[str, str] | None = None, ignored: tuple[str, ...] = ()) -> dict[str, Any]:
     """Saved best parameters as dotted changes, aliases applied, derived keys left out."""
     aliases = aliases or {}

@@ -75,7 +75,7 @@ def base_to_int(value: Column) -> Column:
 def alt_mask(alt: Column) -> Column:
     """Array of four booleans, which bases an ALT list (comma-joined) names; all tokens count."""
     tokens = F.split(F.upper(alt), ",")
-    return F.array(*[F.array_contains(F.transform(tokens, F.trim), b) for b in BASES])
+    return F.array(*[F.array_contains(F.transform(tokens, lambda t: F.trim(t)), b) for b in BASES])
 
 
 def zygosity(code: Column, ref: Column, alt: Column) -> Column:

@@ -87,7 +87,7 @@ def read_genepop(spark: SparkSession, path: str) -> DataFrame:
     marks = lines.where("pop").select(F.col("line").alias("at"))
     first = marks.agg(F.min("at").alias("first"))
     names = lines.crossJoin(F.broadcast(first)).where("line > 0 AND line < first").groupBy().agg(F.array_sort(F.collect_list(F.struct("line", "value"))).alias("l"))
-    names = names.select(F.flatten(F.transform("l", lambda x: F.transform(F.split(x["value"], ","), F.trim))).alias("names"))
+    names = names.select(F.flatten(F.transform("l", lambda x: F.transform(F.split(x["value"], ","), lambda n: F.trim(n)))).alias("names"))
     data = lines.where(~F.col("pop")).join(F.broadcast(marks), F.col("at") < F.col("line")).groupBy("line", "value").agg(F.count(F.lit(1)).alias("k"))
     parted = data.select(F.concat(F.lit("Pop"), F.col("k").cast("string")).alias("pop_id"), F.trim(F.substring_index("value", ",", 1)).alias("sample_name"), F.posexplode(F.split(F.trim(F.regexp_replace("value", r"^[^,]*,", "")), r"\s+")).alias("i", "c"))
     half = F.floor(F.length("c") / F.lit(2.0)).cast("int")
