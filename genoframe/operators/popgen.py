@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from genoframe.session import cut, ship_package
+
 
 def _over(a: Column, b: Column) -> Column:
     return F.try_divide(a.cast("double"), b.cast("double"))
@@ -70,48 +76,102 @@ def dataset_summary(stats: DataFrame, digits: int = 8) -> DataFrame:
     return stats.groupBy("pop_id").agg(*aggs)
 
 
-def kelly_zns(cells: DataFrame, *, block: int = 50, max_loci: int | None = None) -> DataFrame:
-    """``pairs``, ``zns``: mean squared correlation over pairs of varying loci, missing calls at their locus's mean.
+#: Loci of a tile, and samples of one on average: 64 x 4096 calls are 2 MB.
+TILE_LOCI, TILE_SAMPLES = 64, 4096
+
 
-    Blocks, not cells, are paired: a locus is one array of deviations over all
-    samples in order, loci gather in blocks, and each pair of blocks is joined once, so no
-    row is made for a sample of a pair. ``max_loci`` gives null above it, as the
-    reference does; by default there is no bound. A sample without a cell at a locus counts as the mean.
+def pair_sums(cells: DataFrame, value: str, *, loci: int = TILE_LOCI, samples: int = TILE_SAMPLES) -> DataFrame:
+    """``l1`` < ``l2``, ``n`` samples that have rows of both loci, ``s`` the sum of the products of ``value``, for every pair of loci that occur.
+
+    Cells are packed into tiles of loci x samples. A tile goes to each pair of locus
+    blocks that it is part of, a task multiplies the two tiles of a part of the samples
+    as matrices and adds up over the parts, and only pairs of loci leave it: no row is
+    made for a sample of a pair.
+    """
+    ship_package(cells.sparkSession)
+    parts = max(1, -(-cells.agg(F.approx_count_distinct("sample_id")).collect()[0][0] // samples))
+    narrow = cells.select(F.floor(F.col("locus_id") / F.lit(float(loci))).alias("block"), F.pmod(F.xxhash64("sample_id"), F.lit(parts)).cast("long").alias("part"), "locus_id", "sample_id", F.col(value).cast("double").alias("x"))
+
+    def pack(table: pa.Table) -> pa.Table:
+        binary = [pa.array([table.column(c).to_numpy().astype(t).tobytes()], pa.binary()) for c, t in (("locus_id", np.int64), ("sample_id", np.int64), ("x", np.float64))]
+        return pa.table([table.column("block")[:1], table.column("part")[:1], *binary], names=["block", "part", "l", "p", "x"])
+
+    tiles = cut(narrow.groupBy("block", "part").applyInArrow(lambda t: pack(t), "block long, part long, l binary, p binary, x binary"))
+    blocks = [r[0] for r in tiles.select("block").distinct().collect()]  # one for TILE_LOCI loci
+    other = F.explode(F.array(*map(F.lit, blocks))) if blocks else F.explode(F.array().cast("array<long>"))
+    paired = tiles.withColumn("other", other)
+    paired = paired.select(F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "part", (F.col("block") > F.col("other")).alias("second"), "l", "p", "x")
+    dealt = paired.repartition("b1", "b2").sortWithinPartitions("b1", "b2", "part", "second")
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, part, first = None, None, None
+        sums = counts = np.zeros((loci, loci))
+        met = [np.zeros(loci, bool), np.zeros(loci, bool)]
+
+        def product(a: tuple, b: tuple) -> None:
+            people = np.unique(np.concatenate([a[1], b[1]]))
+            dense = []
+            for l, p, x in (a, b):
+                at = (l % loci, np.searchsorted(people, p))
+                tile, here = np.zeros((loci, len(people))), np.zeros((loci, len(people)))
+                tile[at], here[at] = x, 1.0
+                dense.append((tile, here))
+            np.add(sums, dense[0][0] @ dense[1][0].T, out=sums)
+            np.add(counts, dense[0][1] @ dense[1][1].T, out=counts)
+
+        def said() -> pa.RecordBatch:
+            i, j = np.nonzero(met[0][:, None] & met[1][None, :])
+            l1, l2 = now[0] * loci + i, now[1] * loci + j
+            keep = l1 < l2
+            return pa.RecordBatch.from_arrays([pa.array(l1[keep]), pa.array(l2[keep]), pa.array(counts[i, j][keep].astype(np.int64)), pa.array(sums[i, j][keep])], names=["l1", "l2", "n", "s"])
+
+        for batch in batches:
+            for b1, b2, at, second, *raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (b1, b2) != now:
+                    if now is not None:
+                        yield said()
+                    now, part, sums, counts, met = (b1, b2), None, np.zeros((loci, loci)), np.zeros((loci, loci)), [np.zeros(loci, bool), np.zeros(loci, bool)]
+                tile = tuple(np.frombuffer(x, t) for x, t in zip(raw, (np.int64, np.int64, np.float64), strict=True))
+                met[int(second)][tile[0] % loci] = True
+                if b1 == b2:
+                    met[1][tile[0] % loci] = True
+                    product(tile, tile)
+                elif not second:
+                    part, first = at, tile
+                elif part == at:
+                    product(first, tile)
+        if now is not None:
+            yield said()
+
+    return dealt.mapInArrow(multiply, "l1 long, l2 long, n long, s double")
+
+
+def standardised(cells: DataFrame) -> DataFrame:
+    """Called cells of varying loci with ``z``, the deviation over the root of the locus's sum of squares; missing calls are at the mean and add nothing."""
+    g = F.col("g").cast("double")
+    moments = cells.where("g IS NOT NULL").groupBy("locus_id").agg(F.avg(g).alias("mean"), (F.sum(g * g) - F.sum(g) * F.sum(g) / F.count(g)).alias("ss")).where("ss > 1e-12")
+    return cells.where("g IS NOT NULL").join(moments, "locus_id").select("sample_id", "locus_id", ((g - F.col("mean")) / F.sqrt("ss")).alias("z"))
+
+
+def kelly_zns(cells: DataFrame, *, block: int = TILE_LOCI, max_loci: int | None = None) -> DataFrame:
+    """``pairs``, ``zns``: mean squared correlation over pairs of varying loci, missing calls at their locus's mean.
+
+    ``max_loci`` gives null above it, as the reference does; by default there is no bound.
     """
-    own = Window.partitionBy("locus_id")
-    mean = F.avg("g").over(own)
-    moments = cells.withColumn("d", F.coalesce(F.col("g").cast("double") - mean, F.lit(0.0)))
-    varying = moments.groupBy("locus_id").agg(F.sum(F.col("d") * F.col("d")).alias("ss"), F.map_from_entries(F.collect_list(F.struct("sample_id", "d"))).alias("m")).where("ss > 1e-12")
-    if max_loci is not None and varying.count() > max_loci:
+    varying = standardised(cells)
+    if max_loci is not None and varying.agg(F.count_distinct("locus_id")).collect()[0][0] > max_loci:
         return cells.sparkSession.createDataFrame([(None, None)], "pairs long, zns double")
-    samples = cells.select("sample_id").distinct().agg(F.array_sort(F.collect_list("sample_id")).alias("samples"))
-    vectors = varying.crossJoin(F.broadcast(samples)).select("locus_id", F.transform("samples", lambda s: F.coalesce(F.try_element_at("m", s), F.lit(0.0)) / F.sqrt("ss")).alias("v"))
-    tiles = vectors.groupBy(F.floor(F.col("locus_id") / block).alias("b")).agg(F.collect_list(F.struct("locus_id", "v")).alias("t"))
-    left, right = tiles.select(F.col("b").alias("lb"), F.col("t").alias("l")), tiles.select(F.col("b").alias("rb"), F.col("t").alias("r"))
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, z: s + z)
-    inner = lambda x: F.aggregate("r", F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("s")), lambda s, y: F.when(y["locus_id"] > x["locus_id"], F.struct((s["n"] + 1).alias("n"), (s["s"] + F.pow(dot(x["v"], y["v"]), F.lit(2.0))).alias("s"))).otherwise(s))
-    summed = left.join(right, F.col("lb") <= F.col("rb")).select(F.explode(F.transform("l", inner)).alias("e"))
-    return summed.agg(F.sum("e.n").alias("pairs"), F.round(F.try_divide(F.sum("e.s"), F.sum("e.n").cast("double")), 8).alias("zns"))
+    return pair_sums(varying, "z", loci=block).agg(F.count(F.lit(1)).alias("pairs"), F.round(F.avg(F.col("s") * F.col("s")), 8).alias("zns"))
 
 
 def correlations(cells: DataFrame, digits: int = 8) -> DataFrame:
     """``l1`` < ``l2``, ``r`` for every pair of varying loci, missing calls at their locus's mean."""
-    mean = F.avg("g").over(Window.partitionBy("locus_id"))
-    d = cells.select("sample_id", "locus_id", F.coalesce(F.col("g").cast("double") - mean, F.lit(0.0)).alias("d"))
-    ss = d.groupBy("locus_id").agg(F.sum(F.col("d") * F.col("d")).alias("ss")).where("ss > 1e-12")
-    d = d.join(ss, "locus_id").withColumn("z", F.col("d") / F.sqrt("ss"))
-    left, right = d.select("sample_id", F.col("locus_id").alias("l1"), F.col("z").alias("x")), d.select("sample_id", F.col("locus_id").alias("l2"), F.col("z").alias("y"))
-    met = left.join(right, "sample_id").where("l1 < l2").groupBy("l1", "l2").agg(F.sum(F.col("x") * F.col("y")).alias("s"))
-    # Loci that no sample has both of still are a pair, of correlation 0.
-    every = ss.select(F.col("locus_id").alias("l1")).join(ss.select(F.col("locus_id").alias("l2")), F.col("l1") < F.col("l2"))
-    return every.join(met, ["l1", "l2"], "left").select("l1", "l2", (F.round(F.coalesce("s", F.lit(0.0)), digits) + F.lit(0.0)).alias("r"))  # adding 0 turns -0.0 into 0.0
+    return pair_sums(standardised(cells), "z").select("l1", "l2", (F.round("s", digits) + F.lit(0.0)).alias("r"))  # adding 0 turns -0.0 into 0.0
 
 
 def locus_pairs(cells: DataFrame) -> DataFrame:
-    """``l1`` < ``l2``, ``n`` samples with both calls, ``sxy`` sum of products. Equi-join on the sample, order of loci as the range part."""
-    called = cells.where("g IS NOT NULL")
-    left, right = called.select("sample_id", F.col("locus_id").alias("l1"), F.col("g").alias("x")), called.select("sample_id", F.col("locus_id").alias("l2"), F.col("g").alias("y"))
-    return left.join(right, "sample_id").where("l1 < l2").groupBy("l1", "l2").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("x") * F.col("y")).alias("sxy"))
+    """``l1`` < ``l2``, ``n`` samples with both calls, ``sxy`` sum of products, for loci that share a sample."""
+    return pair_sums(cells.where("g IS NOT NULL"), "g").where("n > 0").select("l1", "l2", "n", F.col("s").cast("long").alias("sxy"))
 
 
 def nearest_loci(pairs: DataFrame, k: int) -> DataFrame:

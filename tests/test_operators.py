@@ -253,3 +253,20 @@ def test_large_hypergeometric_special_functions():
     assert incomplete_beta(2, 3, 0.4) == pytest.approx(0.5248)
     assert f_survival(4.0, 1, 1e9) == pytest.approx(0.0455, abs=1e-4)
     assert yeo_johnson_lambda(np.expm1(np.random.default_rng(0).normal(2, 0.3, 4000))) == pytest.approx(0.0, abs=0.15)
+
+
+def test_pair_sums_equal_plain_sums(spark):
+    """Tiles of any size: loci and samples that lie in different tiles, samples without a row, ids with gaps."""
+    rng = np.random.default_rng(4)
+    rows = [(int(s) * 3 - 20, int(locus) * 5 - 7, float(x)) for s in range(30) for locus, x in enumerate(rng.integers(0, 3, 14)) if rng.random() < 0.6]
+    cells = spark.createDataFrame(rows, "sample_id long, locus_id long, x double")
+    want = {}
+    for s, l1, x in rows:
+        for t, l2, y in rows:
+            if s == t and l1 < l2:
+                n, total = want.get((l1, l2), (0, 0.0))
+                want[l1, l2] = (n + 1, total + x * y)
+    for loci, samples in ((64, 4096), (4, 5), (7, 1)):
+        got = {(r["l1"], r["l2"]): (r["n"], r["s"]) for r in popgen.pair_sums(cells, "x", loci=loci, samples=samples).collect()}
+        assert len(got) == 14 * 13 // 2 and {k: v for k, v in got.items() if v[0]} == want
+    assert popgen.pair_sums(cells.where("false"), "x").count() == 0
