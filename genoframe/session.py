@@ -96,6 +96,19 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(context.applicationId)
 
 
+_KEPT: dict[object, object] = {}
+
+
+def kept(owner: object, key: object, make: Callable[[], object]) -> object:
+    """A value that a Python worker keeps between tasks: made once for each owner (a broadcast's id) and key; another owner's values go first."""
+    if _KEPT.get("owner") != owner:
+        _KEPT.clear()
+        _KEPT["owner"] = owner
+    if key not in _KEPT:
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def tidy(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A batch function that gives freed memory back to the system when its task ends; workers outlive tasks and stages."""
 
