@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from genoframe.llm import bpe
-from genoframe.session import cut, ship_package, tidy
+from genoframe.session import cut, kept, ship_package, tidy
 
 WINDOW = 1024
 #: Tails in a shard: what one task indexes. Time is in proportion to it.
@@ -171,6 +171,7 @@ def stage_tokens(documents: DataFrame, clusters: Clusters, *, key: str, text: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, model = bpe.codec("json", bpe.vocabulary(vocabulary)), shared.value
+        kept("packing", "", dict)  # what the worker has of other stages goes
         order = np.random.default_rng(11).permutation(TERMS).astype(np.int64)
         projection = model.projection()
         seen = np.zeros(1 << 16, np.int64)

@@ -18,6 +18,7 @@ a language fit, nothing has to be looked up.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from genoframe.llm.resemblance import digest
-from genoframe.session import cut, ship_package, tidy
+from genoframe.session import cut, kept, ship_package, tidy
 
 ORDER = 5
 #: Rows of the model that every worker holds, of 16 bytes each.
@@ -309,10 +310,10 @@ def train(texts: DataFrame) -> Model:
         if total + n > HOT:
             break
         total, least = total + n, b
-    kept = rows.where(bin_of >= least) if least is not None else rows.where("false")
+    held = rows.where(bin_of >= least) if least is not None else rows.where("false")
     # Words of the filters are shared out evenly, so that all of them together are bounded.
     per = {r["lang"]: r["rows"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")).collect()}
-    table = kept.select("lang", "key", F.col("log_p").cast("float").alias("log_p"), F.col("log_left").cast("float").alias("log_left")).toArrow()
+    table = held.select("lang", "key", F.col("log_p").cast("float").alias("log_p"), F.col("log_left").cast("float").alias("log_left")).toArrow()
     langs = table.column("lang").combine_chunks().dictionary_encode() if table.num_rows else pa.array([], pa.string()).dictionary_encode()
     hot = {}
     for lang, n in per.items():
@@ -340,20 +341,20 @@ def score(documents: DataFrame, model: Model, *, key: str = "doc_id", text: str
     ship_package(spark)
     kind = documents.schema[key].dataType.simpleString()
     shared = spark.sparkContext.broadcast((model.hot, model.means))
+    identity = uuid.uuid4().hex
     names = ["row", key, "h1", "h2", "lang", "model", "second", "n_chars_scored", "log_sum", "codes", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, means = shared.value
-        tables: dict[str, Held] = {}
+        owner = ("quality", identity)
         row = TaskContext.get().partitionId() << 40
 
         def said(name: str, bodies: list[tuple[int, str]]) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
             """For each text the sum of log-probabilities, and the five-grams that have to be looked up, with their counts."""
-            if name not in tables:
-                tables[name] = Held(*hot[name])
+            table = kept(owner, name, lambda: Held(*hot[name]))
             totals, found = dict.fromkeys((i for i, _ in bodies), 0.0), {}
             for codes, places in blocks(bodies):
-                log_p, cold = tables[name].log_probabilities(codes)
+                log_p, cold = table.log_probabilities(codes)
                 starts = np.concatenate([[0], np.nonzero(np.diff(places))[0] + 1])
                 for i, total in zip(places[starts].tolist(), np.add.reduceat(log_p, starts).tolist(), strict=True):
                     totals[i] += total
