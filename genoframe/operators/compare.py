@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from genoframe.operators.relate import running_total
+
 
 def unpivot_metrics(df: DataFrame, ids: Sequence[str], metrics: Sequence[str]) -> DataFrame:
     """``metric``, ``value`` rows of wide metrics."""
@@ -108,3 +110,31 @@ def best_so_far(trials: DataFrame) -> DataFrame:
     fresh = best.withColumn("rose", F.coalesce(F.col("best") > F.lag("best").over(order), F.lit(True)))
     at = F.last(F.when(F.col("rose"), F.col("trial_id")), True).over(order)
     return fresh.withColumn("stale", F.col("trial_id") - at).select("trial_id", "best", "stale")
+
+
+def trial_distribution(trials: DataFrame) -> DataFrame:
+    """``value``, ``share``: the part of trials whose value is at most this one, for each distinct value; trials without a value are not counted."""
+    counts = trials.where("value IS NOT NULL").groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+    upto = running_total(counts, "value", F.col("n"), "upto")
+    total = counts.agg(F.sum("n").alias("total"))
+    return upto.crossJoin(F.broadcast(total)).select("value", F.round(F.col("upto") / F.col("total"), 9).alias("share"))
+
+
+def trial_timeline(trials: DataFrame) -> DataFrame:
+    """``trial_id``, ``state``, ``start`` and ``end`` seconds from the first start on; a trial that has not ended has no end."""
+    first = trials.agg(F.min("began").alias("first"))
+    return trials.crossJoin(F.broadcast(first)).select("trial_id", "state", (F.col("began") - F.col("first")).alias("start"), (F.col("ended") - F.col("first")).alias("end"))
+
+
+def parameter_importance(trials: DataFrame, parameters: Sequence[str]) -> DataFrame:
+    """``parameter``, ``importance``: the share of the values' variance that lies between a parameter's settings, scaled to sum to 1 over parameters.
+
+    The reference asks a fitted forest; this is the one-way share of variance, which needs sums only.
+    """
+    settings = trials.where("value IS NOT NULL").unpivot(["value"], [F.col(p).cast("string").alias(p) for p in parameters], "parameter", "setting")
+    cells = settings.groupBy("parameter", "setting").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"))
+    own = Window.partitionBy("parameter")
+    grand = F.sum(F.col("n") * F.col("mean")).over(own) / F.sum("n").over(own)
+    between = cells.withColumn("b", F.col("n") * F.pow(F.col("mean") - grand, F.lit(2.0))).groupBy("parameter").agg(F.sum("b").alias("b"))
+    total = between.agg(F.sum("b").alias("t"))  # a row for each parameter
+    return between.crossJoin(F.broadcast(total)).select("parameter", F.round(F.coalesce(F.try_divide("b", "t"), F.lit(0.0)), 9).alias("importance"))

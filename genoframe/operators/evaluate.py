@@ -70,6 +70,17 @@ def roc_auc(scores: DataFrame) -> DataFrame:
     return both.select("cls", F.round((F.col("r") - F.col("np") * (F.col("np") + 1) / 2) / (F.col("np") * F.col("nn")), 9).alias("auc"), F.col("np").cast("long").alias("positives"))
 
 
+def macro_roc_auc(scores: DataFrame, *, single_class: str = "raise") -> DataFrame:
+    """``auc``, the mean of the classes' areas. Where a class has no positive or no negative: "raise" fails the query, "drop" leaves it out."""
+    areas = roc_auc(scores)
+    found = areas.agg(F.avg("auc").alias("auc"), F.count(F.lit(1)).alias("have"))
+    if single_class == "drop":
+        return found.select(F.round("auc", 9).alias("auc"))
+    need = scores.agg(F.count_distinct("cls").alias("need"))
+    failed = F.raise_error(F.lit("a class is without positive or without negative cells")).cast("double")
+    return found.crossJoin(F.broadcast(need)).select(F.when(F.col("have") == F.col("need"), F.round("auc", 9)).otherwise(failed).alias("auc"))
+
+
 def average_precision(scores: DataFrame) -> DataFrame:
     """Sum of precision times recall gained, over falling distinct scores. Input as ``roc_auc``."""
     tied = scores.groupBy("cls", "score").agg(F.count_if("positive").alias("pos"), F.count(F.lit(1)).alias("n"))

@@ -102,3 +102,28 @@ def a34(spark, sf_dir):
 def a35(spark, sf_dir):
     trials = read_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("trial_id"), ((F.col("p_partkey") * 7919) % 1009).alias("value"))
     return compare.best_so_far(trials)
+
+
+TRIALS_SQL = "WITH t AS (SELECT o_orderkey AS trial_id, o_orderstatus AS state, o_orderpriority AS a, o_custkey % 5 AS b, CASE WHEN o_orderstatus <> 'P' THEN CAST((o_orderkey * 7919) % 1009 AS DOUBLE) END AS value, (o_orderkey * 37) % 900 AS began, CASE WHEN o_orderstatus <> 'P' THEN (o_orderkey * 37) % 900 + o_orderkey % 60 END AS ended FROM orders)"
+
+
+def order_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as trials: pending ones have no value and no end."""
+    key, done = F.col("o_orderkey"), F.col("o_orderstatus") != "P"
+    began = (key * 37) % 900
+    return read_table(spark, sf_dir, "orders").select(key.alias("trial_id"), F.col("o_orderstatus").alias("state"), F.col("o_orderpriority").alias("a"), (F.col("o_custkey") % 5).alias("b"), F.when(done, ((key * 7919) % 1009).cast("double")).alias("value"), began.alias("began"), F.when(done, began + key % 60).alias("ended"))
+
+
+@query("a35_trial_distribution", f"{TRIALS_SQL} SELECT DISTINCT value, round(cume_dist() OVER (ORDER BY value), 9) AS share FROM t WHERE value IS NOT NULL")
+def a35_distribution(spark, sf_dir):
+    return compare.trial_distribution(order_trials(spark, sf_dir))
+
+
+@query("a35_trial_timeline", f'{TRIALS_SQL} SELECT trial_id, state, began - (SELECT min(began) FROM t) AS start, ended - (SELECT min(began) FROM t) AS "end" FROM t')
+def a35_timeline(spark, sf_dir):
+    return compare.trial_timeline(order_trials(spark, sf_dir))
+
+
+@query("a35_parameter_importance", f"{TRIALS_SQL}, u AS (SELECT 'a' AS parameter, CAST(a AS VARCHAR) AS setting, value FROM t WHERE value IS NOT NULL UNION ALL SELECT 'b', CAST(b AS VARCHAR), value FROM t WHERE value IS NOT NULL), c AS (SELECT parameter, setting, count(*) AS n, avg(value) AS mean FROM u GROUP BY ALL), g AS (SELECT avg(value) AS grand FROM t), s AS (SELECT parameter, sum(n * (mean - grand) * (mean - grand)) AS b FROM c, g GROUP BY parameter) SELECT parameter, round(coalesce(b / nullif((SELECT sum(b) FROM s), 0), 0), 9) AS importance FROM s")
+def a35_importance(spark, sf_dir):
+    return compare.parameter_importance(order_trials(spark, sf_dir), ["a", "b"])

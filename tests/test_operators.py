@@ -270,3 +270,13 @@ def test_pair_sums_equal_plain_sums(spark):
         got = {(r["l1"], r["l2"]): (r["n"], r["s"]) for r in popgen.pair_sums(cells, "x", loci=loci, samples=samples).collect()}
         assert len(got) == 14 * 13 // 2 and {k: v for k, v in got.items() if v[0]} == want
     assert popgen.pair_sums(cells.where("false"), "x").count() == 0
+
+
+def test_macro_area_has_two_contracts(spark):
+    scores = spark.createDataFrame([("a", True, 0.9), ("a", False, 0.1), ("b", False, 0.2), ("b", False, 0.3)], "cls string, positive boolean, score double")
+    assert evaluate.macro_roc_auc(scores, single_class="drop").collect()[0]["auc"] == 1.0
+    with pytest.raises(Exception, match="without positive"):
+        evaluate.macro_roc_auc(scores).collect()
+    given = [([0.6, 0.3, 0.1], 0), ([0.1, 0.4, 0.5], 1), ([0.0, 1.0, 0.0], 2)]
+    rows = [(str(c), y == c, p[c]) for p, y in given for c in range(3)]
+    assert evaluate.macro_roc_auc(spark.createDataFrame(rows, "cls string, positive boolean, score double")).collect()[0]["auc"] == pytest.approx(0.5)
