@@ -39,8 +39,8 @@ MIN_SHARED = 8
 PART = 512
 #: Shingles whose samples are drawn at once.
 CHUNK = 1 << 16
-#: Most decisions that are broadcast, of some 60 bytes each; beyond it the join is shuffled.
-BROADCAST_IDS = 1_000_000
+#: Most ids and decisions that are broadcast, of some 100 bytes each; beyond it the join is shuffled.
+BROADCAST_IDS = 500_000
 _RNG = np.random.default_rng(17)
 ORDERS = _RNG.integers(0, 1 << 63, POSITIONS, np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -109,8 +109,9 @@ def _entries(classes: DataFrame) -> DataFrame:
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs ``u``, ``v`` whose shingle sets (``id``, ``s``) have the similarity."""
-    asked = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-    found = cut(sets.join(asked, "id", "left_semi").groupBy("id").agg(F.first("s").alias("s")))
+    # Sets are larger than texts: only those of the pairs are moved, as long as their ids are few.
+    asked = cut(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct())
+    found = cut(sets.join(F.broadcast(asked) if asked.count() <= BROADCAST_IDS else asked, "id", "left_semi").groupBy("id").agg(F.first("s").alias("s")))
     met = pairs.join(found.select(F.col("id").alias("v"), F.col("s").alias("t")), "v").join(found.select(F.col("id").alias("u"), "s"), "u")
     shared = F.size(F.array_intersect("s", "t"))
     return met.where(shared >= F.lit(SIMILARITY) * (F.size("s") + F.size("t") - shared) - F.lit(1e-9)).select("u", "v")
@@ -123,7 +124,7 @@ def links(classes: DataFrame, sets: DataFrame) -> DataFrame:
     # First: each class and the least leader that is like it.
     named = met.where("c.h1 != leader").select("c", "leader").distinct()
     led = named.join(classes.select(F.col("h1").alias("leader"), F.struct("id", "p1", "p2", "n").alias("l")), "leader").where(_alike("c", "l"))
-    first = led.groupBy("c.id").agg(F.min("l.id").alias("v")).select(F.col("id").alias("u"), "v").where("u != v")
+    first = cut(led.groupBy("c.id").agg(F.min("l.id").alias("v")).select(F.col("id").alias("u"), "v").where("u != v"))
     one = cut(verified(first, sets))
     # Then what meets and is not connected yet.
     roots = components(one)
