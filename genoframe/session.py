@@ -66,9 +66,25 @@ def cut(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     written = spark.read.schema(df.schema).parquet(path)
     written._cut_path = path
+    if _SCRATCH:
+        _SCRATCH[-1].append(written)
     return written
 
 
+_SCRATCH: list[list[DataFrame]] = []
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """What ``cut`` writes inside is deleted at the end, but for what the caller takes out of the list: its result, written last."""
+    _SCRATCH.append([])
+    try:
+        yield _SCRATCH[-1]
+    finally:
+        for df in _SCRATCH.pop():
+            drop_cut(df)
+
+
 def drop_cut(df: DataFrame) -> None:
     """Delete the files of just what ``cut`` returned, once no later plan reads them; plans derived from it are left alone."""
     path = getattr(df, "_cut_path", None)
