@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from genoframe.llm.resemblance import digest
-from genoframe.session import cut, kept, ship_package, tidy
+from genoframe.session import cut, kept, scratch, ship_package, tidy
 
 ORDER = 5
 #: Rows of the model that every worker holds, of 16 bytes each.
@@ -500,7 +500,9 @@ def accepted(documents: DataFrame, labels: DataFrame, **options) -> DataFrame:
     is little (BROADCAST_IDS), else joined by a shuffle; texts are not judged twice.
     """
     text, lang = options.get("text", "text"), options.get("lang", "lang")
-    gone = cut(classify(documents, labels, **options).where("NOT keep").select("h1", "h2", F.col("lang").alias("__lang")).distinct())
+    with scratch() as made:
+        gone = cut(classify(documents, labels, **options).where("NOT keep").select("h1", "h2", F.col("lang").alias("__lang")).distinct())
+        made.pop()
     small = gone.count() <= BROADCAST_IDS
     gone = gone.select(F.col("h1").alias("__h1"), F.col("h2").alias("__h2"), "__lang")
     h1, h2 = digest(text)

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from genoframe.llm.simhash import BLOCK_MASKS, components, shared_bytes
-from genoframe.session import cut, ship_package, tidy
+from genoframe.session import cut, scratch, ship_package, tidy
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -120,7 +120,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def links(classes: DataFrame, sets: DataFrame) -> DataFrame:
     """``u``, ``v``: links of similarity SIMILARITY or more that connect the classes (``id``, ``h1``, ``p1``, ``p2``, ``n``) as all such links would."""
     leaders = cut(_entries(classes.select("id", "h1", "p1", "p2", "n")).groupBy("posting").agg(F.count(F.lit(1)).alias("size"), F.min("c.h1").alias("leader")).where("size > 1"))
-    met = _entries(classes).join(leaders, "posting")
+    met = _entries(classes).join(F.broadcast(leaders) if leaders.count() <= 2 * BROADCAST_IDS else leaders, "posting")
     # First: each class and the least leader that is like it.
     named = met.where("c.h1 != leader").select("c", "leader").distinct()
     led = named.join(classes.select(F.col("h1").alias("leader"), F.struct("id", "p1", "p2", "n").alias("l")), "leader").where(_alike("c", "l"))
@@ -174,7 +174,9 @@ def keep_first(documents: DataFrame, *, key: str = "doc_id", text: str = "text")
     Texts are not shuffled for this as long as few of them go (BROADCAST_IDS); beyond
     that the decisions are joined by a shuffle.
     """
-    told = cut(groups(documents, key=key, text=text).where("NOT keep OR others OR rows > 1"))
+    with scratch() as made:
+        told = cut(groups(documents, key=key, text=text).where("NOT keep OR others OR rows > 1"))
+        made.pop()
     small = told.count() <= BROADCAST_IDS
     names = documents.columns
     h1, h2 = digest(text)
