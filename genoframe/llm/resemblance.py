@@ -12,9 +12,11 @@ of the whole shingle sets.
 
 Groups of copies stay linear. Equal texts are one entry. Every text is first verified
 against the leader that most of its postings name (the least hash in each), which
-links nearly all of a group; afterwards only texts of one posting that are not
-connected yet are compared. A long posting is cut into parts for that, and its
-largest connected group is not compared with itself.
+links nearly all of a group. Afterwards texts of one posting that are not connected
+yet are compared: all of them in a posting of PART members at most; in a longer one
+each with the most alike of ROUNDS other leaders of its postings. So a group of any
+size costs its members and not its pairs; what a large group of texts just under the
+similarity can lose is a link between two texts of it that no leader joins.
 """
 
 from __future__ import annotations
@@ -35,8 +37,8 @@ SIMILARITY = 0.8
 POSITIONS = 16
 #: Shared bytes of 16 that a pair needs to be verified.
 MIN_SHARED = 8
-#: Members of a part of a posting.
-PART = 512
+#: Longest posting whose unconnected members are all compared, and how many other leaders longer ones have.
+PART, ROUNDS = 32, 3
 #: Shingles whose samples are drawn at once.
 CHUNK = 1 << 16
 #: Most ids and decisions that are broadcast, of some 100 bytes each; beyond it the join is shuffled.
@@ -97,8 +99,12 @@ def digest(text: str) -> tuple[Column, Column]:
 def _alike(a: str, b: str) -> Column:
     """Whether sizes allow the similarity, and enough bytes are shared."""
     size = F.least(f"{a}.n", f"{b}.n") >= F.greatest(f"{a}.n", f"{b}.n") * F.lit(SIMILARITY) - F.lit(1e-9)
-    shared = sum((shared_bytes(F.col(f"{a}.{p}").bitwiseXOR(F.col(f"{b}.{p}"))) for p in ("p1", "p2")), F.lit(0))
-    return size & (shared >= MIN_SHARED)
+    return size & (_shared(a, b) >= MIN_SHARED)
+
+
+def _shared(a: str, b: str) -> Column:
+    """The tally: how many of the sixteen positional bytes are the same."""
+    return sum((shared_bytes(F.col(f"{a}.{p}").bitwiseXOR(F.col(f"{b}.{p}"))) for p in ("p1", "p2")), F.lit(0))
 
 
 def _entries(classes: DataFrame) -> DataFrame:
@@ -118,7 +124,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def links(classes: DataFrame, sets: DataFrame) -> DataFrame:
-    """``u``, ``v``: links of similarity SIMILARITY or more that connect the classes (``id``, ``h1``, ``p1``, ``p2``, ``n``) as all such links would."""
+    """``u``, ``v``: verified links of similarity SIMILARITY or more between the classes (``id``, ``h1``, ``p1``, ``p2``, ``n``)."""
     leaders = cut(_entries(classes.select("id", "h1", "p1", "p2", "n")).groupBy("posting").agg(F.count(F.lit(1)).alias("size"), F.min("c.h1").alias("leader")).where("size > 1"))
     met = _entries(classes).join(F.broadcast(leaders) if leaders.count() <= 2 * BROADCAST_IDS else leaders, "posting")
     # First: each class and the least leader that is like it.
@@ -131,14 +137,16 @@ def links(classes: DataFrame, sets: DataFrame) -> DataFrame:
     grouped = cut(met.select("posting", "size", "c").join(roots.select(F.col("node"), "root"), F.col("c.id") == F.col("node"), "left").select("posting", "size", "c", F.coalesce("root", "c.id").alias("root")))
     mixed = grouped.groupBy("posting").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select("posting")
     apart = cut(grouped.join(mixed, "posting"))
-    sizes = apart.where(F.col("size") > PART).groupBy("posting", "root").agg(F.count(F.lit(1)).alias("k"))
-    largest = sizes.groupBy("posting").agg(F.max_by("root", F.struct("k", "root")).alias("largest"))
-    tagged = apart.join(largest, "posting", "left").withColumn("parts", F.expr(f"cast((size + {PART - 1}) div {PART} as int)"))
-    right = tagged.select("posting", F.pmod(F.xxhash64("c.id"), F.col("parts")).cast("int").alias("part"), F.col("c").alias("d"), F.col("root").alias("other"))
-    left = tagged.where("largest IS NULL OR root != largest").select("posting", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "c", "root", "largest")
-    crossed = (F.col("root") < F.col("other")) | (F.coalesce(F.col("other") == F.col("largest"), F.lit(False)))
-    pairs = left.join(right, ["posting", "part"]).where((F.col("root") != F.col("other")) & crossed & _alike("c", "d"))
-    two = verified(cut(pairs.select(F.least("c.id", "d.id").alias("u"), F.greatest("c.id", "d.id").alias("v")).distinct()), sets)
+    short = apart.where(F.col("size") <= PART)
+    other = short.select("posting", F.col("c").alias("d"), F.col("root").alias("other"))
+    pairs = short.join(other, "posting").where((F.col("root") < F.col("other")) & _alike("c", "d")).select(F.col("c.id").alias("u"), F.col("d.id").alias("v"))
+    long = apart.where(F.col("size") > PART)
+    for seed in range(1, ROUNDS + 1):
+        named = long.groupBy("posting").agg(F.min_by(F.struct("c", "root"), F.xxhash64("c.id", F.lit(seed))).alias("l"))
+        led = long.join(named, "posting").where((F.col("root") != F.col("l.root")) & _alike("c", "l.c"))
+        best = led.groupBy("c.id").agg(F.max_by("l.c.id", F.struct(_shared("c", "l.c"), "l.c.id")).alias("v"))
+        pairs = pairs.unionByName(best.select(F.col("id").alias("u"), "v"))
+    two = verified(cut(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()), sets)
     return one.unionByName(two)
 
 
