@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from genoframe.llm import bpe, chat, media, packing, quality, secrets, sharding, simhash, topk, urlfilter
+from genoframe.llm import alignment, bpe, chat, exactdedup, media, negatives, packing, quality, secrets, sharding, simhash, topk, urlfilter
 from genoframe.session import cut, read_table
 
 
@@ -65,6 +65,20 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(vectors.where(F.col("vec_id") % 50 == 0), vectors, 5)
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exactdedup.duplicates(read_table(spark, sf_dir, "documents"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.correspondences(read_table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = negatives.usable(read_table(spark, sf_dir, "embeddings"))
+    rows = rows.withColumn("label", F.when(F.col("id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.mine(rows.where(F.col("id") % 100 == 0), rows)
+
+
 OP2_SQL = """
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -88,6 +102,28 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
 """
 
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
+SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, text_sha256
+FROM d WINDOW w AS (PARTITION BY text_sha256)
+"""
+
+OP13_SQL = """
+WITH e AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+     s AS (SELECT a.id AS anchor_id, c.id AS other_id, a.label = c.label AS same, CAST(list_inner_product(a.v, c.v) AS BIGINT) AS score
+           FROM e a JOIN e c ON a.id <> c.id WHERE a.id % 100 = 0),
+     p AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score
+           FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) AS r FROM s WHERE same) WHERE r <= 5),
+     n AS (SELECT p.anchor_id, p.positive_id, s.other_id AS negative_id, p.positive_score, s.score AS negative_score,
+                  row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.other_id) AS rank
+           FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same
+            AND 30 * p.positive_score <= 100 * s.score AND 100 * s.score <= 90 * p.positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+"""
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_chat_formatting": op2_chat_formatting,
@@ -99,6 +135,9 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_media_columns": op9_media_columns,
     "op10_exact_top_k": op10_exact_top_k,
+    "op11_exact_dedup": op11_exact_dedup,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
-ORACLES = {"op10_exact_top_k": OP10_SQL}
+ORACLES = {"op10_exact_top_k": OP10_SQL, "op11_exact_dedup": OP11_SQL, "op13_hard_negatives": OP13_SQL}
