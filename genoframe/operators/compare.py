@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from genoframe.operators.relate import running_total
+from genoframe.operators.relate import running_extreme, running_total
+from genoframe.session import cut
 
 
 def unpivot_metrics(df: DataFrame, ids: Sequence[str], metrics: Sequence[str]) -> DataFrame:
@@ -79,14 +80,23 @@ def welch(groups: DataFrame, digits: int = 6) -> DataFrame:
 def adjust_bh(tests: DataFrame, p: str = "p", digits: int = 12) -> DataFrame:
     """Benjamini-Hochberg adjusted p-values as ``p_bh``; missing stay missing and are not counted.
 
-    Tests are one row for each metric: thousands at most, so the one-partition window is small.
+    Ranks and the minima over all larger p are running totals and minima by ranges of
+    the distinct p-values, so no task holds all tests.
     """
     known = tests.where(F.col(p).isNotNull())
-    every = Window.partitionBy(F.lit(0))
-    ranked = known.withColumn("m", F.count(F.lit(1)).over(every).cast("double")).withColumn("rank", F.row_number().over(every.orderBy(p)))
-    raw = ranked.withColumn("raw", F.col(p) * F.col("m") / F.col("rank"))
-    adjusted = raw.withColumn("p_bh", F.round(F.least(F.lit(1.0), F.min("raw").over(every.orderBy(F.desc("rank")))), digits)).drop("m", "rank", "raw")
-    return adjusted.unionByName(tests.where(F.col(p).isNull()).withColumn("p_bh", F.lit(None).cast("double")))
+    counts = cut(known.groupBy(F.col(p).alias("__p")).agg(F.count(F.lit(1)).alias("__n")))
+    total = counts.agg(F.sum("__n").alias("__m"))
+    # Of equal p-values the last rank gives the least product, and it holds for all of them.
+    ranked = running_total(counts, "__p", F.col("__n"), "__rank").crossJoin(F.broadcast(total))
+    raw = ranked.withColumn("__raw", F.col("__p") * F.col("__m").cast("double") / F.col("__rank"))
+    least = running_extreme(raw, "__p", F.col("__raw"), "__least", least=True, backwards=True)
+    found = least.select("__p", F.round(F.least(F.lit(1.0), F.col("__least")), digits).alias("p_bh"))
+    return known.join(found, known[p] == found["__p"]).drop("__p").unionByName(tests.where(F.col(p).isNull()).withColumn("p_bh", F.lit(None).cast("double")))
+
+
+def order_by_q(tests: DataFrame, q: str = "p_bh", tie: str = "metric") -> DataFrame:
+    """``place`` from 1 of each test with an adjusted p-value, ties by name; ranks by ranges."""
+    return running_total(tests.where(F.col(q).isNotNull()), q, F.lit(1), "place", [tie]).withColumn("place", F.col("place").cast("int"))
 
 
 def histogram(values: DataFrame, column: str, bins: int) -> DataFrame:
@@ -104,12 +114,10 @@ def trial_statistics(trials: DataFrame) -> DataFrame:
 
 
 def best_so_far(trials: DataFrame) -> DataFrame:
-    """Running best of ``value`` by trial and how many trials since it last rose."""
-    order = Window.partitionBy(F.lit(0)).orderBy("trial_id")
-    best = trials.withColumn("best", F.max("value").over(order))
-    fresh = best.withColumn("rose", F.coalesce(F.col("best") > F.lag("best").over(order), F.lit(True)))
-    at = F.last(F.when(F.col("rose"), F.col("trial_id")), True).over(order)
-    return fresh.withColumn("stale", F.col("trial_id") - at).select("trial_id", "best", "stale")
+    """Running best of ``value`` by trial and how many trials since it last rose; no best and 0 before the first value. By ranges of trials."""
+    key = F.struct(F.col("value").alias("value"), (-F.col("trial_id")).alias("first"))
+    best = running_extreme(trials, "trial_id", F.when(F.col("value").isNotNull(), key), "top")
+    return best.select("trial_id", F.col("top.value").alias("best"), F.coalesce(F.col("trial_id") + F.col("top.first"), F.lit(0)).alias("stale"))
 
 
 def trial_distribution(trials: DataFrame) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from genoframe.operators.relate import running_extreme
+from genoframe.session import cut
+
 
 def _ratio(a: Column, b: Column) -> Column:
     """a / b, 0 where b is 0."""
@@ -27,24 +31,50 @@ def class_counts(matrix: DataFrame) -> DataFrame:
     return matrix.select(sides.alias("s")).groupBy("s.label").agg(*[F.sum(f"s.{k}").alias(k) for k in ("tp", "fp", "fn")])
 
 
+def _one_row(counts: DataFrame, *by: str) -> DataFrame:
+    """All labels' counts as one array ``c``: reports are made of it, so what is counted is read once. Labels are a fixed, short list."""
+    return counts.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("label", "tp", "fp", "fn"))).alias("c"))
+
+
+def _total(of: Callable[[Column], Column]) -> Column:
+    return F.aggregate("c", F.lit(0.0), lambda a, x: a + of(x).cast("double"))
+
+
+_MEASURES: dict[str, Callable[[Column], Column]] = {
+    "precision": lambda x: _ratio(x["tp"], x["tp"] + x["fp"]),
+    "recall": lambda x: _ratio(x["tp"], x["tp"] + x["fn"]),
+    "f1": lambda x: _ratio(2 * x["tp"], 2 * x["tp"] + x["fp"] + x["fn"]),
+    "jaccard": lambda x: _ratio(x["tp"], x["tp"] + x["fp"] + x["fn"]),
+}
+
+
+def _report_rows(measures: Sequence[str], names: Sequence[str], accuracy: bool) -> Column:
+    """Rows for each label and then the averages, from the array ``c``; ``names`` are those of the two averages."""
+    support = lambda x: x["tp"] + x["fn"]
+    every = _total(support)
+    own = F.transform("c", lambda x: F.struct(x["label"].cast("string").alias("label"), *[_MEASURES[m](x).alias(m) for m in measures], support(x).cast("long").alias("support")))
+    size = F.size("c").cast("double")
+    more = [
+        F.struct(F.lit(names[0]).alias("label"), *[(_total(_MEASURES[m]) / size).alias(m) for m in measures], every.cast("long").alias("support")),
+        F.struct(F.lit(names[1]).alias("label"), *[_ratio(_total(lambda x, m=m: _MEASURES[m](x) * support(x)), every).alias(m) for m in measures], every.cast("long").alias("support")),
+    ]
+    if accuracy:
+        right = _ratio(_total(lambda x: x["tp"]), every)
+        more.append(F.struct(F.lit("accuracy").alias("label"), *[right.alias(m) for m in measures], every.cast("long").alias("support")))
+    return F.inline(F.concat(own, F.array(*more)))
+
+
 def class_report(matrix: DataFrame) -> DataFrame:
     """``label`` (class, ``accuracy``, ``macro avg``, ``weighted avg``), ``precision``, ``recall``, ``f1``, ``support``."""
-    c = class_counts(matrix)
-    scored = c.select("label", _ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), _ratio(F.col("tp"), F.col("tp") + F.col("fn")).alias("recall"), _ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")).alias("f1"), (F.col("tp") + F.col("fn")).alias("support"), "tp")
     m = ("precision", "recall", "f1")
-    macro = scored.agg(*[F.avg(k).alias(k) for k in m], F.sum("support").alias("support")).select(F.lit("macro avg").alias("label"), *m, "support")
-    weighted = scored.agg(*[_ratio(F.sum(F.col(k) * F.col("support")), F.sum("support")).alias(k) for k in m], F.sum("support").alias("support")).select(F.lit("weighted avg").alias("label"), *m, "support")
-    accuracy = scored.agg(_ratio(F.sum("tp"), F.sum("support")).alias("a"), F.sum("support").alias("support")).select(F.lit("accuracy").alias("label"), *[F.col("a").alias(k) for k in m], "support")
-    every = scored.select(F.col("label").cast("string").alias("label"), *m, "support").unionByName(macro).unionByName(weighted).unionByName(accuracy)
-    return every.select("label", *[F.round(k, 9).alias(k) for k in m], "support")
+    rows = _one_row(class_counts(matrix)).select(_report_rows(m, ("macro avg", "weighted avg"), True))
+    return rows.select("label", *[F.round(k, 9).alias(k) for k in m], "support")
 
 
 def jaccard(matrix: DataFrame) -> DataFrame:
     """TP / (TP + FP + FN) of each class, macro and weighted; 0 on zero division."""
-    c = class_counts(matrix).withColumn("jaccard", _ratio(F.col("tp"), F.col("tp") + F.col("fp") + F.col("fn"))).withColumn("support", F.col("tp") + F.col("fn"))
-    means = c.agg(F.avg("jaccard").alias("macro"), _ratio(F.sum(F.col("jaccard") * F.col("support")), F.sum("support")).alias("weighted"))
-    rows = means.select(F.explode(F.array(F.struct(F.lit("macro").alias("label"), F.col("macro").alias("jaccard")), F.struct(F.lit("weighted").alias("label"), F.col("weighted").alias("jaccard")))).alias("r")).select("r.*")
-    return c.select(F.col("label").cast("string").alias("label"), "jaccard").unionByName(rows).select("label", F.round("jaccard", 9).alias("jaccard"))
+    rows = _one_row(class_counts(matrix)).select(_report_rows(("jaccard",), ("macro", "weighted"), False))
+    return rows.select("label", F.round("jaccard", 9).alias("jaccard"))
 
 
 def matthews(matrix: DataFrame) -> DataFrame:
@@ -125,7 +155,64 @@ def js_distance(dist: DataFrame, a: str, b: str) -> DataFrame:
     return wide.agg(F.round(F.sqrt(F.greatest(F.sum(term(F.col("p")) + term(F.col("q"))) / 2, F.lit(0.0))), 9).alias("js_distance"))
 
 
+#: Chances that a Poisson draw of mean 1 is at most k; beyond these it is under 1e-12.
+POISSON = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(15)]
+
+
+def poisson_weight(u: Column) -> Column:
+    """A Poisson draw of mean 1 from a uniform one: how often a row is drawn where rows are drawn with replacement."""
+    return sum(((u >= F.lit(p)).cast("int") for p in POISSON), F.lit(0))
+
+
+def bootstrap_reports(pairs: DataFrame, labels: Sequence[int], replicates: int, draw: Callable[[Column], Column]) -> DataFrame:
+    """The class report of every replicate: ``rep``, ``label``, ``metric`` (precision, recall, f1), ``value``.
+
+    Each row weighs a Poisson draw in each replicate, so replicates are with replacement
+    and rows need not meet: one aggregation adds up the weights of all replicates.
+    ``draw`` gives a row's uniform draw for a replicate.
+    """
+    rows = pairs.where(F.col("y_true").isin(list(labels)) & F.col("y_pred").isin(list(labels)))
+    drawn = rows.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("w", poisson_weight(draw(F.col("rep")))).where("w > 0")
+    matrix = drawn.groupBy("rep", "y_true", "y_pred").agg(F.sum("w").alias("n"))
+    zero, hit = F.lit(0).cast("long"), F.col("y_true") == F.col("y_pred")
+    sides = F.array(
+        F.struct(F.col("y_true").alias("label"), F.when(hit, F.col("n")).otherwise(zero).alias("tp"), zero.alias("fp"), F.when(~hit, F.col("n")).otherwise(zero).alias("fn")),
+        F.struct(F.col("y_pred").alias("label"), zero.alias("tp"), F.when(~hit, F.col("n")).otherwise(zero).alias("fp"), zero.alias("fn")),
+        *[F.struct(F.lit(label).alias("label"), zero.alias("tp"), zero.alias("fp"), zero.alias("fn")) for label in labels],
+    )
+    counts = matrix.select("rep", F.inline(sides)).groupBy("rep", "label").agg(*[F.sum(k).alias(k) for k in ("tp", "fp", "fn")])
+    m = ("precision", "recall", "f1")
+    reports = _one_row(counts, "rep").select("rep", _report_rows(m, ("macro avg", "weighted avg"), True))
+    return reports.unpivot(["rep", "label"], list(m), "metric", "value")
+
+
 def bootstrap_interval(reports: DataFrame, level: float = 0.95) -> DataFrame:
-    """Mean and percentile interval of ``value`` by ``label`` and ``metric`` over replicates."""
+    """Mean and percentile interval of ``value`` by ``label`` and ``metric`` over replicates; null and NaN values are left out."""
     low = (1 - level) / 2
-    return reports.groupBy("label", "metric").agg(F.round(F.avg("value"), 9).alias("mean"), F.round(F.percentile("value", F.lit(low)), 9).alias("lower"), F.round(F.percentile("value", F.lit(1 - low)), 9).alias("upper"))
+    known = reports.where(F.col("value").isNotNull() & ~F.isnan("value"))
+    return known.groupBy("label", "metric").agg(F.round(F.avg("value"), 9).alias("mean"), F.round(F.percentile("value", F.lit(low)), 9).alias("lower"), F.round(F.percentile("value", F.lit(1 - low)), 9).alias("upper"))
+
+
+def macro_curves(scores: DataFrame, classes: Sequence[int]) -> DataFrame:
+    """The classes' mean ROC and precision-recall curves: ``curve`` (roc, pr), ``x``, ``y`` at every x that some class's curve has.
+
+    Between its own points a class's curve is linear; before the first and after the last
+    it keeps their values. Several points at one x count by the last that a falling
+    threshold reaches: the greatest true positive rate, the least precision. A class
+    without positives or negatives has rates of 0. Input as ``roc_auc``.
+    """
+    tied = scores.groupBy("cls", "score").agg(F.count_if("positive").alias("pos"), F.count(F.lit(1)).alias("n"))
+    falling, own = Window.partitionBy("cls").orderBy(F.desc("score")), Window.partitionBy("cls")
+    steps = tied.withColumn("tp", F.sum("pos").over(falling)).withColumn("fp", F.sum(F.col("n") - F.col("pos")).over(falling)).withColumn("np", F.sum("pos").over(own)).withColumn("nn", F.sum(F.col("n") - F.col("pos")).over(own))
+    tpr, fpr, precision = _ratio(F.col("tp"), F.col("np")), _ratio(F.col("fp"), F.col("nn")), _ratio(F.col("tp"), F.col("tp") + F.col("fp"))
+    starts = scores.sparkSession.createDataFrame([(c, k, 0.0, y) for c in classes for k, y in (("roc", 0.0), ("pr", 1.0))], "cls int, curve string, x double, y double")
+    both = steps.select(F.col("cls").cast("int").alias("cls"), F.inline(F.array(F.struct(F.lit("roc").alias("curve"), fpr.alias("x"), tpr.alias("y")), F.struct(F.lit("pr").alias("curve"), tpr.alias("x"), precision.alias("y")))))
+    points = cut(both.unionByName(starts).groupBy("cls", "curve", "x").agg(F.when(F.col("curve") == "roc", F.max("y")).otherwise(F.min("y")).alias("y")))
+    grid = points.select("curve", "x").distinct().withColumn("cls", F.explode(F.array(*map(F.lit, classes))))
+    marked = grid.join(points, ["cls", "curve", "x"], "left").withColumn("here", F.when(F.col("y").isNotNull(), F.struct("x", "y")))
+    left = running_extreme(marked, "x", F.col("here"), "left", keys=("cls", "curve"))
+    ends = running_extreme(left, "x", F.col("here"), "right", least=True, backwards=True, keys=("cls", "curve"))
+    a, b = F.col("left"), F.col("right")
+    between = a["y"] + (b["y"] - a["y"]) / (b["x"] - a["x"]) * (F.col("x") - a["x"])
+    value = F.when(F.col("y").isNotNull(), F.col("y")).when(a.isNull(), b["y"]).when(b.isNull(), a["y"]).otherwise(between)
+    return ends.groupBy("curve", "x").agg(F.avg(value).alias("y")).select("curve", F.round("x", 9).alias("x"), F.round("y", 9).alias("y"))

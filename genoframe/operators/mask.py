@@ -94,8 +94,10 @@ def mask_inverse_genotype(cells: DataFrame, prop: float, u: Column, het_boost: f
     weighed = cells.join(F.broadcast(freq), "g", "left").withColumn("w", F.when(F.col("g") == 1, het_boost).otherwise(1.0) / F.col("n_g"))
     known = cells.where(F.col("g").isNotNull()).agg(F.count(F.lit(1)).alias("known"))
     keyed = weighed.crossJoin(F.broadcast(known)).withColumn("key", F.when(F.col("g").isNotNull(), -F.log(F.greatest(u, F.lit(1e-12))) / F.col("w")))
-    ranked = running_total(keyed, "key", F.lit(1), "rank", ["sample_id", "locus_id"])
-    return ranked.withColumn("simulated", F.col("g").isNotNull() & (F.col("rank") <= F.floor(F.lit(prop) * F.col("known")))).drop("n_g", "w", "known", "key", "rank")
+    # Missing calls have no key and need no rank.
+    ranked = running_total(keyed.where(F.col("g").isNotNull()), "key", F.lit(1), "rank", ["sample_id", "locus_id"])
+    ranked = ranked.unionByName(keyed.where(F.col("g").isNull()).withColumn("rank", F.lit(None)))
+    return ranked.withColumn("simulated", F.col("g").isNotNull() & F.coalesce(F.col("rank") <= F.floor(F.lit(prop) * F.col("known")), F.lit(False))).drop("n_g", "w", "known", "key", "rank")
 
 
 def guard(masked: DataFrame, *, per: str = "locus_id", other: str = "sample_id") -> DataFrame:

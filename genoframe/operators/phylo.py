@@ -177,5 +177,7 @@ def mask_clades(spark: SparkSession, cells: DataFrame, tree: Tree, prop: float,
     excess = marked.agg(F.count_if("simulated")).collect()[0][0] - target
     if excess <= 0:
         return marked
-    released = running_total(marked.withColumn("freed", F.when(F.col("simulated"), F.pmod(F.xxhash64("locus_id", "sample_name", F.lit(seed)), F.lit(1 << 53)).cast("double"))), "freed", F.lit(1), "place", ["locus_id", "sample_name"])
-    return released.withColumn("simulated", F.col("simulated") & (F.col("place") > excess)).select(*cells.columns, "simulated")
+    # Only drawn calls are ranked; the others stay as they are.
+    drawn_calls = marked.where("simulated").withColumn("freed", F.pmod(F.xxhash64("locus_id", "sample_name", F.lit(seed)), F.lit(1 << 53)).cast("double"))
+    released = running_total(drawn_calls, "freed", F.lit(1), "place", ["locus_id", "sample_name"]).withColumn("simulated", F.col("place") > excess)
+    return released.select(*cells.columns, "simulated").unionByName(marked.where("NOT simulated"))

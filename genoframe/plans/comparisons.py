@@ -82,10 +82,7 @@ def a29(spark, sf_dir):
 
 @query("t01_order_by_q", f"WITH t AS ({P_SQL}), r AS (SELECT metric, p * count(*) OVER () / row_number() OVER (ORDER BY p) AS raw, row_number() OVER (ORDER BY p) AS rn FROM t WHERE p IS NOT NULL) SELECT metric, CAST(row_number() OVER (ORDER BY q, metric) AS INT) AS place FROM (SELECT metric, round(least(1, min(raw) OVER (ORDER BY rn DESC)), 12) AS q FROM r)")
 def t01(spark, sf_dir):
-    from pyspark.sql import Window
-
-    adjusted = a29(spark, sf_dir).where("p IS NOT NULL")
-    return adjusted.select("metric", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("p_bh", "metric")).alias("place"))
+    return compare.order_by_q(a29(spark, sf_dir)).select("metric", "place")
 
 
 @query("a31_trial_statistics", "WITH t AS (SELECT o_orderstatus AS state, CAST((o_orderkey * 37) % 900 AS DOUBLE) AS duration FROM orders) SELECT state, count(*) AS n, round(avg(duration), 6) AS mean, round(stddev_pop(duration), 6) AS sd, min(duration) AS least, max(duration) AS greatest, round(count(*) * 100.0 / CAST(sum(count(*)) OVER () AS DOUBLE), 9) AS percent FROM t GROUP BY state")

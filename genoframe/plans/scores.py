@@ -82,11 +82,40 @@ def a22(spark, sf_dir):
     return evaluate.curve_points(class_scores(spark, sf_dir))
 
 
-@query("a23_bootstrap_interval", f"{ALL_SQL}, b AS (SELECT y_true AS label, (sample_id * 31 + locus_id * 7) % 20 AS rep, avg(CAST(y_true = y_pred AS DOUBLE)) AS value FROM preds GROUP BY y_true, (sample_id * 31 + locus_id * 7) % 20) SELECT CAST(label AS VARCHAR) AS label, 'recall' AS metric, round(avg(value), 9) AS mean, round(quantile_cont(value, 0.025), 9) AS lower, round(quantile_cont(value, 0.975), 9) AS upper FROM b GROUP BY label")
+REPLICATES = 40
+_POISSON_SQL = " + ".join(f"(u >= {p!r}::DOUBLE)::INT" for p in evaluate.POISSON)
+BOOTSTRAP_SQL = f"""{ALL_SQL}, reps AS (SELECT unnest(range({REPLICATES})) AS rep),
+b0 AS (SELECT rep, y_true, y_pred, (((sample_id * 7919 + locus_id * 104729 + 17) % 1000003) * (rep * 7919 + 13) % 1000003)::DOUBLE / 1000003.0::DOUBLE AS u FROM preds CROSS JOIN reps),
+bm AS (SELECT rep, y_true, y_pred, sum({_POISSON_SQL}) AS n FROM b0 GROUP BY ALL), bl AS (SELECT unnest([0, 1, 2]) AS label),
+bk AS (SELECT rep, label, coalesce(sum(n) FILTER (WHERE y_true = label AND y_pred = label), 0)::DOUBLE AS tp, coalesce(sum(n) FILTER (WHERE y_true <> label AND y_pred = label), 0)::DOUBLE AS fp, coalesce(sum(n) FILTER (WHERE y_true = label AND y_pred <> label), 0)::DOUBLE AS fn FROM bm CROSS JOIN bl GROUP BY rep, label),
+br AS (SELECT rep, label, tp, tp + fn AS support, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS recall, CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END AS f1 FROM bk),
+be AS (SELECT rep, CAST(label AS VARCHAR) AS label, precision, recall, f1 FROM br
+UNION ALL SELECT rep, 'macro avg', avg(precision), avg(recall), avg(f1) FROM br GROUP BY rep
+UNION ALL SELECT rep, 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support), sum(f1 * support) / sum(support) FROM br GROUP BY rep
+UNION ALL SELECT rep, 'accuracy', sum(tp) / sum(support), sum(tp) / sum(support), sum(tp) / sum(support) FROM br GROUP BY rep),
+bu AS (SELECT label, unnest(['precision', 'recall', 'f1']) AS metric, unnest([precision, recall, f1]) AS value FROM be)
+SELECT label, metric, round(avg(value), 9) AS mean, round(quantile_cont(value, 0.025), 9) AS lower, round(quantile_cont(value, 0.975), 9) AS upper FROM bu GROUP BY label, metric"""
+
+
+@query("a23_bootstrap_interval", BOOTSTRAP_SQL)
 def a23(spark, sf_dir):
-    replicate = (F.col("sample_id") * 31 + F.col("locus_id") * 7) % 20
-    reports = predicted(spark, sf_dir).groupBy(F.col("y_true").cast("string").alias("label"), replicate.alias("rep")).agg(F.avg((F.col("y_true") == F.col("y_pred")).cast("double")).alias("value"))
-    return evaluate.bootstrap_interval(reports.withColumn("metric", F.lit("recall")))
+    draw = lambda rep: ((F.col("sample_id") * 7919 + F.col("locus_id") * 104729 + 17) % 1000003 * (rep.cast("long") * 7919 + 13) % 1000003).cast("double") / F.lit(1000003.0)
+    return evaluate.bootstrap_interval(evaluate.bootstrap_reports(predicted(spark, sf_dir), (0, 1, 2), REPLICATES, draw))
+
+
+MACRO_SQL = f"""{TIES_SQL}, r AS (SELECT *, sum(pos) OVER f AS tp, sum(n - pos) OVER f AS fp, sum(pos) OVER (PARTITION BY cls) AS np, sum(n - pos) OVER (PARTITION BY cls) AS nn FROM t WINDOW f AS (PARTITION BY cls ORDER BY score DESC)),
+z AS (SELECT cls, CASE WHEN nn > 0 THEN fp / CAST(nn AS DOUBLE) ELSE 0 END AS fpr, CASE WHEN np > 0 THEN tp / CAST(np AS DOUBLE) ELSE 0 END AS tpr, tp / CAST(tp + fp AS DOUBLE) AS precision FROM r),
+q AS (SELECT cls, 'roc' AS curve, fpr AS x, tpr AS y FROM z UNION ALL SELECT cls, 'pr', tpr, precision FROM z UNION ALL SELECT cls, 'roc', 0, 0 FROM l UNION ALL SELECT cls, 'pr', 0, 1 FROM l),
+o AS (SELECT cls, curve, x, CASE WHEN curve = 'roc' THEN max(y) ELSE min(y) END AS y FROM q GROUP BY cls, curve, x),
+g AS (SELECT l.cls, d.curve, d.x, o.y, CASE WHEN o.y IS NOT NULL THEN d.x END AS own FROM (SELECT DISTINCT curve, x FROM o) d CROSS JOIN l LEFT JOIN o ON o.cls = l.cls AND o.curve = d.curve AND o.x = d.x),
+w AS (SELECT *, last_value(y IGNORE NULLS) OVER b AS ya, last_value(own IGNORE NULLS) OVER b AS xa, first_value(y IGNORE NULLS) OVER a AS yb, first_value(own IGNORE NULLS) OVER a AS xb FROM g
+  WINDOW b AS (PARTITION BY cls, curve ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY cls, curve ORDER BY x ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+SELECT curve, round(x, 9) AS x, round(avg(CASE WHEN y IS NOT NULL THEN y WHEN xa IS NULL THEN yb WHEN xb IS NULL THEN ya ELSE ya + (yb - ya) / (xb - xa) * (x - xa) END), 9) AS y FROM w GROUP BY curve, x"""
+
+
+@query("a22_macro_curve", MACRO_SQL)
+def a22_macro(spark, sf_dir):
+    return evaluate.macro_curves(class_scores(spark, sf_dir), (0, 1, 2))
 
 
 @query("a24_class_weights", f"WITH {CELLS_SQL}, n AS (SELECT g, count(*) AS n FROM cells WHERE g IS NOT NULL GROUP BY g), w AS (SELECT g, pow(CAST(sum(n) OVER () AS DOUBLE) / (n * count(*) OVER ()), 0.5) AS w FROM n), c AS (SELECT g, least(w, min(w) OVER () * 1.5) AS w FROM w) SELECT g, round(w / avg(w) OVER (), 9) AS weight FROM c")
