@@ -1,4 +1,4 @@
-"""Configuration: dataclasses, presets, precedence, interpolation and the model registry."""
+"""Configuration: dataclasses, presets, precedence and interpolation."""
 
 from __future__ import annotations
 
@@ -6,12 +6,10 @@ import dataclasses
 import json
 import os
 import re
-from collections.abc import Callable, Mapping
+from collections.abc import Mapping
 from dataclasses import dataclass, field
 from typing import Any
 
-from genoframe.operators import impute, learned, phylo
-
 
 @dataclass(frozen=True)
 class SplitConfig:
@@ -134,34 +132,3 @@ def best_parameters(text: str, aliases: Mapping[str, str] | None = None, ignored
     """Saved best parameters as dotted changes, aliases applied, derived keys left out."""
     aliases = aliases or {}
     return {f"model.{aliases.get(k, k)}": v for k, v in json.loads(text).items() if k not in ignored}
-
-
-#: Every imputer by name: a function of cells (and what else it needs) to cells with ``imputed``.
-REGISTRY: dict[str, Callable] = {
-    "RefAllele": impute.fill_reference,
-    "MostFrequent": impute.fill_mode,
-    "PopulationMode": impute.fill_population_mode,
-    "AlleleFreq": impute.fill_frequency,
-    "MatrixFactorization": learned.fill_factors,
-    "Phylo": phylo.impute_phylogeny,
-    "RandomForest": lambda cells, **o: learned.fill_chained(cells, learner="forest", **o),
-    "GradientBoosting": lambda cells, **o: learned.fill_chained(cells, learner="boosting", **o),
-    "Autoencoder": lambda cells, **o: learned.fill_neural(cells, learned.NeuralConfig("autoencoder", **o)),
-    "VAE": lambda cells, **o: learned.fill_neural(cells, learned.NeuralConfig("vae", **o)),
-    "NLPCA": lambda cells, **o: learned.fill_neural(cells, learned.NeuralConfig("nlpca", **o)),
-    "UBP": lambda cells, **o: learned.fill_neural(cells, learned.NeuralConfig("ubp", **o)),
-}
-
-
-def search(cells, score: Callable[[Any], float], space: Mapping[str, list], trials: int, seed: int = 0) -> list[dict[str, Any]]:
-    """Random search: each trial's parameters, value and state, best first. The reference's sampler has no Spark form."""
-    import numpy as np
-
-    rng, out = np.random.default_rng(seed), []
-    for i in range(trials):
-        params = {k: v[int(rng.integers(len(v)))] for k, v in space.items()}
-        try:
-            out.append({"trial_id": i, "params": params, "value": score(params), "state": "COMPLETE"})
-        except (ValueError, FloatingPointError) as error:
-            out.append({"trial_id": i, "params": params, "value": None, "state": f"FAIL: {error}"})
-    return sorted(out, key=lambda t: -(t["value"] if t["value"] is not None else float("-inf")))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from genoframe.config import effective_parameters
-from genoframe.operators import evaluate, impute, learned, mask, phylo
+from genoframe.operators import evaluate, impute, learned, mask, phylo, trees
 from genoframe.operators.encode import decode_012
 from genoframe.session import cut
 from genoframe.sources.tree import Tree
@@ -204,6 +204,12 @@ class Phylo(Imputer):
 class ForestParameters:
     neighbours: int = 10
     rounds: int = 10
+    trees: int = 300
+    depth: int = 8
+    #: Features that a node may ask; 0: the root of their number.
+    features: int = 0
+    leaf: float = 1.0
+    bootstrap: bool = True
     seed: int = 0
 
 
@@ -212,18 +218,39 @@ class RandomForest(Imputer):
     """I07."""
 
     Parameters = ForestParameters
-    presets: ClassVar = {"fast": {"rounds": 1, "neighbours": 5}, "balanced": {}, "thorough": {"neighbours": 20}}
-    learner: ClassVar[str] = "forest"
+    presets: ClassVar = {"fast": {"rounds": 1, "neighbours": 5, "trees": 30}, "balanced": {}, "thorough": {"neighbours": 20, "trees": 500}}
+
+    def plan(self) -> trees.Plan:
+        p = self.parameters
+        return trees.Plan("forest", p.trees, p.depth, p.features or None, p.leaf, bootstrap=p.bootstrap, seed=p.seed)
 
     def fill(self, cells: DataFrame) -> DataFrame:
-        return learned.fill_chained(cells, learner=self.learner, **self.get_params())
+        return learned.fill_chained(cells, plan=self.plan(), neighbours=self.parameters.neighbours, rounds=self.parameters.rounds)
+
+
+@dataclass(frozen=True)
+class BoostingParameters:
+    neighbours: int = 10
+    rounds: int = 10
+    #: Boosting rounds; each has a tree for each class.
+    trees: int = 100
+    depth: int = 5
+    learning_rate: float = 0.1
+    leaf: float = 20.0
+    l2: float = 0.0
+    seed: int = 0
 
 
 @register("GradientBoosting")
 class GradientBoosting(RandomForest):
     """I08."""
 
-    learner: ClassVar[str] = "boosting"
+    Parameters = BoostingParameters
+    presets: ClassVar = {"fast": {"rounds": 1, "neighbours": 5, "trees": 20, "depth": 3}, "balanced": {}, "thorough": {"neighbours": 20, "trees": 300}}
+
+    def plan(self) -> trees.Plan:
+        p = self.parameters
+        return trees.Plan("boosting", p.trees, p.depth, None, p.leaf, p.learning_rate, p.l2, seed=p.seed)
 
 
 class Neural(Imputer):

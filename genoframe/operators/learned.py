@@ -11,9 +11,10 @@ from pyspark.ml.recommendation import ALS
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from genoframe.operators import trees
 from genoframe.operators.impute import fill_mode, locus_mode
 from genoframe.operators.popgen import correlations, nearest_loci
-from genoframe.session import cut, ship_package
+from genoframe.session import cut, drop_cut, ship_package
 
 
 def fill_factors(cells: DataFrame, *, rank: int = 2, reg: float = 0.02, iterations: int = 10, seed: int = 1) -> DataFrame:
@@ -36,111 +37,33 @@ def fill_factors(cells: DataFrame, *, rank: int = 2, reg: float = 0.02, iteratio
 # --- trees -------------------------------------------------------------------------
 
 
-@dataclass
-class Node:
-    value: np.ndarray
-    feature: int = -1
-    cut: float = 0.0
-    low: Node | None = None
-    high: Node | None = None
-
-
-def grow(x: np.ndarray, y: np.ndarray, depth: int, rng: np.random.Generator, *, leaf: int = 2, features: int | None = None) -> Node:
-    """A regression tree for several outputs; for one-hot outputs its criterion is Gini's."""
-    node = Node(y.mean(axis=0))
-    if depth == 0 or len(y) < 2 * leaf or np.allclose(y, y[0]):
-        return node
-    pool = rng.permutation(x.shape[1])[: features or x.shape[1]]
-    best = (1e-9, -1, 0.0)
-    total = y.sum(axis=0)
-    for f in pool:
-        for cut_at in (0.5, 1.5):
-            low = x[:, f] < cut_at
-            n = int(low.sum())
-            if leaf <= n <= len(y) - leaf:
-                s = y[low].sum(axis=0)
-                gain = (s @ s) / n + ((total - s) @ (total - s)) / (len(y) - n) - (total @ total) / len(y)
-                if gain > best[0]:
-                    best = (float(gain), int(f), cut_at)
-    if best[1] < 0:
-        return node
-    node.feature, node.cut = best[1], best[2]
-    low = x[:, node.feature] < node.cut
-    node.low = grow(x[low], y[low], depth - 1, rng, leaf=leaf, features=features)
-    node.high = grow(x[~low], y[~low], depth - 1, rng, leaf=leaf, features=features)
-    return node
-
-
-def follow(node: Node, x: np.ndarray) -> np.ndarray:
-    out = np.empty((len(x), len(node.value)))
-    if node.low is None:
-        out[:] = node.value
-        return out
-    low = x[:, node.feature] < node.cut
-    out[low], out[~low] = follow(node.low, x[low]), follow(node.high, x[~low])
-    return out
-
-
-def forest_proba(x: np.ndarray, y: np.ndarray, new: np.ndarray, *, trees: int = 20, depth: int = 6, seed: int = 0) -> np.ndarray:
-    """Class shares of bagged trees on square-root feature samples."""
-    rng = np.random.default_rng(seed)
-    hot = np.eye(3)[y]
-    out = np.zeros((len(new), 3))
-    for _ in range(trees):
-        rows = rng.integers(0, len(y), len(y))
-        out += follow(grow(x[rows], hot[rows], depth, rng, features=max(1, int(np.sqrt(x.shape[1])))), new)
-    return out / trees
-
-
-def boosted_proba(x: np.ndarray, y: np.ndarray, new: np.ndarray, *, rounds: int = 30, depth: int = 3, rate: float = 0.2, seed: int = 0) -> np.ndarray:
-    """Softmax gradient boosting of regression trees."""
-    rng = np.random.default_rng(seed)
-    hot = np.eye(3)[y]
-    start = np.log(np.maximum(hot.mean(axis=0), 1e-6))
-    score, out = np.tile(start, (len(x), 1)), np.tile(start, (len(new), 1))
-    for _ in range(rounds):
-        p = np.exp(score - score.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        tree = grow(x, hot - p, depth, rng)
-        score += rate * 3 * follow(tree, x)
-        out += rate * 3 * follow(tree, new)
-    p = np.exp(out - out.max(axis=1, keepdims=True))
-    return p / p.sum(axis=1, keepdims=True)
-
-
-def fill_chained(cells: DataFrame, *, learner: str = "forest", neighbours: int = 10, rounds: int = 2, seed: int = 0, train: str | None = None) -> DataFrame:
+def fill_chained(cells: DataFrame, *, plan: trees.Plan | None = None, neighbours: int = 10, rounds: int = 10, train: str | None = None) -> DataFrame:
     """Each locus is predicted from its most correlated loci, over rounds, starting from modes.
 
-    All loci of a round are fitted at once from the round before (Jacobi order), each in its own
-    task call of samples x ``neighbours`` numbers. ``train`` names a boolean column
-    of the rows to fit on. Observed calls stay.
+    All loci of a round are fitted at once from the round before (Jacobi order), by
+    ``trees``: 300 trees and 10 rounds by default. Neighbours are found once, from the
+    calls. ``train`` names a boolean column of the rows to fit on. Observed calls stay.
+    A locus of one class, or of fewer than five calls, keeps its mode.
     """
-    ship_package(cells.sparkSession)
+    plan = plan or trees.Plan()
     start = fill_mode(cells, locus_mode(cells))
     near = cut(nearest_loci(correlations(cells), neighbours))
     fit_on = F.col(train) if train else F.lit(True)
-    target = cells.select("sample_id", "locus_id", "g", fit_on.alias("fit"))
+    target = cut(cells.select("sample_id", "locus_id", "g", fit_on.alias("fit")))
     now = cut(start.select("sample_id", "locus_id", "imputed"))
-    proba = forest_proba if learner == "forest" else boosted_proba
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        wide = frame.pivot_table(index="sample_id", columns="rank", values="value", aggfunc="first").fillna(0.0)
-        rows = frame.drop_duplicates("sample_id").set_index("sample_id").loc[wide.index]
-        x, g = wide.to_numpy(float), rows["g"]
-        known = g.notna().to_numpy() & rows["fit"].to_numpy(bool)
-        result = rows["start"].to_numpy(int).copy()
-        missing = g.isna().to_numpy()
-        if known.sum() >= 5 and missing.any() and g[known].nunique() > 1:
-            result[missing] = proba(x[known], g[known].to_numpy(int), x[missing], seed=seed).argmax(axis=1)
-        result[~missing] = g[~missing].to_numpy(int)
-        return pd.DataFrame({"sample_id": rows.index, "locus_id": rows["locus_id"].to_numpy(), "imputed": result})
-
     for _ in range(rounds):
-        values = near.join(now.select("sample_id", F.col("locus_id").alias("neighbour"), F.col("imputed").alias("value")), "neighbour").select("locus_id", "rank", "sample_id", "value")
-        rows = target.join(values, ["sample_id", "locus_id"]).join(now.withColumnRenamed("imputed", "start"), ["sample_id", "locus_id"])
-        fitted = rows.groupBy("locus_id").applyInPandas(run, "sample_id long, locus_id long, imputed int")
-        # Loci that vary not at all have no neighbours and keep their modes.
-        now = cut(now.withColumnRenamed("imputed", "start").join(fitted, ["sample_id", "locus_id"], "left").select("sample_id", "locus_id", F.coalesce("imputed", "start").alias("imputed")))
+        # A pattern is a sum over neighbours, so it is added up before the exchange by sample and locus.
+        worth = F.col("value") * F.element_at(F.array(*[F.lit(trees.CODES**i).cast("long") for i in range(neighbours)]), F.col("rank"))
+        values = near.join(now.select("sample_id", F.col("locus_id").alias("neighbour"), F.col("imputed").cast("long").alias("value")), "neighbour")
+        patterns = values.groupBy("sample_id", "locus_id").agg(F.sum(worth).alias("code"))
+        rows = cut(target.join(patterns, ["sample_id", "locus_id"]))
+        asked = F.col("g").isNull()
+        counts = rows.where(asked | F.col("fit")).groupBy("locus_id", "code", F.col("g").alias("y")).agg(F.count(F.lit(1)).alias("n"))
+        found = trees.predict(counts, plan, neighbours)
+        filled = rows.where(asked).join(found, ["locus_id", "code"]).select("sample_id", "locus_id", F.col("imputed").alias("guess"))
+        before, now = now, cut(now.join(filled, ["sample_id", "locus_id"], "left").select("sample_id", "locus_id", F.coalesce("guess", "imputed").alias("imputed")))
+        drop_cut(before)
+        drop_cut(rows)
     return cells.join(now, ["sample_id", "locus_id"])
 
 

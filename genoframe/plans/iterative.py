@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from genoframe import imputers
 from genoframe.functions.special import with_p_value, yeo_johnson_by_metric
 from genoframe.model import cells_from_tables, loci_of, samples_from_tables
 from genoframe.operators import clusters, compare, learned, phylo
@@ -61,12 +62,12 @@ def i06(spark, sf_dir):
 
 @query("i07_impute_forest")
 def i07(spark, sf_dir):
-    return learned.fill_chained(cells_from_tables(spark, sf_dir), rounds=1).select("sample_id", "locus_id", "imputed")
+    return imputers.make("RandomForest").fit_transform(cells_from_tables(spark, sf_dir)).select("sample_id", "locus_id", "imputed")
 
 
 @query("i08_impute_boosting")
 def i08(spark, sf_dir):
-    return learned.fill_chained(cells_from_tables(spark, sf_dir), learner="boosting", rounds=1).select("sample_id", "locus_id", "imputed")
+    return imputers.make("GradientBoosting").fit_transform(cells_from_tables(spark, sf_dir)).select("sample_id", "locus_id", "imputed")
 
 
 def _neural(kind: str):

@@ -20,8 +20,5 @@ def test_coercion_and_interpolation():
     assert config.interpolate("${Q}", {}) == "${Q}"
 
 
-def test_best_parameters_and_search():
+def test_best_parameters():
     assert config.best_parameters('{"lr": 1, "latent_dim": 3}', {"latent_dim": "latent"}, ("lr",)) == {"model.latent": 3}
-    found = config.search(None, lambda p: p["a"], {"a": [1, 2, 3]}, 10)
-    assert found[0]["value"] == max(t["value"] for t in found)
-    assert {"RefAllele", "UBP", "Phylo"} <= set(config.REGISTRY)
