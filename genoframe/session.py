@@ -113,10 +113,13 @@ def ship_package(spark: SparkSession) -> None:
 
 
 _KEPT: dict[object, object] = {}
+#: Tasks of this worker that have asked for a kept value since they began.
+_ASKED: set[int] = set()
 
 
 def kept(owner: object, key: object, make: Callable[[], object]) -> object:
     """A value that a Python worker keeps between tasks: made once for each owner (a broadcast's id) and key; another owner's values go first."""
+    _ASKED.add(0)
     if _KEPT.get("owner") != owner:
         _KEPT.clear()
         _KEPT["owner"] = owner
@@ -126,12 +129,18 @@ def kept(owner: object, key: object, make: Callable[[], object]) -> object:
 
 
 def tidy(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A batch function that gives freed memory back to the system when its task ends; workers outlive tasks and stages."""
+    """A batch function that gives freed memory back to the system when its task ends; workers outlive tasks and stages.
+
+    What earlier stages kept goes too, if the task did not ask for it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _ASKED.clear()
         try:
             yield from function(batches)
         finally:
+            if not _ASKED:
+                _KEPT.clear()
             pa.default_memory_pool().release_unused()
             with contextlib.suppress(OSError, AttributeError):  # another C library has no malloc_trim
                 ctypes.CDLL("libc.so.6").malloc_trim(0)
