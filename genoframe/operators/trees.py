@@ -148,38 +148,52 @@ class Stage:
         for at in range(0, self.plan.width, step):
             yield slice(at, min(at + step, self.plan.width))
 
+    def open_nodes(self, level: int) -> tuple[np.ndarray, int]:
+        """(tree, node) of a level to a number, -1 for nodes under no cut; and how many are open. All tiles of a locus agree on it."""
+        if not level:
+            return np.arange(self.plan.width)[:, None], self.plan.width
+        parents = self.feature[:, (1 << level - 1) - 1 : (1 << level) - 1] >= 0
+        both = np.repeat(parents, 2, axis=1)
+        return np.where(both, np.cumsum(both).reshape(both.shape) - 1, -1), int(both.sum())
+
     def sums(self, x: np.ndarray, channels: np.ndarray, level: int) -> np.ndarray:
-        """(tree, node, asked feature, code, channel): what a tile adds to the choice of cuts. ``channels`` are (tree or 1, row, channel)."""
-        nodes, out = 1 << level, []
+        """(open node, asked feature, code, channel): what a tile adds to the choice of cuts. ``channels`` are (tree or 1, row, channel)."""
+        number, size = self.open_nodes(level)
+        out = np.zeros((size * self.m * CODES, CODES))
+        if not size:
+            return out.reshape(0, self.m, CODES, CODES)
+        first = (1 << level) - 1
         for trees in self.slices(len(x)):
-            t = trees.stop - trees.start
             node = self.places(x, trees, level)
-            offered = self.offered[np.arange(trees.start, trees.stop)[:, None], node + nodes - 1]
-            code = x[np.arange(len(x))[None, :, None], offered]
-            flat = ((((np.arange(t)[:, None] * nodes + node)[:, :, None] * self.m + np.arange(self.m)) * CODES) + code).reshape(-1)
-            size = t * nodes * self.m * CODES
-            part = np.empty((size, CODES))
+            tree = np.arange(trees.start, trees.stop)[:, None]
+            own = channels[trees] if len(channels) > 1 else np.broadcast_to(channels, (trees.stop - trees.start, *channels.shape[1:]))
+            # Rows of closed nodes, and those that weigh nothing, take no further part.
+            t, r = np.nonzero((number[tree, node] >= 0) & (own != 0).any(axis=2))
+            at = node[t, r]
+            offered = self.offered[t + trees.start, at + first]
+            flat = ((number[t + trees.start, at][:, None] * self.m + np.arange(self.m)) * CODES + x[r[:, None], offered]).reshape(-1)
+            weights = own[t, r]
             for c in range(CODES):
-                own = channels[trees if len(channels) > 1 else slice(0, 1), :, c]
-                part[:, c] = np.bincount(flat, np.broadcast_to(own[:, :, None], (t, len(x), self.m)).reshape(-1), size)
-            out.append(part.reshape(t, nodes, self.m, CODES, CODES))
-        return np.concatenate(out)
+                out[:, c] += np.bincount(flat, np.repeat(weights[:, c], self.m), len(out))
+        return out.reshape(size, self.m, CODES, CODES)
 
     def split(self, sums: np.ndarray, level: int) -> None:
-        """The best cut of each node of a level; none where nothing is gained or a leaf would be too light."""
-        low = np.cumsum(sums, axis=3)[:, :, :, :-1]
-        whole = sums.sum(axis=3, keepdims=True)
+        """The best cut of each open node of a level; none where nothing is gained or a leaf would be too light."""
+        number, size = self.open_nodes(level)
+        if not size:
+            return
+        low = np.cumsum(sums, axis=2)[:, :, :-1]
+        whole = sums.sum(axis=2, keepdims=True)
         high = whole - low
-        score = self._score
-        gain = score(low) + score(high) - score(whole)
+        gain = self._score(low) + self._score(high) - self._score(whole)
         fits = (self._weight(low) >= self.plan.leaf) & (self._weight(high) >= self.plan.leaf)
-        gain = np.where(fits, gain, -np.inf).reshape(*gain.shape[:2], -1)
-        best = gain.argmax(axis=2)
-        worth = np.take_along_axis(gain, best[:, :, None], axis=2)[:, :, 0] > 1e-9
-        at = slice((1 << level) - 1, (2 << level) - 1)
-        chosen = np.take_along_axis(self.offered[:, at], (best // (CODES - 1))[:, :, None], axis=2)[:, :, 0]
-        self.feature[:, at] = np.where(worth, chosen, -1)
-        self.cut[:, at] = best % (CODES - 1)
+        gain = np.where(fits, gain, -np.inf).reshape(size, -1)
+        best = gain.argmax(axis=1)
+        worth = gain[np.arange(size), best] > 1e-9
+        tree, node = np.nonzero(number >= 0)
+        at = node + (1 << level) - 1
+        self.feature[tree, at] = np.where(worth, self.offered[tree, at, best // (CODES - 1)], -1)
+        self.cut[tree, at] = best % (CODES - 1)
 
     def _weight(self, s: np.ndarray) -> np.ndarray:
         return s.sum(axis=-1) if self.plan.kind == "forest" else s[..., 2]
@@ -261,7 +275,7 @@ def fit_predict(plan: Plan, locus: int, k: int, codes: np.ndarray, y: np.ndarray
         channels = channels_of(plan, locus, codes, y, weight, scores)
         for level in range(plan.depth):
             stage.split(stage.sums(x, channels, level), level)
-            if (stage.feature[:, (1 << level) - 1 : (2 << level) - 1] < 0).all():
+            if not stage.open_nodes(level + 1)[1] if level + 1 < plan.depth else True:
                 break
         stage.settle(stage.leaf_sums(x, channels))
         out += stage.said(new)
@@ -393,7 +407,7 @@ def _by_levels(rows: DataFrame, plan: Plan, k: int, parts: int) -> DataFrame:
                     stage.load(row["model"])
                 sums = np.frombuffer(row["sums"])
                 if level < plan.depth:
-                    stage.split(sums.reshape(plan.width, 1 << level, stage.m, CODES, CODES), level)
+                    stage.split(sums.reshape(-1, stage.m, CODES, CODES), level)
                 else:
                     stage.settle(sums.reshape(plan.width, 1 << plan.depth, CODES))
                 return pa.RecordBatch.from_arrays([pa.array([row["locus_id"]]), pa.array([stage.dump()], pa.binary())], names=["locus_id", "model"])
