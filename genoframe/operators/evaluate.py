@@ -207,11 +207,15 @@ def macro_curves(scores: DataFrame, classes: Sequence[int]) -> DataFrame:
     tpr, fpr, precision = _ratio(F.col("tp"), F.col("np")), _ratio(F.col("fp"), F.col("nn")), _ratio(F.col("tp"), F.col("tp") + F.col("fp"))
     starts = scores.sparkSession.createDataFrame([(c, k, 0.0, y) for c in classes for k, y in (("roc", 0.0), ("pr", 1.0))], "cls int, curve string, x double, y double")
     both = steps.select(F.col("cls").cast("int").alias("cls"), F.inline(F.array(F.struct(F.lit("roc").alias("curve"), fpr.alias("x"), tpr.alias("y")), F.struct(F.lit("pr").alias("curve"), tpr.alias("x"), precision.alias("y")))))
-    points = cut(both.unionByName(starts).groupBy("cls", "curve", "x").agg(F.when(F.col("curve") == "roc", F.max("y")).otherwise(F.min("y")).alias("y")))
+    points = cut(both.unionByName(starts).groupBy("cls", "curve", "x").agg(F.min("y").alias("low"), F.max("y").alias("high")))
+    # What a line comes from is the last point at an x, what it goes to is the first one.
+    rising = F.col("curve") == "roc"
+    points = points.select("cls", "curve", "x", F.when(rising, F.col("high")).otherwise(F.col("low")).alias("y"), F.when(rising, F.col("low")).otherwise(F.col("high")).alias("first"))
     grid = points.select("curve", "x").distinct().withColumn("cls", F.explode(F.array(*map(F.lit, classes))))
-    marked = grid.join(points, ["cls", "curve", "x"], "left").withColumn("here", F.when(F.col("y").isNotNull(), F.struct("x", "y")))
-    left = running_extreme(marked, "x", F.col("here"), "left", keys=("cls", "curve"))
-    ends = running_extreme(left, "x", F.col("here"), "right", least=True, backwards=True, keys=("cls", "curve"))
+    marked = grid.join(points, ["cls", "curve", "x"], "left")
+    here = lambda y: F.when(F.col("y").isNotNull(), F.struct("x", F.col(y).alias("y")))
+    left = running_extreme(marked, "x", here("y"), "left", keys=("cls", "curve"))
+    ends = running_extreme(left, "x", here("first"), "right", least=True, backwards=True, keys=("cls", "curve"))
     a, b = F.col("left"), F.col("right")
     between = a["y"] + (b["y"] - a["y"]) / (b["x"] - a["x"]) * (F.col("x") - a["x"])
     value = F.when(F.col("y").isNotNull(), F.col("y")).when(a.isNull(), b["y"]).when(b.isNull(), a["y"]).otherwise(between)

@@ -151,9 +151,9 @@ def mask_clades(spark: SparkSession, cells: DataFrame, tree: Tree, prop: float,
     is exact to the cell. No shared names fail. The tree is what a tree file holds and
     is broadcast; loci and cells stay in Spark.
     """
-    below = tree.tips_below()
-    tips = spark.createDataFrame([(tree.name[i],) for i in tree.leaves], "sample_name string")
-    eligible = cells.where("g IS NOT NULL").join(F.broadcast(tips), "sample_name", "left_semi")
+    order, ends = tree.intervals()
+    tips = spark.createDataFrame([(place, tree.name[i]) for place, i in enumerate(order)], "place int, sample_name string")
+    eligible = cells.where("g IS NOT NULL").join(F.broadcast(tips.select("sample_name")), "sample_name", "left_semi")
     found = eligible.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("locus_id").alias("loci")).collect()[0]
     if not found["n"]:
         raise ValueError("tree and samples share no names")
@@ -162,17 +162,19 @@ def mask_clades(spark: SparkSession, cells: DataFrame, tree: Tree, prop: float,
     weights = {i: tree.length[i] if weighted and np.isfinite(tree.length[i]) and tree.length[i] > 0 else float(not weighted) for i, up in enumerate(tree.parent) if up >= 0}
     if not any(weights.values()):
         weights = dict.fromkeys(weights, 1.0)
-    clades = spark.createDataFrame([(i, float(w), len(below[i])) for i, w in weights.items() if w > 0], "node int, w double, size long")
+    clades = spark.createDataFrame([(i, float(w), ends[i][1] - ends[i][0] + 1) for i, w in weights.items() if w > 0], "node int, w double, size long")
     u = (F.pmod(F.xxhash64("locus_id", "node", F.lit(seed)), F.lit(1 << 53)) + 1) / F.lit(float(1 << 53))
     # A row for each locus and clade: the tree is small, and loci are dealt over tasks.
     drawn = eligible.select("locus_id").distinct().join(F.broadcast(clades)).withColumn("turn", -F.log(u) / F.col("w"))
-    order = F.array_sort(F.collect_list(F.struct("turn", "node", "size")))
+    turns = F.array_sort(F.collect_list(F.struct("turn", "node", "size")))
     start = F.struct(F.lit(0).cast("long").alias("got"), F.array().cast("array<int>").alias("taken"))
     fits = lambda s, c: (s["got"] < share) & ((s["got"] == 0) | (s["got"] + c["size"] <= share * 1.5))
     step = lambda s, c: F.when(fits(s, c), F.struct((s["got"] + c["size"]).alias("got"), F.concat(s["taken"], F.array(c["node"])).alias("taken"))).otherwise(s)
-    taken = drawn.groupBy("locus_id").agg(order.alias("o")).select("locus_id", F.explode(F.aggregate("o", start, step)["taken"]).alias("node"))
-    members = spark.createDataFrame([(i, tip) for i in weights for tip in below[i]], "node int, sample_name string")
-    chosen = taken.join(F.broadcast(members), "node").select("locus_id", "sample_name").distinct().withColumn("drawn", F.lit(True))
+    taken = drawn.groupBy("locus_id").agg(turns.alias("o")).select("locus_id", F.explode(F.aggregate("o", start, step)["taken"]).alias("node"))
+    # A clade is an interval of tips: only those of clades that were taken are spelled out.
+    spans = spark.createDataFrame([(i, *ends[i]) for i in weights], "node int, first int, last int")
+    spelled = taken.join(F.broadcast(spans), "node").select("locus_id", F.explode(F.sequence("first", "last")).alias("place")).distinct()
+    chosen = spelled.join(F.broadcast(tips), "place").select("locus_id", "sample_name").withColumn("drawn", F.lit(True))
     marked = cells.join(chosen, ["locus_id", "sample_name"], "left").withColumn("simulated", F.coalesce("drawn", F.lit(False)) & F.col("g").isNotNull()).select(*cells.columns, "simulated")
     excess = marked.agg(F.count_if("simulated")).collect()[0][0] - target
     if excess <= 0:

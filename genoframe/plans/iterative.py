@@ -7,10 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from genoframe import imputers
-from genoframe.functions.special import with_p_value, yeo_johnson_by_metric
+from genoframe.functions.special import power_transform, with_p_value, yeo_johnson_by_metric
 from genoframe.model import cells_from_tables, loci_of, samples_from_tables
 from genoframe.operators import clusters, compare, learned, phylo
-from genoframe.plans.comparisons import long_metrics
+from genoframe.plans.comparisons import LONG_SQL, long_metrics
 from genoframe.plans.registry import query
 from genoframe.sources.tree import Tree
 
@@ -94,3 +94,9 @@ def a27_p(spark, sf_dir):
 @query("a28_yeo_johnson")
 def a28(spark, sf_dir):
     return yeo_johnson_by_metric(long_metrics(spark, sf_dir)).select("dataset", "metric", F.round("value", 9).alias("value"), F.round("lambda", 6).alias("lambda"))
+
+
+@query("a28_power_transform", f"{LONG_SQL}, y AS (SELECT dataset, metric, CAST(value AS DOUBLE) AS x, (length(metric) % 4 - 1)::DOUBLE AS lam FROM lg WHERE value IS NOT NULL) SELECT dataset, metric, lam AS lambda, round(CASE WHEN x >= 0 THEN CASE WHEN lam = 0 THEN ln(1 + x) ELSE (pow(1 + x, lam) - 1) / lam END ELSE CASE WHEN lam = 2 THEN -ln(1 - x) ELSE -(pow(1 - x, 2 - lam) - 1) / (2 - lam) END END, 8) AS value FROM y")
+def a28_given(spark, sf_dir):
+    lam = (F.length("metric") % 4 - 1).cast("double")
+    return long_metrics(spark, sf_dir).where("value IS NOT NULL").select("dataset", "metric", lam.alias("lambda"), F.round(power_transform(F.col("value").cast("double"), lam), 8).alias("value"))

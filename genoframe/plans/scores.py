@@ -106,9 +106,9 @@ def a23(spark, sf_dir):
 MACRO_SQL = f"""{TIES_SQL}, r AS (SELECT *, sum(pos) OVER f AS tp, sum(n - pos) OVER f AS fp, sum(pos) OVER (PARTITION BY cls) AS np, sum(n - pos) OVER (PARTITION BY cls) AS nn FROM t WINDOW f AS (PARTITION BY cls ORDER BY score DESC)),
 z AS (SELECT cls, CASE WHEN nn > 0 THEN fp / CAST(nn AS DOUBLE) ELSE 0 END AS fpr, CASE WHEN np > 0 THEN tp / CAST(np AS DOUBLE) ELSE 0 END AS tpr, tp / CAST(tp + fp AS DOUBLE) AS precision FROM r),
 q AS (SELECT cls, 'roc' AS curve, fpr AS x, tpr AS y FROM z UNION ALL SELECT cls, 'pr', tpr, precision FROM z UNION ALL SELECT cls, 'roc', 0, 0 FROM l UNION ALL SELECT cls, 'pr', 0, 1 FROM l),
-o AS (SELECT cls, curve, x, CASE WHEN curve = 'roc' THEN max(y) ELSE min(y) END AS y FROM q GROUP BY cls, curve, x),
-g AS (SELECT l.cls, d.curve, d.x, o.y, CASE WHEN o.y IS NOT NULL THEN d.x END AS own FROM (SELECT DISTINCT curve, x FROM o) d CROSS JOIN l LEFT JOIN o ON o.cls = l.cls AND o.curve = d.curve AND o.x = d.x),
-w AS (SELECT *, last_value(y IGNORE NULLS) OVER b AS ya, last_value(own IGNORE NULLS) OVER b AS xa, first_value(y IGNORE NULLS) OVER a AS yb, first_value(own IGNORE NULLS) OVER a AS xb FROM g
+o AS (SELECT cls, curve, x, CASE WHEN curve = 'roc' THEN max(y) ELSE min(y) END AS y, CASE WHEN curve = 'roc' THEN min(y) ELSE max(y) END AS first FROM q GROUP BY cls, curve, x),
+g AS (SELECT l.cls, d.curve, d.x, o.y, o.first, CASE WHEN o.y IS NOT NULL THEN d.x END AS own FROM (SELECT DISTINCT curve, x FROM o) d CROSS JOIN l LEFT JOIN o ON o.cls = l.cls AND o.curve = d.curve AND o.x = d.x),
+w AS (SELECT *, last_value(y IGNORE NULLS) OVER b AS ya, last_value(own IGNORE NULLS) OVER b AS xa, first_value(first IGNORE NULLS) OVER a AS yb, first_value(own IGNORE NULLS) OVER a AS xb FROM g
   WINDOW b AS (PARTITION BY cls, curve ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY cls, curve ORDER BY x ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
 SELECT curve, round(x, 9) AS x, round(avg(CASE WHEN y IS NOT NULL THEN y WHEN xa IS NULL THEN yb WHEN xb IS NULL THEN ya ELSE ya + (yb - ya) / (xb - xa) * (x - xa) END), 9) AS y FROM w GROUP BY curve, x"""
 

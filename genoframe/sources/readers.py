@@ -149,7 +149,9 @@ def calls_from_iupac(cells: DataFrame, ref: Column) -> DataFrame:
 def read_locus_stats(spark: SparkSession, root: str) -> DataFrame:
     """All ``Total_LocusStats.csv`` under a root, with ``dataset``, the folder relative to it."""
     read = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "Total_LocusStats.csv").csv(root, header=True, inferSchema=True)
-    folder = F.regexp_replace(F.regexp_replace(F.input_file_name(), r"/[^/]*$", ""), "^.*" + root.rstrip("/").rsplit("/", 1)[-1] + "/?", "")
+    # The name is a URI: what is no plain character there is escaped, but for the plus sign.
+    name = F.url_decode(F.replace(F.input_file_name(), F.lit("+"), F.lit("%2B")))
+    folder = F.regexp_replace(F.regexp_replace(name, r"/[^/]*$", ""), "^.*" + root.rstrip("/").rsplit("/", 1)[-1] + "/?", "")
     return read.withColumn("dataset", folder)
 
 

@@ -66,6 +66,20 @@ def write_report(report: DataFrame, path: str, fmt: str = "json") -> None:
     writer.json(path) if fmt == "json" else writer.csv(path, header=True)
 
 
+def write_single_file(table: DataFrame, path: str) -> None:
+    """A small table as one CSV file with a header at this very path, in any store that Spark writes."""
+    spark = table.sparkSession
+    parts = f"{path}.parts"
+    write_report(table, parts, "csv")
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    folder, target = hadoop.Path(parts), hadoop.Path(path)
+    store = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.delete(target, True)
+    for file in store.globStatus(hadoop.Path(f"{parts}/part-*")):
+        store.rename(file.getPath(), target)
+    store.delete(folder, True)
+
+
 def write_mask(masked: DataFrame, path: str) -> None:
     """S15."""
     masked.select("sample_id", "locus_id", F.col("g").isNull().alias("original"), "simulated").write.mode("overwrite").parquet(path)

@@ -35,6 +35,27 @@ class Tree:
                 at = self.parent[at]
         return below
 
+    def intervals(self) -> tuple[list[int], list[tuple[int, int]]]:
+        """Tips in an order in which those below any node stand together, and each node's first and last place in it. Linear in nodes."""
+        children: list[list[int]] = [[] for _ in self.parent]
+        for i, up in enumerate(self.parent):
+            if up >= 0:
+                children[up].append(i)
+        order, ends, stack = [], [(0, 0)] * len(self.parent), [(i, False) for i, up in enumerate(self.parent) if up < 0]
+        first = [0] * len(self.parent)
+        while stack:
+            node, done = stack.pop()
+            if done:
+                ends[node] = (first[node], len(order) - 1)
+                continue
+            first[node] = len(order)
+            stack.append((node, True))
+            if children[node]:
+                stack += [(c, False) for c in reversed(children[node])]
+            else:
+                order.append(node)
+        return order, ends
+
 
 def parse_newick(text: str) -> Tree:
     """Newick, names quoted or not, lengths optional; comments in brackets are dropped."""
