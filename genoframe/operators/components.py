@@ -142,7 +142,7 @@ def principal_components(cells: DataFrame, components: int, *, train: str | None
     locus without a training call is 0) and, if named, a boolean column ``train``. Rounds
     of multiplication go on until the singular values change by less than ``tolerance`` of
     the largest, ``rounds`` at most. Fewer components than asked are returned where the
-    matrix has fewer. Signs are so that the place of greatest size is positive.
+    matrix has fewer, and no rows where it has none. Signs are so that the place of greatest size is positive.
     """
     spark = cells.sparkSession
     ship_package(spark)
@@ -150,6 +150,9 @@ def principal_components(cells: DataFrame, components: int, *, train: str | None
     g = F.col("g").cast("double")
     means = cells.groupBy("locus_id").agg(F.avg(F.when(fit, g)).alias("mean"))
     centred = cells.join(means, "locus_id").where("g IS NOT NULL AND mean IS NOT NULL").select("sample_id", "locus_id", (g - F.col("mean")).alias("x"), fit.alias("fit"))
+    nothing = Components(np.zeros(0), spark.createDataFrame([], "sample_id long, places array<double>"))
+    if not (centred.where("fit").agg(F.sum(F.col("x") * F.col("x"))).collect()[0][0] or 0):
+        return nothing
     tiles = cut(_tiles(centred))
     wide = components + oversample
 
@@ -174,7 +177,7 @@ def principal_components(cells: DataFrame, components: int, *, train: str | None
         drop_cut(before)
         drop_cut(y)
     if not len(singular) or singular[0] == 0:
-        return Components(np.zeros(0), spark.createDataFrame([], "sample_id long, places array<double>"))
+        return nothing
     # The last factor belongs to one product more.
     values, vectors = np.linalg.eigh(_gram(cut(_product(tiles, q, True, True))))
     order = np.argsort(-values)[:components]
