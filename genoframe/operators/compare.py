@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from genoframe.operators.relate import running_extreme, running_total
-from genoframe.session import cut
+from genoframe.session import cut, ship_package
 
 
 def unpivot_metrics(df: DataFrame, ids: Sequence[str], metrics: Sequence[str]) -> DataFrame:
@@ -137,7 +140,7 @@ def trial_timeline(trials: DataFrame) -> DataFrame:
 def parameter_importance(trials: DataFrame, parameters: Sequence[str]) -> DataFrame:
     """``parameter``, ``importance``: the share of the values' variance that lies between a parameter's settings, scaled to sum to 1 over parameters.
 
-    The reference asks a fitted forest; this is the one-way share of variance, which needs sums only.
+    This one-way share of variance needs sums only; ``functional_importance`` asks a tree, as the reference asks a forest.
     """
     settings = trials.where("value IS NOT NULL").unpivot(["value"], [F.col(p).cast("string").alias(p) for p in parameters], "parameter", "setting")
     cells = settings.groupBy("parameter", "setting").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"))
@@ -146,3 +149,87 @@ def parameter_importance(trials: DataFrame, parameters: Sequence[str]) -> DataFr
     between = cells.withColumn("b", F.col("n") * F.pow(F.col("mean") - grand, F.lit(2.0))).groupBy("parameter").agg(F.sum("b").alias("b"))
     total = between.agg(F.sum("b").alias("t"))  # a row for each parameter
     return between.crossJoin(F.broadcast(total)).select("parameter", F.round(F.coalesce(F.try_divide("b", "t"), F.lit(0.0)), 9).alias("importance"))
+
+
+#: Settings that a numeric parameter is cut into.
+SETTINGS = 8
+
+
+def _leaves(x: np.ndarray, sizes: list[int], n: np.ndarray, s: np.ndarray, least: float) -> list[tuple[list[np.ndarray], float]]:
+    """Boxes of a regression tree over cells of settings: for each parameter the settings of a box, and its mean. ``x``: cells x parameters."""
+    out, open_boxes = [], [(np.arange(len(x)), [np.arange(k) for k in sizes])]
+    while open_boxes:
+        rows, box = open_boxes.pop()
+        total, weight = s[rows].sum(), n[rows].sum()
+        best = (1e-12 * max(1.0, abs(total * total / weight)), None)
+        for p in range(x.shape[1]):
+            # Settings in the order of their means: the best cut of them is one of that order.
+            own_n, own_s = np.bincount(x[rows, p], n[rows], sizes[p]), np.bincount(x[rows, p], s[rows], sizes[p])
+            seen = np.nonzero(own_n)[0]
+            order = seen[np.lexsort((seen, own_s[seen] / own_n[seen]))]
+            low_n, low_s = np.cumsum(own_n[order])[:-1], np.cumsum(own_s[order])[:-1]
+            gain = low_s**2 / low_n + (total - low_s) ** 2 / (weight - low_n) - total**2 / weight
+            gain = np.where((low_n >= least) & (weight - low_n >= least), gain, -np.inf)
+            if len(gain) and gain.max() > best[0]:
+                best = (gain.max(), (p, order[: int(gain.argmax()) + 1]))
+        if best[1] is None:
+            out.append((box, total / weight))
+            continue
+        p, low = best[1]
+        below = np.isin(x[rows, p], low)
+        # Settings that these cells lack go with the larger side.
+        inside = np.isin(box[p], low) | (~np.isin(box[p], x[rows, p]) & (n[rows][below].sum() >= weight / 2))
+        for side, part in ((rows[below], inside), (rows[~below], ~inside)):
+            open_boxes.append((side, [*box[:p], box[p][part], *box[p + 1 :]]))
+    return out
+
+
+def variance_shares(x: np.ndarray, sizes: list[int], n: np.ndarray, s: np.ndarray, least: float = 1.0) -> np.ndarray:
+    """Of each parameter the variance of its marginal means over the whole variance of the tree, every setting counting alike."""
+    leaves = _leaves(x, sizes, n, s, least)
+    volume = np.array([np.prod([len(b) / k for b, k in zip(box, sizes, strict=True)]) for box, _ in leaves])
+    value = np.array([v for _, v in leaves])
+    mean = (volume * value).sum()
+    whole = (volume * (value - mean) ** 2).sum()
+    shares = np.zeros(len(sizes))
+    for p, k in enumerate(sizes):
+        marginal = np.zeros(k)
+        for (box, v), part in zip(leaves, volume, strict=True):
+            marginal[box[p]] += v * part / (len(box[p]) / k)
+        shares[p] = ((marginal - mean) ** 2).mean() / whole if whole > 1e-300 else 0.0
+    return shares
+
+
+def functional_importance(trials: DataFrame, parameters: Sequence[str], *, study: str | None = None, least: float = 1.0) -> DataFrame:
+    """``parameter``, ``importance`` (of each ``study``): the part of the variance of the values that a parameter alone explains, scaled to sum to 1.
+
+    Spark counts and adds up the values of each combination of settings; strings are
+    settings themselves, numbers of more than SETTINGS values are cut at quantiles into
+    that many. A regression tree is grown over the combinations, whatever the number of
+    trials, and its boxes give every parameter's marginal means with the others evenly
+    spread. Trials without a value are left out; a null setting is one of its own.
+    Nothing varies: all importances are 0.
+    """
+    ship_package(trials.sparkSession)
+    done = trials.where(F.col("value").isNotNull() & ~F.isnan(F.col("value").cast("double")))
+    settings = []
+    for p in parameters:
+        cell = F.col(p).cast("string")
+        if not isinstance(done.schema[p].dataType, StringType) and done.select(p).distinct().limit(SETTINGS + 1).count() > SETTINGS:
+            cuts = sorted(set(done.where(F.col(p).isNotNull()).approxQuantile(p, [i / SETTINGS for i in range(1, SETTINGS)], 1 / (4 * SETTINGS))))
+            number = F.col(p).cast("double")
+            cell = F.when(number.isNotNull(), F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= number)).cast("string"))  # noqa: B023  called at once
+        settings.append(F.coalesce(cell, F.lit("\0")).alias(p))
+    island = F.col(study) if study else F.lit(0)
+    cells = done.select(island.alias("__study"), *settings, F.col("value").cast("double").alias("__v")).groupBy("__study", *parameters).agg(F.count(F.lit(1)).alias("__n"), F.sum("__v").alias("__s"))
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(list(parameters))
+        coded = [np.unique(frame[p].to_numpy(str), return_inverse=True) for p in parameters]
+        shares = variance_shares(np.stack([c for _, c in coded], axis=1), [len(u) for u, _ in coded], frame["__n"].to_numpy(float), frame["__s"].to_numpy(float), least)
+        total = shares.sum()
+        return pd.DataFrame({"__study": frame["__study"].iloc[0], "parameter": list(parameters), "importance": np.round(shares / total if total > 0 else shares, 9)})
+
+    kind = cells.schema["__study"].dataType.simpleString()
+    found = cells.groupBy("__study").applyInPandas(lambda frame: run(frame), f"__study {kind}, parameter string, importance double")
+    return found.withColumnRenamed("__study", study) if study else found.drop("__study")

@@ -76,11 +76,19 @@ def dataset_summary(stats: DataFrame, digits: int = 8) -> DataFrame:
     return stats.groupBy("pop_id").agg(*aggs)
 
 
-#: Loci of a tile, and samples of one on average: 64 x 4096 calls are 2 MB.
+#: Loci of a tile at least, and samples of one on average: 64 x 4096 calls are 2 MB.
 TILE_LOCI, TILE_SAMPLES = 64, 4096
+#: Blocks of loci that are aimed at, as a tile is copied once for each, and the most loci of a block, as a task holds their products.
+BLOCKS, MOST_LOCI = 512, 4096
 
 
-def pair_sums(cells: DataFrame, value: str, *, loci: int = TILE_LOCI, samples: int = TILE_SAMPLES) -> DataFrame:
+def tile_loci(cells: DataFrame) -> int:
+    """Loci of a block for ids of this range."""
+    low, high = cells.agg(F.min("locus_id"), F.max("locus_id")).collect()[0]
+    return min(MOST_LOCI, max(TILE_LOCI, -(-(high - low + 1) // BLOCKS))) if low is not None else TILE_LOCI
+
+
+def pair_sums(cells: DataFrame, value: str, *, loci: int | None = None, samples: int = TILE_SAMPLES) -> DataFrame:
     """``l1`` < ``l2``, ``n`` samples that have rows of both loci, ``s`` the sum of the products of ``value``, for every pair of loci that occur.
 
     Cells are packed into tiles of loci x samples. A tile goes to each pair of locus
@@ -89,6 +97,7 @@ def pair_sums(cells: DataFrame, value: str, *, loci: int = TILE_LOCI, samples: i
     made for a sample of a pair.
     """
     ship_package(cells.sparkSession)
+    loci = loci or tile_loci(cells)
     parts = max(1, -(-cells.agg(F.approx_count_distinct("sample_id")).collect()[0][0] // samples))
     narrow = cells.select(F.floor(F.col("locus_id") / F.lit(float(loci))).alias("block"), F.pmod(F.xxhash64("sample_id"), F.lit(parts)).cast("long").alias("part"), "locus_id", "sample_id", F.col(value).cast("double").alias("x"))
 
@@ -97,7 +106,7 @@ def pair_sums(cells: DataFrame, value: str, *, loci: int = TILE_LOCI, samples: i
         return pa.table([table.column("block")[:1], table.column("part")[:1], *binary], names=["block", "part", "l", "p", "x"])
 
     tiles = cut(narrow.groupBy("block", "part").applyInArrow(lambda t: pack(t), "block long, part long, l binary, p binary, x binary"))
-    blocks = [r[0] for r in tiles.select("block").distinct().collect()]  # one for TILE_LOCI loci
+    blocks = [r[0] for r in tiles.select("block").distinct().collect()]  # some hundreds, see tile_loci
     other = F.explode(F.array(*map(F.lit, blocks))) if blocks else F.explode(F.array().cast("array<long>"))
     paired = tiles.withColumn("other", other)
     paired = paired.select(F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "part", (F.col("block") > F.col("other")).alias("second"), "l", "p", "x")
@@ -153,15 +162,26 @@ def standardised(cells: DataFrame) -> DataFrame:
     return cells.where("g IS NOT NULL").join(moments, "locus_id").select("sample_id", "locus_id", ((g - F.col("mean")) / F.sqrt("ss")).alias("z"))
 
 
-def kelly_zns(cells: DataFrame, *, block: int = TILE_LOCI, max_loci: int | None = None) -> DataFrame:
+def kelly_zns(cells: DataFrame, *, block: int | None = None, max_loci: int | None = None) -> DataFrame:
     """``pairs``, ``zns``: mean squared correlation over pairs of varying loci, missing calls at their locus's mean.
 
-    ``max_loci`` gives null above it, as the reference does; by default there is no bound.
+    The squares of all products of loci add up to those of all products of samples: with
+    fewer samples than loci these are multiplied, so the work is linear in loci.
+    ``max_loci`` gives null above it, as the reference does; by default there is no
+    bound.
     """
     varying = standardised(cells)
-    if max_loci is not None and varying.agg(F.count_distinct("locus_id")).collect()[0][0] > max_loci:
+    n, samples = varying.agg(F.count_distinct("locus_id"), F.count_distinct("sample_id")).collect()[0]
+    if max_loci is not None and n > max_loci:
         return cells.sparkSession.createDataFrame([(None, None)], "pairs long, zns double")
-    return pair_sums(varying, "z", loci=block).agg(F.count(F.lit(1)).alias("pairs"), F.round(F.avg(F.col("s") * F.col("s")), 8).alias("zns"))
+    if samples >= n:
+        return pair_sums(varying, "z", loci=block).agg(F.count(F.lit(1)).alias("pairs"), F.round(F.avg(F.col("s") * F.col("s")), 8).alias("zns"))
+    turned = varying.select(F.col("sample_id").alias("locus_id"), F.col("locus_id").alias("sample_id"), "z")
+    apart = pair_sums(turned, "z", loci=block).agg(F.coalesce(F.sum(F.col("s") * F.col("s")), F.lit(0.0)).alias("apart"))
+    own = varying.groupBy("sample_id").agg(F.sum(F.col("z") * F.col("z")).alias("g")).agg(F.sum(F.col("g") * F.col("g")).alias("own"))
+    pairs = F.lit(n * (n - 1) // 2)
+    squares = (F.col("own") + 2 * F.col("apart") - F.lit(float(n))) / 2
+    return apart.crossJoin(F.broadcast(own)).select(pairs.cast("long").alias("pairs"), F.round(F.when(pairs > 0, squares / pairs), 8).alias("zns"))
 
 
 def correlations(cells: DataFrame, digits: int = 8) -> DataFrame:

@@ -124,3 +124,11 @@ def a35_timeline(spark, sf_dir):
 @query("a35_parameter_importance", f"{TRIALS_SQL}, u AS (SELECT 'a' AS parameter, CAST(a AS VARCHAR) AS setting, value FROM t WHERE value IS NOT NULL UNION ALL SELECT 'b', CAST(b AS VARCHAR), value FROM t WHERE value IS NOT NULL), c AS (SELECT parameter, setting, count(*) AS n, avg(value) AS mean FROM u GROUP BY ALL), g AS (SELECT avg(value) AS grand FROM t), s AS (SELECT parameter, sum(n * (mean - grand) * (mean - grand)) AS b FROM c, g GROUP BY parameter) SELECT parameter, round(coalesce(b / nullif((SELECT sum(b) FROM s), 0), 0), 9) AS importance FROM s")
 def a35_importance(spark, sf_dir):
     return compare.parameter_importance(order_trials(spark, sf_dir), ["a", "b"])
+
+
+@query("a35_functional_importance", f"""{TRIALS_SQL}, c AS (SELECT o.a, o.b, avg(o.value) AS m FROM t o WHERE value IS NOT NULL GROUP BY o.a, o.b), g AS (SELECT avg(m) AS grand FROM c),
+v AS (SELECT 'a' AS parameter, avg((m - grand) * (m - grand)) AS v FROM (SELECT avg(m) AS m FROM c GROUP BY a), g UNION ALL SELECT 'b', avg((m - grand) * (m - grand)) FROM (SELECT avg(m) AS m FROM c GROUP BY b), g)
+SELECT parameter, round(v / (SELECT sum(v) FROM v), 9) AS importance FROM v""")
+def a35_functional(spark, sf_dir):
+    # Every combination of the two occurs, so the tree's boxes are the combinations and its marginals their plain means.
+    return compare.functional_importance(order_trials(spark, sf_dir), ["a", "b"])
