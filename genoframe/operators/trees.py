@@ -132,15 +132,20 @@ class Stage:
         #: A row goes low if its code is at most this.
         self.cut = np.zeros((plan.width, nodes), np.uint8)
         self.value = np.zeros((plan.width, 1 << plan.depth, CODES))
+        #: Where rows have come to, by their array and slice of trees: levels above are final, so a walk goes on from there.
+        self.walked: dict[tuple[int, int], tuple[int, np.ndarray]] = {}
 
     def places(self, x: np.ndarray, trees: slice, level: int) -> np.ndarray:
         """The node (from 0, of its level) that each row has come to, for each tree."""
-        node = np.zeros((trees.stop - trees.start, len(x)), np.int64)
+        begun, node = self.walked.get((id(x), trees.start), (0, None))
+        if node is None or begun > level:
+            begun, node = 0, np.zeros((trees.stop - trees.start, len(x)), np.int64)
         rows, ts = np.arange(len(x))[None, :], np.arange(trees.start, trees.stop)[:, None]
-        for d in range(level):
+        for d in range(begun, level):
             at = node + (1 << d) - 1
             f = self.feature[ts, at]
             node = node * 2 + ((f >= 0) & (x[rows, np.maximum(f, 0)] > self.cut[ts, at]))
+        self.walked[id(x), trees.start] = (level, node)
         return node
 
     def slices(self, n: int) -> Iterator[slice]:
@@ -302,7 +307,9 @@ def predict(counts: DataFrame, plan: Plan, k: int, *, tile_patterns: int = TILE_
     most = able.agg(F.max("patterns")).collect()[0][0] or 0
     rows = counts.join(able.select("locus_id"), "locus_id", "left_semi")
     if most <= tile_patterns:
-        return rows.groupBy("locus_id").applyInArrow(lambda t: _whole(plan, k, t), "locus_id long, code long, imputed int")
+        # Little data, much work: dealt by a number of its own, so that Spark does not join the parts.
+        dealt = rows.repartition(2 * int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "locus_id")
+        return dealt.groupBy("locus_id").applyInArrow(lambda t: _whole(plan, k, t), "locus_id long, code long, imputed int")
     return _by_levels(rows, plan, k, -(-most // tile_patterns))
 
 

@@ -62,12 +62,12 @@ def i06(spark, sf_dir):
 
 @query("i07_impute_forest")
 def i07(spark, sf_dir):
-    return imputers.make("RandomForest").fit_transform(cells_from_tables(spark, sf_dir)).select("sample_id", "locus_id", "imputed")
+    return imputers.make("RandomForest", rounds=3).fit_transform(cells_from_tables(spark, sf_dir)).select("sample_id", "locus_id", "imputed")
 
 
 @query("i08_impute_boosting")
 def i08(spark, sf_dir):
-    return imputers.make("GradientBoosting").fit_transform(cells_from_tables(spark, sf_dir)).select("sample_id", "locus_id", "imputed")
+    return imputers.make("GradientBoosting", rounds=2).fit_transform(cells_from_tables(spark, sf_dir)).select("sample_id", "locus_id", "imputed")
 
 
 def _neural(kind: str):

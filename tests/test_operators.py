@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from genoframe.operators import compare, encode, evaluate, impute, learned, mask, phylo, popgen
+from genoframe.operators import compare, encode, evaluate, impute, learned, mask, phylo, popgen, trees
 from genoframe.operators.clusters import dbscan, knee, silhouette
 from genoframe.sources.tree import parse_newick, tree_nodes, tree_tips
 
@@ -214,7 +214,7 @@ def test_learned_imputers(spark, name):
     if name == "factors":
         filled = learned.fill_factors(cells)
     elif name in ("forest", "boosting"):
-        filled = learned.fill_chained(cells, learner=name, neighbours=3, rounds=1)
+        filled = learned.fill_chained(cells, plan=trees.Plan(name, trees=25, depth=4, leaf=3.0), neighbours=3, rounds=1)
     else:
         filled = learned.fill_neural(cells, learned.NeuralConfig(name, epochs=120, patience=200))
     rows = filled.collect()
