@@ -55,10 +55,10 @@ LOWEST, HIGHEST = -5.0, 5.0
 
 def power_transform(x: Column, lam: Column) -> Column:
     """The Yeo-Johnson transform of a value, for any lambda."""
-    up, down = F.log1p(F.greatest(x, F.lit(0.0))), F.log1p(F.greatest(-x, F.lit(0.0)))
+    up, down = F.log1p(F.greatest(x, F.lit(0.0))), F.log1p(F.greatest(F.lit(0.0) - x, F.lit(0.0)))
     # expm1 and log1p keep their digits where lambda is near the ends of the two branches.
     high = F.when(F.abs(lam) < 1e-9, up).otherwise(F.expm1(lam * up) / lam)
-    low = F.when(F.abs(lam - 2) < 1e-9, -down).otherwise(-F.expm1((2 - lam) * down) / (2 - lam))
+    low = F.when(F.abs(lam - 2) < 1e-9, F.lit(0.0) - down).otherwise(F.expm1((2 - lam) * down) / (lam - 2))
     return F.when(x >= 0, high).otherwise(low)
 
 
