@@ -96,7 +96,7 @@ def a28(spark, sf_dir):
     return yeo_johnson_by_metric(long_metrics(spark, sf_dir)).select("dataset", "metric", F.round("value", 9).alias("value"), F.round("lambda", 6).alias("lambda"))
 
 
-@query("a28_power_transform", f"{LONG_SQL}, y AS (SELECT dataset, metric, CAST(value AS DOUBLE) AS x, (length(metric) % 4 - 1)::DOUBLE AS lam FROM lg WHERE value IS NOT NULL) SELECT dataset, metric, lam AS lambda, round(CASE WHEN x >= 0 THEN CASE WHEN lam = 0 THEN ln(1 + x) ELSE (pow(1 + x, lam) - 1) / lam END ELSE CASE WHEN lam = 2 THEN -ln(1 - x) ELSE -(pow(1 - x, 2 - lam) - 1) / (2 - lam) END END, 7) AS value FROM y")
+@query("a28_power_transform", f"{LONG_SQL}, y AS (SELECT dataset, metric, CAST(value AS DOUBLE) AS x, (length(metric) % 4) * 0.7::DOUBLE - 0.55::DOUBLE AS lam FROM lg WHERE value IS NOT NULL) SELECT dataset, metric, round(lam, 6) AS lambda, round(CASE WHEN x >= 0 THEN CASE WHEN lam = 0 THEN ln(1 + x) ELSE (pow(1 + x, lam) - 1) / lam END ELSE CASE WHEN lam = 2 THEN -ln(1 - x) ELSE -(pow(1 - x, 2 - lam) - 1) / (2 - lam) END END, 7) AS value FROM y")
 def a28_given(spark, sf_dir):
-    lam = (F.length("metric") % 4 - 1).cast("double")
-    return long_metrics(spark, sf_dir).where("value IS NOT NULL").select("dataset", "metric", lam.alias("lambda"), F.round(power_transform(F.col("value").cast("double"), lam), 7).alias("value"))
+    lam = F.length("metric") % 4 * F.lit(0.7) - F.lit(0.55)
+    return long_metrics(spark, sf_dir).where("value IS NOT NULL").select("dataset", "metric", F.round(lam, 6).alias("lambda"), F.round(power_transform(F.col("value").cast("double"), lam), 7).alias("value"))
