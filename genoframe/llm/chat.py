@@ -5,8 +5,8 @@ Template, one block for each turn::
     <s>[INST:role]text[/INST]</s>
 
 Roles and texts are escaped so that no control string can occur inside them: ``~``
-becomes ``~0``, ``<`` becomes ``~1`` and ``[`` becomes ``~2``. All control strings
-begin with ``<`` or ``[``, so a block is unambiguous and reading it back gives the
+becomes ``~0``, ``<`` becomes ``~1``, ``[`` becomes ``~2`` and ``]`` becomes ``~3``. All
+control strings begin with ``<``, ``[`` or ``]``, so a block is unambiguous and reading it back gives the
 same characters.
 
 A conversation is cut into windows of at most ``budget`` tokens at turn borders, by
@@ -27,6 +27,8 @@ OPEN, ROLE_END, CLOSE = "<s>[INST:", "]", "[/INST]</s>"
 ESCAPES = (("~", "~0"), ("<", "~1"), ("[", "~2"), ("]", "~3"))
 #: Characters that a block has besides role and text.
 OVERHEAD = len(OPEN) + len(ROLE_END) + len(CLOSE)
+#: Budgets of tokens in a block: what is filled by one fold, and as much as a task gathers besides one turn.
+BLOCK = 64
 
 
 def escape(text: Column) -> Column:
@@ -50,12 +52,12 @@ def format_windows(turns: DataFrame, *, budget: int = 1024, history: int = 256,
     """One row for each window: the conversation id, ``window`` (int from 0), ``n_repeated`` and ``n_new`` turns, ``formatted``, ``loss_spans``, ``tokens``.
 
     ``loss_spans`` are half-open ranges of characters (code points) of ``formatted``.
-    New turns are dealt by their prefix sums, in steps of what the budget leaves beside
-    history, system turn and one more turn of the conversation's longest; a turn longer
-    than half of what history and system turn leave stands alone and does not count as
-    such. So windows of short turns are nearly full, and none is dealt in steps of less
-    than that half. A window holds at most ``budget`` tokens unless its one new turn and
-    the system turn are longer than that themselves; turns are never cut.
+    A window takes new turns, beside the system turn and its history, until the next one
+    does not fit. Blocks of BLOCK windows' tokens, by prefix sums, are filled apart, so a
+    conversation of any length is filled side by side; only a block's last window may
+    hold less than fits. A turn that has no room beside all its history stands with the
+    part of it that fits. A window holds at most ``budget`` tokens unless its one new
+    turn and the system turn are longer than that themselves; turns are never cut.
 
     Null texts and roles count as empty. Rows go by turn (null first); equal turns go
     by role, then text; repeated rows are turns of their own. Rows of a null
@@ -63,7 +65,7 @@ def format_windows(turns: DataFrame, *, budget: int = 1024, history: int = 256,
     are not read, so none can clash.
 
     Sums run over a conversation's turns in order and stream, in time proportional to
-    them; only the turns of one window are gathered.
+    them; only the turns of one block are gathered.
     """
     plain = turns.select(F.col(conv).alias("c"), F.col(turn).alias("t"), F.coalesce(F.col(role), F.lit("")).alias("r"), F.coalesce(F.col(text), F.lit("")).alias("x"))
     plain = plain.withColumn("er", escape(F.col("r"))).withColumn("ex", escape(F.col("x")))
@@ -74,13 +76,22 @@ def format_windows(turns: DataFrame, *, budget: int = 1024, history: int = 256,
     placed = placed.withColumn("sys_n", F.first(F.when((F.col("i") == 1) & (F.col("r") == "system"), F.col("n")).otherwise(F.lit(0).cast("long"))).over(first))
     by_place = Window.partitionBy("c").orderBy("i")
     whole = Window.partitionBy("c")
-    free = F.lit(budget - history) - F.col("sys_n")
-    half = F.greatest(F.lit(1).cast("long"), F.expr(f"({budget} - {history} - sys_n) div 2"))
-    placed = placed.withColumn("half", half).withColumn("longest", F.max(F.when(F.col("n") <= F.col("half"), F.col("n"))).over(whole))
-    placed = placed.withColumn("stride", F.greatest("half", free - F.coalesce("longest", F.lit(0)))).withColumn("step", F.expr("p div stride"))
-    alone = F.col("n") > F.col("half")
-    starts = (F.col("i") == 1) | (F.col("step") != F.lag("step").over(by_place)) | alone | F.lag(alone).over(by_place)
-    placed = placed.withColumn("starts", starts).withColumn("w", F.sum(F.col("starts").cast("int")).over(by_place.rowsBetween(Window.unboundedPreceding, 0)) - 1)
+    # What a window that begins here repeats, the system turn not counted.
+    before = F.col("p") - F.greatest("sys_n", F.min("p").over(Window.partitionBy("c").orderBy("p").rangeBetween(-history, 0)))
+    placed = placed.withColumn("room", F.lit(budget) - F.when(F.col("i") > 1, F.col("sys_n") + F.greatest(before, F.lit(0))).otherwise(F.lit(0)))
+    # Windows are filled turn by turn inside a block, which is as long as BLOCK windows.
+    blocks = placed.withColumn("block", F.expr(f"p div {BLOCK * budget}")).groupBy("c", "block").agg(F.array_sort(F.collect_list(F.struct("i", "p", "n", "room", "sys_n", "r", "er", "ex"))).alias("u"))
+    filled = F.aggregate(
+        "u",
+        F.struct(F.lit(-1).cast("long").alias("left"), F.array().cast("array<int>").alias("starts")),
+        lambda s, u: F.struct(
+            F.when(u["n"] <= s["left"], s["left"] - u["n"]).otherwise(u["room"] - u["n"]).alias("left"),
+            F.when(u["n"] <= s["left"], s["starts"]).otherwise(F.concat(s["starts"], F.array(u["i"]))).alias("starts"),
+        ),
+        lambda s: s["starts"],
+    )
+    placed = blocks.select("c", filled.alias("at"), "u").select("c", "at", F.explode("u").alias("u")).select("c", "u.*", F.array_contains("at", F.col("u.i")).alias("starts"))
+    placed = placed.withColumn("w", F.sum(F.col("starts").cast("int")).over(by_place.rowsBetween(Window.unboundedPreceding, 0)) - 1)
     # The last window that begins within reach of this turn repeats it, and so do those between.
     reach = Window.partitionBy("c").orderBy("p").rangeBetween(1, history)
     placed = placed.withColumn("last", F.coalesce(F.max(F.when(F.col("starts"), F.col("w"))).over(reach), F.col("w")))

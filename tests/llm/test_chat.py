@@ -71,6 +71,52 @@ def test_windows_of_short_turns_are_nearly_full(spark):
     assert max(sizes) <= 1024 and sum(sizes[:-1]) / len(sizes[:-1]) > 0.9 * 1024
 
 
+def greedy(sizes, system, budget, history):
+    """First turns of windows that are filled one by one, by plain Python."""
+    starts, left = [], -1
+    for i, n in enumerate(sizes):
+        if n > left:
+            held, j = 0, i - 1
+            while j >= (1 if system else 0) and held + sizes[j] <= history:
+                held += sizes[j]
+                j -= 1
+            starts.append(i)
+            left = budget - held - (sizes[0] if system and i else 0)
+        left -= n
+    return starts
+
+
+def test_windows_are_filled_one_by_one(spark, sf):
+    """Over the whole table and turns of all sizes: every window begins where plain filling begins one."""
+    rows = [(r["conv_id"], r["turn"], r["role"], r["text"]) for r in spark.read.parquet(f"{sf}/conversations.parquet").collect() if r["conv_id"] is not None]
+    rows += [(c, i, "system" if i == 0 and c % 2 else "user", "ab " * ((i * 37 + c) % (400 if c % 3 else 60))) for c in range(10**6, 10**6 + 12) for i in range(80)]
+    table = conversations(spark, rows)
+    sized = table.select("conv_id", "turn", "role", "text", chat.turn_tokens(chat.escape(F.coalesce("role", F.lit(""))), chat.escape(F.coalesce("text", F.lit("")))).alias("n")).collect()
+    own = {}
+    for r in sorted(sized, key=lambda r: (r["conv_id"], r["turn"] is not None, r["turn"] or 0, r["role"] or "", r["text"] or "")):
+        own.setdefault(r["conv_id"], []).append(r)
+    for budget, history in ((1024, 256), (300, 100), (200, 0)):
+        got = {}
+        for r in chat.format_windows(table, budget=budget, history=history).orderBy("conv_id", "window").collect():
+            assert r["tokens"] <= budget or r["n_new"] == 1
+            got.setdefault(r["conv_id"], []).append(r["n_new"])
+        for c, turns in own.items():
+            starts = greedy([r["n"] for r in turns], turns[0]["role"] == "system", budget, history)
+            # One block holds these conversations, so nothing is cut but by the budget.
+            if sum(r["n"] for r in turns) <= chat.BLOCK * budget:
+                assert [sum(got[c][:k]) for k in range(len(got[c]))] == starts
+
+
+def test_blocks_cost_one_window_each(spark):
+    rows = [(7, i, "user" if i % 2 else "assistant", "some words " * (i % 7)) for i in range(12_000)]
+    table = conversations(spark, rows)
+    tokens = [r["n"] for r in table.select("turn", chat.turn_tokens(chat.escape(F.col("role")), chat.escape(F.col("text"))).alias("n")).orderBy("turn").collect()]
+    sizes = [r["tokens"] for r in chat.format_windows(table, budget=128, history=0).collect()]
+    blocks = sum(tokens) // (chat.BLOCK * 128) + 1
+    assert blocks > 20 and max(sizes) <= 128 and sum(sizes) == sum(tokens)
+    assert len(sizes) <= len(greedy(tokens, False, 128, 0)) + blocks
+
+
 def test_a_long_conversation_takes_linear_time(spark):
     turns = spark.range(100_000).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "system").otherwise("assistant").alias("role"), F.concat(F.lit("turn "), F.col("id")).alias("text"))
     began = time.monotonic()
