@@ -2,11 +2,14 @@
 
 Two first-order Markov models over characters are trained from labelled samples: one
 of random strings, one of ordinary identifiers, numbers and rules (lines of repeated
-signs). A run of key characters, SHORTEST of them at least, is a secret if the
-log-likelihood ratio of the two models, for each character, is above a threshold; a
-run of letters only has models and a threshold of its own, and is a word below
-SHORTEST_LETTERS. Nothing else decides. Spans of the fixed patterns always stay; the
-models only add spans that overlap none of them.
+signs). In a run of key characters, SHORTEST of them at least, log-likelihood ratios
+of the two models, less half of what random strings have for each character, add up
+from where the sum was last not above zero to where it is largest: a stretch whose sum
+is above a threshold is a secret, together with the rest of the words that it begins
+and ends in, so a key that is joined to a name is found without the name. Letters only have models and a threshold of their own, and are a
+word below SHORTEST_LETTERS. UUIDs are identifiers, not secrets, and are left out of
+runs; nothing else but the models decides. Spans of the fixed patterns always stay;
+the models only add spans that overlap none of them.
 """
 
 from __future__ import annotations
@@ -34,6 +37,9 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 #: Characters of the shortest runs that the models are asked about: any, and those of letters only.
 SHORTEST, SHORTEST_LETTERS = 16, 20
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % SHORTEST)
+WORD = re.compile(r"[A-Za-z]{%d,}" % SHORTEST_LETTERS)
+UUID = re.compile(r"(?<![0-9A-Za-z])[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}(?![0-9A-Za-z])")
+SEPARATORS = "+/_=-"
 MIN_ASSIGNED = 6
 
 #: States: a-z, A-Z, 0-9, one for each of + / _ = -, and one for the start.
@@ -64,16 +70,37 @@ def log_transitions(counts: np.ndarray, smoothing: float = 0.5) -> np.ndarray:
 
 @dataclass(frozen=True)
 class MarkovPair:
-    """The log-likelihood ratio of each transition, and the ratio for each character from which a run is a secret."""
+    """The log-likelihood ratio of each transition, less half its mean over random strings, and the sum from which a stretch is a secret."""
 
     ratio: np.ndarray
     threshold: float
     min_length: int = SHORTEST
-    letters: MarkovPair | None = None  # for runs of letters only
+    letters: MarkovPair | None = None  # for letters only
 
-    def score(self, run: str) -> float:
+    def ratios(self, run: str) -> list[float]:
         c = codes(run)
-        return float(self.ratio[np.concatenate([[START], c[:-1]]), c].mean())
+        return self.ratio[np.concatenate([[START], c[:-1]]), c].tolist()
+
+    def score(self, run: str) -> float:
+        """The largest sum of ratios of any stretch of the run."""
+        total = largest = 0.0
+        for r in self.ratios(run):
+            total = max(total + r, 0.0)
+            largest = max(largest, total)
+        return largest
+
+    def stretches(self, run: str) -> list[tuple[int, int]]:
+        """Stretches of a sum above the threshold, in one pass. One ends at its largest sum, and the next begins where the sum has fallen from that by a threshold, or to zero."""
+        found, begin, end, total, top = [], 0, 0, 0.0, 0.0
+        for i, r in enumerate(self.ratios(run)):
+            if total <= 0 or top - total >= self.threshold:
+                if top > self.threshold:
+                    found.append((begin, end))
+                begin, end, total, top = i, i, 0.0, 0.0
+            total += r
+            if total > top:
+                end, top = i + 1, total
+        return [*found, (begin, end)] if top > self.threshold else found
 
 
 def random_samples(n: int, seed: int = 7, sets: Sequence[str] = (), least: int = SHORTEST) -> list[str]:
@@ -110,7 +137,7 @@ def identifier_samples(words: Sequence[str], n: int, seed: int = 8) -> list[str]
         elif style == 6:
             out.append("-".join(f"{x:02d}" for x in rng.integers(0, 100, rng.integers(6, 20))))
         elif style == 7:
-            out.append(str(rng.choice(list(ALPHABET + "-=_+/" * 8))) * int(rng.integers(SHORTEST, 65)))
+            out.append((ALPHABET + SEPARATORS * 2)[i // 9 % (len(ALPHABET) + 10)] * int(rng.integers(SHORTEST, 65)))  # every character in turn
         else:
             out.append("".join(p.lower() for p in parts) + str(rng.integers(0, 10_000)))
     return out
@@ -123,11 +150,11 @@ def letter_names(words: Sequence[str], n: int, seed: int = 9) -> list[str]:
     out = list(words)
     for i in range(n):
         parts = [words[j] for j in rng.integers(0, len(words), rng.integers(2, 8))]
-        style = 5 if i % 30 == 29 else i % 5
+        style = 5 if i % 10 == 9 else i % 5
         if style == 0:
             out.append("".join(p.lower() for p in parts))
         elif style == 5:
-            out.append(str(rng.choice(list(ALPHABET[:52]))) * int(rng.integers(SHORTEST_LETTERS, 65)))
+            out.append(ALPHABET[i // 10 % 52] * int(rng.integers(SHORTEST_LETTERS, 65)))  # every letter in turn
         elif style == 1:
             out.append("".join(p.upper() for p in parts))
         elif style == 2:
@@ -146,12 +173,12 @@ NAMES = ("value", "name", "index", "item", "count", "start", "first", "total", "
 LETTERS = (ALPHABET[:52], ALPHABET[:26], ALPHABET[26:52])
 
 
-def train(words: Sequence[str], *, samples: int = 4000, recall: float = 0.98, spared: float = 0.999, seed: int = 7) -> MarkovPair:
+def train(words: Sequence[str], *, samples: int = 4000, recall: float = 0.99, spared: float = 0.999, seed: int = 7) -> MarkovPair:
     """Fit both models on half of the labelled samples and the threshold on the other half.
 
     The threshold is the larger of two: what keeps ``recall`` of the held-out random
-    strings, and what spares the share ``spared`` of the held-out identifiers. Runs of
-    letters only have models and a threshold of their own, fitted in the same way.
+    strings, and what spares the share ``spared`` of the held-out identifiers. Letters
+    only have models and a threshold of their own, fitted in the same way.
     """
     if not words:
         warnings.warn("no trusted words: ordinary identifiers are made of a short built-in list", stacklevel=2)
@@ -165,9 +192,10 @@ def _fit(random: list[str], ordinary: list[str], recall: float, spared: float, s
     random, ordinary = ([x[i] for i in rng.permutation(len(x))] for x in (random, ordinary))
     fit = log_transitions(transition_counts(random[::2])) - log_transitions(transition_counts(ordinary[::2]))
     pair = MarkovPair(fit, 0.0, least)
+    pair = replace(pair, ratio=fit - np.mean(np.concatenate([pair.ratios(x) for x in random[1::2]])) / 2)
     held = [pair.score(x) for x in random[1::2]]
-    names = [pair.score(x) for x in ordinary[1::2] if len(x) >= pair.min_length]
-    return MarkovPair(fit, max(float(np.quantile(held, 1 - recall)), float(np.quantile(names, spared)) if names else 0.0), least)
+    names = [pair.score(x) for x in ordinary[1::2] if len(x) >= least]
+    return replace(pair, threshold=max(float(np.quantile(held, 1 - recall)), float(np.quantile(names, spared)) if names else 0.0))
 
 
 def trusted_words(documents: DataFrame, labels: DataFrame, *, rows: int = 400, words: int = 20_000) -> list[str]:
@@ -196,17 +224,57 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(spans)
 
 
-def model_spans(text: str, base: Sequence[tuple[int, int, int]], model: MarkovPair) -> list[tuple[int, int, int]]:
-    """Runs that the models take for random and that overlap no fixed span."""
-    spans = []
+def _free(text: str, base: Sequence[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+    """Runs of key characters, and what fixed spans and UUIDs leave of them."""
+    taken = sorted([(s, e) for s, _, e in base] + ([m.span() for m in UUID.finditer(text)] if "-" in text else []))
+    next_taken = 0
     for m in RUN.finditer(text):
-        start, end = m.span()
-        run = m.group()
-        if any(s < end and start < e for s, _, e in base):
-            continue
-        pair = model.letters if model.letters and run.isalpha() else model
-        if len(run) >= pair.min_length and pair.score(run) > pair.threshold:
-            spans.append((start, 3, end))
+        at, end = m.span()
+        while next_taken < len(taken) and taken[next_taken][0] < end:
+            s, e = taken[next_taken]
+            if s - at >= SHORTEST:
+                yield at, s
+            at = max(at, e)
+            if e > end:  # it reaches into what follows
+                break
+            next_taken += 1
+        if end - at >= SHORTEST:
+            yield at, end
+
+
+def _widened(run: str, start: int, end: int) -> tuple[int, int]:
+    """The stretch with the rest of the words it begins and ends in; equals signs end a key and begin none."""
+    while start < end and run[start] == "=":
+        start += 1
+    while start > 0 and run[start] not in SEPARATORS and run[start - 1] not in SEPARATORS:
+        start -= 1
+    while end < len(run) and run[end - 1] not in SEPARATORS and run[end] not in SEPARATORS:
+        end += 1
+    return start, end
+
+
+def model_spans(text: str, base: Sequence[tuple[int, int, int]], model: MarkovPair) -> list[tuple[int, int, int]]:
+    """Stretches of runs that the models take for random, in order; they overlap no fixed span and not each other.
+
+    Time is linear in the text.
+    """
+    spans: list[tuple[int, int, int]] = []
+    for at, stop in _free(text, base):
+        run = text[at:stop]
+        found: list[tuple[int, int]] = []
+        for s, e in model.stretches(run):
+            if not found or e > found[-1][1]:  # else it lies in a word that is taken already
+                found.append(_widened(run, s, e))
+        if model.letters:
+            # Letters only are judged by their own models alone.
+            found = [(s, e) for s, e in found if not run[s:e].isalpha()]
+            found += [m.span() for m in WORD.finditer(run) if model.letters.stretches(m.group())]
+        for s, e in sorted(found):
+            if e - s >= model.min_length:
+                if spans and spans[-1][2] > at + s:
+                    spans[-1] = (spans[-1][0], 3, max(spans[-1][2], at + e))
+                else:
+                    spans.append((at + s, 3, at + e))
     return spans
 
 
