@@ -89,3 +89,11 @@ def test_salted_hosts_give_the_same_verdicts(spark, sf, monkeypatch):
     want = sorted(map(tuple, queries.op3_url_filters(spark, sf).collect()))
     monkeypatch.setattr(urlfilter, "BROADCAST_HOSTS", -1)
     assert sorted(map(tuple, queries.op3_url_filters(spark, sf).collect())) == want
+
+
+def test_words_of_the_contract(spark, tmp_path):
+    """Each rule's word and those of longer rules, spelled out here and not read from the code."""
+    said = {"http://com/en/1": "block", "http://a.example.com/en/6": "block", "http://a.example.com/en/7": "allow", "http://q.net/de/1": "allow", "http://example.net/de/7": "allow", "http://b.example.net/de/81": "block", "http://q.org/es/": "block"}
+    spark.createDataFrame([(i, u, "") for i, u in enumerate(said)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    rows = {r["page_id"]: (r["rule"] is not None, r["verdict"]) for r in queries.op3_url_filters(spark, str(tmp_path)).collect()}
+    assert rows == {i: (True, word) for i, word in enumerate(said.values())}
