@@ -14,9 +14,16 @@ def to_wide(cells: DataFrame, row: str, column: str, value: str) -> DataFrame:
     Columns' places come from their distinct values, which are as many as a line is
     long. Swapping ``row`` and ``column`` transposes. Of repeated cells the greatest stays.
     """
-    places = cells.select(column).distinct().agg(F.array_sort(F.collect_list(column)).alias("__columns"))
-    lines = cells.groupBy(row, column).agg(F.max(value).alias("__v")).groupBy(row).agg(F.map_from_entries(F.collect_list(F.struct(column, "__v"))).alias("__m"))
-    return lines.crossJoin(F.broadcast(places)).select(row, F.transform("__columns", lambda c: F.try_element_at("__m", c)).alias("values"))
+    names = cells.select(column).distinct().agg(F.array_sort(F.collect_list(column)).alias("__columns"))
+    places = names.select(F.posexplode("__columns").alias("__place", column))
+    kept = cells.groupBy(row, column).agg(F.max(value).alias("__v")).join(places, column)
+    lines = kept.groupBy(row).agg(F.array_sort(F.collect_list(F.struct("__place", "__v"))).alias("__e"))
+    # A line is walked once: before each cell as many nulls as places were passed over, so the work is linear in its length.
+    nothing = F.lit(None).cast(cells.schema[value].dataType)
+    last = F.coalesce(F.try_element_at("__e", F.lit(-1))["__place"], F.lit(-1))
+    walked = F.flatten(F.transform("__e", lambda e, i: F.concat(F.array_repeat(nothing, e["__place"] - F.coalesce(F.get("__e", i - 1)["__place"], F.lit(-1)) - 1), F.array(e["__v"]))))
+    width = names.select(F.size("__columns").alias("__width"))
+    return lines.crossJoin(F.broadcast(width)).select(row, F.concat(walked, F.array_repeat(nothing, F.col("__width") - last - 1)).alias("values"))
 
 
 def to_long(wide: DataFrame, row: str, column: str, value: str, *, values: str = "values", labels: Sequence | None = None) -> DataFrame:

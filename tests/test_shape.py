@@ -1,3 +1,7 @@
+import time
+
+from pyspark.sql import functions as F
+
 from genoframe.operators import shape
 
 
@@ -17,3 +21,15 @@ def test_masks_and_shapes(spark):
     assert len(shape.at_least_2d(lines, "values").collect()[0]["lines"]) == 1
     nested = spark.createDataFrame([([[1], [2, 3]],)], "values array<array<int>>")
     assert shape.at_least_2d(nested, "values").collect()[0]["lines"] == [[1], [2, 3]] and shape.flat(nested, "values").collect()[0]["flat"] == [1, 2, 3]
+
+
+def test_lines_are_walked_once(spark):
+    """Gaps at the ends and between, and no look-up of each place in a whole line."""
+    cells = spark.createDataFrame([("a", 3, 7), ("a", 5, None), ("b", 1, 1), ("b", 9, 2), ("b", 9, 4), ("c", 5, 0), (None, 2, 3)], "line string, place int, v int")
+    wide = shape.to_wide(cells, "line", "place", "v")
+    assert {r["line"]: r["values"] for r in wide.collect()} == {"a": [None, None, 7, None, None], "b": [1, None, None, None, 4], "c": [None, None, None, 0, None], None: [None, 3, None, None, None]}
+    assert "map_from_entries" not in wide._jdf.queryExecution().toString()
+    long = spark.range(60_000).select(F.col("id").alias("place"), (F.col("id") % 2).alias("line"), F.col("id").alias("v"))
+    begun = time.time()
+    assert shape.to_wide(long, "line", "place", "v").select(F.sum(F.aggregate("values", F.lit(0).cast("long"), lambda a, x: a + F.coalesce(x, F.lit(0))))).collect()[0][0] == 60_000 * 59_999 // 2
+    assert time.time() - begun < 20
