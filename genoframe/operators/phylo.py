@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,8 +15,8 @@ from genoframe.sources.tree import Tree
 #: The ten unordered genotypes of four bases, in order AA, AC, AG, AT, CC, CG, CT, GG, GT, TT.
 GENOTYPES = [(i, j) for i in range(4) for j in range(i, 4)]
 STATE = {pair: k for k, pair in enumerate(GENOTYPES)}
-#: Loci that one task call handles together.
-LOCUS_BLOCK = 64
+#: Loci that one task call handles together, at most, and their number times the tree's nodes (or one locus).
+LOCUS_BLOCK, LOCUS_NODES = 64, 1 << 17
 
 
 #: Ordered pairs of bases to genotypes: a row for each of AA, AC, AG, AT, CA, ... TT, a column for each genotype.
@@ -63,21 +64,23 @@ def root_law(q: np.ndarray, haploid: bool = False) -> np.ndarray:
     return bases if haploid else np.outer(bases, bases).reshape(-1) @ UNORDERED
 
 
-def posteriors(tree: Tree, emissions: np.ndarray, moves: np.ndarray, root: np.ndarray) -> np.ndarray:
+def posteriors(tree: Tree, emissions: np.ndarray, moves: np.ndarray, root: np.ndarray, branch: np.ndarray | None = None) -> np.ndarray:
     """Posterior of each node's state before its own emission (for tips, what the rest of the tree says).
 
     ``emissions``: loci x nodes x states, ones where nothing is observed. ``moves``: nodes
-    x loci x states x states, along the branch above each node. What children say is
+    x loci x states x states, along the branch above each node; with ``branch``, the row of
+    ``moves`` for each node, so that equal branches share one. What children say is
     summed as logarithms, and a child's siblings are the sum without its own: linear in
     children, and no product of many underflows.
     """
     loci, nodes, states = emissions.shape
+    branch = np.arange(nodes) if branch is None else branch
     heard = np.zeros((loci, nodes, states))  # logarithms of what each node's children say
     said = np.zeros((loci, nodes, states))
     for i in range(nodes - 1, -1, -1):  # children come after their parents
         below = np.exp(heard[:, i] - heard[:, i].max(axis=1, keepdims=True)) * emissions[:, i]
         below /= np.maximum(below.sum(axis=1, keepdims=True), 1e-300)
-        said[:, i] = np.log(np.maximum(np.einsum("lab,lb->la", moves[i], below), 1e-300))
+        said[:, i] = np.log(np.maximum(np.einsum("lab,lb->la", moves[branch[i]], below), 1e-300))
         if tree.parent[i] >= 0:
             heard[:, tree.parent[i]] += said[:, i]
     above = np.empty((loci, nodes, states))
@@ -88,7 +91,7 @@ def posteriors(tree: Tree, emissions: np.ndarray, moves: np.ndarray, root: np.nd
             continue
         siblings = heard[:, parent] - said[:, i]
         rest = above[:, parent] * emissions[:, parent] * np.exp(siblings - siblings.max(axis=1, keepdims=True))
-        came = np.einsum("la,lab->lb", rest, moves[i])
+        came = np.einsum("la,lab->lb", rest, moves[branch[i]])
         above[:, i] = came / np.maximum(came.sum(axis=1, keepdims=True), 1e-300)
     return above
 
@@ -100,47 +103,58 @@ def impute_phylogeny(cells: DataFrame, tree: Tree, q: np.ndarray, rates: dict[in
     a mean rate of 1 under it. Branches are 1e-10 long at least.
     ``cells``: ``sample_name``, ``locus_id``, ``g``, ``ref``, ``alt`` (one base each). Samples
     that are no tips keep their missing calls. Loci are independent: blocks of
-    LOCUS_BLOCK go to one task call, with the tree and the matrix in the closure.
+    LOCUS_BLOCK, or fewer for large trees, go to one task call, with the tree and the matrix in the closure.
     """
     ship_package(cells.sparkSession)
     tips = {tree.name[i]: i for i in tree.leaves}
     base = {b: i for i, b in enumerate("ACGT")}
     rates = rates or {}
-    lengths = np.maximum(np.array(tree.length, float), 1e-10)
+    lengths, branch = np.unique(np.maximum(np.array(tree.length, float), 1e-10), return_inverse=True)
+    state = np.array([[STATE[min(a, b), max(a, b)] for b in range(4)] for a in range(4)])
+    block = max(1, min(LOCUS_BLOCK, LOCUS_NODES // len(tree.parent)))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         proper = repair_rates(q)
         frame = frame.reset_index(drop=True)
         loci, at = np.unique(frame["locus_id"], return_inverse=True)
         node = frame["sample_name"].map(tips)
-        ref, alt = frame["ref"].map(base).to_numpy(), frame["alt"].map(base).to_numpy()
-        if haploid:
-            states = np.stack([ref, ref, alt], axis=1)
-        else:
-            states = np.array([[STATE[r, r], STATE[min(r, a), max(r, a)], STATE[a, a]] for r, a in zip(ref, alt, strict=True)])
+        ref, alt = frame["ref"].map(base).astype(np.int64).to_numpy(), frame["alt"].map(base).astype(np.int64).to_numpy()
+        states = np.stack([ref, ref, alt] if haploid else [state[ref, ref], state[ref, alt], state[alt, alt]], axis=1)
         emissions = np.ones((len(loci), len(tree.parent), 4 if haploid else 10))
-        seen = frame["g"].notna().to_numpy() & node.notna().to_numpy()
-        rows = np.nonzero(seen)[0]
-        nodes = node.to_numpy()
-        for i in rows:
-            emissions[at[i], int(nodes[i])] = 0.0
-            emissions[at[i], int(nodes[i]), states[i, int(frame["g"][i])]] = 1.0
+        g, known = frame["g"], node.notna().to_numpy()
+        place = node.fillna(-1).to_numpy().astype(np.int64)
+        rows = np.nonzero(g.notna().to_numpy() & known)[0]
+        rows = rows[~pd.Series(at[rows] * len(tree.parent) + place[rows]).duplicated(keep="last").to_numpy()]
+        emissions[at[rows], place[rows]] = 0.0
+        emissions[at[rows], place[rows], states[rows, g.to_numpy()[rows].astype(np.int64)]] = 1.0
         speeds, speed = np.unique([rates.get(int(x), 1.0) for x in loci], return_inverse=True)
         tables = transitions(proper, np.multiply.outer(lengths, speeds).reshape(-1), haploid)
         moves = tables.reshape(len(lengths), len(speeds), *tables.shape[1:])[:, speed]
-        post = posteriors(tree, emissions, moves, root_law(proper, haploid))
-        filled = frame["g"].astype("Int32")
-        for i in np.nonzero(frame["g"].isna().to_numpy() & node.notna().to_numpy())[0]:
-            chance = post[at[i], int(nodes[i])][states[i]]
-            if haploid:
-                chance[1] = 0.0
-            filled[i] = int(np.argmax(chance))
+        post = posteriors(tree, emissions, moves, root_law(proper, haploid), branch)
+        asked = np.nonzero(g.isna().to_numpy() & known)[0]
+        chance = np.take_along_axis(post[at[asked], place[asked]], states[asked], axis=1)
+        if haploid:
+            chance[:, 1] = 0.0
+        filled = g.astype("Int32")
+        filled.iloc[asked] = chance.argmax(axis=1)
         return frame[["sample_name", "locus_id"]].assign(imputed=filled)
 
-    blocks = cells.select("sample_name", "locus_id", "g", "ref", "alt", F.floor(F.col("locus_id") / F.lit(float(LOCUS_BLOCK))).alias("b"))
+    blocks = cells.select("sample_name", "locus_id", "g", "ref", "alt", F.floor(F.col("locus_id") / F.lit(float(block))).alias("b"))
     return blocks.groupBy("b").applyInPandas(lambda frame: run(frame), "sample_name string, locus_id long, imputed int")
 
 
+def take_clades(sizes: np.ndarray, share: int) -> np.ndarray:
+    """Places of the clades that are taken in turn until ``share`` is met; what would overshoot by half of it is passed over, unless it is the first. Linear."""
+    got, taken = 0, []
+    for i, size in enumerate(sizes.tolist()):
+        if got >= share:
+            break
+        if not got or got + size <= share * 1.5:
+            taken.append(i)
+            got += size
+    return np.array(taken, np.int64)
+
+
 def mask_clades(spark: SparkSession, cells: DataFrame, tree: Tree, prop: float, *, weighted: bool = False, seed: int = 0) -> DataFrame:
     """``simulated`` for observed calls of whole clades, drawn for each locus; branch lengths weigh the draw if ``weighted``.
 
@@ -151,6 +165,7 @@ def mask_clades(spark: SparkSession, cells: DataFrame, tree: Tree, prop: float,
     is exact to the cell. No shared names fail. The tree is what a tree file holds and
     is broadcast; loci and cells stay in Spark.
     """
+    ship_package(spark)
     order, ends = tree.intervals()
     tips = spark.createDataFrame([(place, tree.name[i]) for place, i in enumerate(order)], "place int, sample_name string")
     eligible = cells.where("g IS NOT NULL").join(F.broadcast(tips.select("sample_name")), "sample_name", "left_semi")
@@ -166,11 +181,14 @@ def mask_clades(spark: SparkSession, cells: DataFrame, tree: Tree, prop: float,
     u = (F.pmod(F.xxhash64("locus_id", "node", F.lit(seed)), F.lit(1 << 53)) + 1) / F.lit(float(1 << 53))
     # A row for each locus and clade: the tree is small, and loci are dealt over tasks.
     drawn = eligible.select("locus_id").distinct().join(F.broadcast(clades)).withColumn("turn", -F.log(u) / F.col("w"))
-    turns = F.array_sort(F.collect_list(F.struct("turn", "node", "size")))
-    start = F.struct(F.lit(0).cast("long").alias("got"), F.array().cast("array<int>").alias("taken"))
-    fits = lambda s, c: (s["got"] < share) & ((s["got"] == 0) | (s["got"] + c["size"] <= share * 1.5))
-    step = lambda s, c: F.when(fits(s, c), F.struct((s["got"] + c["size"]).alias("got"), F.concat(s["taken"], F.array(c["node"])).alias("taken"))).otherwise(s)
-    taken = drawn.groupBy("locus_id").agg(turns.alias("o")).select("locus_id", F.explode(F.aggregate("o", start, step)["taken"]).alias("node"))
+
+    def taken_in_turn(table: pa.Table) -> pa.Table:
+        turn, node, size = (table[c].to_numpy() for c in ("turn", "node", "size"))
+        order = np.lexsort((size, node, turn))
+        at = order[take_clades(size[order], share)]
+        return pa.table([table["locus_id"].take(pa.array(at)), pa.array(node[at], pa.int32())], names=["locus_id", "node"])
+
+    taken = drawn.groupBy("locus_id").applyInArrow(lambda t: taken_in_turn(t), "locus_id long, node int")
     # A clade is an interval of tips: only those of clades that were taken are spelled out.
     spans = spark.createDataFrame([(i, *ends[i]) for i in weights], "node int, first int, last int")
     spelled = taken.join(F.broadcast(spans), "node").select("locus_id", F.explode(F.sequence("first", "last")).alias("place")).distinct()

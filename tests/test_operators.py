@@ -1,12 +1,13 @@
 """Hand-computed cases and invariants of the operators."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from genoframe.operators import compare, encode, evaluate, impute, learned, mask, phylo, popgen, trees
 from genoframe.operators.clusters import dbscan, knee, silhouette
-from genoframe.sources.tree import parse_newick, tree_nodes, tree_tips
+from genoframe.sources.tree import Tree, parse_newick, tree_nodes, tree_tips
 
 CELLS = "sample_id long, locus_id long, pop_id int, g int"
 
@@ -279,3 +280,33 @@ def test_macro_area_has_two_contracts(spark):
     given = [([0.6, 0.3, 0.1], 0), ([0.1, 0.4, 0.5], 1), ([0.0, 1.0, 0.0], 2)]
     rows = [(str(c), y == c, p[c]) for p, y in given for c in range(3)]
     assert evaluate.macro_roc_auc(spark.createDataFrame(rows, "cls string, positive boolean, score double")).collect()[0]["auc"] == pytest.approx(0.5)
+
+
+def test_many_clades_are_taken_in_linear_time():
+    """As the fold over an array says; 400,000 clades of one tip each, half of them taken."""
+    def fold(sizes, share):
+        got, taken = 0, []
+        for i, n in enumerate(sizes):
+            if got < share and (got == 0 or got + n <= share * 1.5):
+                got, taken = got + n, [*taken, i]
+        return taken
+
+    rng = np.random.default_rng(5)
+    for share in (0, 1, 7, 60):
+        sizes = rng.integers(1, 12, 40)
+        assert phylo.take_clades(sizes, share).tolist() == fold(sizes.tolist(), share)
+    assert len(phylo.take_clades(np.ones(400_000, np.int64), 200_000)) == 200_000
+
+
+def test_a_large_tree_keeps_tasks_small(spark, monkeypatch):
+    """Equal branches share a matrix, and blocks of loci shrink as the tree grows: a call held a matrix for each node and locus."""
+    seen = []
+    whole = phylo.posteriors
+    monkeypatch.setattr(phylo, "posteriors", lambda tree, emissions, moves, *more: seen.append((emissions.size, moves.size)) or whole(tree, emissions, moves, *more))
+    tree = Tree((-1, *[0] * 3000), ("", *[f"s{i}" for i in range(3000)]), (0.0, *[0.1] * 3000))
+    frame = pd.DataFrame({"sample_name": ["s1", "s2", "s3"], "locus_id": [1, 1, 1], "g": [0.0, None, 2.0], "ref": "A", "alt": "C"})
+    cells = spark.createDataFrame([("s1", 1, 0, "A", "C")], "sample_name string, locus_id long, g int, ref string, alt string")
+    monkeypatch.setattr(type(cells), "groupBy", lambda self, *_: type("G", (), {"applyInPandas": staticmethod(lambda run, _: run(frame))})())
+    filled = phylo.impute_phylogeny(cells, tree, np.ones((4, 4)))
+    assert filled["imputed"].tolist()[::2] == [0, 2] and filled["imputed"][1] in (0, 1, 2)
+    assert seen and all(m <= 2 * 64 * 100 for _, m in seen)
