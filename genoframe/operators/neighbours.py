@@ -21,6 +21,8 @@ from genoframe.session import cut, ship_package
 
 #: Points of a tile, on average.
 BLOCK_ROWS = 4096
+#: Distances that a task holds at once.
+SQUARES = 1 << 20
 #: Digits to which squared distances are compared, so that equal ones are ties whatever the order of sums.
 DIGITS = 9
 _TILE = "block int, ids binary, labels binary, points binary"
@@ -59,8 +61,11 @@ def _meet(points: DataFrame, function: Callable[..., pa.RecordBatch], schema: st
                     held, at = (ids, labels, matrix), (row["a"], row["b"])
                 elif at == (row["a"], row["b"]):
                     c_ids, c_labels, c = held
-                    squares = np.maximum((matrix**2).sum(axis=1)[:, None] + (c**2).sum(axis=1)[None, :] - 2 * matrix @ c.T, 0.0)
-                    yield function(ids, labels, c_ids, c_labels, squares)
+                    lengths, step = (c**2).sum(axis=1)[None, :], max(1, SQUARES // max(1, len(c)))
+                    for first in range(0, len(ids), step):  # a tile meets the other in slices: few distances are held at once
+                        part = matrix[first : first + step]
+                        squares = np.maximum((part**2).sum(axis=1)[:, None] + lengths - 2 * part @ c.T, 0.0)
+                        yield function(ids[first : first + step], labels[first : first + step], c_ids, c_labels, squares)
 
     return dealt.mapInArrow(run, schema)
 

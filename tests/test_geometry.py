@@ -1,6 +1,7 @@
 """Neighbours, knees, silhouettes and components against plain NumPy."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from genoframe.operators import clusters, components, neighbours
@@ -86,3 +87,14 @@ def test_components_of_little(spark):
     assert len(found.singular) == 1 and found.singular[0] == pytest.approx(2**0.5)
     still = components.principal_components(cells.withColumn("g", cells["g"] * 0), 2)
     assert len(still.singular) == 0 and still.places.count() == 0
+
+
+def test_few_distances_are_held_at_once(spark):
+    """Two tiles of 3,000 points: nine million distances, which were one array."""
+
+    def size(ids, _, c_ids, __, squares) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([squares.size])], names=["n"])
+
+    points = spark.range(6_000).selectExpr("id", "array(double(id % 7), double(id % 11)) AS v", "0L AS label")
+    sizes = [r["n"] for r in neighbours._meet(points, size, "n long", 4096).collect()]
+    assert sum(sizes) == 6_000**2 and max(sizes) <= neighbours.SQUARES
