@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,6 +42,8 @@ CLUSTERS, SAMPLE_ROWS, DIMENSIONS = 16, 2048, 32
 TERMS = 1 << 17
 #: Tails whose terms are counted at once.
 COUNTED = 256
+#: Bytes of text that a worker encodes at once.
+ENCODED_BYTES = 1 << 19
 #: Sequence numbers: the shard, then this many bits inside it.
 SEQUENCE_BITS = 32
 
@@ -131,6 +134,15 @@ def unpack_tail(data: bytes) -> np.ndarray:
     return np.frombuffer(data, "<u2" if data[:1] == b"\x00" else "<u4", offset=2).astype("<u4")
 
 
+def parts_of(batch: pa.RecordBatch, text: int = 1) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of ENCODED_BYTES of text each, or one text more: ids and their places take some thirty times that."""
+    passed = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy().astype(np.int64)) // ENCODED_BYTES
+    starts = np.concatenate([[0], np.nonzero(np.diff(passed))[0] + 1, [len(passed)]]).tolist()
+    for first, last in zip(starts, starts[1:]):
+        if last > first:
+            yield batch.slice(first, last - first)
+
+
 def _with_ends(ids: np.ndarray, ends: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """All documents' ids, each followed by the end id, and the documents' lengths with it."""
     lengths = np.diff(np.concatenate([[0], ends])) + 1
@@ -145,8 +157,9 @@ def sample_tails(documents: DataFrame, *, key: str, text: str, vocabulary: str,
     """Tails of a bounded sample of documents: those of the lowest hashes of their keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("packing", "", dict)
         own = bpe.codec("json", bpe.vocabulary(vocabulary))
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts_of(whole, 0)):
             ids, lengths = _with_ends(*own.encode_batch(batch.column(0)), end_id)
             ends = np.cumsum(lengths)
             tails = [ids[e - n % window : e] for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
@@ -170,14 +183,14 @@ def stage_tokens(documents: DataFrame, clusters: Clusters, *, key: str, text: st
     names = [key, "tokens", "whole_crcs", "tail", "whole", "cluster", "signature"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("packing", "", dict)  # what the worker has of other stages goes first
         own, model = bpe.codec("json", bpe.vocabulary(vocabulary)), shared.value
-        kept("packing", "", dict)  # what the worker has of other stages goes
         order = np.random.default_rng(11).permutation(TERMS).astype(np.int64)
         projection = model.projection()
         seen = np.zeros(1 << 16, np.int64)
         rows = total = 0
         last = None
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts_of(whole)):
             ids, lengths = _with_ends(*own.encode_batch(batch.column(1)), end_id)
             ends, tail_lengths = np.cumsum(lengths), lengths % window
             data = memoryview(ids).cast("B")

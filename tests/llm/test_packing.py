@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -156,3 +157,16 @@ def test_the_best_unused_neighbour_is_next():
     scores = {0: [9, 1, 0, 2], 1: [0, 9, 0, 0], 2: [0, 0, 9, 0], 3: [0, 0, 0, 9]}
     windows = packing.fill_windows(tails, 8, lambda i: np.array(scores[i], np.float32))
     assert windows == [[(0, 0, 4), (3, 0, 4)], [(1, 0, 3), (2, 0, 5)], [(3, 4, 2)]]
+
+
+def test_batches_are_encoded_in_parts():
+    """A batch is cut by its texts' bytes, in order, with no text lost; a long text is a part of its own."""
+    texts = [None, "", "a" * 700_000, "b", None, *["c d" * 50_000] * 9, "é" * 300_000]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    parts = list(packing.parts_of(batch.slice(1)))
+    assert [k for p in parts for k in p.column(0).to_pylist()] == list(range(1, len(texts)))
+    assert [t for p in parts for t in p.column(1).to_pylist()] == texts[1:] and len(parts) > 3
+    assert all(sum(len((t or "").encode()) for t in p.column(1).to_pylist()) < 2 * packing.ENCODED_BYTES for p in parts)
+    assert not list(packing.parts_of(batch.slice(0, 0)))
+    own = packing.bpe.codec("json", packing.bpe.vocabulary("byte_bpe_50k.json"))
+    assert [i for p in parts for i in own.encode_batch(p.column(1))[0].tolist()] == own.encode_batch(batch.column(1))[0].tolist()
