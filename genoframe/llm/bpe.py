@@ -19,6 +19,7 @@ import base64
 import hashlib
 from array import array
 from collections.abc import Callable, Iterator, Sequence
+from itertools import repeat
 
 import numpy as np
 import public_tokenizers
@@ -37,7 +38,7 @@ ODD = r"[ \n]{2}|[\t\x0b\x0c\r\x01\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}
 FIRST = "\x01"
 #: Signs that are a match of their own after a word.
 SIGNS = frozenset(".,;:!?|)")
-#: Distinct stretches that a worker remembers, of some 50 bytes each, and the distinct matches of texts with odd white space, of some 150.
+#: Distinct stretches that a worker remembers, of some 150 bytes each, and the distinct matches of texts with odd white space, of some 150.
 REMEMBERED, REMEMBERED_MATCHES = 400_000, 20_000
 #: What stands between matches that go to the library together; no stretch holds it.
 BETWEEN = "\x01"
@@ -109,29 +110,48 @@ class Recent(dict):
 
 
 class Stretches:
-    """Ids of stretches as Arrow strings and flat arrays. When full, what the last batch had stays and the rest goes."""
+    """Ids of stretches by a dictionary into flat arrays, so that a look-up costs what is asked and not what is remembered. When full, what the last batch had stays and the rest goes."""
 
     def __init__(self, compute: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], bound: int):
         self.compute, self.bound = compute, bound
-        self.keys, self.flat, self.sizes = pa.array([], pa.string()), np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        self.places: dict[str, int] = {}
+        self.flat, self.ends, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.used = self.known = 0
 
     def find(self, asked: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """One flat array of ids, and where each asked stretch's ids end there and how many they are."""
-        at = pc.fill_null(pc.index_in(asked, value_set=self.keys), -1).to_numpy(zero_copy_only=False)
-        new = at < 0
-        fresh = asked.filter(pa.array(new))
-        flat, sizes = self.compute(fresh.to_numpy(zero_copy_only=False).tolist())
-        flat, sizes = np.concatenate([self.flat, flat]), np.concatenate([self.sizes, sizes])
-        place = at.astype(np.int64)
-        place[new] = len(self.keys) + np.arange(len(fresh))
-        ends, sizes_asked = np.cumsum(sizes)[place], sizes[place]
-        if len(sizes) <= self.bound:
-            self.keys, self.flat, self.sizes = pa.concat_arrays([self.keys, fresh]), flat, sizes
-        else:
-            kept = slice(0, self.bound)
-            self.keys, self.sizes = pa.concat_arrays([asked[kept]]), sizes_asked[kept]
-            self.flat = gather(flat, ends[kept], self.sizes)
-        return flat, ends, sizes_asked
+        said = asked.to_numpy(zero_copy_only=False).tolist()
+        place = np.fromiter(map(self.places.get, said, repeat(-1)), np.int64, len(said))
+        new = np.nonzero(place < 0)[0]
+        fresh = [said[i] for i in new.tolist()]
+        place[new] = np.arange(self.known, self.known + len(fresh))
+        self._add(fresh, *self.compute(fresh))
+        ends, sizes = self.ends[place], self.sizes[place]
+        if self.known <= self.bound:
+            return self.flat, ends, sizes
+        flat, some = self.flat, slice(0, self.bound)
+        self.places, self.used, self.known = {}, 0, 0
+        self.flat, self.ends, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self._add(said[some], gather(flat, ends[some], sizes[some]), sizes[some])
+        return flat, ends, sizes
+
+    def _add(self, stretches: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        used, known = self.used + len(ids), self.known + len(stretches)
+        self.flat, self.ends, self.sizes = (_room(a, n) for a, n in ((self.flat, used), (self.ends, known), (self.sizes, known)))
+        self.flat[self.used : used] = ids
+        self.ends[self.known : known] = self.used + np.cumsum(sizes)
+        self.sizes[self.known : known] = sizes
+        self.places.update(zip(stretches, range(self.known, known), strict=True))
+        self.used, self.known = used, known
+
+
+def _room(array: np.ndarray, n: int) -> np.ndarray:
+    """The array, or a copy half as long again, if it is shorter than n."""
+    if n <= len(array):
+        return array
+    out = np.empty(n + n // 2, array.dtype)
+    out[: len(array)] = array
+    return out
 
 
 def gather(flat: np.ndarray, ends: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -230,26 +250,35 @@ class Codec:
 
     def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a column of texts, one after another, and where each text's ids end. Nulls count as empty."""
+        found = [part[2:] for part in self.encode_parts(texts, [0, len(texts)])]
+        return found[0] if found else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+
+    def encode_parts(self, texts: pa.Array, starts: Sequence[int]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """``encode_batch`` of the texts from each start to the next, with both: stretches are looked up once for all, as a look-up reads all that is remembered, and ids are laid out by parts."""
         texts = pc.fill_null(texts, "")
         odd = pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False)
         plain = pc.if_else(pa.array(odd), "", texts) if odd.any() else texts
         # A line's first stretch keeps the line break before it, so it is not taken for one after a space.
         plain = pc.binary_join_element_wise(FIRST, pc.replace_substring(plain, "\n", " \n"), "")
         parts = pc.split_pattern(plain, " ")
-        per_text = pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
+        upto = np.concatenate([[0], np.cumsum(pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64))])
         coded = pc.list_flatten(parts).dictionary_encode()
         flat, ends, sizes = self.remembered.find(coded.dictionary)
         codes = coded.indices.to_numpy(zero_copy_only=False)
-        lengths = sizes[codes]
-        ids = gather(flat, ends[codes], lengths)
-        text_ends = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum(per_text)] if len(per_text) else np.zeros(0, np.int64)
-        if not odd.any():
-            return ids, text_ends
-        pieces, at = [], 0
-        for i, end in enumerate(text_ends):
-            pieces.append(self.ids(texts[i].as_py()) if odd[i] else ids[at:end])
-            at = end
-        return np.concatenate(pieces), np.cumsum([len(p) for p in pieces])
+        for first, last in zip(starts, starts[1:]):
+            if last <= first:
+                continue
+            own = codes[upto[first] : upto[last]]
+            lengths = sizes[own]
+            ids = gather(flat, ends[own], lengths)
+            text_ends = np.concatenate([[0], np.cumsum(lengths)])[upto[first + 1 : last + 1] - upto[first]]
+            if odd[first:last].any():
+                pieces, at = [], 0
+                for i, end in enumerate(text_ends, first):
+                    pieces.append(self.ids(texts[i].as_py()) if odd[i] else ids[at:end])
+                    at = end
+                ids, text_ends = np.concatenate(pieces), np.cumsum([len(p) for p in pieces])
+            yield first, last, ids, text_ends
 
     def decode(self, ids: Sequence[int]) -> bytes:
         """The bytes that ids stand for; unknown ids raise."""

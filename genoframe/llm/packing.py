@@ -42,8 +42,8 @@ CLUSTERS, SAMPLE_ROWS, DIMENSIONS = 16, 2048, 32
 TERMS = 1 << 17
 #: Tails whose terms are counted at once.
 COUNTED = 256
-#: Bytes of text that a worker encodes at once.
-ENCODED_BYTES = 1 << 19
+#: Bytes of text whose stretches a worker looks up at once, and whose ids it holds at once.
+LOOKED_UP_BYTES, ENCODED_BYTES = 1 << 20, 1 << 19
 #: Sequence numbers: the shard, then this many bits inside it.
 SEQUENCE_BITS = 32
 
@@ -134,13 +134,23 @@ def unpack_tail(data: bytes) -> np.ndarray:
     return np.frombuffer(data, "<u2" if data[:1] == b"\x00" else "<u4", offset=2).astype("<u4")
 
 
-def parts_of(batch: pa.RecordBatch, text: int = 1) -> Iterator[pa.RecordBatch]:
-    """The batch in parts of ENCODED_BYTES of text each, or one text more: ids and their places take some thirty times that."""
-    passed = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy().astype(np.int64)) // ENCODED_BYTES
-    starts = np.concatenate([[0], np.nonzero(np.diff(passed))[0] + 1, [len(passed)]]).tolist()
-    for first, last in zip(starts, starts[1:]):
-        if last > first:
-            yield batch.slice(first, last - first)
+def part_starts(texts: pa.Array, size: int) -> list[int]:
+    """Where parts of so many bytes of text each, or one text more, begin, and the end: ids and their places take some thirty times that."""
+    passed = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64)) // size
+    return np.concatenate([[0], np.nonzero(np.diff(passed))[0] + 1, [len(passed)]]).tolist()
+
+
+def parts_of(batch: pa.RecordBatch, text: int = 1, size: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The batch in those parts, of ENCODED_BYTES by default."""
+    starts = part_starts(batch.column(text), size or ENCODED_BYTES)
+    return (batch.slice(first, last - first) for first, last in zip(starts, starts[1:]) if last > first)
+
+
+def _encoded(own: bpe.Codec, batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """All batches in parts of ENCODED_BYTES, with their ids and where each text's end; stretches are looked up for LOOKED_UP_BYTES at once."""
+    for batch in (part for whole in batches for part in parts_of(whole, text, LOOKED_UP_BYTES)):
+        for first, last, ids, ends in own.encode_parts(batch.column(text), part_starts(batch.column(text), ENCODED_BYTES)):
+            yield batch.slice(first, last - first), ids, ends
 
 
 def _with_ends(ids: np.ndarray, ends: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -159,8 +169,8 @@ def sample_tails(documents: DataFrame, *, key: str, text: str, vocabulary: str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept("packing", "", dict)
         own = bpe.codec("json", bpe.vocabulary(vocabulary))
-        for batch in (part for whole in batches for part in parts_of(whole, 0)):
-            ids, lengths = _with_ends(*own.encode_batch(batch.column(0)), end_id)
+        for _, ids, ends in _encoded(own, batches, 0):
+            ids, lengths = _with_ends(ids, ends, end_id)
             ends = np.cumsum(lengths)
             tails = [ids[e - n % window : e] for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pack_tails(np.concatenate([*tails, np.zeros(0, "<u4")]), lengths % window)], names=["tail"])
@@ -190,8 +200,8 @@ def stage_tokens(documents: DataFrame, clusters: Clusters, *, key: str, text: st
         seen = np.zeros(1 << 16, np.int64)
         rows = total = 0
         last = None
-        for batch in (part for whole in batches for part in parts_of(whole)):
-            ids, lengths = _with_ends(*own.encode_batch(batch.column(1)), end_id)
+        for batch, ids, ends in _encoded(own, batches, 1):
+            ids, lengths = _with_ends(ids, ends, end_id)
             ends, tail_lengths = np.cumsum(lengths), lengths % window
             data = memoryview(ids).cast("B")
             crcs, wholes = [], []

@@ -170,3 +170,30 @@ def test_batches_are_encoded_in_parts():
     assert not list(packing.parts_of(batch.slice(0, 0)))
     own = packing.bpe.codec("json", packing.bpe.vocabulary("byte_bpe_50k.json"))
     assert [i for p in parts for i in own.encode_batch(p.column(1))[0].tolist()] == own.encode_batch(batch.column(1))[0].tolist()
+
+
+def test_parts_of_a_batch_are_looked_up_once(monkeypatch):
+    """A look-up reads all that a worker remembers, so it is made for a batch and not for each part; ids are those of the whole."""
+    texts = pa.array([None, "", "a b  c\todd" * 9_000, "b", *["c d, e\nf" * 20_000] * 9, "\u00e9" * 300_000])
+    own = packing.bpe.codec("json", packing.bpe.vocabulary("byte_bpe_50k.json"))
+    want, ends = own.encode_batch(texts)
+    asked = []
+    find = own.remembered.find
+    monkeypatch.setattr(own.remembered, "find", lambda x: asked.append(len(x)) or find(x))
+    parts = list(own.encode_parts(texts, packing.part_starts(texts, packing.ENCODED_BYTES)))
+    assert len(parts) > 2 and len(asked) == 1
+    assert [p[0] for p in parts[1:]] == [p[1] for p in parts[:-1]] and parts[-1][1] == len(texts)
+    assert np.array_equal(np.concatenate([p[2] for p in parts]), want)
+    assert np.array_equal(np.concatenate([np.diff(p[3], prepend=0) for p in parts]), np.diff(ends, prepend=0))
+
+
+def test_a_look_up_costs_what_is_asked():
+    """Ten lists are met by one that remembers 300,000 stretches: no step goes over all that is remembered."""
+    own = packing.bpe.Stretches(lambda said: (np.arange(len(said), dtype=np.uint32), np.ones(len(said), np.int64)), 400_000)
+    own.find(pa.array([f"w{i}" for i in range(300_000)]))
+    flat, ends, sizes = own.find(pa.array(["w7", "new", "w299999"]))
+    assert flat[ends - 1].tolist() == [7, 0, 299_999] and sizes.tolist() == [1, 1, 1]
+    held = own.flat
+    for i in range(10):
+        own.find(pa.array([f"w{i}"]))
+    assert own.flat is held
