@@ -13,10 +13,11 @@ of the whole shingle sets.
 Groups of copies stay linear. Equal texts are one entry. Every text is first verified
 against the leader that most of its postings name (the least hash in each), which
 links nearly all of a group. Afterwards texts of one posting that are not connected
-yet are compared: all of them in a posting of PART members at most; in a longer one
-each with the most alike of ROUNDS other leaders of its postings. So a group of any
-size costs its members and not its pairs; what a large group of texts just under the
-similarity can lose is a link between two texts of it that no leader joins.
+yet are compared, all of them: by a join in a posting of PART members at most, and as
+tiles of a longer one, where a task counts shared bytes and shingles of two tiles as
+arrays and gives the links that connect their groups. Tiles of one and the same group
+do not meet, so copies that a leader joined cost their members and not their pairs;
+texts of a posting that stay unlike are compared in pairs, two tiles at a time.
 """
 
 from __future__ import annotations
@@ -26,19 +27,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from genoframe.llm.simhash import BLOCK_MASKS, components, shared_bytes
-from genoframe.session import cut, scratch, ship_package, tidy
+from genoframe.session import cut, kept, scratch, ship_package, tidy
 
 SHINGLE = 5
 SIMILARITY = 0.8
 POSITIONS = 16
 #: Shared bytes of 16 that a pair needs to be verified.
 MIN_SHARED = 8
-#: Longest posting whose unconnected members are all compared, and how many other leaders longer ones have.
-PART, ROUNDS = 32, 3
+#: Longest posting whose unconnected members meet in a join; those of longer ones meet in tiles.
+PART = 32
+#: Shingles of a tile, and how many a text counts for at least: 512 texts of a tile at most, or one long text.
+TILE, LEAST = 1 << 17, 1 << 8
+#: Shingles that two tiles have in common which are counted at once.
+COMMON = 2048
 #: Shingles whose samples are drawn at once.
 CHUNK = 1 << 16
 #: Most ids and decisions that are broadcast, of some 100 bytes each; beyond it the join is shuffled.
@@ -81,6 +86,7 @@ def prints(documents: DataFrame, *, key: str, text: str) -> DataFrame:
     kind = documents.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("resemblance", "", dict)  # what the worker has of other stages goes first
         for batch in batches:
             sets = [shingle_hashes(t.as_py()) for t in batch.column(3)]
             both = [sampled_bytes(s) for s in sets]
@@ -107,10 +113,14 @@ def _shared(a: str, b: str) -> Column:
     return sum((shared_bytes(F.col(f"{a}.{p}").bitwiseXOR(F.col(f"{b}.{p}"))) for p in ("p1", "p2")), F.lit(0))
 
 
+#: The positions of each of the 28 blocks.
+PLACES = [base + np.nonzero(np.array(m).astype("<i8").reshape(1).view(np.uint8))[0] for base in (0, 8) for m in BLOCK_MASKS]
+
+
 def _entries(classes: DataFrame) -> DataFrame:
-    """``posting`` and the class, for each of the 28 blocks."""
-    keys = [F.xxhash64(F.lit(b), F.col(p).bitwiseAND(F.lit(m))) for p, base in (("p1", 0), ("p2", 14)) for b, m in enumerate(BLOCK_MASKS, base)]
-    return classes.select(F.explode(F.array(*keys)).alias("posting"), F.struct("id", "h1", "p1", "p2", "n").alias("c"))
+    """``posting``, ``block`` and the class, for each of the 28 blocks."""
+    keys = [F.struct(F.xxhash64(F.lit(b), F.col(p).bitwiseAND(F.lit(m))).alias("posting"), F.lit(b).alias("block")) for p, base in (("p1", 0), ("p2", 14)) for b, m in enumerate(BLOCK_MASKS, base)]
+    return classes.select(F.inline(F.array(*keys)), F.struct("id", "h1", "p1", "p2", "n").alias("c"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -134,20 +144,117 @@ def links(classes: DataFrame, sets: DataFrame) -> DataFrame:
     one = cut(verified(first, sets))
     # Then what meets and is not connected yet.
     roots = components(one)
-    grouped = cut(met.select("posting", "size", "c").join(roots.select(F.col("node"), "root"), F.col("c.id") == F.col("node"), "left").select("posting", "size", "c", F.coalesce("root", "c.id").alias("root")))
+    grouped = cut(met.select("posting", "block", "size", "c").join(roots.select(F.col("node"), "root"), F.col("c.id") == F.col("node"), "left").select("posting", "block", "size", "c", F.coalesce("root", "c.id").alias("root")))
     mixed = grouped.groupBy("posting").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select("posting")
     apart = cut(grouped.join(mixed, "posting"))
     short = apart.where(F.col("size") <= PART)
     other = short.select("posting", F.col("c").alias("d"), F.col("root").alias("other"))
-    pairs = short.join(other, "posting").where((F.col("root") < F.col("other")) & _alike("c", "d")).select(F.col("c.id").alias("u"), F.col("d.id").alias("v"))
-    long = apart.where(F.col("size") > PART)
-    for seed in range(1, ROUNDS + 1):
-        named = long.groupBy("posting").agg(F.min_by(F.struct("c", "root"), F.xxhash64("c.id", F.lit(seed))).alias("l"))
-        led = long.join(named, "posting").where((F.col("root") != F.col("l.root")) & _alike("c", "l.c"))
-        best = led.groupBy("c.id").agg(F.max_by("l.c.id", F.struct(_shared("c", "l.c"), "l.c.id")).alias("v"))
-        pairs = pairs.unionByName(best.select(F.col("id").alias("u"), "v"))
-    two = verified(cut(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()), sets)
-    return one.unionByName(two)
+    pairs = short.join(other, "posting").where((F.col("root") < F.col("other")) & _alike("c", "d")).select(F.least("c.id", "d.id").alias("u"), F.greatest("c.id", "d.id").alias("v"))
+    two = verified(cut(pairs.distinct()), sets)
+    long = cut(apart.where(F.col("size") > PART).select("posting", "block", "root", "c.id", "c.p1", "c.p2", "c.n"))
+    return one.unionByName(two) if long.isEmpty() else one.unionByName(two).unionByName(tile_links(long, sets))
+
+
+def tile_links(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """``u``, ``v``: verified links between texts of one posting and other ``root``; of several to the same effect in two tiles, one.
+
+    A pair that meets in several postings is compared in that of its first block.
+    """
+    asked = cut(members.select("id").distinct())
+    found = sets.join(F.broadcast(asked) if asked.count() <= BROADCAST_IDS else asked, "id", "left_semi").groupBy("id").agg(F.first("s").alias("s"))
+    upto = F.sum(F.greatest("n", F.lit(LEAST))).over(Window.partitionBy("posting").orderBy("root", "id").rowsBetween(Window.unboundedPreceding, -1))
+    placed = members.withColumn("tile", F.floor(F.coalesce(upto, F.lit(0)) / F.lit(float(TILE)))).join(found, "id")
+    kinds = "posting long, tile long, block int, low string, high string, ids binary, roots binary, prints binary, sizes binary, s binary"
+
+    def pack(table: pa.Table) -> pa.Table:
+        roots, ids = (np.array(table[c].to_pylist(), "S32") for c in ("root", "id"))
+        prints = np.stack([table[p].to_numpy().astype("<i8") for p in ("p1", "p2")], axis=1)
+        sizes, flat = table["n"].to_numpy().astype(np.int64), table["s"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        said = [pa.array([x.tobytes()], pa.binary()) for x in (ids, roots, prints, sizes, flat)]
+        return pa.table([*(table[c][:1] for c in ("posting", "tile", "block")), pa.array([min(roots).decode()]), pa.array([max(roots).decode()]), *said], names=[x.split()[0] for x in kinds.split(", ")])
+
+    tiles = cut(placed.groupBy("posting", "tile").applyInArrow(lambda t: pack(t), kinds))
+    left, right = (tiles.select("posting", *[F.col(c).alias(side + c) for c in tiles.columns if c != "posting"]) for side in "ab")
+    apart = (F.col("atile") <= F.col("btile")) & ~((F.col("alow") == F.col("bhigh")) & (F.col("ahigh") == F.col("blow")) & (F.col("alow") == F.col("ahigh")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                u, v = meet_tiles(*(_opened(row, side) for side in "ab"), row["ablock"], row["atile"] == row["btile"])
+                yield pa.RecordBatch.from_arrays([pa.array(u.astype(str), pa.string()), pa.array(v.astype(str), pa.string())], names=["u", "v"])
+
+    return cut(left.join(right, "posting").where(apart).mapInArrow(tidy(run), "u string, v string").distinct())
+
+
+def _opened(row: dict, side: str) -> tuple[np.ndarray, ...]:
+    ids, roots = (np.frombuffer(row[side + c], "S32") for c in ("ids", "roots"))
+    return ids, roots, np.frombuffer(row[side + "prints"], np.uint8).reshape(-1, POSITIONS), np.frombuffer(row[side + "sizes"], np.int64), np.frombuffer(row[side + "s"], np.int64)
+
+
+def meet_tiles(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], block: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The links between two tiles (ids, roots, positional bytes, numbers of shingles, shingles) of a block's posting, as many as connect what they connect."""
+    a_ids, a_roots, a_prints, a_sizes, _ = a
+    b_ids, b_roots, b_prints, b_sizes, _ = b
+    shared = np.zeros((len(a_ids), len(b_ids)), np.uint8)
+    for p in range(POSITIONS):
+        shared += a_prints[:, p, None] == b_prints[None, :, p]
+    near = (shared >= MIN_SHARED) & (a_roots[:, None] != b_roots[None, :])
+    near &= np.minimum(a_sizes[:, None], b_sizes[None, :]) >= SIMILARITY * np.maximum(a_sizes[:, None], b_sizes[None, :]) - 1e-9
+    i, j = np.nonzero(np.triu(near, 1) if same else near)
+    first = np.ones(len(i), bool)
+    for places in PLACES[:block]:
+        first &= (a_prints[i[:, None], places] != b_prints[j[:, None], places]).any(axis=1)
+    i, j = i[first], j[first]
+    if not len(i):
+        return a_ids[:0], b_ids[:0]
+    both = common_shingles(a[3:], b[3:], i, j)
+    sound = both >= SIMILARITY * (a_sizes[i] + b_sizes[j] - both) - 1e-9
+    i, j = i[sound], j[sound]
+    # Of links between the same two roots, and of those that close a circle, one is enough.
+    _, code = np.unique(np.concatenate([a_roots[i], b_roots[j]]), return_inverse=True)
+    ends = np.stack([code[: len(i)], code[len(i) :]], axis=1)
+    _, once = np.unique(np.sort(ends, axis=1), axis=0, return_index=True)
+    above, chosen = list(range(len(code))), []
+
+    def top(x: int) -> int:
+        while above[x] != x:
+            above[x] = x = above[above[x]]
+        return x
+
+    for at in once.tolist():
+        x, y = top(int(ends[at, 0])), top(int(ends[at, 1]))
+        if x != y:
+            above[x] = y
+            chosen.append(at)
+    return a_ids[i[chosen]], b_ids[j[chosen]]
+
+
+def common_shingles(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """How many shingles text i of one tile and text j of another have in common, for each pair: a product of incidence matrices, COMMON shingles at a time."""
+    sides = []
+    for (sizes, flat), asked in ((a, i), (b, j)):
+        rows = np.unique(asked)
+        text = np.repeat(np.arange(len(sizes)), sizes)
+        used = np.isin(text, rows)
+        sides.append((rows, np.searchsorted(rows, text[used]), flat[used]))
+    names = np.intersect1d(sides[0][2], sides[1][2])
+    counts = np.zeros((len(sides[0][0]), len(sides[1][0])), np.float32)
+    coded = []
+    for _, text, flat in sides:
+        at = np.searchsorted(names, flat)
+        known = (at < len(names)) & (names[np.minimum(at, len(names) - 1)] == flat) if len(names) else np.zeros(len(flat), bool)
+        order = np.argsort(at[known], kind="stable")
+        coded.append((text[known][order], at[known][order]))
+    for first in range(0, len(names), COMMON):
+        parts = []
+        for (rows, _, _), (text, at) in zip(sides, coded, strict=True):
+            low, high = np.searchsorted(at, [first, first + COMMON])
+            part = np.zeros((len(rows), min(COMMON, len(names) - first)), np.float32)
+            part[text[low:high], at[low:high] - first] = 1
+            parts.append(part)
+        counts += parts[0] @ parts[1].T
+    return counts[np.searchsorted(sides[0][0], i), np.searchsorted(sides[1][0], j)].astype(np.float64)
 
 
 def _named(df: DataFrame) -> DataFrame:

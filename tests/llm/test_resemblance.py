@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from genoframe.llm import resemblance
@@ -134,3 +135,36 @@ def test_chunks_do_not_change_samples(monkeypatch):
     want = resemblance.sampled_bytes(hashes)
     monkeypatch.setattr(resemblance, "CHUNK", 7)
     assert resemblance.sampled_bytes(hashes) == want
+
+
+def template(n=150, size=120, edits=12, seed=5):
+    """Variants of a template, and edits of each: all share postings, few are copies."""
+    rng, rows = random.Random(seed), []
+    base = [f"w{rng.randrange(5000)}" for _ in range(size)]
+    for _ in range(n):
+        variant = edited(rng, base, edits).split()
+        rows += [(len(rows), " ".join(variant)), (len(rows) + 1, edited(rng, variant, 2))]
+    return rows
+
+
+def test_long_postings_lose_no_link(spark, monkeypatch):
+    """Members of long postings are all compared: what stays is what stays where every posting is short, and what all pairs leave."""
+    rows = copies()
+    monkeypatch.setattr(resemblance, "PART", 1)
+    assert kept(spark, rows) == sorted(plain_groups(rows))
+    monkeypatch.setattr(resemblance, "TILE", 1 << 10)
+    rows = template()
+    by_tiles = kept(spark, rows)
+    monkeypatch.setattr(resemblance, "PART", 10**9)
+    assert by_tiles == kept(spark, rows)
+    want = plain_groups(rows)
+    assert want <= set(by_tiles) and len(set(by_tiles) - want) <= 3
+
+
+def test_common_shingles_are_those_of_the_sets(monkeypatch):
+    monkeypatch.setattr(resemblance, "COMMON", 7)
+    rng = np.random.default_rng(4)
+    tiles = [[np.unique(rng.integers(0, 60, rng.integers(0, 50))) for _ in range(n)] for n in (9, 13)]
+    i, j = (x.reshape(-1) for x in np.meshgrid(range(1, 9), range(0, 13, 2), indexing="ij"))
+    sides = [(np.array([len(s) for s in t]), np.concatenate(t)) for t in tiles]
+    assert resemblance.common_shingles(*sides, i, j).tolist() == [len(np.intersect1d(tiles[0][x], tiles[1][y])) for x, y in zip(i, j, strict=True)]
