@@ -26,7 +26,7 @@ def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of 1024 tokens."""
-    return packing.pack(docs)
+    return packing.pack(docs, lean=True)
 
 
 STAGES = [("quality classifier", quality_filter), ("SimHash near-dedup", near_dedup), ("secret scans", secret_redaction), ("packing", packed)]

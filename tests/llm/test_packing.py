@@ -197,3 +197,17 @@ def test_a_look_up_costs_what_is_asked():
     for i in range(10):
         own.find(pa.array([f"w{i}"]))
     assert own.flat is held
+
+
+def test_lean_packing_gives_the_same_rows(spark, sf):
+    documents = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    rows = [sorted(map(tuple, packing.pack(documents, lean=lean).collect())) for lean in (False, True)]
+    assert rows[0] == rows[1]
+
+
+def test_lean_encoding_remembers_less():
+    own = packing.bpe.Codec.from_json(packing.bpe.vocabulary("byte_bpe_50k.json"))
+    batch = pa.RecordBatch.from_arrays([pa.array([" ".join(f"w{i * 40_000 + j}" for j in range(40_000)) for i in range(4)])], names=["text"])
+    parts = {lean: [ids.tolist() for _, ids, _ in packing._encoded(own, [batch], 0, lean)] for lean in (False, True)}
+    assert sum(parts[False], []) == sum(parts[True], [])
+    assert own.remembered.known <= packing.LEAN_STRETCHES
