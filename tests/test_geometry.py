@@ -98,3 +98,15 @@ def test_few_distances_are_held_at_once(spark):
     points = spark.range(6_000).selectExpr("id", "array(double(id % 7), double(id % 11)) AS v", "0L AS label")
     sizes = [r["n"] for r in neighbours._meet(points, size, "n long", 4096).collect()]
     assert sum(sizes) == 6_000**2 and max(sizes) <= neighbours.SQUARES
+
+
+def test_components_do_not_depend_on_tiles_which_are_small(spark, monkeypatch):
+    """A task holds one tile beside its factors: a quarter of a million cells at most, and the places are the same for other tiles."""
+    assert components.TILE_LOCI * components.TILE_SAMPLES <= 1 << 18
+    cells = spark.range(60 * 20).selectExpr("floor(id / 20) sample_id", "id % 20 locus_id", "CAST(pmod(xxhash64(id), 3) AS INT) g")
+    found = []
+    for samples in (512, 7):
+        monkeypatch.setattr(components, "TILE_SAMPLES", samples)
+        got = components.principal_components(cells, 2, oversample=18)
+        found.append([p for r in got.places.orderBy("sample_id").collect() for p in r["places"]])
+    assert found[0] == pytest.approx(found[1], abs=1e-7)
