@@ -29,7 +29,7 @@ CANDIDATES = 24
 STARTUP = 10
 #: A logistic law of scale 1 has this inverse of its deviation.
 LOGISTIC = 0.5513288954217921
-#: Keys (study and parameter) whose candidates are broadcast at most.
+#: Keys (study and parameter) whose candidates are broadcast at most. Beyond, trials come to the studies, and candidates stay where their study is.
 BROADCAST_KEYS = 10_000
 PRIME = 1_000_003
 
@@ -73,15 +73,15 @@ class Choice:
 Space = Sequence[Real | Choice]
 
 
-def hash_draw(seed: int) -> Callable[[int], Column]:
+def hash_draw(seed: int) -> Callable[[int, Column, Column], Column]:
     """Draws in [0, 1) for each of a candidate's needs, from a hash of its study, parameter, proposal and number."""
-    return lambda need: F.pmod(F.xxhash64("study", "parameter", "proposal", "candidate", F.lit(seed), F.lit(need)), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    return lambda need, proposal, candidate: F.pmod(F.xxhash64("study", "parameter", proposal, candidate, F.lit(seed), F.lit(need)), F.lit(1 << 53)) / F.lit(float(1 << 53))
 
 
-def residue_draw(seed: int) -> Callable[[int], Column]:
+def residue_draw(seed: int) -> Callable[[int, Column, Column], Column]:
     """The same by plain arithmetic that SQL engines agree on; studies are numbers."""
-    mixed = F.col("study") * 7919 + F.col("at") * 15485863 + F.col("proposal") * 104729 + F.col("candidate") * 1299709
-    return lambda need: ((mixed + F.lit(seed * 611953 + need * 32452843)) % PRIME).cast("double") / F.lit(float(PRIME))
+    mixed = lambda proposal, candidate: F.col("study") * 7919 + F.col("at") * 15485863 + proposal * 104729 + candidate * 1299709
+    return lambda need, proposal, candidate: ((mixed(proposal, candidate) + F.lit(seed * 611953 + need * 32452843)) % PRIME).cast("double") / F.lit(float(PRIME))
 
 
 def _logistic(u: Column) -> Column:
@@ -116,7 +116,7 @@ def best_trials(trials: DataFrame, share: float = GOOD_SHARE, most: int = GOOD_M
     return first.join(counts, "study").where((F.col("done") >= startup) & (F.col("place") <= F.ceil(F.col("done") * F.lit(share))))
 
 
-def propose(trials: DataFrame, space: Space, count: int = 1, *, draw: Callable[[int], Column] | None = None, share: float = GOOD_SHARE, startup: int = STARTUP, candidates: int = CANDIDATES) -> DataFrame:
+def propose(trials: DataFrame, space: Space, count: int = 1, *, draw: Callable[[int, Column, Column], Column] | None = None, share: float = GOOD_SHARE, startup: int = STARTUP, candidates: int = CANDIDATES) -> DataFrame:
     """The next ``count`` trials of each study: ``study``, ``proposal``, ``parameter``, ``number`` (null for choices), ``option``, ``gain`` (log ratio of the densities).
 
     Higher values are better. Every study of the table gets proposals, by chance while
@@ -124,55 +124,70 @@ def propose(trials: DataFrame, space: Space, count: int = 1, *, draw: Callable[[
     value outside its parameter's range is left out of that parameter's mixtures.
     """
     draw = draw or hash_draw(0)
-    parameters = F.array(*[F.struct(F.lit(i).alias("at"), F.lit(p.name).alias("parameter"), F.lit(len(p.options)).alias("options")) for i, p in enumerate(space)])
-
-    def observed(df: DataFrame) -> DataFrame:
-        places = F.array(*[F.struct(F.lit(i).alias("at"), p.place().alias("x")) for i, p in enumerate(space)])
-        return df.select("study", *(["place"] if "place" in df.columns else []), F.inline(places)).where("x IS NOT NULL")
-
-    seen = observed(trials.where(_complete()))
-    sums = seen.groupBy("study", "at").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"))
-    good = observed(best_trials(trials, share, GOOD_MOST, startup)).groupBy("study", "at").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "x"))), lambda t: t["x"]).alias("good"))
-    keys = trials.select("study").distinct().select("study", F.inline(parameters))
-    keys = keys.join(sums, ["study", "at"], "left").join(good, ["study", "at"], "left")
-    keys = keys.withColumn("good", F.coalesce("good", F.array().cast("array<double>"))).fillna(0, ["n"]).fillna(0.0, ["s", "q"])
+    places = [p.place() for p in space]
+    wide_places = lambda df, *also: df.select("study", *also, *[x.alias(f"x{i}") for i, x in enumerate(places)])
+    known = [F.when(_complete(), x) for x in places]
+    totals = trials.groupBy("study").agg(*[f.alias(f"{c}{i}") for i, x in enumerate(known) for c, f in (("n", F.count(x)), ("s", F.coalesce(F.sum(x), F.lit(0.0))), ("q", F.coalesce(F.sum(x * x), F.lit(0.0))))])
+    totals = cut(totals)
+    few = totals.count() * len(space) <= BROADCAST_KEYS
+    firsts = wide_places(best_trials(trials, share, GOOD_MOST, startup), "place").groupBy("study").agg(F.sort_array(F.collect_list(F.struct("place", *[f"x{i}" for i in range(len(space))]))).alias("best"))
+    # A study's parameters, each with its counts, sums and best places.
+    own = lambda i: F.filter(F.transform(F.coalesce("best", F.array()), lambda t: t[f"x{i}"]), lambda x: x.isNotNull())
+    parameters = F.array(*[F.struct(F.lit(i).alias("at"), F.lit(p.name).alias("parameter"), F.lit(len(p.options)).alias("options"), F.col(f"n{i}").alias("n"), F.col(f"s{i}").alias("s"), F.col(f"q{i}").alias("q"), own(i).alias("good")) for i, p in enumerate(space)])
+    keys = totals.join(firsts, "study", "left").select("study", F.inline(parameters))
     added = lambda f: F.aggregate("good", F.lit(0.0), lambda a, x: a + f(x))
     k = F.size("good")
     keys = keys.withColumn("k", k).withColumn("gs", added(lambda x: x)).withColumn("gq", added(lambda x: x * x))
     keys = keys.withColumn("w", _scale(F.col("k"), F.col("gs"), F.col("gq"))).withColumn("v", _scale(F.col("n") - F.col("k"), F.col("s") - F.col("gs"), F.col("q") - F.col("gq")))
-    drawn = keys.select("*", F.explode(F.sequence(F.lit(0), F.lit(count * candidates - 1))).alias("c")).withColumn("proposal", F.floor(F.col("c") / candidates).cast("int")).withColumn("candidate", F.col("c") % candidates)
     real = F.col("options") == 0
+    number_of = lambda c: (F.floor(c / candidates).cast("int"), c % candidates)
     # One of the best trials, or one of the prior's: the whole range, or each option once.
-    pick = F.floor(draw(0) * (F.col("k") + F.greatest(F.col("options"), F.lit(1)))).cast("int")
-    centre = F.try_element_at("good", pick + 1)
-    low, high = _logistic(-centre / F.col("w")), _logistic((1 - centre) / F.col("w"))
-    at = low + draw(1) * (high - low)
-    inside = F.least(F.lit(1.0), F.greatest(F.lit(0.0), centre + F.col("w") * F.ln(at / (1 - at))))
-    x = F.when(real, F.when(pick < F.col("k"), inside).otherwise(draw(1))).otherwise(F.when(pick < F.col("k"), centre).otherwise((pick - F.col("k")).cast("double")))
-    drawn = cut(drawn.withColumn("x", x))
-    # Sums over all trials, where they lie; a key's candidates come to them as one array.
-    asked = drawn.groupBy("study", "at", "v", "options").agg(F.collect_list(F.struct("c", "x")).alias("asked"))
-    if asked.count() <= BROADCAST_KEYS:
-        asked = F.broadcast(asked)
-    near = lambda own, other: F.when(real, _kernel(own, other, F.col("v"))).otherwise((own == other).cast("double"))
-    met = seen.withColumnRenamed("x", "other").join(asked, ["study", "at"]).select("study", "at", "v", "options", "other", F.inline("asked"))
-    everywhere = met.groupBy("study", "at", "c").agg(F.sum(near(F.col("x"), F.col("other"))).alias("all"))
-    scored = drawn.join(everywhere, ["study", "at", "c"], "left")
-    of_good = added(lambda g: near(F.col("x"), g))
-    like = F.when(real, added(lambda g: _kernel(F.col("x"), g, F.col("w")))).otherwise(of_good)
-    rest = F.greatest(F.coalesce("all", F.lit(0.0)) - of_good, F.lit(0.0))
+    picks = F.transform(F.sequence(F.lit(0), F.lit(count * candidates - 1)), lambda c: F.floor(draw(0, *number_of(c)) * (F.col("k") + F.greatest(F.col("options"), F.lit(1)))).cast("int"))
+
+    def place_of(pick: Column, c: Column) -> Column:
+        centre = F.try_element_at("good", pick + 1)
+        low, high = _logistic(-centre / F.col("w")), _logistic((1 - centre) / F.col("w"))
+        at = low + draw(1, *number_of(c)) * (high - low)
+        inside = F.least(F.lit(1.0), F.greatest(F.lit(0.0), centre + F.col("w") * F.ln(at / (1 - at))))
+        return F.when(real, F.when(pick < F.col("k"), inside).otherwise(draw(1, *number_of(c)))).otherwise(F.when(pick < F.col("k"), centre).otherwise((pick - F.col("k")).cast("double")))
+
+    near = lambda x, other: F.when(real, _kernel(x, other, F.col("v"))).otherwise((x == other).cast("double"))
+
+    def of_best(x: Column) -> Column:
+        of_good = added(lambda g: near(x, g))
+        return F.struct(x.alias("x"), of_good.alias("of_good"), F.when(real, added(lambda g: _kernel(x, g, F.col("w")))).otherwise(of_good).alias("like"))
+
+    asked = keys.withColumn("picks", picks).withColumn("asked", F.transform("picks", place_of)).withColumn("asked", F.transform("asked", of_best)).select("study", "at", "options", "n", "k", "v", "asked")
+    # Sums over all trials. A row of a trial meets all of its study's candidates where they lie.
+    seen = wide_places(trials.where(_complete()))
+    other = F.array(*[f"x{i}" for i in range(len(space))])[F.col("at")].alias("other")
+    each = ["study", "at", "options", "n", "k", "v"]
+    if few:
+        asked = cut(asked)
+        met = seen.join(F.broadcast(asked), "study").select(*each, other, "asked").where("other IS NOT NULL")
+        met = met.unionByName(asked.select(*each, F.lit(None).cast("double").alias("other"), "asked"))
+    else:
+        met = asked.join(seen, "study", "left").select(*each, other, "asked")
+    met = met.select(*each, "other", F.posexplode("asked").alias("c", "a")).select(*each, "other", "c", "a.*")
+    # Numbers only are carried, so groups are hashed and exploded rows are not sorted.
+    carried = ["options", "n", "k", "x", "of_good", "like"]
+    scored = met.groupBy("study", "at", "c").agg(F.coalesce(F.sum(near(F.col("x"), F.col("other"))), F.lit(0.0)).alias("all"), *[F.first(c).alias(c) for c in carried])
+    rest = F.greatest(F.col("all") - F.col("of_good"), F.lit(0.0))
     prior = F.greatest(F.col("options"), F.lit(1))
-    ratio = F.ln((1 + like) / (F.col("k") + prior)) - F.ln((1 + rest) / (F.col("n") - F.col("k") + prior))
+    ratio = F.ln((1 + F.col("like")) / (F.col("k") + prior)) - F.ln((1 + rest) / (F.col("n") - F.col("k") + prior))
     gain = F.round(F.when(F.col("k") > 0, ratio).otherwise(0.0), 6)
-    best = scored.groupBy("study", "proposal", "at", "parameter").agg(F.max(F.struct(gain.alias("gain"), (-F.col("candidate")).alias("first"), "x")).alias("b"))
+    proposal, candidate = number_of(F.col("c"))
+    order = F.round(gain * 1e6).cast("long") * candidates - candidate
+    best = scored.select("study", proposal.alias("proposal"), "at", "x", gain.alias("gain"), order.alias("order")).groupBy("study", "proposal", "at").agg(F.max("gain").alias("gain"), F.max_by("x", "order").alias("x"))
+    best = best.withColumn("parameter", F.array(*[F.lit(p.name) for p in space])[F.col("at")])
     number = option = F.lit(None)
     for i, p in enumerate(space):
         mine = F.col("at") == i
         if isinstance(p, Choice):
-            option = F.when(mine, F.element_at(F.array(*map(F.lit, p.options)), F.col("b.x").cast("int") + 1)).otherwise(option)
+            option = F.when(mine, F.element_at(F.array(*map(F.lit, p.options)), F.col("x").cast("int") + 1)).otherwise(option)
         else:
-            number = F.when(mine, p.number(F.col("b.x"))).otherwise(number)
-    return best.select("study", "proposal", "parameter", number.cast("double").alias("number"), option.cast("string").alias("option"), F.col("b.gain").alias("gain"))
+            number = F.when(mine, p.number(F.col("x"))).otherwise(number)
+    return best.select("study", "proposal", "parameter", number.cast("double").alias("number"), option.cast("string").alias("option"), "gain")
 
 
 def _budgets(brackets: int, eta: int) -> list[int]:

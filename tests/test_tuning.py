@@ -57,6 +57,22 @@ def test_proposals_of_odd_studies(spark):
     assert T.propose(trials.where("false"), SPACE).count() == 0
 
 
+def test_candidates_stay_with_their_study(spark, monkeypatch):
+    """Beyond few studies only trials and sums are exchanged: candidates, 48 for each parameter of a study, are not, nor sorted."""
+    trials = spark.range(400).selectExpr("id % 9 AS study", "id AS trial_id", "double(id * 7 % 101) AS value", "double(id % 80) / 10 - 4 AS x", "0.001 + (id % 13) / 20D AS rate", "element_at(array('relu', 'elu', 'tanh'), int(id % 3) + 1) AS act").repartition(3)
+    few = sorted(map(tuple, T.propose(trials, SPACE, 2).collect()))
+    monkeypatch.setattr(T, "BROADCAST_KEYS", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        asked = T.propose(trials, SPACE, 2)
+        plan = asked._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, asked.collect())) == few and len(few) == 9 * 2 * 3
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    above = plan[: plan.index("Generate posexplode")]
+    assert "Exchange" not in above and "Sort" not in above
+
+
 def test_rungs_and_brackets(spark):
     assert T.rungs(1, 9, 3) == [1, 3, 9]
     for wrong in ((0, 9, 3), (5, 4, 3), (1, 9, 1)):
