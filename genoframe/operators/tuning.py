@@ -130,6 +130,8 @@ def propose(trials: DataFrame, space: Space, count: int = 1, *, draw: Callable[[
     totals = trials.groupBy("study").agg(*[f.alias(f"{c}{i}") for i, x in enumerate(known) for c, f in (("n", F.count(x)), ("s", F.coalesce(F.sum(x), F.lit(0.0))), ("q", F.coalesce(F.sum(x * x), F.lit(0.0))))])
     totals = cut(totals)
     few = totals.count() * len(space) <= BROADCAST_KEYS
+    if not few:  # little is exchanged for much work: a number that is asked for is not coalesced
+        totals = totals.repartition(int(trials.sparkSession.conf.get("spark.sql.shuffle.partitions")), "study")
     firsts = wide_places(best_trials(trials, share, GOOD_MOST, startup), "place").groupBy("study").agg(F.sort_array(F.collect_list(F.struct("place", *[f"x{i}" for i in range(len(space))]))).alias("best"))
     # A study's parameters, each with its counts, sums and best places.
     own = lambda i: F.filter(F.transform(F.coalesce("best", F.array()), lambda t: t[f"x{i}"]), lambda x: x.isNotNull())
