@@ -16,8 +16,10 @@ Poisson draw of mean n, from a hash of seed, locus, tree, pattern and class.
 
 from __future__ import annotations
 
+import itertools
+import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,6 +35,14 @@ CODES = 3
 TILE_PATTERNS = CODES * CODES**10
 #: Numbers (tree x pattern x feature) that are looked at together.
 CELLS = 1 << 20
+#: Numbers (tree x pattern) that are walked together where a locus is whole, so that they stay in a processor's cache.
+WALKED = 1 << 16
+#: Bytes of the table of joint codes of every set of asked features, and joint codes of a set.
+JOINT_BYTES, JOINT_CELLS = 1 << 24, CODES**4
+#: Features whose joint codes boosting counts together.
+GROUP = 5
+#: Tasks that loci are dealt over at most, one for each where there are fewer.
+MOST_PARTS = 1024
 #: Neighbours whose pattern fits 64 bits.
 MOST_NEIGHBOURS = 39
 
@@ -98,26 +108,49 @@ def _uniform(x: np.ndarray) -> np.ndarray:
     return ((_mix(x) >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
 
 
-def poisson(mean: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """A Poisson draw for each mean, by its key; of means over 64 a rounded normal one."""
-    u = _uniform(key)
-    out = np.zeros(len(mean))
-    small = mean <= 64
-    m, left = mean[small], u[small]
-    chance = np.exp(-m)
-    total, found = chance.copy(), np.zeros(len(m))
+def poisson_drawer(mean: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    """From keys (..., row) a Poisson draw of each row's mean; of means over 64 a rounded normal one. Few means are distinct, as they are counts."""
+    small = np.nonzero(mean <= 64)[0]
+    large = np.nonzero(mean > 64)[0]
+    distinct, which = np.unique(mean[small], return_inverse=True)
+    # How likely at most k are drawn, and the least k that a draw of each 256th can be.
+    chance = np.exp(-distinct)
+    totals, chances = [chance], chance
     for k in range(1, 200):
-        more = left > total
-        if not more.any():
+        chances = chances * distinct / k
+        totals.append(totals[-1] + chances)
+        if (chances < 1e-18).all() and k > 64:
             break
-        found[more] = k
-        chance = chance * m / k
-        total = total + chance
-    out[small] = found
-    large = ~small
-    normal = np.sqrt(-2 * np.log(u[large])) * np.cos(2 * np.pi * _uniform(key[large] + np.uint64(1)))
-    out[large] = np.maximum(0, np.rint(mean[large] + np.sqrt(mean[large]) * normal))
-    return out
+    cumulative = np.stack(totals, axis=1) if len(distinct) else np.zeros((0, 1))
+    least = np.array([np.searchsorted(row, np.arange(256) / 256) for row in cumulative], np.int64).reshape(-1)
+    wide, first = cumulative.shape[1], cumulative.reshape(-1)
+
+    def draw(key: np.ndarray) -> np.ndarray:
+        out = np.zeros(key.shape)
+        if len(small):
+            u = _uniform(key if not len(large) else key[..., small])
+            rows = np.broadcast_to(which, u.shape)
+            found = least[rows * 256 + (u * 256).astype(np.int64)]
+            found = np.minimum(found, wide - 1)
+            over = np.nonzero((u > first[rows * wide + found]).reshape(-1))[0]
+            flat, own, at = found.reshape(-1), u.reshape(-1), rows.reshape(-1)
+            while len(over):
+                flat[over] += 1
+                over = over[flat[over] < wide - 1]
+                over = over[own[over] > first[at[over] * wide + flat[over]]]
+            out[..., small] = flat.reshape(u.shape)
+        if len(large):
+            high = key[..., large]
+            normal = np.sqrt(-2 * np.log(_uniform(high))) * np.cos(2 * np.pi * _uniform(high + np.uint64(1)))
+            out[..., large] = np.maximum(0, np.rint(mean[large] + np.sqrt(mean[large]) * normal))
+        return out
+
+    return draw
+
+
+def poisson(mean: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """A Poisson draw for each mean, by its key."""
+    return poisson_drawer(mean)(key)
 
 
 def features_of(codes: np.ndarray, k: int) -> np.ndarray:
@@ -162,11 +195,12 @@ class Stage:
         for at in range(0, self.plan.width, step):
             yield slice(at, min(at + step, self.plan.width))
 
-    def open_nodes(self, level: int) -> tuple[np.ndarray, int]:
+    def open_nodes(self, level: int, trees: slice = slice(None)) -> tuple[np.ndarray, int]:
         """(tree, node) of a level to a number, -1 for nodes under no cut; and how many are open. All tiles of a locus agree on it."""
         if not level:
-            return np.arange(self.plan.width)[:, None], self.plan.width
-        parents = self.feature[:, (1 << level - 1) - 1 : (1 << level) - 1] >= 0
+            width = len(self.feature[trees])
+            return np.arange(width)[:, None], width
+        parents = self.feature[trees, (1 << level - 1) - 1 : (1 << level) - 1] >= 0
         both = np.repeat(parents, 2, axis=1)
         return np.where(both, np.cumsum(both).reshape(both.shape) - 1, -1), int(both.sum())
 
@@ -216,9 +250,9 @@ class Stage:
                 out[:, c] += np.bincount(flat, np.repeat(weights[:, c], self.m), len(out))
         return out.reshape(size, self.m, CODES, CODES)
 
-    def split(self, sums: np.ndarray, level: int) -> None:
+    def split(self, sums: np.ndarray, level: int, trees: slice = slice(None)) -> None:
         """The best cut of each open node of a level; none where nothing is gained or a leaf would be too light."""
-        number, size = self.open_nodes(level)
+        number, size = self.open_nodes(level, trees)
         if not size:
             return
         low = np.cumsum(sums, axis=2)[:, :, :-1]
@@ -227,10 +261,12 @@ class Stage:
         gain = self._score(low) + self._score(high) - self._score(whole)
         fits = (self._weight(low) >= self.plan.leaf) & (self._weight(high) >= self.plan.leaf)
         gain = np.where(fits, gain, -np.inf).reshape(size, -1)
-        best = gain.argmax(axis=1)
+        # The first of those that are best but for the rounding of sums, which depends on their order.
+        top = gain.max(axis=1, keepdims=True)
+        best = (gain >= top - 1e-9 * (1 + np.abs(np.maximum(top, 0)))).argmax(axis=1)
         worth = gain[np.arange(size), best] > 1e-9
         tree, node = np.nonzero(number >= 0)
-        at = node + (1 << level) - 1
+        tree, at = tree + (trees.start or 0), node + (1 << level) - 1
         self.feature[tree, at] = np.where(worth, self.offered[tree, at, best // (CODES - 1)], -1)
         self.cut[tree, at] = best % (CODES - 1)
 
@@ -299,14 +335,23 @@ def channels_of(plan: Plan, locus: int, codes: np.ndarray, y: np.ndarray, weight
         return np.stack([c.T for c in parts], axis=2)
     if not plan.bootstrap:
         return Votes(y, weight[None])
-    rows = _mix(codes.astype(np.uint64) * np.uint64(CODES) + y.astype(np.uint64) + _key(plan.seed, locus, -1))
+    rows, draw = _row_keys(plan, locus, codes, y), poisson_drawer(weight)
     # Tree by tree, as small whole numbers.
     drawn = np.empty((plan.trees, len(rows)), np.float32 if weight.sum() < 1 << 22 else np.float64)
-    for t, step in enumerate(np.arange(plan.trees, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)):
-        drawn[t] = poisson(weight, _mix(rows + step))
+    for t, step in enumerate(_steps(plan.trees)):
+        drawn[t] = draw(_mix(rows + step))
     return Votes(y, drawn)
 
 
+def _row_keys(plan: Plan, locus: int, codes: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return _mix(codes.astype(np.uint64) * np.uint64(CODES) + y.astype(np.uint64) + _key(plan.seed, locus, -1))
+
+
+def _steps(trees: int) -> np.ndarray:
+    """What is added to a row's key for each tree."""
+    return np.arange(trees, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+
 def prior(counts: np.ndarray) -> np.ndarray:
     """Scores that boosting starts from: logarithms of class shares."""
     return np.log(np.maximum(counts / max(counts.sum(), 1.0), 1e-6))
@@ -314,26 +359,143 @@ def prior(counts: np.ndarray) -> np.ndarray:
 
 def fit_predict(plan: Plan, locus: int, k: int, codes: np.ndarray, y: np.ndarray, weight: np.ndarray, asked: np.ndarray) -> np.ndarray:
     """Class scores of the ``asked`` patterns from rows (pattern, class, weight) that are all of a locus."""
-    whole = np.bincount(y, weight, CODES)
+    m = plan.asked(k)
     if plan.kind == "boosting":
-        # Rows of one pattern have one score, so their classes are added up first.
-        codes, at = np.unique(codes, return_inverse=True)
-        weight = np.bincount(at * CODES + y, weight, len(codes) * CODES).reshape(-1, CODES)
+        return _boosted(plan, locus, k, codes, y, weight, asked)
+    if CODES**m <= JOINT_CELLS and math.comb(k, m) * (len(codes) + len(asked)) <= JOINT_BYTES:
+        return _bagged(plan, locus, k, codes, y, weight, asked)
     x, new = features_of(codes, k), features_of(asked, k)
-    scores = np.tile(prior(whole), (len(x), 1))
-    out = np.tile(scores[:1], (len(new), 1)) if plan.kind == "boosting" else np.zeros((len(new), CODES))
+    stage = Stage(plan, locus, 0, k)
+    channels = channels_of(plan, locus, codes, y, weight, np.zeros((len(x), CODES)))
+    for level in range(plan.depth):
+        stage.split(stage.sums(x, channels, level), level)
+        if level + 1 == plan.depth or not stage.open_nodes(level + 1)[1]:
+            break
+    stage.settle(stage.leaf_sums(x, channels))
+    return stage.said(new)
+
+
+def _digits(m: int) -> np.ndarray:
+    """(feature, joint code): the code of each of m features."""
+    return np.arange(CODES**m) // CODES ** np.arange(m)[:, None] % CODES
+
+
+def _packed(votes: np.ndarray, size: int) -> tuple[list[np.ndarray], Callable[[np.ndarray], np.ndarray]]:
+    """Whole weights (class, tree x row) as few numbers whose sums are exact, each of the bits that a tree's sum can need; and how sums (..., number) become classes."""
+    most = votes.sum(axis=0).reshape(-1, size).sum(axis=1).max(initial=0)
+    bits = max(1, int(most).bit_length())
+    if 3 * bits <= 52:
+        low, high = 2.0**bits, 4.0**bits
+
+        def three(sums: np.ndarray) -> np.ndarray:
+            top = np.floor(sums / high)
+            rest = sums - top * high
+            middle = np.floor(rest / low)
+            return np.concatenate([rest - middle * low, middle, top], axis=-1)
+
+        return [votes[0] + votes[1] * low + votes[2] * high], three
+    return list(votes), lambda sums: sums
+
+
+def _bagged(plan: Plan, locus: int, k: int, codes: np.ndarray, y: np.ndarray, weight: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """A forest whose patterns are all here: the same trees as by ``sums``, some trees at a time.
+
+    What a node asks of a pattern is one joint code of its features, looked up by the set of
+    them; classes are counted by node and joint code, and the same number finds the next node.
+    """
+    stage = Stage(plan, locus, 0, k)
+    every = np.unique(np.concatenate([codes, asked]))
+    at, told, size = np.searchsorted(every, codes), np.searchsorted(every, asked), len(every)
+    m, x = stage.m, features_of(every, k).T
+    sets = np.array(list(itertools.combinations(range(k), m))).reshape(-1, m)
+    joint = np.stack([sum(x[f] * np.uint8(CODES**j) for j, f in enumerate(s)) for s in sets]).reshape(-1)
+    number_of = np.zeros((k,) * m, np.int64)
+    number_of[tuple(sets.T)] = np.arange(len(sets))
+    ordered = np.sort(stage.offered, axis=2)
+    begins = number_of[tuple(np.moveaxis(ordered, 2, 0))] * size
+    # Where an asked feature stands among the sorted ones of its node.
+    stands = (stage.offered[..., None] == ordered[:, :, None, :]).argmax(axis=3)
+    cells, digits = CODES**m, _digits(m)
+    by_code = (digits[:, None, :] == np.arange(CODES)[:, None]).reshape(m * CODES, cells).astype(float)
+    out = np.zeros((len(asked), CODES))
+    keys, draw = (_row_keys(plan, locus, codes, y), poisson_drawer(weight)) if plan.bootstrap else (None, None)
+    steps = _steps(plan.trees)
+    step = max(1, WALKED // max(1, size))
+    for begin in range(0, plan.trees, step):
+        trees = slice(begin, min(begin + step, plan.trees))
+        t = trees.stop - trees.start
+        votes = np.zeros((CODES, t, size))
+        votes[y, :, at] = (draw(_mix(keys + steps[trees][:, None])) if plan.bootstrap else np.broadcast_to(weight, (t, len(weight)))).T
+        votes = votes.reshape(CODES, -1)
+        packed, apart = _packed(votes, size)
+        # Places of all trees of a level are numbered one after another.
+        place, pattern = np.repeat(np.arange(t), size), np.tile(np.arange(size), t)
+        depth = 0
+        for level in range(plan.depth):
+            number, opened = stage.open_nodes(level, trees)
+            if not opened:
+                break
+            nodes, here = t << level, slice((1 << level) - 1, (2 << level) - 1)
+            cell = place * cells + joint[begins[trees, here].reshape(-1)[place] + pattern]
+            table = apart(np.stack([np.bincount(cell, v, nodes * cells) for v in packed], axis=1).reshape(nodes, cells, -1)[(number >= 0).reshape(-1)])
+            asks = stands[trees, here][number >= 0]
+            sums = np.matmul(by_code, table).reshape(opened, m, CODES, CODES)
+            stage.split(np.take_along_axis(sums, asks[:, :, None, None], axis=1), level, trees)
+            feature, cut_at = stage.feature[trees, here].reshape(-1), stage.cut[trees, here].reshape(-1)
+            position = (ordered[trees, here].reshape(-1, m) == feature[:, None]).argmax(axis=1)
+            high = (digits[position] > cut_at[:, None]) & (feature >= 0)[:, None]
+            place = place * 2 + high.reshape(-1)[cell]
+            depth = level + 1
+        place = place << plan.depth - depth
+        leaves = t << plan.depth
+        sums = np.stack([np.bincount(place, v, leaves) for v in votes], axis=1)
+        value = sums / np.maximum(sums.sum(axis=1, keepdims=True), 1e-12)
+        out += value[place.reshape(t, size)[:, told]].sum(axis=0) / plan.trees
+    return out
+
+
+def _boosted(plan: Plan, locus: int, k: int, codes: np.ndarray, y: np.ndarray, weight: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """Boosting of a locus whose patterns are all here: the same trees as by ``sums``.
+
+    Sums are taken by node and the joint code of some features together, and by single
+    features from those. Asked patterns go along with no weight.
+    """
+    every, at = np.unique(np.concatenate([codes, asked]), return_inverse=True)
+    told, size = at[len(codes) :], len(every)
+    votes = np.bincount(at[: len(codes)] * CODES + y, weight, size * CODES).reshape(-1, CODES)
+    x = np.ascontiguousarray(features_of(every, k).T)
+    # Trees of the classes are grown together; places of all are numbered one after another.
+    flat, pattern = x.reshape(-1), np.tile(np.arange(size), CODES)
+    groups = []
+    for first in range(0, k, GROUP):
+        wide = min(GROUP, k - first)
+        by_code = (_digits(wide)[:, None, :] == np.arange(CODES)[:, None]).reshape(wide * CODES, CODES**wide).astype(float)
+        groups.append((CODES**wide, np.tile(sum(x[first + j] * np.int64(CODES**j) for j in range(wide)), CODES), by_code.T))
+    scores = np.tile(prior(votes.sum(axis=0)), (size, 1))
     for number in range(plan.stages):
         stage = Stage(plan, locus, number, k)
-        channels = channels_of(plan, locus, codes, y, weight, scores)
+        channels = np.moveaxis(channels_of(plan, locus, every, y, votes, scores), 2, 0).reshape(CODES, -1)
+        place, depth = np.repeat(np.arange(CODES), size), 0
         for level in range(plan.depth):
-            stage.split(stage.sums(x, channels, level), level)
-            if not stage.open_nodes(level + 1)[1] if level + 1 < plan.depth else True:
+            numbers, opened = stage.open_nodes(level)
+            if not opened:
                 break
-        stage.settle(stage.leaf_sums(x, channels))
-        out += stage.said(new)
-        if plan.kind == "boosting":
-            scores += stage.said(x)
-    return out
+            nodes, here, some = CODES << level, slice((1 << level) - 1, (2 << level) - 1), numbers >= 0
+            parts = []
+            for cells, joint, by_code in groups:
+                cell = place * cells + joint
+                table = np.stack([np.bincount(cell, v, nodes * cells).reshape(nodes, cells)[some.reshape(-1)] for v in channels])
+                parts.append((table @ by_code).reshape(CODES, opened, -1, CODES))
+            sums = np.moveaxis(np.concatenate(parts, axis=2), 0, 3)
+            stage.split(np.take_along_axis(sums, stage.offered[:, here][some][:, :, None, None], axis=1), level)
+            feature = stage.feature[:, here].reshape(-1)
+            limit = np.where(feature >= 0, stage.cut[:, here].reshape(-1), CODES).astype(np.uint8)
+            place = place * 2 + (flat[(np.maximum(feature, 0).astype(np.int64) * size)[place] + pattern] > limit[place])
+            depth = level + 1
+        place = place << plan.depth - depth
+        gradient, curvature = (np.bincount(place, v, CODES << plan.depth) for v in channels[:2])
+        scores += (plan.rate * gradient / np.maximum(curvature + plan.l2, 1e-12))[place].reshape(CODES, size).T
+    return scores[told]
 
 
 def _column(table: pa.Table, name: str, kind: type) -> np.ndarray:
@@ -351,11 +513,11 @@ def predict(counts: DataFrame, plan: Plan, k: int, *, tile_patterns: int = TILE_
         raise ValueError(f"at most {MOST_NEIGHBOURS} neighbours")
     known = counts.where("y IS NOT NULL").groupBy("locus_id").agg(F.sum("n").alias("rows"), F.count_distinct("y").alias("classes"), F.count(F.lit(1)).alias("patterns"))
     able = cut(known.where((F.col("rows") >= least_known) & (F.col("classes") > 1)))
-    most = able.agg(F.max("patterns")).collect()[0][0] or 0
+    most, loci = able.agg(F.coalesce(F.max("patterns"), F.lit(0)), F.count(F.lit(1))).collect()[0]
     rows = counts.join(able.select("locus_id"), "locus_id", "left_semi")
     if most <= tile_patterns:
         # Little data, much work: dealt by a number of its own, so that Spark does not join the parts.
-        dealt = rows.repartition(2 * int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "locus_id")
+        dealt = rows.repartition(max(2 * int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(loci, MOST_PARTS)), "locus_id")
         return dealt.groupBy("locus_id").applyInArrow(lambda t: _whole(plan, k, t), "locus_id long, code long, imputed int")
     return _by_levels(rows, plan, k, -(-most // tile_patterns))
 

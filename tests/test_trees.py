@@ -6,7 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from genoframe.operators import learned
 from genoframe.operators import trees as T
+from genoframe.operators.popgen import correlations, nearest_loci
 
 
 def plain(x, y, w, depth, score, weigh, leaf, value):
@@ -127,3 +129,54 @@ def test_ten_neighbours_never_take_a_job_for_each_level(spark, monkeypatch):
     counts = spark.range(70_000).select(F.lit(0).cast("long").alias("locus_id"), F.expr("id div 3").alias("code"), F.when(F.col("id") > 0, F.col("id") % 3).cast("int").alias("y"), F.lit(1).cast("long").alias("n"))
     rows = T.predict(counts, T.Plan("boosting", trees=1, depth=1), 10).collect()
     assert [(r["locus_id"], r["code"]) for r in rows] == [(0, 0)]
+
+
+@pytest.mark.parametrize("plan", [T.Plan("forest", trees=9, depth=4, seed=5), T.Plan("forest", trees=4, depth=3, leaf=2.0, bootstrap=False)])
+def test_a_whole_locus_is_counted_by_joint_codes(toy, plan, monkeypatch):
+    """One count by node and joint code in place of one for each feature; the trees are those of the sums by feature."""
+    codes, _, y, w = toy
+    asked = np.array([0, 5, 80])
+    with monkeypatch.context() as patch:
+        patch.setattr(T, "JOINT_BYTES", 0)
+        slow = T.fit_predict(plan, 7, 4, codes, y, w, asked)
+    monkeypatch.setattr(T.Stage, "sums", lambda *_: 1 / 0)
+    assert np.allclose(T.fit_predict(plan, 7, 4, codes, y, w, asked), slow, atol=1e-12)
+
+
+def test_draws_are_those_of_the_cumulative_law():
+    mean, key = np.array([1.0, 3.0, 40.0, 64.0, 1.0]), np.arange(5, dtype=np.uint64)
+    u = T._uniform(key)
+    for m, x, drawn in zip(mean, u, T.poisson(mean, key), strict=True):
+        total = chance = np.exp(-m)
+        k = 0
+        while x > total:
+            k += 1
+            chance *= m / k
+            total += chance
+        assert drawn == k
+
+
+def test_chained_rounds_are_the_plain_ones(spark):
+    """Absent cells, rows that are not fitted on and null keys; a round is worked out from one row a sample."""
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 3, 50)
+    rows = [(s, j, 0, None if rng.random() < 0.2 else int(base[s] if rng.random() < 0.8 else rng.integers(0, 3)), bool(rng.random() < 0.8)) for s in range(50) for j in range(6) if rng.random() < 0.9]
+    cells = spark.createDataFrame([*rows, (None, 1, 0, 1, True), (3, None, 0, None, True)], "sample_id long, locus_id long, pop_id int, g int, fit boolean")
+    plan = T.Plan("forest", trees=7, depth=3, seed=2)
+    ours = {(r["sample_id"], r["locus_id"]): r["imputed"] for r in learned.fill_chained(cells, plan=plan, neighbours=3, rounds=2, train="fit").collect()}
+    known = {j: [r[3] for r in rows if r[1] == j and r[3] is not None] for j in range(6)}
+    now = {(s, j): g if g is not None else int(np.bincount(known[j], minlength=3).argmax()) for s, j, _, g, _ in rows}
+    near = {}
+    for r in nearest_loci(correlations(cells.where("sample_id IS NOT NULL AND locus_id IS NOT NULL")), 3).collect():
+        near.setdefault(r["locus_id"], []).append((r["neighbour"], r["rank"]))
+    for _ in range(2):
+        code = {(s, j): sum(now.get((s, n), 0) * 3 ** (k - 1) for n, k in near[j]) for s, j, *_ in rows if any((s, n) in now for n, _ in near[j])}
+        guess = {}
+        for j in range(6):
+            fit = [(code[s, j], g) for s, i, _, g, f in rows if i == j and g is not None and f and (s, j) in code]
+            pairs, n = np.unique(np.array(fit), axis=0, return_counts=True)
+            asked = np.unique([code[s, j] for s, i, _, g, _ in rows if i == j and g is None and (s, j) in code]).astype(np.int64)
+            said = np.round(T.fit_predict(plan, j, 3, pairs[:, 0], pairs[:, 1], n.astype(float), asked), 9).argmax(axis=1)
+            guess |= {(s, j): int(said[np.searchsorted(asked, code[s, j])]) for s, i, _, g, _ in rows if i == j and g is None and (s, j) in code}
+        now |= guess
+    assert ours == now
