@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from genoframe import imputers
+from genoframe.plans import catalog
 from genoframe.sources.tree import parse_newick
 
 
@@ -75,3 +76,10 @@ def test_a_new_model_is_a_subclass(cells):
     tree = parse_newick("(" + ",".join(f"s{i}:0.1" for i in range(40)) + ");")
     filled = imputers.make("Phylo", tree=tree, q=np.ones((4, 4))).fit_transform(cells)
     assert filled.count() == 240 and filled.where("imputed IS NULL OR imputed != coalesce(g, imputed)").count() == 0
+
+
+def test_the_boosting_query_has_the_references_rounds(spark, monkeypatch):
+    asked = {}
+    monkeypatch.setattr(imputers.learned, "fill_chained", lambda cells, **options: asked.update(options) or cells.withColumn("imputed", imputers.F.lit(0)))
+    catalog.QUERIES["i08_impute_boosting"](spark, "/root/testdata/sf0.001")
+    assert asked["rounds"] == 10 and asked["plan"].trees == 100 and asked["neighbours"] == 10
